@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, shard_tree
+from . import bpe_stream, mixing, quality_rules, shard_tree, token_files, warc_zst
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (quality_rules.op3_quality_rules, shard_tree.op5_shard_tree, mixing.op10_mixing)
+    found = (quality_rules.op3_quality_rules, warc_zst.op4_warc_zst, shard_tree.op5_shard_tree, token_files.op7_token_files, bpe_stream.op9_bpe_stream, mixing.op10_mixing)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc_zst": warc_zst.OP4_SQL}
