@@ -7,7 +7,7 @@ tokens that end at least the lookahead before the window's end, which no later s
 rest. Its memory depends on the merge list alone, never on the length of a word or text.
 
 Texts are normalised and split into words as the vocabulary's file says; words pass the transducer and the ids of short
-pieces stay in a bounded store of the task. Decoding is a state machine from ids to bytes to text that accepts any cut.
+pieces stay in a bounded store of the worker. Decoding is a state machine from ids to bytes to text that accepts any cut.
 
 Defined results: a null text is empty and has no ids; repeated rows are encoded each; an empty table gives an empty
 result; columns of clashing names don't matter: only doc_id and text are read.
@@ -20,6 +20,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterable, Iterator
+from functools import cache
 from itertools import chain, islice
 from struct import pack
 
@@ -230,9 +231,15 @@ class Codec:
         return b"".join(ids), " ".join(found)
 
 
+@cache
+def shared_codec(path: str) -> Codec:
+    """One codec a Python worker: what it has kept serves the tasks that follow."""
+    return Codec(path)
+
+
 def _encode(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = shared_codec(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
@@ -259,7 +266,7 @@ def decode(tokens: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id and readable text of rows of doc_id and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(tokenizer)
+        codec = shared_codec(tokenizer)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["".join(codec.text(x or [])) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 

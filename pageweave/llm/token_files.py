@@ -7,7 +7,7 @@ tokens of a few documents, or the metadata alone, without the rest. Each row kno
 files' sums (one row a file) turn that into its place in the whole corpus.
 
 Encoding splits a text at single spaces between non-blank characters, where every pre-token of this vocabulary ends, and
-keeps the ids of the pieces seen in this task; the library encodes each new piece once. The store is emptied at a fixed
+keeps the ids of the pieces seen by this worker; the library encodes each new piece once. The store is emptied at a fixed
 number of pieces, so memory is bounded.
 
 Defined results: a null text is empty and has the end id alone; ties of doc_id are ordered by text; a null doc_id comes first;
@@ -20,6 +20,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import Window as W
 
 from .common import shared_dir, table
 
-END, MEMO = 2, 400_000
+END, MEMO = 2, 600_000
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
 SCHEMA = "doc_id long, tokens array<int>, n_tokens long, local_start long"
 _UNEVEN = re.compile(r"\s | \s|^ | $")
@@ -95,9 +96,15 @@ class Encoder:
         return out
 
 
+@cache
+def shared_encoder(path: str) -> Encoder:
+    """One encoder a Python worker: its pieces serve the tasks that follow."""
+    return Encoder(path)
+
+
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail, start = Encoder(path), np.array([end], "<u4").tobytes(), 0
+        encoder, tail, start = shared_encoder(path), np.array([end], "<u4").tobytes(), 0
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
