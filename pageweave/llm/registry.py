@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_stream, mixing, quality_rules, shard_tree, token_files, warc_zst
+from . import bpe_stream, language_pieces, mixing, quality_rules, rare_features, shard_tree, token_files, warc_zst
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (quality_rules.op3_quality_rules, warc_zst.op4_warc_zst, shard_tree.op5_shard_tree, token_files.op7_token_files, bpe_stream.op9_bpe_stream, mixing.op10_mixing)
+    found = (rare_features.op1_rare_features, quality_rules.op3_quality_rules, warc_zst.op4_warc_zst, shard_tree.op5_shard_tree, token_files.op7_token_files, language_pieces.op8_language_pieces, bpe_stream.op9_bpe_stream, mixing.op10_mixing)
     return {f.__name__: f for f in found}
 
 

@@ -21,6 +21,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import Window as W
 
 from .common import shared_dir, table
 
-END, MEMO = 2, 600_000
+END, MEMO = 2, 300_000
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
 SCHEMA = "doc_id long, tokens array<int>, n_tokens long, local_start long"
 _UNEVEN = re.compile(r"\s | \s|^ | $")
@@ -51,16 +52,10 @@ class Encoder:
         self.other: dict[str, bytes] = {}  # pieces as they stand
 
     def _fill(self, store: dict[str, bytes], new: list[str], prefix: str) -> None:
-        """Encodes new pieces, many in one call, with the end-of-text token between; it is no part of a piece."""
-        mark, cut = "<|endoftext|>", self.library.token_to_id("<|endoftext|>")
-        for i in range(0, len(new), 1000):
-            part = [p for p in new[i : i + 1000] if "<|" not in p]
-            ids = np.array(self.library.encode(mark.join([prefix + p for p in part]), add_special_tokens=False).ids, "<u4")
-            data, at = ids.tobytes(), [-1, *np.flatnonzero(ids == cut).tolist(), len(ids)]
-            for piece, a, b in zip(part, at[:-1], at[1:], strict=True):
-                store[piece] = data[4 * a + 4 : 4 * b]
-        for piece in (p for p in new if "<|" in p):
-            store[piece] = np.array(self.library.encode(prefix + piece, add_special_tokens=False).ids, "<u4").tobytes()
+        for i in range(0, len(new), 4096):
+            part = new[i : i + 4096]
+            found = self.library.encode_batch_fast([prefix + p for p in part], add_special_tokens=False)
+            store.update((p, pack(f"<{len(x)}I", *x)) for p, x in zip(part, (e.ids for e in found), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.inner) + len(self.other) > MEMO:
