@@ -5,9 +5,10 @@ Every stage works on all that its predecessor kept. All but the last return the
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pageweave.llm import mixing, quality_rules
+from pageweave.llm import bpe_stream, grouped_prefix, mixing, quality_rules, sentence_spans
 from pageweave.llm.common import table, written
 
 
@@ -16,12 +17,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs, table(spark, sf_dir, "labels"))
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (runs of five words, similarity of 0.8 or more) stays."""
+    return grouped_prefix.one_of_each(docs)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sentences that an earlier document or the same text already had go."""
+    return sentence_spans.deduplicated(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out so that sources meet their target weights."""
     return mixing.mixed(docs)
 
 
-STAGES = [("quality_rules", quality), ("mixing", mix)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and digests of every document of the mix."""
+    return bpe_stream.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("ngram_jaccard_join", near_copies),
+    ("substring_dedup", substrings),
+    ("mixing", mix),
+    ("bpe", tokens),
+]
 
 #: Pivotal rounding is a fold over hashed draws and the last stage a byte-pair encoder: SQL can express neither.
 ORACLE_SQL = None
