@@ -6,11 +6,11 @@
    either shared or counts against its set; a set with more of its own than the similarity leaves room for is
    linked with nothing, and most are settled here.
 3. The rest are ordered by frequency, own shingles first, and sets of equal size, equal number of own
-   shingles and equal prefix of shared ones form one group. Groups that share a prefix shingle are paired, if sizes and
-   positions still allow the overlap.
-4. Group pairs are expanded: first the leader of each group against the members of the other, then, of the members
-   not yet connected, all pairs. Every pair is verified on its shared shingles. No links between sets are lost that
-   a component depends on, and no pairs are emitted inside what is already connected.
+   shingles and equal prefix of shared ones form one group.
+4. Groups that share a prefix shingle are paired, if sizes and positions still allow the overlap: first the group with the fewest
+   own shingles with each of the others, its leader against their members, and every group's leader against its own
+   members. Then, of groups and members not yet connected, all pairs. Every pair is verified on its shared
+   shingles. No link that a component depends on is lost, and no pairs are made inside what is already connected.
 
 Defined results: null and blank texts have the empty set and are linked with nothing; a text of fewer words than a
 shingle is one shingle; equal texts are linked whatever their number; rows that share a doc_id are each returned; a null
@@ -86,13 +86,30 @@ def _shared(docs: DataFrame, open_: DataFrame, rule: Rule) -> DataFrame:
     return written(out.where(F.size("shared") >= rule.least(F.col("n"))), "shared")
 
 
-def _group_pairs(groups: DataFrame, rule: Rule) -> DataFrame:
-    """(g, h), g < h, of groups whose prefixes meet where sizes and positions allow enough overlap."""
-    posts = groups.select("g", "n", "own", F.posexplode("prefix").alias("i", "token")).select("token", "g", "n", (F.col("own") + F.col("i")).alias("pos"))
-    a, b = posts.alias("a"), posts.alias("b")
-    need = rule.overlap(F.col("a.n"), F.col("b.n"))
-    fits = (F.col("a.g") < F.col("b.g")) & (F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= need) & (F.least("a.n", "b.n") >= need)
-    return written(a.join(b, (F.col("a.token") == F.col("b.token")) & fits).select(F.col("a.g").alias("g"), F.col("b.g").alias("h")).distinct(), "group-pairs")
+def _fits(a: str, b: str, rule: Rule) -> Column:
+    """Whether sizes and positions of a first common token leave room for the overlap of linked sets."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    need = rule.overlap(n, m)
+    return (F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos")) >= need) & (F.least(n, m) >= need)
+
+
+def _stars(posts: DataFrame, rule: Rule) -> DataFrame:
+    """(g, h): the group with the fewest own shingles among those with a prefix token, and each of the others."""
+    lead = posts.groupBy("token").agg(F.min(F.struct("own", "g", "n", "pos")).alias("l"), F.count("*").alias("c")).where("c > 1").select("token", "l.*")
+    a, b = lead.alias("a"), posts.alias("b")
+    return a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.g") != F.col("b.g")) & _fits("a", "b", rule)).select(F.col("a.g").alias("g"), F.col("b.g").alias("h")).distinct()
+
+
+def _crossing(posts: DataFrame, parts: DataFrame, rule: Rule) -> DataFrame:
+    """(g, lg, h, lh): parts of groups with unlike labels that meet at a prefix token. Of a token's largest label only the
+    other labels' rows look for partners, so what is connected isn't paired."""
+    by = posts.join(parts, "g")
+    labels = by.groupBy("token", "lg").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("lg", F.struct("c", "lg")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    by = written(by.join(labels, "token").select("token", "g", "lg", "n", "pos", (F.col("lg") == F.col("most")).alias("most")), "crossing")
+    a, b = by.where("not most").alias("a"), by.alias("b")
+    once = F.col("b.most") | (F.struct("a.g", "a.lg") < F.struct("b.g", "b.lg"))
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.lg") != F.col("b.lg")) & once & _fits("a", "b", rule))
+    return met.select(F.col("a.g").alias("g"), F.col("a.lg").alias("lg"), F.col("b.g").alias("h"), F.col("b.lg").alias("lh")).distinct()
 
 
 def _verified(pairs: DataFrame, shared: DataFrame, rule: Rule) -> DataFrame:
@@ -111,17 +128,18 @@ def links(docs: DataFrame, open_: DataFrame, rule: Rule) -> DataFrame:
     keyed = written(keyed.withColumn("key", F.xxhash64("n", "own", "prefix")), "prefixes")
     groups = written(keyed.groupBy("key", "n", "own").agg(F.min("rep").alias("g"), F.first("prefix").alias("prefix"), F.count("*").alias("size")), "groups")
     members = written(keyed.select("rep", "key").join(groups.select("key", "g"), "key").select("rep", "g"), "members")
-    pairs = _group_pairs(groups, rule)
+    posts = groups.select("g", "n", "own", F.posexplode("prefix").alias("i", "token")).select("token", "g", "n", "own", (F.col("own") + F.col("i")).alias("pos"))
+    posts = written(posts, "posts")
     # a group's leader is its smallest member, which gives the group its name
     own = groups.where("size > 1").select("g", F.col("g").alias("h"))
-    across = pairs.unionByName(pairs.select(F.col("h").alias("g"), F.col("g").alias("h"))).unionByName(own)
-    first = across.join(members.withColumnRenamed("g", "h"), "h").select(F.least("g", "rep").alias("a"), F.greatest("g", "rep").alias("b")).where("a <> b").distinct()
+    across = _stars(posts, rule).unionByName(own)
+    first = written(across.join(members.withColumnRenamed("g", "h"), "h").select(F.least("g", "rep").alias("a"), F.greatest("g", "rep").alias("b")).where("a <> b").distinct(), "first-pairs")
     found = _verified(first, shared, rule)
     label = components(found)
     labelled = written(members.join(label, members["rep"] == label["node"], "left").select("rep", "g", F.coalesce("label", "rep").alias("label")), "labelled")
     parts = labelled.select("g", F.col("label").alias("lg")).distinct()
-    others = parts.select(F.col("g").alias("h"), F.col("lg").alias("lh"))
-    open_parts = pairs.unionByName(own).join(parts, "g").join(others, "h").where((F.col("lg") != F.col("lh")) & ((F.col("g") != F.col("h")) | (F.col("lg") < F.col("lh"))))
+    inside = parts.join(parts.select("g", F.col("lg").alias("lh")), "g").where("lg < lh").select("g", "lg", F.col("g").alias("h"), "lh")
+    open_parts = _crossing(posts, parts, rule).unionByName(inside)
     left = labelled.select(F.col("rep").alias("a0"), "g", F.col("label").alias("lg"))
     right = labelled.select(F.col("rep").alias("b0"), F.col("g").alias("h"), F.col("label").alias("lh"))
     rest = open_parts.join(left, ["g", "lg"]).join(right, ["h", "lh"]).select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b"))
