@@ -5,11 +5,315 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pageweave.functions import geometry as G
+from pageweave.functions import text as T
+from pageweave.operators import blocks as B
+from pageweave.operators import events as E
+from pageweave.operators import state as S
+from pageweave.sources import tables as D
+
+W, H = D.PAGE_W, D.PAGE_H
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+# The derived tables again, for DuckDB.
+BLOCKS = "blocks as (select doc_id//8 page_id, (doc_id%8)::int block_idx, ((doc_id*37)%700)::int x1, ((doc_id*53)%1000)::int y1, ((doc_id*37)%700+40+(doc_id*17)%160)::int x2, ((doc_id*53)%1000+30+(doc_id*29)%270)::int y2, (case when doc_id%5=0 then 1 else 0 end)::int cls, text, doc_id from documents)"
+DENSE = "dense as (select doc_id//20 page_id, (doc_id%20)::int block_idx, x::int x1, y::int y1, (x+40+(doc_id*17)%160)::int x2, (y+30+(doc_id*29)%270)::int y2 from (select doc_id, (doc_id*37)%240 x, (doc_id*53)%360 y from documents))"
+OCR = BLOCKS + ", ocr as (select page_id, block_idx, x1, y1, x2, y2, cls, (doc_id%100)/100.0::double ocr_conf, substring(text,1,(doc_id%30)::int) text, doc_id%30=0 ocr_failed, doc_id from blocks where doc_id%11<>0)"
+TR = OCR + ", tr as (select page_id, block_idx, case doc_id%7 when 0 then '' when 1 then '...' when 2 then '…' when 3 then '???' else upper(text) end translated from ocr)"
+EVENTS = "ev as (select event_id, ts, user_id page_id, case event_type when 'view' then 'stage_start' when 'click' then 'stage_end' when 'error' then 'stage_error' when 'purchase' then 'page_done' else 'page_failed' end as event, (event_id%11)::int stage, value latency_ms from events)"
+TASKS = "prev as (select o_custkey page_id, case o_orderstatus when 'F' then 'DONE' when 'O' then 'RUNNING' else 'FAILED' end state, (o_orderkey%12)::int n_stages, (o_orderkey%3)::int retries, o_orderpriority last_error, o_orderkey%4<>0 output_exists from orders qualify row_number() over (partition by o_custkey order by o_orderkey desc)=1), tasks as (select c_custkey page_id from customer)"
+AREA = "((x2-x1)*(y2-y1))::bigint"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with the DuckDB text that must give the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _previous(s: SparkSession, d: str) -> DataFrame:
+    last = D.table(s, d, "orders").groupBy("o_custkey").agg(F.max_by(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority"), "o_orderkey").alias("o"))
+    return last.selectExpr("o_custkey as page_id", "case o.o_orderstatus when 'F' then 'DONE' when 'O' then 'RUNNING' else 'FAILED' end as state", "cast(o.o_orderkey % 12 as int) n_stages", "cast(o.o_orderkey % 3 as int) retries", "o.o_orderpriority as last_error", "o.o_orderkey % 4 <> 0 as output_exists")
+
+
+def _tasks(s: SparkSession, d: str) -> DataFrame:
+    return D.table(s, d, "customer").selectExpr("c_custkey as page_id")
+
+
+# ---- regions of a page
+
+ORDER = f"ord as (select *, row_number() over (partition by page_id order by ((y1+y2)//2)//325, -((x1+x2)//2), block_idx) reading_pos from blocks)"
+
+
+@query(f"with {BLOCKS}, {ORDER} select page_id, block_idx, reading_pos from ord")
+def reading_order(s, d):
+    return B.reading_order(D.blocks(s, d), H).select("page_id", "block_idx", "reading_pos")
+
+
+@query(f"with {BLOCKS}, {ORDER}, n as (select *, case when ((y1+y2)//2)//234 <> lag(((y1+y2)//2)//234) over w then 1 when lag(1) over w is null then 1 else 0 end nw from ord window w as (partition by page_id order by reading_pos)) select page_id, block_idx, reading_pos, 'turn' || (sum(nw) over (partition by page_id order by reading_pos))::bigint || '-' || case when (x1+x2)//2 > 450 then 'right' else 'left' end turn from n")
+def speaker_turns(s, d):
+    return B.speaker_turns(B.reading_order(D.blocks(s, d), H), W, H).select("page_id", "block_idx", "reading_pos", "turn")
+
+
+@query(f"with {BLOCKS} select page_id, block_idx, (case when (y1+y2)/2.0 < {H}/3.0 then 'top' when (y1+y2)/2.0 > 2*{H}/3.0 then 'bottom' else 'middle' end) || '-' || (case when (x1+x2)/2.0 > 2*{W}/3.0 then 'right' when (x1+x2)/2.0 < {W}/3.0 then 'left' else 'center' end) position_tag from blocks")
+def position_tag(s, d):
+    return D.blocks(s, d).select("page_id", "block_idx", G.position_tag(*[F.col(c) for c in B.BOX], W, H).alias("position_tag"))
+
+
+@query(f"with {BLOCKS} select page_id, block_idx, least(greatest(x1-500,0),{W - 1})::int x1, least(greatest(y1-2,0),{H - 1})::int y1, greatest(least(greatest(x1-500,0),{W - 1})+1, least(x2+700,{W}))::int x2, greatest(least(greatest(y1-2,0),{H - 1})+1, least(y2+2,{H}))::int y2 from blocks")
+def clamp_box(s, d):
+    c = F.col
+    return D.blocks(s, d).select("page_id", "block_idx", G.clamp_box(c("x1") - 500, c("y1") - 2, c("x2") + 700, c("y2") + 2, W, H).alias("b")).select("page_id", "block_idx", "b.*")
+
+
+@query(f"with {DENSE} select a.page_id, a.block_idx a_idx, b.block_idx b_idx, (greatest(least(a.x2,b.x2)-greatest(a.x1,b.x1),0)::bigint*greatest(least(a.y2,b.y2)-greatest(a.y1,b.y1),0))::bigint inter from dense a join dense b on a.page_id=b.page_id and a.block_idx<b.block_idx where least(a.x2,b.x2)>greatest(a.x1,b.x1) and least(a.y2,b.y2)>greatest(a.y1,b.y1)")
+def overlap_pairs(s, d):
+    return B.overlap_pairs(D.dense_blocks(s, d))
+
+
+def _greedy_sql(source: str, order: str, hit: str) -> str:
+    inter = "(greatest(least(a.x2,b.x2)-greatest(a.x1,b.x1),0)::bigint*greatest(least(a.y2,b.y2)-greatest(a.y1,b.y1),0))"
+    return f"""with recursive {source}, r as (select *, {AREA} ar, row_number() over (partition by page_id order by {order}) rk from src),
+    s as (select b.page_id, b.rk, coalesce(list(a.rk) filter (where {hit.replace("INTER", inter)}), []) sup from r b left join r a on a.page_id=b.page_id and a.rk<b.rk group by 1,2),
+    f as (select page_id, 1::bigint rk, [1::bigint] kept from r where rk=1
+      union all select f.page_id, s.rk, case when list_has_any(f.kept, s.sup) then f.kept else list_append(f.kept, s.rk) end from f join s on s.page_id=f.page_id and s.rk=f.rk+1),
+    l as (select page_id, arg_max(kept, rk) kept from f group by 1)
+    select r.page_id, r.block_idx, r.x1, r.y1, r.x2, r.y2 from r join l on l.page_id=r.page_id and list_contains(l.kept, r.rk)"""
+
+
+@query(_greedy_sql(f"{DENSE}, src as (select * from dense where x2>x1 and y2>y1)", f"{AREA} desc, block_idx", "INTER>0 and (INTER > 0.65*b.ar or INTER > 0.35*(a.ar+b.ar-INTER))"))
+def dedupe_blocks(s, d):
+    return B.dedupe_blocks(D.dense_blocks(s, d))
+
+
+@query(_greedy_sql(f"{DENSE}, src as (select * from (select *, ((x1*7+y1*3)%100)/100.0::double score from dense) where score > 0.4)", "score desc, block_idx", "INTER > 0.45*(a.ar+b.ar-INTER)"))
+def nms(s, d):
+    return B.nms(D.dense_blocks(s, d).withColumn("score", F.expr("((x1*7+y1*3)%100)/100.0D")))
+
+
+@query(f"with {BLOCKS}, n as (select *, max(y2) over (partition by page_id order by y1, block_idx rows between unbounded preceding and 1 preceding) far from blocks) select page_id, block_idx, (sum(case when y1-far > 20 then 1 else 0 end) over (partition by page_id order by y1, block_idx))::int gap_group from n")
+def gap_groups(s, d):
+    return B.gap_groups(D.blocks(s, d)).select("page_id", "block_idx", "gap_group")
+
+
+@query(f"with {BLOCKS}, c as (select event_id%1000//8 page_id, event_id comp_id, (event_id*31)%880 cx, (event_id*47)%1270 cy, 4+(event_id*13)%120 cw, 4+(event_id*17)%90 ch, (event_id*7)%4000 area, (event_id*11)%3000 raw_pixels, 150+(event_id%100) annulus_mean from events), k as (select * from c where area>=200 and cw>=8 and ch>=8 and cw*ch<=0.1*{W}*{H} and greatest(cw,ch)<=30*least(cw,ch) and raw_pixels>=0.05*cw*ch and annulus_mean>=185) select page_id, comp_id, greatest(cx-6,0) x1, greatest(cy-6,0) y1, least(cx+cw+6,{W}) x2, least(cy+ch+6,{H}) y2 from k where not exists (select 1 from blocks b where b.page_id=k.page_id and greatest(least(cx+cw,b.x2)-greatest(cx,b.x1),0)*greatest(least(cy+ch,b.y2)-greatest(cy,b.y1),0) > 0.4*cw*ch)")
+def recover_blocks(s, d):
+    c = D.table(s, d, "events").selectExpr("event_id%1000 div 8 as page_id", "event_id as comp_id", "(event_id*31)%880 cx", "(event_id*47)%1270 cy", "4+(event_id*13)%120 cw", "4+(event_id*17)%90 ch", "(event_id*7)%4000 area", "(event_id*11)%3000 raw_pixels", "150+(event_id%100) annulus_mean")
+    return B.recover(c, D.blocks(s, d), W, H)
+
+
+@query(f"""with {BLOCKS}, p as (select *, x2-x1 bw, y2-y1 bh, greatest(32, floor(least(x2-x1,y2-y1)*0.25)) m from blocks),
+q as (select *, greatest(0,x1-greatest(floor(bw*0.5),m)) a, greatest(0,y1-greatest(floor(bh*0.5),m)) b, least({W},x2+greatest(floor(bw*0.5),m)) c, least({H},y2+greatest(floor(bh*0.5),m)) e from p),
+r as (select *, greatest(c-a,e-b,256) side from q),
+t as (select *, least({W}, greatest(0,a-floor((side-(c-a))/2))+side) ex, least({H}, greatest(0,b-floor((side-(e-b))/2))+side) ey from r)
+select page_id, block_idx, (case when c-a<side then greatest(0,ex-side) else a end)::bigint tx1, (case when e-b<side then greatest(0,ey-side) else b end)::bigint ty1, (case when c-a<side then ex else c end)::bigint tx2, (case when e-b<side then ey else e end)::bigint ty2 from t""")
+def tile_bounds(s, d):
+    return D.blocks(s, d).select("page_id", "block_idx", G.tile(*[F.col(c) for c in B.BOX], W, H).alias("t")).select("page_id", "block_idx", "t.*")
+
+
+@query(f"with {BLOCKS} select page_id, count(*) n_blocks, avg(case when (y2-y1)::double/greatest(x2-x1,1) >= 1.6 then 1.0 else 0.0 end) tall_share, avg(case when (y2-y1)::double/greatest(x2-x1,1) >= 1.6 then 1.0 else 0.0 end) >= 0.4 is_vertical from blocks group by 1")
+def layout_hint(s, d):
+    tall = F.avg(F.when((F.col("y2") - F.col("y1")) / F.greatest(F.col("x2") - F.col("x1"), F.lit(1)) >= 1.6, 1.0).otherwise(0.0))
+    return D.blocks(s, d).groupBy("page_id").agg(F.count("*").alias("n_blocks"), tall.alias("tall_share"), (tall >= 0.4).alias("is_vertical"))
+
+
+@query(f"with {BLOCKS} select page_id, block_idx, {AREA} area from blocks qualify row_number() over (partition by page_id order by {AREA} desc, block_idx) <= 4")
+def top4_sample(s, d):
+    from pyspark.sql import Window
+
+    a = G.area(*[F.col(c) for c in B.BOX])
+    rows = D.blocks(s, d).select("page_id", "block_idx", a.alias("area"))
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("area"), "block_idx"))).where("r <= 4").drop("r")
+
+
+# ---- texts
+
+SP = r"[\t-\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+STRIP = lambda x: f"regexp_replace({x}, '^{SP}+|{SP}+$', '', 'g')"
+
+
+@query(rf"""with t as (select doc_id, regexp_replace(text, '{SP}|\d', '', 'g') b, len(regexp_extract_all(text, '\d')) digits from documents),
+u as (select doc_id, digits, len(regexp_extract_all(b, '[^\p{{L}}]')) - len(regexp_extract_all(b, '[\x{{3000}}-\x{{10ffff}}]')) punct, len(regexp_extract_all(b, '\p{{L}}')) letters from t)
+select doc_id, case when letters > 0 then 'en' else 'unknown' end primary_script, letters::int letters, punct::int punct, digits::int digits, letters between 1 and 3 and punct >= 1 is_short_sfx from u""")
+def script_profile(s, d):
+    p = D.table(s, d, "documents").select("doc_id", T.script_profile(F.col("text")).alias("p"))
+    return p.select("doc_id", F.col("p.primary").alias("primary_script"), "p.letters", "p.punct", "p.digits", "p.is_short_sfx")
+
+
+@query(r"select doc_id, regexp_matches(text, '[\x{3040}-\x{30ff}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}]') has_cjk, len(regexp_extract_all(text, '[A-Za-z]')) >= 2 has_latin from documents")
+def has_cjk_latin(s, d):
+    return D.table(s, d, "documents").select("doc_id", T.has_cjk(F.col("text")).alias("has_cjk"), T.has_latin_letters(F.col("text")).alias("has_latin"))
+
+
+@query("select doc_id, " + STRIP(rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, 'e', '?'), '\.{{4,}}', '...', 'g'), '\?{{3,}}', '??', 'g'), '[?!]{{4,}}', '?!', 'g'), '{SP}+([!?,.])', '\1', 'g')") + " as clean from documents")
+def sanitize_punct(s, d):
+    return D.table(s, d, "documents").select("doc_id", T.sanitize_punctuation(F.replace("text", F.lit("e"), F.lit("?"))).alias("clean"))
+
+
+@query(f"with t as (select conv_id, turn, role, string_split(regexp_replace({STRIP('text')}, '{SP}+', ' ', 'g'), ' ') w from conversations) select conv_id, turn, role, array_to_string(list_transform(list_filter(list_zip(w, list_prepend(null, w)), lambda p: not (len(p[1]) > 3 and lower(p[1]) = lower(coalesce(p[2], '')))), lambda p: p[1]), ' ') clean from t")
+def dedup_words(s, d):
+    return D.table(s, d, "conversations").select("conv_id", "turn", "role", T.dedupe_words(F.col("text")).alias("clean"))
+
+
+@query(f"with t as (select doc_id, {STRIP('substring(text, 1, (doc_id%9)::int)')} t from documents), u as (select doc_id, length(t) n, length(regexp_replace(t, '{SP}', '', 'g')) v, len(regexp_extract_all(t, '\\p{{L}}')) l from t) select doc_id, n < 2 or l = 0 or (v <= 4 and l < 0.4*v) gibberish from u")
+def gibberish(s, d):
+    return D.table(s, d, "documents").select("doc_id", T.is_gibberish(F.expr("substring(text, 1, cast(doc_id % 9 as int))")).alias("gibberish"))
+
+
+@query("select encode_key.doc_id, key from (select doc_id, sha256('m1' || chr(0) || 'vi' || chr(0) || text) key from documents) encode_key")
+def cache_key(s, d):
+    return D.table(s, d, "documents").select("doc_id", T.cache_key(F.lit("m1"), F.lit("vi"), F.col("text")).alias("key"))
+
+
+@query()
+def sfx_role(s, d):
+    return B.roles(D.blocks(s, d), D.ocr(s, d), W, H)
+
+
+@query(f"with {TR} select page_id, block_idx, trim(translated) <> '' and translated not in ('...','…','???') as is_real from tr")
+def real_translation(s, d):
+    return D.translations(s, d).select("page_id", "block_idx", T.is_real_translation(F.col("translated")).alias("is_real"))
+
+
+@query()
+def preserve_blocks(s, d):
+    return B.preserved(B.roles(D.blocks(s, d), D.ocr(s, d), W, H), D.translations(s, d))
+
+
+@query(f"with {TR} select b.page_id, count(*) n_blocks, count(o.block_idx) n_ocr, count(*) filter (where length(t.translated) > 0) n_translated, count(*) filter (where b.cls=0) n_filled from blocks b left join ocr o on o.page_id=b.page_id and o.block_idx=b.block_idx left join tr t on t.page_id=b.page_id and t.block_idx=b.block_idx group by 1")
+def page_summary(s, d):
+    o = D.ocr(s, d).select("page_id", "block_idx", F.lit(1).alias("read"))
+    joined = D.blocks(s, d).select("page_id", "block_idx", "cls").join(o, ["page_id", "block_idx"], "left").join(D.translations(s, d), ["page_id", "block_idx"], "left")
+    return joined.groupBy("page_id").agg(F.count("*").alias("n_blocks"), F.count("read").alias("n_ocr"), F.count_if(F.length("translated") > 0).alias("n_translated"), F.count_if(F.col("cls") == 0).alias("n_filled"))
+
+
+@query("with w as (select conv_id ord, turn, unnest(list_distinct(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7f\\P{L}]', '_', 'g'), '\\b[A-Z][A-Za-z]{2,}(?:-[A-Za-z]+)?\\b'))) as name from conversations) select name, min(ord) first_seen_page, count(distinct ord) occurrences from w group by 1")
+def character_memory(s, d):
+    rows = D.table(s, d, "conversations").select(F.col("conv_id").alias("page_id"), F.explode(F.array_distinct(T.names(F.col("text")))).alias("name"))
+    return S.character_memory(rows)
+
+
+@query()
+def glossary_terms(s, d):
+    from pyspark.sql import Window
+
+    c = D.table(s, d, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    pairs = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("text").alias("src"), F.lead("text").over(w).alias("tgt"))
+    common = c.select(F.explode(F.array_distinct(T.names(F.col("text")))).alias("term")).groupBy("term").count().where("count > 200").select("term")
+    return S.glossary(pairs, common)
+
+
+@query("select conv_id, string_agg(turn || '. [' || upper(substr(role,1,3)) || '] ' || text, chr(10) order by turn, role, text) prompt from conversations group by 1")
+def prompt_lines(s, d):
+    line = F.concat(F.col("turn").cast("string"), F.lit(". ["), F.upper(F.substring("role", 1, 3)), F.lit("] "), "text")
+    rows = F.sort_array(F.collect_list(F.struct("turn", "role", "text", line.alias("line"))))
+    return D.table(s, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("prompt"))
+
+
+@query("select conv_id, turn, role, list_resize(list_value(text), 2, '') parts from conversations")
+def parse_translations(s, d):
+    reply = F.concat(F.lit("```json\n"), F.to_json(F.array("text")), F.lit("\n```"))
+    return D.table(s, d, "conversations").select("conv_id", "turn", "role", T.parse_translations(reply, F.lit(2)).alias("parts"))
+
+
+# ---- attempts, caches, checkpoints
+
+
+@query("select l_orderkey block_id, l_linenumber::int attempt, l_quantity/50.0 confidence, l_partkey, l_suppkey, l_extendedprice from lineitem qualify row_number() over (partition by l_orderkey order by (l_quantity/50.0 >= 0.55) desc, case when l_quantity/50.0 >= 0.55 then 0.0 else -l_quantity/50.0 end, l_linenumber, l_partkey, l_suppkey, l_extendedprice) = 1")
+def ocr_best_attempt(s, d):
+    return S.best_attempt(D.attempts(s, d), "block_id")
+
+
+@query(f"with {OCR} select page_id, string_agg(trim(text), ' ' order by (y1+y2)/2.0, (x1+x2)/2.0, block_idx) filter (where trim(text) <> '') line, avg(ocr_conf) conf from ocr group by 1")
+def ocr_fan_in(s, d):
+    mid = lambda a, b: ((F.col(a) + F.col(b)) / 2)
+    rows = F.sort_array(F.collect_list(F.when(F.trim("text") != "", F.struct(mid("y1", "y2").alias("y"), mid("x1", "x2").alias("x"), "block_idx", F.trim("text").alias("t")))))
+    out = D.ocr(s, d).groupBy("page_id").agg(F.array_join(F.transform(rows, lambda r: r["t"]), " ").alias("line"), F.avg("ocr_conf").alias("conf"))
+    return out.select("page_id", F.nullif("line", F.lit("")).alias("line"), "conf")
+
+
+CACHE = "cache as (select sha256('m1' || chr(0) || 'vi' || chr(0) || text) key, min(doc_id) ts, upper(min(text)) translation from documents where doc_id%3=0 group by 1)"
+
+
+def _cache(s, d):
+    key = T.cache_key(F.lit("m1"), F.lit("vi"), F.col("text"))
+    return D.table(s, d, "documents").where("doc_id % 3 = 0").groupBy(key.alias("key")).agg(F.min("doc_id").alias("ts"), F.upper(F.min("text")).alias("translation"))
+
+
+@query(f"with {CACHE}, r as (select doc_id, sha256('m1' || chr(0) || 'vi' || chr(0) || text) key from documents) select r.doc_id, cache.key is not null hit from r left join cache using (key)")
+def cache_lookup(s, d):
+    requests = D.table(s, d, "documents").select("doc_id", T.cache_key(F.lit("m1"), F.lit("vi"), F.col("text")).alias("key"))
+    return S.lookup(requests, _cache(s, d)).select("doc_id", "hit")
+
+
+@query(f"with {CACHE} select key, ts from cache qualify row_number() over (order by ts desc, key desc) <= 190 or (select count(*) from cache) <= 200")
+def cache_evict(s, d):
+    return S.evict_oldest(_cache(s, d).select("key", "ts"), 200)
+
+
+@query(f"with {TASKS} select page_id from tasks where page_id not in (select page_id from prev where state='DONE' and output_exists)")
+def resume_skip(s, d):
+    return S.to_run(_tasks(s, d), _previous(s, d))
+
+
+@query(f"with {TASKS} select t.page_id, case when p.state='DONE' then 'DONE' else 'PENDING' end state, case when p.state='DONE' then p.n_stages else 0 end n_stages, coalesce(p.retries,0) retries, p.last_error from tasks t left join prev p using (page_id)")
+def restore_tasks(s, d):
+    return S.restore(_tasks(s, d), _previous(s, d))
+
+
+# ---- events
+
+
+@query(f"with {EVENTS} select stage, count(*) filter (where event='stage_end') n_ok, count(*) filter (where event='stage_error') n_err, quantile_cont(latency_ms, 0.99) filter (where event='stage_end') p99_ms from ev group by 1")
+def stage_metrics(s, d):
+    return E.stage_metrics(D.event_log(s, d))
+
+
+@query(f"with {EVENTS} select page_id, arg_max(event, (ts, event_id)) outcome, count(*) n_final from ev where event in ('page_done','page_failed') group by 1")
+def page_outcomes(s, d):
+    return E.page_outcomes(D.event_log(s, d))
+
+
+@query(f"with {EVENTS} select event_id, page_id, event from ev order by ts desc, event_id desc limit 30")
+def last_30_events(s, d):
+    return E.last_events(D.event_log(s, d)).select("event_id", "page_id", "event")
+
+
+@query(f"with {EVENTS}, n as (select *, lead(ts) over (partition by page_id order by ts, event_id) nx from ev) select event_id, page_id, stage from n where event='stage_start' and (nx is null or epoch_us(nx)-epoch_us(ts) >= 120000000)")
+def stage_freezes(s, d):
+    return E.freezes(D.event_log(s, d))
+
+
+@query(f"with {EVENTS} select epoch_us(ts)//30000000 bucket, event, count(*) n from ev group by 1,2")
+def health_windows(s, d):
+    out = E.health(D.event_log(s, d))
+    return out.select(F.expr("unix_micros(w.start) div 30000000").alias("bucket"), "event", "n")
+
+
+@query("select event_id, least(60.0, 2.0*pow(2.0, event_id%8)) wait_s, greatest(5, floor((event_id%40)/2.0))::bigint rpm from events")
+def retry_backoff(s, d):
+    return D.table(s, d, "events").select("event_id", E.backoff(F.col("event_id") % 8).alias("wait_s"), E.slower(F.col("event_id") % 40).cast("bigint").alias("rpm"))
+
+
+@query("select event_id, event_id%5=0 or event_id%7=0 rate_limited, event_id%6=0 oom from events")
+def error_classes(s, d):
+    msg = F.expr("concat(case when event_id%5=0 then 'HTTP 429 ' else '' end, case when event_id%7=0 then 'Too Many Requests ' else '' end, case when event_id%6=0 then 'CUDA out of memory' else 'x' end)")
+    return D.table(s, d, "events").select("event_id", T.is_rate_limit(msg).alias("rate_limited"), T.is_out_of_memory(F.lit("RuntimeError"), msg).alias("oom"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
