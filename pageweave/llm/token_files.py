@@ -7,8 +7,8 @@ tokens of a few documents, or the metadata alone, without the rest. Each row kno
 files' sums (one row a file) turn that into its place in the whole corpus.
 
 Encoding splits a text at single spaces between non-blank characters, where every pre-token of this vocabulary ends, and
-keeps the ids of the pieces seen by this worker; the library encodes each new piece once. The store is emptied at a fixed
-number of pieces, so memory is bounded.
+keeps the ids of the pieces seen by this worker; a new piece is cut again where letters, digits and marks meet, and the library
+encodes each new part once. Long pieces aren't kept, and of the others a fixed number, so memory is bounded.
 
 Defined results: a null text is empty and has the end id alone; ties of doc_id are ordered by text; a null doc_id comes first;
 an empty table gives an empty result; other columns are ignored.
@@ -19,9 +19,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +31,42 @@ from pyspark.sql import Window as W
 
 from .common import shared_dir, table
 
-END, MEMO = 2, 300_000
+END, MEMO, MEMO_CHARS = 2, 400_000, 60
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
 SCHEMA = "doc_id long, tokens array<int>, n_tokens long, local_start long"
-_UNEVEN = re.compile(r"\s | \s|^ | $")
+_OTHER_SPACE = [c for c in map(chr, range(1, 0x3001)) if c != " " and re.match(r"\s", c)]
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
+_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+#: Places inside a piece where a pre-token ends whatever stands around them; none after an apostrophe or two white spaces.
+_INSIDE = re.compile(rf"(?<=[{_LETTER}])(?=[{_MARK}'0-9\n])|(?<=[{_MARK}0-9])(?=[{_LETTER}])|(?<=\S\n)(?=[{_LETTER}])|(?<=[0-9])(?=[{_MARK}])|(?<=[{_MARK}])(?=[0-9])")
+
+
+class Pieces(dict):
+    """Ids of pieces, as little-endian 32-bit bytes: the library encodes those not kept. When full, pieces not seen since it
+    was last full go."""
+
+    def __init__(self, library, prefix: str = "", rest: Pieces | None = None):
+        self.encode, self.prefix, self.rest, self.before = library.encode_batch_fast, prefix, self if rest is None else rest, {}
+        self.special = [t.content for t in library.get_added_tokens_decoder().values()]
+
+    def __missing__(self, piece: str) -> bytes:
+        parts = 1
+        if (found := self.before.get(piece)) is None:
+            cut = (piece,) if piece.isalpha() or any(t in piece for t in self.special) else _INSIDE.split(piece)
+            if (parts := len(cut)) > 1:
+                found = self[cut[0]] + b"".join(map(self.rest.__getitem__, cut[1:]))
+            else:
+                found = array("I", self.encode([self.prefix + piece], add_special_tokens=False)[0].ids).tobytes()
+        if len(self) >= MEMO:
+            self.before = dict(self)
+            self.clear()
+        if parts < 3 and len(piece) <= MEMO_CHARS:
+            self[piece] = found
+        return found
 
 
 class Encoder:
-    """Ids of texts, as little-endian 32-bit bytes, with a bounded store of pieces."""
+    """Ids of texts through two bounded stores of pieces."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,47 +75,17 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.inner: dict[str, bytes] = {}  # pieces that follow a space
-        self.other: dict[str, bytes] = {}  # pieces as they stand
+        self.other = Pieces(self.library)  # pieces as they stand
+        self.inner = Pieces(self.library, " ", self.other)  # pieces that follow a space
 
-    def _fill(self, store: dict[str, bytes], new: list[str], prefix: str) -> None:
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            found = self.library.encode_batch_fast([prefix + p for p in part], add_special_tokens=False)
-            store.update((p, pack(f"<{len(x)}I", *x)) for p, x in zip(part, (e.ids for e in found), strict=True))
+    def text(self, text: str) -> bytes:
+        if "  " in text or " " in (text[:1], text[-1:]) or any(c in text and (c + " " in text or " " + c in text) for c in _OTHER_SPACE):
+            return b"".join(map(self.other.__getitem__, _SAFE.split(text)))
+        first, *pieces = text.split(" ")
+        return self.other[first] + b"".join(map(self.inner.__getitem__, pieces))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.inner) + len(self.other) > MEMO:
-            self.inner.clear()
-            self.other.clear()
-        inner, other = self.inner.get, self.other.get
-        split, found, new_inner, new_other = [], [], set(), set()
-        for t in texts:
-            if _UNEVEN.search(t):
-                pieces = _SAFE.split(t)
-                got = list(map(other, pieces))
-                if None in got:
-                    new_other.update(p for p, g in zip(pieces, got, strict=True) if g is None)
-                split.append((pieces, False))
-            else:
-                pieces = t.split(" ")
-                got = list(map(inner, pieces))
-                got[0] = other(pieces[0])
-                if None in got:
-                    if got[0] is None:
-                        new_other.add(pieces[0])
-                    new_inner.update(p for p, g in zip(pieces[1:], got[1:], strict=True) if g is None)
-                split.append((pieces, True))
-            found.append(got)
-        self._fill(self.inner, list(new_inner), " ")
-        self._fill(self.other, list(new_other), "")
-        out = []
-        for (pieces, even), got in zip(split, found, strict=True):
-            if None in got:
-                got = list(map(inner if even else other, pieces))
-                got[0] = other(pieces[0])
-            out.append(b"".join(got))
-        return out
+        return list(map(self.text, texts))
 
 
 @cache
