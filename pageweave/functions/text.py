@@ -23,6 +23,7 @@ AMBIENT = "drip tick tock buzz hum chirp rustle creak click clack tap tap-tap wh
 RATE_LIMIT = r"(?i)HTTP 429|rate.?limit|too many requests|quota|retryDelay"
 OUT_OF_MEMORY = "out of memory|cudaerrormemoryallocation|alloc_failed|outofmemory|cuda_error_out_of_memory"
 NAME = r"\b[A-Z][A-Za-z]{2,}(?:-[A-Za-z]+)?\b"
+HONORIFIC = r"\b[A-Z][a-zA-Z]{1,15}-(?:san|chan|kun|sama|senpai|sensei|dono|tan|nee|nii)\b"
 EMPTY_TRANSLATIONS = ("...", "…", "???")
 
 
@@ -160,3 +161,15 @@ def parse_translations(reply: Column, n: Column) -> Column:
 def cache_key(model: Column, target: Column, text: Column) -> Column:
     zero = F.lit(bytearray(1))
     return F.sha2(F.concat(F.encode(model, "UTF-8"), zero, F.encode(target, "UTF-8"), zero, F.encode(_text(text), "UTF-8")), 256)
+
+
+def keep_honorifics(src: Column, tgt: Column) -> Column:
+    """The translation with the suffix of each name of the source put back where the name first stands bare."""
+
+    def put(t: Column, full: Column) -> Column:
+        name = F.regexp_extract(full, "^[A-Za-z]+", 0)
+        end = F.instr(t, name) + F.length(name)
+        fixed = F.concat(F.substr(t, F.lit(1), end - 1), F.substr(full, F.length(name) + 1), F.substr(t, end))
+        return F.when((F.instr(t, name) > 0) & ~F.contains(t, full), fixed).otherwise(t)
+
+    return F.aggregate(F.regexp_extract_all(_text(src), F.lit(HONORIFIC), 0), _text(tgt), put)

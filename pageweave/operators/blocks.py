@@ -106,3 +106,16 @@ def preserved(roles: DataFrame, translations: DataFrame) -> DataFrame:
     joined = roles.join(done, ["page_id", "block_idx"], "left")
     plain = T.has_cjk(F.col("t")) & ~T.has_latin_letters(F.col("t")) & F.col("done").isNull()
     return joined.where(F.col("profile_preserve") | plain).select("page_id", "block_idx")
+
+
+def longest_runs(pixels: DataFrame) -> DataFrame:
+    """xmin and xmax of the longest run of set pixels in each row of a page, the leftmost on a tie."""
+    w = W.partitionBy("page_id", "y").orderBy("x")
+    runs = pixels.withColumn("run", F.col("x") - F.dense_rank().over(w)).groupBy("page_id", "y", "run").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    best = runs.groupBy("page_id", "y").agg(F.max(F.struct((F.col("b") - F.col("a")).alias("n"), (-F.col("a")).alias("left"))).alias("r"))
+    return best.select("page_id", "y", (-F.col("r.left")).alias("xmin"), (F.col("r.n") - F.col("r.left")).alias("xmax"))
+
+
+def translatable(roles: DataFrame) -> DataFrame:
+    """Blocks with text that is to be translated and not kept as drawn."""
+    return roles.where((T.strip(F.col("t")) != "") & F.coalesce("should_translate", F.lit(True)) & ~F.coalesce("preserve", F.lit(False)))

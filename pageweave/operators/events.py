@@ -42,3 +42,16 @@ def backoff(attempt: Column, first: float = 2.0, most: float = 60.0) -> Column:
 
 def slower(rpm: Column) -> Column:
     return F.greatest(F.lit(5), F.floor(rpm / 2))
+
+
+def bucket_waits(requests: DataFrame, key: str, rpm: int = 20, capacity: int = 20) -> DataFrame:
+    """Microseconds each request (key, ts, event_id) waits for a token, first come first served, from a full bucket.
+
+    The time at which the bucket is full again is a running maximum, so a window does what a loop over requests would.
+    """
+    step = 60_000_000 // rpm
+    w = W.partitionBy(key).orderBy("ts", "event_id")
+    at, n = F.unix_micros("ts"), F.row_number().over(w)
+    rows = requests.withColumn("at", at).withColumn("n", n).withColumn("full", F.max(F.col("at") - (F.col("n") - 1) * step).over(w.rowsBetween(W.unboundedPreceding, 0)) + F.col("n") * step)
+    wait = F.lag("full").over(w) - (capacity - 1) * step - F.col("at")
+    return rows.withColumn("wait_us", F.greatest(F.coalesce(wait, F.lit(0)), F.lit(0))).drop("at", "n", "full")

@@ -11,6 +11,7 @@ from pageweave.functions import geometry as G
 from pageweave.functions import text as T
 from pageweave.operators import blocks as B
 from pageweave.operators import events as E
+from pageweave.operators import language as L
 from pageweave.operators import state as S
 from pageweave.sources import tables as D
 
@@ -21,7 +22,7 @@ ORACLES: dict[str, str] = {}
 # The derived tables again, for DuckDB.
 BLOCKS = "blocks as (select doc_id//8 page_id, (doc_id%8)::int block_idx, ((doc_id*37)%700)::int x1, ((doc_id*53)%1000)::int y1, ((doc_id*37)%700+40+(doc_id*17)%160)::int x2, ((doc_id*53)%1000+30+(doc_id*29)%270)::int y2, (case when doc_id%5=0 then 1 else 0 end)::int cls, text, doc_id from documents)"
 DENSE = "dense as (select doc_id//20 page_id, (doc_id%20)::int block_idx, x::int x1, y::int y1, (x+40+(doc_id*17)%160)::int x2, (y+30+(doc_id*29)%270)::int y2 from (select doc_id, (doc_id*37)%240 x, (doc_id*53)%360 y from documents))"
-OCR = BLOCKS + ", ocr as (select page_id, block_idx, x1, y1, x2, y2, cls, (doc_id%100)/100.0::double ocr_conf, substring(text,1,(doc_id%30)::int) text, doc_id%30=0 ocr_failed, doc_id from blocks where doc_id%11<>0)"
+OCR = BLOCKS + ", ocr as (select page_id, block_idx, x1, y1, x2, y2, cls, (doc_id%100)/100.0::double ocr_conf, text, coalesce(length(text),0)=0 ocr_failed, doc_id from blocks)"
 TR = OCR + ", tr as (select page_id, block_idx, case doc_id%7 when 0 then '' when 1 then '...' when 2 then '…' when 3 then '???' else upper(text) end translated from ocr)"
 EVENTS = "ev as (select event_id, ts, user_id page_id, case event_type when 'view' then 'stage_start' when 'click' then 'stage_end' when 'error' then 'stage_error' when 'purchase' then 'page_done' else 'page_failed' end as event, (event_id%11)::int stage, value latency_ms from events)"
 TASKS = "prev as (select o_custkey page_id, case o_orderstatus when 'F' then 'DONE' when 'O' then 'RUNNING' else 'FAILED' end state, (o_orderkey%12)::int n_stages, (o_orderkey%3)::int retries, o_orderpriority last_error, o_orderkey%4<>0 output_exists from orders qualify row_number() over (partition by o_custkey order by o_orderkey desc)=1), tasks as (select c_custkey page_id from customer)"
@@ -105,9 +106,9 @@ def gap_groups(s, d):
     return B.gap_groups(D.blocks(s, d)).select("page_id", "block_idx", "gap_group")
 
 
-@query(f"with {BLOCKS}, c as (select event_id%1000//8 page_id, event_id comp_id, (event_id*31)%880 cx, (event_id*47)%1270 cy, 4+(event_id*13)%120 cw, 4+(event_id*17)%90 ch, (event_id*7)%4000 area, (event_id*11)%3000 raw_pixels, 150+(event_id%100) annulus_mean from events), k as (select * from c where area>=200 and cw>=8 and ch>=8 and cw*ch<=0.1*{W}*{H} and greatest(cw,ch)<=30*least(cw,ch) and raw_pixels>=0.05*cw*ch and annulus_mean>=185) select page_id, comp_id, greatest(cx-6,0) x1, greatest(cy-6,0) y1, least(cx+cw+6,{W}) x2, least(cy+ch+6,{H}) y2 from k where not exists (select 1 from blocks b where b.page_id=k.page_id and greatest(least(cx+cw,b.x2)-greatest(cx,b.x1),0)*greatest(least(cy+ch,b.y2)-greatest(cy,b.y1),0) > 0.4*cw*ch)")
+@query(f"with {BLOCKS}, c as (select event_id//80 page_id, event_id comp_id, (event_id*31)%880 cx, (event_id*47)%1270 cy, 4+(event_id*13)%120 cw, 4+(event_id*17)%90 ch, (event_id*7)%4000 area, (event_id*11)%3000 raw_pixels, 150+(event_id%100) annulus_mean from events), k as (select * from c where area>=200 and cw>=8 and ch>=8 and cw*ch<=0.1*{W}*{H} and greatest(cw,ch)<=30*least(cw,ch) and raw_pixels>=0.05*cw*ch and annulus_mean>=185) select page_id, comp_id, greatest(cx-6,0) x1, greatest(cy-6,0) y1, least(cx+cw+6,{W}) x2, least(cy+ch+6,{H}) y2 from k where not exists (select 1 from blocks b where b.page_id=k.page_id and greatest(least(cx+cw,b.x2)-greatest(cx,b.x1),0)*greatest(least(cy+ch,b.y2)-greatest(cy,b.y1),0) > 0.4*cw*ch)")
 def recover_blocks(s, d):
-    c = D.table(s, d, "events").selectExpr("event_id%1000 div 8 as page_id", "event_id as comp_id", "(event_id*31)%880 cx", "(event_id*47)%1270 cy", "4+(event_id*13)%120 cw", "4+(event_id*17)%90 ch", "(event_id*7)%4000 area", "(event_id*11)%3000 raw_pixels", "150+(event_id%100) annulus_mean")
+    c = D.table(s, d, "events").selectExpr("event_id div 80 as page_id", "event_id as comp_id", "(event_id*31)%880 cx", "(event_id*47)%1270 cy", "4+(event_id*13)%120 cw", "4+(event_id*17)%90 ch", "(event_id*7)%4000 area", "(event_id*11)%3000 raw_pixels", "150+(event_id%100) annulus_mean")
     return B.recover(c, D.blocks(s, d), W, H)
 
 
@@ -164,9 +165,18 @@ def dedup_words(s, d):
     return D.table(s, d, "conversations").select("conv_id", "turn", "role", T.dedupe_words(F.col("text")).alias("clean"))
 
 
-@query(f"with t as (select doc_id, {STRIP('substring(text, 1, (doc_id%9)::int)')} t from documents), u as (select doc_id, length(t) n, length(regexp_replace(t, '{SP}', '', 'g')) v, len(regexp_extract_all(t, '\\p{{L}}')) l from t) select doc_id, n < 2 or l = 0 or (v <= 4 and l < 0.4*v) gibberish from u")
+GIBBERISH = r"(length(x) < 2 or len(regexp_extract_all(x, '\p{L}')) = 0 or (length(x) <= 4 and len(regexp_extract_all(x, '\p{L}')) < 0.4*length(x)))"
+
+
+@query(
+    f"""with t as (select doc_id, {STRIP("text")} t from documents), u as (select doc_id, t, regexp_replace(t, '{SP}', '', 'g') b from t)
+select doc_id, length(t) < 2 or len(regexp_extract_all(b, '\\p{{L}}')) = 0 or (length(b) <= 4 and len(regexp_extract_all(b, '\\p{{L}}')) < 0.4*length(b)) gibberish,
+  len(list_filter(regexp_split_to_array(t, '{SP}+'), lambda x: {GIBBERISH}))::int n_gibberish_words from u"""
+)
 def gibberish(s, d):
-    return D.table(s, d, "documents").select("doc_id", T.is_gibberish(F.expr("substring(text, 1, cast(doc_id % 9 as int))")).alias("gibberish"))
+    """Of the whole text, and of each of its words."""
+    words = F.split(T.strip(F.col("text")), f"[{T.SPACE}]+")
+    return D.table(s, d, "documents").select("doc_id", T.is_gibberish(F.col("text")).alias("gibberish"), F.size(F.filter(words, T.is_gibberish)).alias("n_gibberish_words"))
 
 
 @query("select encode_key.doc_id, key from (select doc_id, sha256('m1' || chr(0) || 'vi' || chr(0) || text) key from documents) encode_key")
@@ -242,12 +252,12 @@ def ocr_fan_in(s, d):
     return out.select("page_id", F.nullif("line", F.lit("")).alias("line"), "conf")
 
 
-CACHE = "cache as (select sha256('m1' || chr(0) || 'vi' || chr(0) || text) key, min(doc_id) ts, upper(min(text)) translation from documents where doc_id%3=0 group by 1)"
+CACHE = "cache as (select sha256('m1' || chr(0) || 'vi' || chr(0) || text) key, min(doc_id) ts, upper(min(text)) translation from documents where doc_id in (select doc_id from labels) group by 1)"
 
 
 def _cache(s, d):
     key = T.cache_key(F.lit("m1"), F.lit("vi"), F.col("text"))
-    return D.table(s, d, "documents").where("doc_id % 3 = 0").groupBy(key.alias("key")).agg(F.min("doc_id").alias("ts"), F.upper(F.min("text")).alias("translation"))
+    return D.table(s, d, "documents").join(D.table(s, d, "labels").select("doc_id"), "doc_id", "left_semi").groupBy(key.alias("key")).agg(F.min("doc_id").alias("ts"), F.upper(F.min("text")).alias("translation"))
 
 
 @query(f"with {CACHE}, r as (select doc_id, sha256('m1' || chr(0) || 'vi' || chr(0) || text) key from documents) select r.doc_id, cache.key is not null hit from r left join cache using (key)")
@@ -311,6 +321,63 @@ def error_classes(s, d):
     return D.table(s, d, "events").select("event_id", T.is_rate_limit(msg).alias("rate_limited"), T.is_out_of_memory(F.lit("RuntimeError"), msg).alias("oom"))
 
 
+# ---- languages, pixel rows, rate limits
+
+
+@query("""with p as (select distinct l_suppkey page_id, (l_orderkey%64)::int y, (l_partkey%24)::int x from lineitem), r as (select *, x - row_number() over (partition by page_id, y order by x) run from p),
+g as (select page_id, y, min(x) xmin, max(x) xmax from r group by page_id, y, run) select page_id, y, xmin, xmax from g qualify row_number() over (partition by page_id, y order by xmax-xmin desc, xmin) = 1""")
+def longest_run(s, d):
+    return B.longest_runs(D.pixels(s, d))
+
+
+CODES = "(values (0,'ja'),(1,'ko'),(2,'zh_sim'),(3,'zh_tra'),(4,'en'),(5,'vi')) v(ord, code)"
+SCORES = rf"""c as (select conv_id page_id, turn crop_no, code, ord, (conv_id*7+turn*13+ord*29)%100/100.0::double conf, text from conversations, {CODES}),
+pc as (select page_id, crop_no, code, ord, avg(conf) conf, bool_or(regexp_matches(text, '[ -~\x{{C0}}-\x{{24F}}]')) latin, bool_or(regexp_matches(text, '[\x{{1E00}}-\x{{1EFF}}]')) viet, bool_or(regexp_matches(text, '[・…—。、！？]')) punct from c group by all),
+sc as (select page_id, code, ord, round(avg(conf) * case when code='en' and bool_or(latin) or code='vi' and (bool_or(latin) or bool_or(viet)) then 1.25 else 1.0 end
+  * case when code in ('ja','zh_sim','zh_tra') and bool_or(punct) then 1.1 else 1.0 end, 9) score from pc group by page_id, code, ord)"""
+
+
+def _scores(s, d):
+    layout = D.table(s, d, "conversations").select(F.col("conv_id").alias("page_id"), (F.col("conv_id") % 2 == 0).alias("is_vertical")).distinct()
+    return L.candidate_scores(D.readings(s, d, list(L.CANDIDATES)), layout)
+
+
+@query(f"with {SCORES} select page_id, code, score from sc")
+def language_score(s, d):
+    return _scores(s, d)
+
+
+@query(f"with {SCORES}, b as (select *, count(*) filter (where score >= 0.2) over (partition by page_id) n from sc qualify row_number() over (partition by page_id order by score desc, ord) = 1) select page_id, case when score < 0.2 then 'en' else code end lang, score, n >= 2 mixed from b")
+def language_detect(s, d):
+    return L.detect(_scores(s, d))
+
+
+@query("with r as (select event_id, user_id, epoch_us(ts) a, row_number() over w n from events window w as (partition by user_id order by ts, event_id)), f as (select *, max(a - (n-1)*3000000) over (partition by user_id order by n) + n*3000000 fl from r) select event_id, user_id page_id, greatest(0, coalesce(lag(fl) over (partition by user_id order by n) - 57000000 - a, 0))::bigint wait_us from f")
+def token_bucket(s, d):
+    return E.bucket_waits(D.event_log(s, d), "page_id").select("event_id", "page_id", "wait_us")
+
+
+@query(ORACLES["script_profile"].replace("select doc_id, case when letters", "select primary_script, count(*) n from (select case when letters").replace(" is_short_sfx from u", " is_short_sfx from u) group by 1"))
+def primary_script_counts(s, d):
+    p = D.table(s, d, "documents").select(T.script_profile(F.col("text"))["primary"].alias("primary_script"))
+    return p.groupBy("primary_script").agg(F.count("*").alias("n"))
+
+
+@query()
+def translatable(s, d):
+    return B.translatable(B.roles(D.blocks(s, d), D.ocr(s, d), W, H))
+
+
+@query()
+def honorific_fix(s, d):
+    """Every name of a turn with a suffix, and the next turn as its translation."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = D.table(s, d, "conversations").withColumn("tgt", F.lead("text").over(w))
+    return rows.select("conv_id", "turn", "role", T.keep_honorifics(F.regexp_replace("text", T.NAME, "$0-san"), F.col("tgt")).alias("fixed"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

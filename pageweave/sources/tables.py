@@ -50,8 +50,7 @@ def dense_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = blocks(spark, sf_dir).where("doc_id % 11 <> 0")
-    return rows.selectExpr("page_id", "block_idx", "x1", "y1", "x2", "y2", "cls", "(doc_id % 100) / 100.0D as ocr_conf", "substring(text, 1, cast(doc_id % 30 as int)) as text", "doc_id % 30 = 0 as ocr_failed", "doc_id")
+    return blocks(spark, sf_dir).selectExpr("page_id", "block_idx", "x1", "y1", "x2", "y2", "cls", "(doc_id % 100) / 100.0D as ocr_conf", "text", "coalesce(length(text), 0) = 0 as ocr_failed", "doc_id")
 
 
 def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,3 +67,14 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recognition attempts: lines of an order as the attempts of a block, best first by no rule."""
     return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as block_id", "cast(l_linenumber as int) attempt", "l_quantity / 50.0D as confidence", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mask pixels of a page: lines of orders as points, some of them twice."""
+    return table(spark, sf_dir, "lineitem").selectExpr("l_suppkey as page_id", "cast(l_orderkey % 64 as int) y", "cast(l_partkey % 24 as int) x")
+
+
+def readings(spark: SparkSession, sf_dir: str, codes: list[str]) -> DataFrame:
+    """Every turn of a conversation as a crop that each candidate language has read."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.posexplode(F.array(*map(F.lit, codes))).alias("ord", "code"))
+    return rows.selectExpr("conv_id as page_id", "turn as crop_no", "code", "(conv_id * 7 + turn * 13 + ord * 29) % 100 / 100.0D as conf", "text")

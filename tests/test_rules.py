@@ -50,3 +50,83 @@ def test_health_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     batch = E.health(log).select(F.col("w.start").alias("w_start"), "event", "n")
     assert sorted(map(tuple, spark.table("health").collect())) == sorted(map(tuple, batch.collect()))
+
+
+@pytest.mark.parametrize("src,tgt,fixed", [
+    ("Yuki-san and Ken-kun", "Yuki meets Ken, Yuki waves", "Yuki-san meets Ken-kun, Yuki waves"), ("Yuki-san", "Yuki-san and Yuki", "Yuki-san and Yuki"), ("Yuki-san Yuki-san", "Yuki", "Yuki-san"),
+    ("yuki-san", "yuki", "yuki"), ("Yuki-santa", "Yuki", "Yuki"), ("Yuki-san", "", ""), (None, "Yuki", "Yuki"), ("Yuki-san", None, ""), ("", None, ""),
+])
+def test_keep_honorifics(spark, src, tgt, fixed):
+    df = spark.createDataFrame([(src, tgt)], "s string, t string")
+    assert df.select(T.keep_honorifics(F.col("s"), F.col("t"))).first()[0] == fixed
+
+
+@pytest.mark.parametrize("rpm,capacity", [(20, 3), (60, 1), (7, 5)])
+def test_bucket_waits_equal_a_loop(spark, rpm, capacity):
+    import random
+    from datetime import UTC, datetime, timedelta
+
+    from pageweave.operators import events as E
+
+    rnd, start = random.Random(rpm), datetime(2026, 1, 1, tzinfo=UTC)
+    rows = [(i, i % 3, start + timedelta(seconds=rnd.randint(0, 400))) for i in range(300)]
+    got = {r["event_id"]: r["wait_us"] for r in E.bucket_waits(spark.createDataFrame(rows, "event_id long, key int, ts timestamp"), "key", rpm, capacity).collect()}
+    step = 60_000_000 // rpm
+    for key in range(3):
+        level, last = capacity * step, 0  # in microseconds of refill
+        for i, _, ts in sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0])):
+            at = int((ts - start).total_seconds()) * 1_000_000
+            now = max(at, last)
+            level, last = min(capacity * step, level + now - last), now
+            short = max(0, step - level)
+            level, last = level + short - step, now + short
+            assert got[i] == last - at
+
+
+def test_longest_runs(spark):
+    from pageweave.operators import blocks as B
+
+    points = [(1, 0, x) for x in (1, 2, 2, 4, 5, 9)] + [(1, 1, 7)] + [(2, 0, x) for x in (0, 3, 4, 5)]
+    got = B.longest_runs(spark.createDataFrame(points, "page_id long, y int, x int")).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 1, 2), (1, 1, 7, 7), (2, 0, 3, 5)]
+    assert B.longest_runs(spark.createDataFrame([], "page_id long, y int, x int")).count() == 0
+
+
+def test_language_of_a_page(spark):
+    from pageweave.operators import language as L
+
+    crops = [(1, 0, "ja", 0.5, "こんにちは。"), (1, 0, "zh_sim", 0.9, "漢こ。"), (1, 0, "ko", None, "안녕"), (2, 0, "en", 0.1, "a"), (3, 0, "ko", 0.4, "안"), (3, 1, "ko", 0.6, "안"), (3, 0, "vi", 0.5, "ế"), (4, 0, "en", 0.3, None)]
+    scores = L.candidate_scores(spark.createDataFrame(crops, "page_id long, crop_no int, code string, conf double, text string"), spark.createDataFrame([(1, True)], "page_id long, is_vertical boolean"))
+    got = {(r["page_id"], r["code"]): r["score"] for r in scores.collect()}
+    assert got == {(1, "ja"): round(0.5 * 1.25 * 1.15 * 1.1, 9), (1, "zh_sim"): round(0.9 * 1.25 * 1.1 * 0.6, 9), (2, "en"): 0.125, (3, "ko"): 0.625, (3, "vi"): 0.625, (4, "en"): 0.3}
+    assert sorted(map(tuple, L.detect(scores).collect())) == [(1, "ja", 0.790625, True), (2, "en", 0.125, False), (3, "ko", 0.625, True), (4, "en", 0.3, False)]
+
+
+def test_blocks_without_recognised_text(spark):
+    from pageweave.operators import blocks as B
+
+    blocks = spark.createDataFrame([(1, i, 0, 0, 50, 20, 0) for i in range(4)], "page_id long, block_idx int, x1 int, y1 int, x2 int, y2 int, cls int")
+    ocr = spark.createDataFrame([(1, 0, "Hello there", 0.9, False), (1, 1, "", 0.0, True), (1, 2, " \n", 0.5, False)], "page_id long, block_idx int, text string, ocr_conf double, ocr_failed boolean")
+    roles = B.roles(blocks, ocr, 900, 1300)
+    assert {r["block_idx"]: (r["role"], r["should_translate"], r["preserve"]) for r in roles.collect()} == {0: ("dialogue", True, False), 1: ("unknown", False, True), 2: ("dialogue", True, False), 3: ("dialogue", True, False)}
+    assert [r["block_idx"] for r in B.translatable(roles).collect()] == [0]
+
+
+def test_watchdog_tells_each_freeze_once(spark, tmp_path):
+    from pageweave.streaming import events as SE
+
+    def put(name, rows):
+        spark.createDataFrame(rows, SE.SCHEMA.replace("ts timestamp", "ts string")).coalesce(1).write.json(str(tmp_path / "in" / name))
+
+    def run():
+        stream = SE.read(spark, str(tmp_path / "in" / "*"))
+        SE.watchdog(stream).writeStream.outputMode("append").format("json").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+
+    put("a", [(1, "2026-01-01T00:00:00Z", 1, "stage_start", 3, None), (2, "2026-01-01T00:00:10Z", 2, "stage_start", 4, None), (3, "2026-01-01T00:00:20Z", 2, "stage_end", 4, 5.0)])
+    run()
+    put("b", [(4, "2026-01-01T00:10:00Z", 9, "page_done", 1, None)])
+    run()
+    put("c", [(5, "2026-01-01T00:20:00Z", 9, "page_done", 1, None)])
+    run()
+    told = spark.read.schema("page_id long, stage int, since_ms long").json(str(tmp_path / "out")).collect()
+    assert [(r["page_id"], r["stage"], r["since_ms"]) for r in told] == [(1, 3, 1767225600000)]
