@@ -119,3 +119,24 @@ def longest_runs(pixels: DataFrame) -> DataFrame:
 def translatable(roles: DataFrame) -> DataFrame:
     """Blocks with text that is to be translated and not kept as drawn."""
     return roles.where((T.strip(F.col("t")) != "") & F.coalesce("should_translate", F.lit(True)) & ~F.coalesce("preserve", F.lit(False)))
+
+
+def scanline_extents(corners: DataFrame, height: int) -> DataFrame:
+    """xmin and xmax of a polygon (page_id, ord, x, y) in each pixel row: of the pieces inside it, the one over its mean x, else the longest.
+
+    Each edge meets only the rows it spans, half open, at their middle; level edges meet none.
+    """
+    w = W.partitionBy("page_id").orderBy("ord")
+    whole = W.partitionBy("page_id")
+    nxt = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(w))
+    e = corners.select("page_id", "x", "y", nxt("x").alias("nx"), nxt("y").alias("ny"), F.avg("x").over(whole).alias("anchor"), F.count("*").over(whole).alias("n")).where("n >= 3 and y <> ny")
+    down = F.col("y") < F.col("ny")
+    e = e.select("page_id", "anchor", F.least("y", "ny").alias("a"), F.greatest("y", "ny").alias("b"), F.when(down, F.col("x")).otherwise(F.col("nx")).alias("xa"), F.when(down, F.col("nx")).otherwise(F.col("x")).alias("xb"))
+    first, last = F.greatest(F.ceil(F.col("a") - 0.5), F.lit(0)), F.least(F.ceil(F.col("b") - 0.5) - 1, F.lit(height - 1))
+    met = e.withColumn("row", F.explode(F.when(first <= last, F.sequence(first, last))))
+    at = F.col("xa") + (F.col("row") + 0.5 - F.col("a")) / (F.col("b") - F.col("a")) * (F.col("xb") - F.col("xa"))
+    r = W.partitionBy("page_id", "row").orderBy("x_in")
+    pieces = met.select("page_id", "row", "anchor", at.alias("x_in")).withColumn("x_out", F.lead("x_in").over(r)).withColumn("k", F.row_number().over(r)).where("k % 2 = 1 and x_out is not null")
+    over, long = F.col("anchor").between(F.col("x_in"), F.col("x_out")), F.col("x_out") - F.col("x_in")
+    best = pieces.where(over | (long > 0)).groupBy("page_id", "row").agg(F.min_by(F.struct("x_in", "x_out"), F.struct(~over, F.when(over, 0.0).otherwise(-long), "k")).alias("s"))
+    return best.select("page_id", F.col("row").alias("y"), F.bround("s.x_in").cast("bigint").alias("xmin"), F.bround("s.x_out").cast("bigint").alias("xmax"))

@@ -330,6 +330,19 @@ def longest_run(s, d):
     return B.longest_runs(D.pixels(s, d))
 
 
+@query("""with c as (select l_orderkey page_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) ord, (l_partkey%200)::double x, (l_suppkey*7%100)::double y from lineitem),
+n as (select page_id, avg(x) anchor, count(*) n from c group by 1),
+e as (select c.page_id, n.anchor, c.x x1, c.y y1, d.x x2, d.y y2 from c join n using (page_id) join c d on d.page_id=c.page_id and d.ord = c.ord % n.n + 1 where n.n >= 3),
+f as (select page_id, anchor, least(y1,y2) a, greatest(y1,y2) b, case when y1<y2 then x1 else x2 end xa, case when y1<y2 then x2 else x1 end xb from e where y1<>y2),
+m as (select page_id, anchor, r, xa + (r + 0.5::double - a) / (b - a) * (xb - xa) x_in from f join range(100) t(r) on r + 0.5 >= a and r + 0.5 < b),
+p as (select *, lead(x_in) over w x_out, row_number() over w k from m window w as (partition by page_id, r order by x_in)),
+s as (select * from p where k%2=1 and x_out is not null and (anchor between x_in and x_out or x_out > x_in)
+  qualify row_number() over (partition by page_id, r order by case when anchor between x_in and x_out then 0 else 1 end, case when anchor between x_in and x_out then 0 else x_in-x_out end, k) = 1)
+select page_id, r y, round_even(x_in, 0)::bigint xmin, round_even(x_out, 0)::bigint xmax from s""")
+def scanline_extents(s, d):
+    return B.scanline_extents(D.corners(s, d), 100)
+
+
 CODES = "(values (0,'ja'),(1,'ko'),(2,'zh_sim'),(3,'zh_tra'),(4,'en'),(5,'vi')) v(ord, code)"
 SCORES = rf"""c as (select conv_id page_id, turn crop_no, code, ord, (conv_id*7+turn*13+ord*29)%100/100.0::double conf, text from conversations, {CODES}),
 pc as (select page_id, crop_no, code, ord, avg(conf) conf, bool_or(regexp_matches(text, '[ -~\x{{C0}}-\x{{24F}}]')) latin, bool_or(regexp_matches(text, '[\x{{1E00}}-\x{{1EFF}}]')) viet, bool_or(regexp_matches(text, '[・…—。、！？]')) punct from c group by all),

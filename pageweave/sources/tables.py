@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 PAGE_W, PAGE_H = 900, 1300
 IMAGE_FILES = r"(?i)\.(jpg|jpeg|png|webp|bmp)$"
@@ -78,3 +79,10 @@ def readings(spark: SparkSession, sf_dir: str, codes: list[str]) -> DataFrame:
     """Every turn of a conversation as a crop that each candidate language has read."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.posexplode(F.array(*map(F.lit, codes))).alias("ord", "code"))
     return rows.selectExpr("conv_id as page_id", "turn as crop_no", "code", "(conv_id * 7 + turn * 13 + ord * 29) % 100 / 100.0D as conf", "text")
+
+
+def corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A polygon a page: the lines of an order as its corners."""
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = table(spark, sf_dir, "lineitem").withColumn("ord", F.row_number().over(order))
+    return rows.selectExpr("l_orderkey as page_id", "ord", "cast(l_partkey % 200 as double) x", "cast(l_suppkey * 7 % 100 as double) y")

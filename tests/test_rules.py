@@ -130,3 +130,13 @@ def test_watchdog_tells_each_freeze_once(spark, tmp_path):
     run()
     told = spark.read.schema("page_id long, stage int, since_ms long").json(str(tmp_path / "out")).collect()
     assert [(r["page_id"], r["stage"], r["since_ms"]) for r in told] == [(1, 3, 1767225600000)]
+
+
+def test_scanline_extents(spark):
+    from pageweave.operators import blocks as B
+
+    square = [(1, i, x, y) for i, (x, y) in enumerate([(2.0, 1.0), (6.0, 1.0), (6.0, 3.0), (2.0, 3.0)])]
+    fork = [(2, i, x, y) for i, (x, y) in enumerate([(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (4.0, 2.0), (4.0, 0.0), (9.0, 0.0), (9.0, 3.0), (0.0, 3.0)])]  # mean x 3.75: in the notch
+    line = [(3, 0, 0.0, 0.0), (3, 1, 5.0, 5.0)]
+    got = B.scanline_extents(spark.createDataFrame(square + fork + line, "page_id long, ord int, x double, y double"), 3).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 2, 6), (1, 2, 2, 6), (2, 0, 4, 9), (2, 1, 4, 9), (2, 2, 0, 9)]
