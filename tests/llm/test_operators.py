@@ -290,3 +290,23 @@ def test_all_segmentations():
     for w in ("the", "nation", "éa", "straße"):
         assert np.allclose(np.exp(language_pieces.Lattice(pieces, [w]).score(p)[0]), total(w))
         assert np.allclose(np.exp(language_pieces.long_score(pieces, w, p)), total(w))
+
+
+def test_token_pieces_equal_the_library():
+    """Random texts of letters, marks, white space and special tokens, with stores that overflow."""
+    import random
+
+    import public_tokenizers
+
+    from pageweave.llm import token_files
+
+    encoder, rnd = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(5)
+    letters = [*"ab Zé\n\n'tsremlvd019.,!-_#@$\t\r  ß漢字あ²½ªº×÷’\x85\x1c\x00€~`^ 　́İ", " ", "'", "😀", "<|endoftext|>", "Hello", " the"]
+    kept, token_files.MEMO = token_files.MEMO, 50
+    try:
+        for text in ["", *("".join(rnd.choice(letters) for _ in range(rnd.randint(0, 25))) for _ in range(5000)), "ab.c" * 5000]:
+            expected = encoder.library.encode(text, add_special_tokens=False).ids
+            assert list(memoryview(encoder.encode([text])[0]).cast("I")) == expected, repr(text)
+            assert max(len(encoder.inner), len(encoder.other)) <= 50
+    finally:
+        token_files.MEMO = kept
