@@ -75,6 +75,12 @@ def is_gibberish(text: Column) -> Column:
     return (F.length(t) < 2) | (letters == 0) | ((visible <= 4) & (letters < 0.4 * visible))
 
 
+def is_gibberish_word(word: Column) -> Column:
+    """The same for a text without white space: letters are counted in short words alone."""
+    n, some = F.length(word), F.regexp_like(word, F.lit(r"[\p{L}぀-ヿ]"))
+    return (n < 2) | ~some | F.when(n <= 4, count(word, r"\p{L}぀-ヿ") < 0.4 * n).otherwise(False)
+
+
 def is_real_translation(text: Column) -> Column:
     t = strip(text)
     return (t != "") & ~t.isin(*EMPTY_TRANSLATIONS)

@@ -176,7 +176,7 @@ select doc_id, length(t) < 2 or len(regexp_extract_all(b, '\\p{{L}}')) = 0 or (l
 def gibberish(s, d):
     """Of the whole text, and of each of its words."""
     words = F.split(T.strip(F.col("text")), f"[{T.SPACE}]+")
-    return D.table(s, d, "documents").select("doc_id", T.is_gibberish(F.col("text")).alias("gibberish"), F.size(F.filter(words, T.is_gibberish)).alias("n_gibberish_words"))
+    return D.table(s, d, "documents").select("doc_id", T.is_gibberish(F.col("text")).alias("gibberish"), F.size(F.filter(words, T.is_gibberish_word)).alias("n_gibberish_words"))
 
 
 @query("select encode_key.doc_id, key from (select doc_id, sha256('m1' || chr(0) || 'vi' || chr(0) || text) key from documents) encode_key")
