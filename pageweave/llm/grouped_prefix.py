@@ -162,5 +162,15 @@ def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     return docs.join(few(gone), docs["doc_id"].cast("bigint") == gone["__gone"], "left_anti")
 
 
+#: The same rows in DuckDB: all pairs that share a shingle, then what links reach.
+OP6_SQL = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) end s from w),
+t as (select doc_id, len(s) n, unnest(s) token from s),
+links as (select a.doc_id a, b.doc_id b from t a join t b on a.token = b.token and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+least_ as (select a, min(b) m from reach group by a)
+select doc_id, len(s)::bigint n_shingles, least(doc_id, coalesce(m, doc_id)) component_id from s left join least_ on a = doc_id"""
+
+
 def op6_grouped_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"), Rule(words=4, percent=85))

@@ -174,6 +174,35 @@ def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules: Rules
     return out.where(~base_failed(rules, "__m.") & ~rejected).select(*[docs[c] for c in docs.columns])
 
 
+def _sql(rules: Rules = Rules()) -> str:
+    """The rows of the query in DuckDB, the binomial tail summed term by term."""
+    grids = rules.grids()
+    tests = " union all ".join(f"select stratum, '{r}' as rule, {i} as i, {c}::double cut, count(*) n, count(*) filter (where {r} > {c}::double) k from held group by stratum" for r, g in grids.items() for i, c in enumerate(g))
+    p, level = rules.risk / len(grids), rules.error / len(grids)
+    tail = f"case when k < n * {p}::double then (select sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}::double) + (n - j) * ln({1 - p}::double))) from range(k + 1) x(j)) else 1.0 end"
+    cuts = ", ".join(f"min(cut) filter (where proven and rule = '{r}') cut_{r}" for r in grids)
+    reject = " or ".join(f"coalesce({r} > cut_{r}, false)" for r in grids)
+    return rf"""with d as (select doc_id, lang stratum, coalesce(text, '') text, row_number() over () id from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
+win as (select id, i, array_to_string(words[i:i+{WINDOW - 1}], ' ') win from (select id, words, unnest(range(1, len(words) - {WINDOW - 2})) i from w)),
+often as (select id, i from (select *, count(*) over (partition by id, win) c from win) where c > 1),
+covered as (select id, count(distinct i + k) n_repeat_words from often, range({WINDOW}) r(k) group by 1),
+m as (select doc_id, stratum, len(words) n_words, length(array_to_string(words, ''))::bigint word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) n_symbols,
+  (len(lines) - len(list_distinct(lines)))::bigint n_dup_lines, coalesce(n_repeat_words, 0) n_repeat_words, len(lines) n_lines from w left join covered using (id)),
+b as (select *, n_words < {rules.min_words} or 100 * n_repeat_words > {rules.max_repeat_percent} * n_words base_failed, coalesce(n_symbols / nullif(word_chars, 0)::double, 0) symbols,
+  coalesce(n_repeat_words / nullif(n_words, 0)::double, 0) repeats, coalesce(n_dup_lines / nullif(n_lines, 0)::double, 0) as lines from m),
+held as (select * from b where not base_failed and doc_id in (select doc_id from labels group by 1 having min(quality) = 1)),
+tests as ({tests}),
+tried as (select *, {tail} <= {level}::double / (select count(*) from (select distinct stratum from held)) ok from tests),
+proven as (select *, bool_and(ok) over (partition by stratum, rule order by i) proven from tried),
+cuts as (select stratum, {cuts} from proven group by 1)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({reject}) kept, cut_symbols, cut_repeats, cut_lines
+from b left join cuts on cuts.stratum is not distinct from b.stratum"""
+
+
+OP3_SQL = _sql()
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = written(measure(table(spark, sf_dir, "documents")), "measures")
     cuts = written(cutoffs(measured, table(spark, sf_dir, "labels")), "cutoffs")

@@ -15,4 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_zst": warc_zst.OP4_SQL}
+    return {
+        "op2_sentence_spans": sentence_spans.OP2_SQL,
+        "op3_quality_rules": quality_rules.OP3_SQL,
+        "op4_warc_zst": warc_zst.OP4_SQL,
+        "op6_grouped_prefix": grouped_prefix.OP6_SQL,
+    }

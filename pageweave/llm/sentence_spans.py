@@ -109,6 +109,20 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     return out.where((F.col("__spans.n_removed") == 0) | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))).select(*docs.columns)
 
 
+_SP = r"[\t-\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same rows in DuckDB.
+OP2_SQL = rf"""with d as (select doc_id, text, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+[ \t\r\f\v]*|[^.!?\n]+') s from documents),
+u as (select doc_id, unnest(s) sentence, unnest(range(len(s))) i from d),
+w as (select *, list_filter(regexp_split_to_array(sentence, '{_SP}+'), lambda x: x <> '') words from u),
+e as (select *, sum(len(words)) over (partition by doc_id order by i) until from w),
+j as (select a.doc_id, a.i, min(b.i) j from e a join e b on a.doc_id = b.doc_id and b.i > a.i and b.until >= a.until - len(a.words) + {MIN_WORDS} where len(a.words) > 0 group by 1, 2),
+p as (select j.doc_id, j.i, j.j, string_agg(array_to_string(e.words, ' '), chr(10) order by e.i) span from j join e on e.doc_id = j.doc_id and e.i between j.i and j.j group by 1, 2, 3),
+f as (select *, min(doc_id) over (partition by span) first, row_number() over (partition by doc_id, span order by i) nth from p),
+gone as (select distinct e.doc_id, e.i from e join f on f.doc_id = e.doc_id and e.i between f.i and f.j where f.doc_id <> f.first or f.nth > 1),
+kept as (select e.doc_id, string_agg(sentence, '' order by e.i) filter (where gone.i is null) text, count(*) n_sentences, count(gone.i) n_removed from e left join gone on gone.doc_id = e.doc_id and gone.i = e.i group by 1)
+select d.doc_id, case when d.text is null then null else coalesce(kept.text, '') end as text, coalesce(n_sentences, 0) n_sentences, coalesce(n_removed, 0) n_removed from d left join kept using (doc_id)"""
+
+
 def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return without_repeats(docs).select("doc_id", "text", F.col("__spans.n_sentences").alias("n_sentences"), F.col("__spans.n_removed").alias("n_removed"))

@@ -13,7 +13,8 @@ import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pageweave.llm import bpe_stream, grouped_prefix, language_pieces, mixing, quality_rules, rare_features, sentence_spans, shard_tree, token_files, warc_zst
+from pageweave.llm import bpe_stream, grouped_prefix, language_pieces, mixing, quality_rules, rare_features, registry, sentence_spans, shard_tree, token_files, warc_zst
+from tests.oracle import same
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -310,3 +311,8 @@ def test_token_pieces_equal_the_library():
             assert max(len(encoder.inner), len(encoder.other)) <= 50
     finally:
         token_files.MEMO = kept
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_against_duckdb(spark, name):
+    same(spark, registry.queries()[name], registry.oracle_sql()[name], SF)
