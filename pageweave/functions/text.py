@@ -150,8 +150,15 @@ def is_out_of_memory(kind: Column, message: Column) -> Column:
 
 def retry_seconds(message: Column, header: Column) -> Column:
     """Seconds to wait that an error names, with its margin, else the header's, else 30."""
-    number = lambda pattern: F.try_cast(F.nullif(F.regexp_extract(_text(message), pattern, 1), F.lit("")), "int") if hasattr(F, "try_cast") else F.nullif(F.regexp_extract(_text(message), pattern, 1), F.lit("")).try_cast("int")
-    return F.coalesce(number(r'retryDelay"?\s*:\s*"(\d+)') + 2, number(r"(?i)try again in (\d+)") + 2, header.try_cast("int") + 1, F.lit(30))
+    number = lambda c: F.floor(F.nullif(c, F.lit("")).try_cast("double")).cast("int")
+    named = lambda pattern: number(F.regexp_extract(_text(message), pattern, 1)) + 2
+    return F.coalesce(named(r'"retryDelay"\s*:\s*"(\d+(?:\.\d+)?)s"'), named(r"(?i)try again in (\d+(?:\.\d+)?)s"), number(header) + 1, F.lit(30))
+
+
+def prompt_tag(role: Column, turn: Column, text: Column) -> Column:
+    """A text with its role and turn before it, as a prompt shows it."""
+    tag = F.when(role == "narration", "NAR").when(role == "sfx", "SFX").otherwise("DLG")
+    return F.concat(F.lit("["), tag, F.lit("|"), turn, F.lit("] "), _text(text))
 
 
 def parse_translations(reply: Column, n: Column) -> Column:

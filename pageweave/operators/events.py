@@ -44,6 +44,29 @@ def slower(rpm: Column) -> Column:
     return F.greatest(F.lit(5), F.floor(rpm / 2))
 
 
+def faster(rpm: Column, quiet_s: Column, original: Column) -> Column:
+    """Rate after a time without rejections: one more a minute beyond the first, up to the original."""
+    more = F.floor((quiet_s - 60) / 60).cast("bigint") + 1
+    return F.when((quiet_s >= 60) & (rpm < original), F.least(original, rpm + more)).otherwise(rpm)
+
+
+def health_line(events: DataFrame, n: int = 8) -> DataFrame:
+    """One line of the first n counters by name."""
+    first = events.groupBy(F.concat("event", F.lit("_"), F.col("stage").cast("string")).alias("name")).agg(F.count("*").alias("c")).orderBy("name").limit(n)
+    pairs = F.transform(F.sort_array(F.collect_list(F.struct("name", "c"))), lambda p: F.concat(p["name"], F.lit("="), p["c"].cast("string")))
+    return first.agg(F.array_join(pairs, " ").alias("line"))
+
+
+def gauges(events: DataFrame) -> DataFrame:
+    """Last value of each stage's gauge."""
+    return events.groupBy("stage").agg(F.max_by("latency_ms", F.struct("ts", "event_id")).alias("value"))
+
+
+def lines(events: DataFrame) -> DataFrame:
+    """Events as JSON lines; null fields are left out."""
+    return events.select("event_id", F.to_json(F.struct("event_id", "page_id", "event", F.when(F.col("event").startswith("stage"), F.col("stage")).alias("stage"))).alias("line"))
+
+
 def bucket_waits(requests: DataFrame, key: str, rpm: int = 20, capacity: int = 20) -> DataFrame:
     """Microseconds each request (key, ts, event_id) waits for a token, first come first served, from a full bucket.
 

@@ -42,3 +42,9 @@ def detect(scores: DataFrame) -> DataFrame:
     best = F.max_by("code", F.struct("score", -_place(F.col("code"))))
     top = F.max("score")
     return scores.groupBy("page_id").agg(F.when(top < FLOOR, "en").otherwise(best).alias("lang"), top.alias("score"), (F.count_if(F.col("score") >= FLOOR) >= 2).alias("mixed"))
+
+
+def first_page(detected: DataFrame) -> DataFrame:
+    """The language found on the first page, for all pages. One value is looked up, not joined."""
+    first = detected.agg(F.min_by("lang", "page_id")).scalar()
+    return detected.select("page_id", first.alias("lang"))

@@ -50,3 +50,21 @@ def best_attempt(attempts: DataFrame, key: str, accept: float = 0.55) -> DataFra
     good = F.col("confidence") >= accept
     w = W.partitionBy(key).orderBy(F.desc(good), F.when(good, F.lit(0.0)).otherwise(-F.col("confidence")), "attempt", "l_partkey", "l_suppkey", "l_extendedprice")
     return attempts.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+
+
+def memory_as_of(mentions: DataFrame) -> DataFrame:
+    """What was known of a name after each page that holds it: the first page, and pages so far."""
+    w = W.partitionBy("name").orderBy("page_id")
+    pages = mentions.select("name", "page_id").distinct()
+    return pages.withColumn("first_seen_page", F.first("page_id").over(w)).withColumn("occurrences", F.row_number().over(w))
+
+
+def current(previous: DataFrame, digest: str, forced: bool = False) -> DataFrame:
+    """What a checkpoint knows, if its configuration is the present one or it is forced; else nothing."""
+    return previous if forced else previous.where(F.col("config_digest") == digest)
+
+
+def cache_stats(looked_up: DataFrame) -> DataFrame:
+    """Hits and misses of looked-up requests, and distinct keys that a run then puts."""
+    missed = F.when(~F.col("hit"), F.col("key"))
+    return looked_up.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.count_distinct(missed).alias("puts"))

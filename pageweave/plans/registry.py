@@ -184,7 +184,33 @@ def cache_key(s, d):
     return D.table(s, d, "documents").select("doc_id", T.cache_key(F.lit("m1"), F.lit("vi"), F.col("text")).alias("key"))
 
 
-@query()
+def _words(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def _subtype(t: str) -> str:
+    """Sub-type of an effect for DuckDB; t names a text column."""
+    bare = rf"regexp_replace(lower({STRIP(t)}), '^[?!.,''\"]+|[?!.,''\"]+$', '', 'g')"
+    chars = f"string_split({bare}, '')"
+    compact = f"array_to_string(list_transform(list_filter(list_zip({chars}, list_prepend(null, {chars})), lambda p: p[1] is distinct from p[2]), lambda p: p[1]), '')"
+    return rf"""case when {bare} = '' then 'unknown' when {bare} in ({_words(T.EMOTION)}) or {compact} in ({_words(T.EMOTION)}) or regexp_matches({bare}, '^({"|".join(T.EMOTION)})') then 'emotion'
+      when {bare} in ({_words(T.ACTION)}) or {compact} in ({_words(T.ACTION)}) then 'action' when {bare} in ({_words(T.AMBIENT)}) or {compact} in ({_words(T.AMBIENT)}) then 'ambient'
+      when regexp_matches({t}, '[\x{{4e00}}-\x{{9fff}}\x{{3400}}-\x{{4dbf}}]') and regexp_matches({t}, '[!-/:-@\[-`{{-~…]') then 'action'
+      when regexp_matches({t}, '[\x{{30a0}}-\x{{30ff}}\x{{31f0}}-\x{{31ff}}]') and not regexp_matches({t}, '[\x{{3040}}-\x{{309f}}]') then 'action' when regexp_matches({t}, '[\x{{3040}}-\x{{309f}}]') then 'ambient' else 'unknown' end"""
+
+
+ROLES = OCR + f""", profile as ({ORACLES["script_profile"].replace("with t as", "with pt as").replace("from t)", "from pt)")}),
+rr as (select b.page_id, b.block_idx, coalesce(o.text, '') t, coalesce(o.ocr_failed, false) failed, coalesce(p.letters, 0) letters, coalesce(p.punct, 0) punct, b.cls, len(regexp_extract_all(coalesce(o.text, ''), '\\p{{L}}')) n,
+  (b.x2-b.x1)::bigint*(b.y2-b.y1)/{float(W * H)}::double share, greatest(b.y2-b.y1,1)::double/greatest(b.x2-b.x1,1) aspect
+  from blocks b left join ocr o on o.page_id=b.page_id and o.block_idx=b.block_idx left join profile p on p.doc_id=b.doc_id),
+rule as (select *, case when cls=0 and length(t)>0 and letters>=2 then 1 when cls=1 and aspect<=0.6::double and length(t)>=12 then 2
+  when cls=1 and (share>=0.025::double or (share>=0.025::double*0.6::double and n<4)) then 3 when cls=1 and (n<=3 or (punct>0 and letters<=3)) then 4
+  when cls=0 and n<=3 and length(t)>0 and letters>=1 then 5 when cls=1 then 6 else 7 end k from rr),
+roles as (select page_id, block_idx, t, case when failed then 'unknown' when k in (3,4) then 'sfx' when k in (2,6) then 'narration' else 'dialogue' end as role,
+  case when k in (3,4) then {_subtype("t")} else 'unknown' end sfx_subtype, not failed should_translate, failed or k in (3,4) preserve, k in (3,4) profile_preserve from rule)"""
+
+
+@query(f"with {ROLES} select * from roles")
 def sfx_role(s, d):
     return B.roles(D.blocks(s, d), D.ocr(s, d), W, H)
 
@@ -194,7 +220,7 @@ def real_translation(s, d):
     return D.translations(s, d).select("page_id", "block_idx", T.is_real_translation(F.col("translated")).alias("is_real"))
 
 
-@query()
+@query(f"with {ROLES}, {TR.split(', ocr as')[1].split(', tr as', 1)[1].join(['tr as', ''])} select r.page_id, r.block_idx from roles r left join tr t on t.page_id=r.page_id and t.block_idx=r.block_idx where r.profile_preserve or (regexp_matches(r.t, '[\\x{{3040}}-\\x{{30ff}}\\x{{4e00}}-\\x{{9fff}}\\x{{ac00}}-\\x{{d7a3}}]') and len(regexp_extract_all(r.t, '[A-Za-z]')) < 2 and coalesce(trim(t.translated) in ('', '...', '…', '???'), true))")
 def preserve_blocks(s, d):
     return B.preserved(B.roles(D.blocks(s, d), D.ocr(s, d), W, H), D.translations(s, d))
 
@@ -376,7 +402,7 @@ def primary_script_counts(s, d):
     return p.groupBy("primary_script").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"with {ROLES} select * from roles where {STRIP('t')} <> '' and should_translate and not preserve")
 def translatable(s, d):
     return B.translatable(B.roles(D.blocks(s, d), D.ocr(s, d), W, H))
 

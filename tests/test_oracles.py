@@ -2,7 +2,7 @@
 
 import pytest
 
-from pageweave.plans import registry
+from pageweave.plans import fitting, registry  # noqa: F401
 from tests.oracle import SF, same
 
 
