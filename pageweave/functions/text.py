@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ SCRIPTS = {
     "latin": r" -~À-ɏ",
     "vietnamese_diacritic": r"Ḁ-ỿ",
 }
+LOW = r"\u0000-⿿&&[^\p{L}]"  # punctuation: no letter, below the CJK blocks
 CJK = r"぀-ヿ一-鿿가-힣"
 ACTION = "bang boom crash smash thud thump whack pow crack snap kaboom blam wham thwack dom don swoosh whoosh zoom vroom dash dart slash stab slice chop rip tear".split()
 EMOTION = "haha hehe hihi haa hah lol sigh phew huh hmm hmph wow yay argh ugh arghh yikes ah oh eh oi ow ouch wah uwah".split()
@@ -31,6 +34,11 @@ def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def count(text: Column, chars: str) -> Column:
     return F.regexp_count(_text(text), F.lit(f"[{chars}]"))
 
@@ -42,22 +50,27 @@ def strip(text: Column) -> Column:
 def script_profile(text: Column) -> Column:
     """Struct of primary script, letters, punct, digits and is_short_sfx: white space, digits, punctuation, then the first script range."""
     bare = F.regexp_replace(_text(text), f"[{SPACE}]", "")
-    digits = count(bare, DIGIT)
-    rest = F.regexp_replace(bare, f"[{DIGIT}]", "")
-    low = r"\u0000-⿿&&[^\p{L}]"
-    punct = F.regexp_count(rest, F.lit(f"[{low}]"))
-    letters = F.regexp_replace(rest, f"[{low}]", "")
-    n = {k: count(letters, v) for k, v in SCRIPTS.items()}
-    kana, cjk = n["hiragana"] + n["katakana"], n["hiragana"] + n["katakana"] + n["kanji"] + n["hangul"] + n["vietnamese_diacritic"]
-    other = F.regexp_count(letters, F.lit(r"\p{L}")) - F.regexp_count(letters, F.lit(r"[\p{L}&&[぀-ヿㇰ-ㇿ一-鿿㐀-䶿가-힣ᄀ-ᇿ㄰-㆏Ḁ-ỿ]]"))
-    latin = F.greatest(n["latin"], other)
-    families = ((kana + n["kanji"]) > 0).cast("int") + (n["hangul"] > 0).cast("int") + (latin > 0).cast("int")
-    one = (
-        F.when(kana > 0, "ja").when(n["hangul"] > 0, "ko").when(n["kanji"] > 0, "zh").when(n["vietnamese_diacritic"] > 0, "vi").when(latin > 0, "en").otherwise("unknown")
-    )
-    primary = F.when((families >= 2) & (one != "ja"), "mixed").otherwise(one)
-    total = cjk + latin
-    return F.struct(primary.alias("primary"), total.alias("letters"), punct.alias("punct"), digits.alias("digits"), (latin > 0).alias("has_latin"), ((total >= 1) & (total <= 3) & (punct >= 1)).alias("is_short_sfx"))
+    return let(bare, lambda b: let(F.regexp_replace(b, f"[{DIGIT}]", ""), lambda rest: let(F.regexp_replace(rest, f"[{LOW}]", ""), lambda letters: _profile(b, rest, letters))))
+
+
+def _profile(bare: Column, rest: Column, letters: Column) -> Column:
+    latin = F.greatest(count(letters, SCRIPTS["latin"]), F.regexp_count(letters, F.lit(r"\p{L}")) - F.regexp_count(letters, F.lit(r"[\p{L}&&[぀-ヿㇰ-ㇿ一-鿿㐀-䶿가-힣ᄀ-ᇿ㄰-㆏Ḁ-ỿ]]")))
+    counts = F.struct(*[count(letters, v).alias(k) for k, v in SCRIPTS.items() if k != "latin"], latin.alias("latin"))
+
+    def verdict(n: Column) -> Column:
+        kana = n["hiragana"] + n["katakana"]
+        families = ((kana + n["kanji"]) > 0).cast("int") + (n["hangul"] > 0).cast("int") + (n["latin"] > 0).cast("int")
+        one = (
+            F.when(kana > 0, "ja").when(n["hangul"] > 0, "ko").when(n["kanji"] > 0, "zh").when(n["vietnamese_diacritic"] > 0, "vi").when(n["latin"] > 0, "en").otherwise("unknown")
+        )
+        primary = F.when((families >= 2) & ~one.isin("ja"), "mixed").otherwise(one)
+        total, punct = kana + n["kanji"] + n["hangul"] + n["vietnamese_diacritic"] + n["latin"], F.length(rest) - F.length(letters)
+        return F.struct(
+            primary.alias("primary"), total.alias("letters"), punct.alias("punct"), (F.length(bare) - F.length(rest)).alias("digits"),
+            (n["latin"] > 0).alias("has_latin"), ((total >= 1) & (total <= 3) & (punct >= 1)).alias("is_short_sfx"),
+        )
+
+    return let(counts, verdict)
 
 
 def has_cjk(text: Column) -> Column:
@@ -112,31 +125,34 @@ def names(text: Column) -> Column:
 
 
 def sfx_subtype(text: Column) -> Column:
-    t = F.regexp_replace(F.lower(strip(text)), r"^[?!.,'\"]+|[?!.,'\"]+$", "")
-    compact = F.regexp_replace(t, r"(.)\1+", "$1")
-    p = script_profile(text)
-    kana = lambda k: count(text, SCRIPTS[k]) > 0
+    return let(F.regexp_replace(F.lower(strip(text)), r"^[?!.,'\"]+|[?!.,'\"]+$", ""), lambda t: let(F.regexp_replace(t, r"(.)\1+", "$1"), lambda compact: _subtype(text, t, compact)))
+
+
+def _subtype(text: Column, t: Column, compact: Column) -> Column:
+    has = lambda k: F.regexp_like(_text(text), F.lit(f"[{SCRIPTS[k]}]"))
     return (
         F.when(t == "", "unknown").when(t.isin(EMOTION) | compact.isin(EMOTION) | F.regexp_like(t, F.lit("^(" + "|".join(EMOTION) + ")")), "emotion")
         .when(t.isin(ACTION) | compact.isin(ACTION), "action").when(t.isin(AMBIENT) | compact.isin(AMBIENT), "ambient")
-        .when(kana("kanji") & (p["punct"] > 0), "action").when(kana("katakana") & ~kana("hiragana"), "action").when(kana("hiragana"), "ambient").otherwise("unknown")
+        .when(has("kanji") & (script_profile(text)["punct"] > 0), "action").when(has("katakana") & ~has("hiragana"), "action").when(has("hiragana"), "ambient").otherwise("unknown")
     )
 
 
 def sfx_role(text: Column, cls: Column, area_share: Column, aspect: Column, conf: Column) -> Column:
     """Struct of role, confidence and preserve; the first rule that holds decides."""
-    p, n = script_profile(text), count(strip(text), r"\p{L}぀-ヿ")
-    letters, counted = p["letters"], F.length(_text(text)) > 0
-    pure = p["primary"].isin("ja", "zh") & ~p["has_latin"]
-    free, huge, large = cls == 1, area_share >= 0.025, area_share >= 0.025 * 0.6
-    sfx = free & (pure | huge | (large & (n < 4)))
-    short = free & ((n <= 3) | ((p["punct"] > 0) & (letters <= 3)))
+    counted, free, huge, large = F.length(_text(text)) > 0, cls == 1, area_share >= 0.025, area_share >= 0.025 * 0.6
     is_ = lambda role, conf, keep: F.struct(F.lit(role).alias("role"), F.lit(conf).alias("role_conf"), F.lit(keep).alias("preserve"))
-    return (
-        F.when(~free & counted & (letters >= 2), is_("dialogue", 0.85, False)).when(free & (aspect <= 0.6) & (F.length(_text(text)) >= 12), is_("narration", 0.70, False))
-        .when(sfx, is_("sfx", 0.75, True)).when(short, is_("sfx", 0.65, True)).when(~free & (n <= 3) & counted & (letters >= 1), is_("dialogue", 0.60, False))
-        .when(free, is_("narration", 0.55, False)).otherwise(is_("dialogue", 0.50, False))
-    )
+
+    def decided(p: Column, n: Column) -> Column:
+        pure = p["primary"].isin("ja", "zh") & ~p["has_latin"]
+        sfx = free & (pure | huge | (large & (n < 4)))
+        short = free & ((n <= 3) | ((p["punct"] > 0) & (p["letters"] <= 3)))
+        return (
+            F.when(~free & counted & (p["letters"] >= 2), is_("dialogue", 0.85, False)).when(free & (aspect <= 0.6) & (F.length(_text(text)) >= 12), is_("narration", 0.70, False))
+            .when(sfx, is_("sfx", 0.75, True)).when(short, is_("sfx", 0.65, True)).when(~free & (n <= 3) & counted & (p["letters"] >= 1), is_("dialogue", 0.60, False))
+            .when(free, is_("narration", 0.55, False)).otherwise(is_("dialogue", 0.50, False))
+        )
+
+    return let(script_profile(text), lambda p: let(count(strip(text), r"\p{L}぀-ヿ"), lambda n: decided(p, n)))
 
 
 def is_rate_limit(message: Column) -> Column:
