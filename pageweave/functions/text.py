@@ -54,8 +54,12 @@ def script_profile(text: Column) -> Column:
 
 
 def _profile(bare: Column, rest: Column, letters: Column) -> Column:
+    # every letter that no range has counts as Latin; texts of Latin letters alone need no other count
     latin = F.greatest(count(letters, SCRIPTS["latin"]), F.regexp_count(letters, F.lit(r"\p{L}")) - F.regexp_count(letters, F.lit(r"[\p{L}&&[぀-ヿㇰ-ㇿ一-鿿㐀-䶿가-힣ᄀ-ᇿ㄰-㆏Ḁ-ỿ]]")))
-    counts = F.struct(*[count(letters, v).alias(k) for k, v in SCRIPTS.items() if k != "latin"], latin.alias("latin"))
+    others = [k for k in SCRIPTS if k != "latin"]
+    mixed = F.struct(*[count(letters, SCRIPTS[k]).alias(k) for k in others], latin.alias("latin"))
+    plain = F.struct(*[F.lit(0).alias(k) for k in others], F.length(letters).alias("latin"))
+    counts = F.when(F.regexp_like(letters, F.lit(f"[^{SCRIPTS['latin']}]")), mixed).otherwise(plain)
 
     def verdict(n: Column) -> Column:
         kana = n["hiragana"] + n["katakana"]

@@ -92,11 +92,11 @@ def roles(blocks: DataFrame, ocr: DataFrame, page_w: int, page_h: int) -> DataFr
     joined = blocks.select("page_id", "block_idx", *BOX, "cls").join(read, ["page_id", "block_idx"], "left").withColumn("t", F.coalesce("t", F.lit("")))
     share = G.area(*[F.col(c) for c in BOX]) / float(page_w * page_h)
     aspect = F.greatest(F.col("y2") - F.col("y1"), F.lit(1)) / F.greatest(F.col("x2") - F.col("x1"), F.lit(1))
-    out = joined.withColumn("r", T.sfx_role(F.col("t"), F.col("cls"), share, aspect, F.col("ocr_conf")))
-    failed = F.coalesce("ocr_failed", F.lit(False))
+    # inlined from an array of one, so that the rules run once a row whatever is read of their result
+    out = joined.select("page_id", "block_idx", "t", F.coalesce("ocr_failed", F.lit(False)).alias("failed"), F.inline(F.array(T.sfx_role(F.col("t"), F.col("cls"), share, aspect, F.col("ocr_conf")))))
     return out.select(
-        "page_id", "block_idx", "t", F.when(failed, "unknown").otherwise(F.col("r.role")).alias("role"), F.when(F.col("r.role") == "sfx", T.sfx_subtype(F.col("t"))).otherwise("unknown").alias("sfx_subtype"),
-        (~failed).alias("should_translate"), (failed | F.col("r.preserve")).alias("preserve"), F.col("r.preserve").alias("profile_preserve"),
+        "page_id", "block_idx", "t", F.when(F.col("failed"), "unknown").otherwise(F.col("role")).alias("role"), F.when(F.col("role") == "sfx", T.sfx_subtype(F.col("t"))).otherwise("unknown").alias("sfx_subtype"),
+        (~F.col("failed")).alias("should_translate"), (F.col("failed") | F.col("preserve")).alias("preserve"), F.col("preserve").alias("profile_preserve"),
     )
 
 
