@@ -140,3 +140,31 @@ def test_scanline_extents(spark):
     line = [(3, 0, 0.0, 0.0), (3, 1, 5.0, 5.0)]
     got = B.scanline_extents(spark.createDataFrame(square + fork + line, "page_id long, ord int, x double, y double"), 3).collect()
     assert sorted(map(tuple, got)) == [(1, 1, 2, 6), (1, 2, 2, 6), (2, 0, 4, 9), (2, 1, 4, 9), (2, 2, 0, 9)]
+
+
+@pytest.mark.parametrize("message,header,wait", [
+    ('{"retryDelay": "7.9s"}', "3", 9), ("Please TRY again in 12s", None, 14), ("busy", "2.5", 3), ("busy", "soon", 30), (None, None, 30),
+])
+def test_retry_seconds(spark, message, header, wait):
+    row = spark.createDataFrame([(message, header)], "m string, h string").select(T.retry_seconds(F.col("m"), F.col("h")).alias("r")).first()
+    assert row["r"] == wait
+
+
+def test_split_regions(spark):
+    from pageweave.operators import fitting as P
+
+    # two rows with a gap, the upper one of two columns; a speck that doesn't count; a region of its own
+    boxes = [(1, 0, 1, 0, 0, 10, 10, 90), (1, 0, 2, 40, 0, 50, 10, 90), (1, 0, 3, 0, 40, 50, 50, 90), (1, 0, 4, 20, 20, 22, 22, 4), (1, 1, 5, 0, 0, 9, 9, 81)]
+    schema = "page_id long, block_idx int, comp_id long, x1 int, y1 int, x2 int, y2 int, area int"
+    got = P.split_regions(spark.createDataFrame(boxes, schema)).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 1, 1, 0, 0, 14, 14), (1, 0, 2, 1, 36, 0, 54, 14), (1, 0, 3, 1, 0, 36, 54, 54), (1, 1, 5, 1, 0, 0, 13, 13)]
+    assert P.split_regions(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_font_cap(spark):
+    from pageweave.operators import fitting as P
+
+    c = F.col
+    rows = [(50, 50, 50, 50, False), (100, 40, 100, 40, False), (100, 100, 1000, 1000, False), (100, 100, 1000, 1000, True), (0, 5, 9, 9, False), (10, 10, 10, 10, False)]
+    got = spark.createDataFrame(rows, "w int, h int, bw int, bh int, e boolean").select(P.font_cap(8, 120, c("w"), c("h"), c("bw"), c("bh"), c("e")).alias("s")).collect()
+    assert [r["s"] for r in got] == [47, 40, 120, 100, 120, 24]
