@@ -9,6 +9,12 @@ Each text counts a span once, so the global step groups one narrow row a span wi
 copies; repeated spans join back with one row a span on their side, so a skewed side can be split. Spans of few words
 are no evidence of copying and never count.
 
+The pipeline's stage (``deduplicated``) also finds passages that hold no two whole sentences: ``pieces`` parts sentences further, after the
+word with the smallest hash of any eight in a row that hold no end of a sentence, so no piece has more than eight words, and seven words on either
+side settle where one ends. From every piece starts one run, the shortest of pieces with at least twenty words, and one ends
+with every sentence; repeated runs go as repeated spans do. Any fifty words in a row that an earlier document has hold such a run. The first place of a run in a
+text stays whole, also where a later one overlaps it. Line ends part sentences, so a copy with other line ends is found only between them.
+
 Defined results: null and blank texts have no spans and stay as they are; rows that share a doc_id are one document to each other
 (neither is later); a null id comes after all others; a text without repeated span is returned unchanged; an empty
 table gives an empty result; other columns pass through ``without_repeats``.
@@ -17,7 +23,9 @@ table gives an empty result; other columns pass through ``without_repeats``.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +36,10 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 MIN_SENTENCES, MIN_WORDS = 2, 12
+#: Words in a row of which one ends a piece, and words of a run of pieces.
+WINDOW, RUN_WORDS = 8, 20
+_BASE = 0x9E3779B97F4A7C15
+_TOKENS = re.compile(r"\s*\S+\s*").findall
 _SENTENCES = re.compile(r"[^.!?\n]*[.!?\n]+[ \t\r\f\v]*|[^.!?\n]+").findall
 
 
@@ -51,20 +63,77 @@ def spans(text: str) -> Iterator[tuple[int, int, int]]:
             yield xxhash.xxh3_64_intdigest("\n".join(joined[i : j + 1])) - (1 << 63), i, j - i + 1
 
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 1000):
-            b, ids, hashes = whole.slice(at, 1000), [], []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = {h for h, _, _ in spans(text or "")}
-                ids += [doc_id] * len(own)
-                hashes += own
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64())], ["doc_id", "span"])
+def _over(least: np.ufunc, x: np.ndarray) -> np.ndarray:
+    """``least`` over every window of x, by doubling."""
+    n = 1
+    while n < WINDOW:
+        step = min(n, WINDOW - n)
+        x, n = least(x[:-step], x[step:]), n + step
+    return x
+
+
+def pieces(ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Where the pieces of a text begin and the last one ends, as numbers of words; ``ends`` are those of its sentences."""
+    order = hashes | np.uint64(1)
+    order[ends - 1] = 0
+    if len(order) <= WINDOW:
+        return np.concatenate([[0], ends])
+    # a word ends a piece if it is the smallest of some window: not above the largest of the minima of its windows
+    edge = np.zeros(WINDOW - 1, "u8")
+    most = _over(np.maximum, np.concatenate([edge, _over(np.minimum, order), edge]))
+    return np.concatenate([[0], np.flatnonzero(order <= most) + 1])
+
+
+@lru_cache(None)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64."""
+    up = lambda x: np.cumprod(np.concatenate([np.ones(1, "u8"), np.full(n, x, "u8")]), dtype="u8")
+    return up(_BASE), up(pow(_BASE, -1, 1 << 64))
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id and later: the hashes of the spans that a document with a smaller id has too."""
-    found = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_spans, "doc_id long, span long")
+def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first words and ends (as numbers of words) of the runs of pieces, by first word."""
+    split = [s.split() for s in sentences(text)]
+    words = list(chain.from_iterable(split))
+    if len(words) < RUN_WORDS:
+        return np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0, "i8")
+    h = np.array(list(map(xxhash.xxh3_64_intdigest, words)), "u8")
+    ends = np.cumsum([len(w) for w in split if w])
+    at = pieces(ends, h)
+    on, to = at[at <= len(words) - RUN_WORDS], ends[ends >= RUN_WORDS]
+    starts = np.concatenate([on, at[np.searchsorted(at, to - RUN_WORDS, "right") - 1]])
+    stops = np.concatenate([at[np.searchsorted(at, on + RUN_WORDS)], to])
+    starts, stops = np.divmod(np.unique(starts * (len(words) + 1) + stops), len(words) + 1)
+    power, inverse = _powers(1 << len(words).bit_length())
+    until = np.concatenate([np.zeros(1, "u8"), np.cumsum(h * power[: len(words)], dtype="u8")])
+    return ((until[stops] - until[starts]) * inverse[starts]).view("i8"), starts, stops
+
+
+def _hashed(own: Callable[[str], list[int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b, ids, hashes = whole.slice(at, 1000), [], []
+                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    found = own(text or "")
+                    ids += [doc_id] * len(found)
+                    hashes += found
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64())], ["doc_id", "span"])
+
+    return of
+
+
+def _of_spans(text: str) -> list[int]:
+    return list({h for h, _, _ in spans(text)})
+
+
+def _of_both(text: str) -> list[int]:
+    return list({*runs(text)[0].tolist(), *_of_spans(text)})
+
+
+def repeated(docs: DataFrame, own: Callable[[str], list[int]] = _of_spans) -> DataFrame:
+    """doc_id and later: the hashes of the spans (``own`` gives a text's, each once) that a document with a smaller id has too."""
+    found = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_hashed(own), "doc_id long, span long")
     counted = found.groupBy("span").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("span", "first")
     shared = written(counted, "shared-spans")
     later = found.join(shared, "span").where(~F.col("doc_id").eqNullSafe(F.col("first")))
@@ -88,9 +157,37 @@ def remove(text: str, later: set[int]) -> tuple[str, int, int]:
     return "".join(s for s, g in zip(own, gone, strict=True) if not g), len(own), int(gone.sum())
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """The rows with their columns, ``text`` without covered sentences, and the struct ``__spans`` of what was found."""
-    later = repeated(docs).select(F.col("doc_id").alias("__id"), "later")
+def remove_both(text: str, later: set[int]) -> tuple[str, int, int]:
+    """The text without words in repeated spans and runs, the number of words, and of those removed."""
+    ends = np.cumsum([0, *(len(s.split()) for s in sentences(text))])
+    change, seen, first = np.zeros(ends[-1] + 1, "i8"), set(), {}
+    for h, i, n in spans(text):
+        if h in later or h in seen:
+            change[ends[i]] += 1
+            change[ends[i + n]] -= 1
+        seen.add(h)
+    for h, a, b in zip(*(x.tolist() for x in runs(text)), strict=True):
+        a = a if h in later else max(a, first.get(h, b))
+        first.setdefault(h, b)
+        if a < b:
+            change[a] += 1
+            change[b] -= 1
+    gone = (np.cumsum(change)[:-1] > 0).tolist()
+    if not any(gone):
+        return text, len(gone), 0
+    left, i = [], 0
+    for s in sentences(text):
+        for t in _TOKENS(s) or [s]:
+            blank = not t.strip()
+            if blank or not gone[i]:
+                left.append(t)
+            i += not blank
+    return "".join(left), len(gone), sum(gone)
+
+
+def without_repeats(docs: DataFrame, own: Callable[[str], list[int]] = _of_spans, remove: Callable[[str, set[int]], tuple[str, int, int]] = remove) -> DataFrame:
+    """The rows with their columns, ``text`` without what repeated spans cover, and the struct ``__spans`` of what was found."""
+    later = repeated(docs, own).select(F.col("doc_id").alias("__id"), "later")
 
     @F.pandas_udf("kept string, n_sentences long, n_removed long")
     def cut(texts, later):
@@ -104,8 +201,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents with their columns; those of which nothing but blanks is left go."""
-    out = without_repeats(docs)
+    """The documents with their columns, without repeated spans and runs; those of which nothing but blanks is left go."""
+    out = without_repeats(docs, _of_both, remove_both)
     return out.where((F.col("__spans.n_removed") == 0) | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))).select(*docs.columns)
 
 

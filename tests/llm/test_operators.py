@@ -173,6 +173,32 @@ def test_repeated_sentences(spark, odd, none):
     assert all("".join(sentence_spans.sentences(t)) == t for t in TEXTS if t)
 
 
+def windows(t, k=50):
+    w = t.split()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+
+def test_no_fifty_words_of_an_earlier_document_stay(spark):
+    rnd = random.Random(3)
+    some = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    rows = [" ".join(some(60)) + "."] * 2 + [" ".join(some(55))] * 2
+    for dots in (0, 0.02, 0.2):
+        passages = [[w + "." * (rnd.random() < dots) for w in some(50)] for _ in range(20)]
+        rows += [" ".join(some(rnd.randrange(30)) + p + some(rnd.randrange(30))) + rnd.choice(["", ". " + " ".join(some(9)) + "."]) for _ in range(3) for p in passages]
+    alone = ["One line of thirteen words that many texts share isn't evidence of copying. " + " ".join(some(40)) for _ in range(2)]
+    docs = [(i, t) for i, t in enumerate(rows + alone)] + [(10**6 + r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text]
+    out = {r.doc_id: r for r in sentence_spans.deduplicated(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    assert 1 not in out and 3 not in out  # whole copies of a text of one sentence
+    had = set()
+    for i, t in docs:
+        left = out[i].text if i in out else ""
+        assert not {w for w in windows(left) if len(set(w)) > 3} & had, i
+        had |= windows(t)
+    assert all(out[i].text == t for i, t in docs[len(rows) : len(rows) + 2])
+    # the first place in a text stays whole, also where the next one overlaps it
+    assert sentence_spans.remove_both("na " * 100, set()) == ("na " * 20, 100, 80)
+
+
 def test_fingerprints(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
