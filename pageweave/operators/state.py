@@ -8,6 +8,22 @@ from pyspark.sql import Window as W
 
 from pageweave.functions import text as T
 
+#: Words that begin with a capital in sentences and are no names, in lower case.
+COMMON_WORDS = """
+    above absolutely across after ah alcohol all almost alone also although always and any anyway approximately around ask asked ate backward bad barely
+    beats beautiful because before believe below between big both bought bring brought but buy close closed cold come completely cook cooked cool create
+    cute dance danced definitely different drank drink drinking during each easy eat eh either end ended enter entered entirely exactly fairly fast feel
+    felt find first forever forward found gave get girls give good got great had hard hardly has hate hated have hear heard help helped here hey high hot
+    how however huh important impressive indeed just knew know last leave left let like liked listen listened live lived long look lose lost lot love
+    loved low made make maybe mean more move moved much nearly need neither never nevermind new next no nothing now often oh okay old one open opened
+    otherwise over paid pay perhaps phew play played pretty probably quite ran rarely rather read really right run said same sang sat say see seldom sell
+    send sent short show showed shown since sing sit sleep slept slow small sold some sometimes song sound sounds spend spent stand start started stay
+    stayed sticks still stood stop stopped sung super suppose take talent talk talked tall tell tender that the then there therefore these think this
+    those though thought three through today together told tomorrow took totally tried truly try turn turned two ugly under unless until use used usually
+    very wait waited wake walk walked want warm watch watched well what when where whether while who why win with woke won work worked wow write wrong
+    wrote yes yesterday you young
+""".split()
+
 
 def evict_oldest(cache: DataFrame, most: int, share: float = 0.95) -> DataFrame:
     """If a cache has over ``most`` entries, the newest ``share`` of ``most`` stay. A top-k, so no full sort in one task."""
@@ -31,10 +47,10 @@ def restore(tasks: DataFrame, previous: DataFrame) -> DataFrame:
     return out.select("page_id", F.when(done, "DONE").otherwise("PENDING").alias("state"), F.when(done, F.col("p.n_stages")).otherwise(0).alias("n_stages"), F.coalesce("p.retries", F.lit(0)).alias("retries"), F.col("p.last_error").alias("last_error"))
 
 
-def glossary(pairs: DataFrame, blacklist: DataFrame) -> DataFrame:
-    """Names of source texts that their translation has, as they are or capitalised; the last pair wins."""
+def glossary(pairs: DataFrame) -> DataFrame:
+    """Names of source texts that their translation has, as they are or capitalised; common words are none; the last pair wins."""
     found = pairs.where("src <> '' and tgt <> ''").select("ord", "tgt", F.explode(F.array_distinct(T.names(F.col("src")))).alias("term"))
-    found = found.join(blacklist.select(F.lower("term").alias("b")), F.lower("term") == F.col("b"), "left_anti")
+    found = found.where(~F.lower("term").isin(COMMON_WORDS))
     cap = F.concat(F.upper(F.substring("term", 1, 1)), F.lower(F.expr("substring(term, 2)")))
     hit = F.when(F.contains("tgt", F.col("term")), F.col("term")).when(F.contains("tgt", cap), cap)
     return found.withColumn("dst", hit).where("dst is not null").groupBy("term").agg(F.max_by("dst", "ord").alias("dst"))

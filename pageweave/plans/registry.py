@@ -238,15 +238,15 @@ def character_memory(s, d):
     return S.character_memory(rows)
 
 
-@query()
+_COMMON = ", ".join(f"'{w}'" for w in S.COMMON_WORDS)
+
+
+@query(f"with c as (select *, lead(text) over (partition by conv_id order by turn, role, text) tgt from conversations), n as (select *, unnest(list_distinct(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7f\\P{{L}}]', '_', 'g'), '\\b[A-Z][A-Za-z]{{2,}}(?:-[A-Za-z]+)?\\b'))) term from c where text <> '' and tgt <> ''), h as (select *, upper(substr(term, 1, 1)) || lower(substr(term, 2)) cap, case when contains(tgt, term) then term when contains(tgt, cap) then cap end dst from n where lower(term) not in ({_COMMON})) select term, dst from h where dst is not null qualify row_number() over (partition by term order by conv_id desc, turn desc, role desc, text desc) = 1")
 def glossary_terms(s, d):
     from pyspark.sql import Window
 
-    c = D.table(s, d, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    pairs = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("text").alias("src"), F.lead("text").over(w).alias("tgt"))
-    common = c.select(F.explode(F.array_distinct(T.names(F.col("text")))).alias("term")).groupBy("term").count().where("count > 200").select("term")
-    return S.glossary(pairs, common)
+    return S.glossary(D.table(s, d, "conversations").select(F.struct("conv_id", "turn", "role", "text").alias("ord"), F.col("text").alias("src"), F.lead("text").over(w).alias("tgt")))
 
 
 @query("select conv_id, string_agg(turn || '. [' || upper(substr(role,1,3)) || '] ' || text, chr(10) order by turn, role, text) prompt from conversations group by 1")

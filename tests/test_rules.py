@@ -168,3 +168,13 @@ def test_font_cap(spark):
     rows = [(50, 50, 50, 50, False), (100, 40, 100, 40, False), (100, 100, 1000, 1000, False), (100, 100, 1000, 1000, True), (0, 5, 9, 9, False), (10, 10, 10, 10, False)]
     got = spark.createDataFrame(rows, "w int, h int, bw int, bh int, e boolean").select(P.font_cap(8, 120, c("w"), c("h"), c("bw"), c("bh"), c("e")).alias("s")).collect()
     assert [r["s"] for r in got] == [47, 40, 120, 100, 120, 24]
+
+
+def test_glossary_leaves_common_words_out_whatever_their_number(spark, tmp_path):
+    from pageweave.plans import registry
+
+    turns = ["The Alice met BOB-san With Nevermind and Carol", "The Alice saw Bob-san With Nevermind and Bob"]
+    rows = [(c, t, "user", turns[t]) for c in range(300) for t in range(2)] + [(900, t, "user", x) for t, x in enumerate(["NOW Élan", "NOW Alice here", "", "Alice Dora", "no Dora"])]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = registry.queries()["glossary_terms"](spark, str(tmp_path)).collect()
+    assert {r.term: r.dst for r in got} == {"Alice": "Alice", "BOB-san": "Bob-san", "Dora": "Dora"}
