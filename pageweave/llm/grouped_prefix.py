@@ -1,7 +1,7 @@
 """Grouped prefix join: all documents whose shingle sets have a Jaccard similarity of a given percentage, as components.
 
-1. Documents with the same set are one: its smallest doc_id stands for it. Sets are told apart by 64-bit hashes of
-   64-bit shingle hashes.
+1. Documents with the same set are one. Sets are told apart by 64-bit hashes of 64-bit shingle hashes, rows by 64-bit
+   hashes of id and text, so ids matter only for the names of components, the smallest doc_id in each.
 2. A shingle that one set alone holds can't be shared. Over the quarter of the shingles with the smallest hashes, each is
    either shared or counts against its set; a set with more of its own than the similarity leaves room for is
    linked with nothing, and most are settled here.
@@ -13,8 +13,9 @@
    shingles. No link that a component depends on is lost, and no pairs are made inside what is already connected.
 
 Defined results: null and blank texts have the empty set and are linked with nothing; a text of fewer words than a
-shingle is one shingle; equal texts are linked whatever their number; rows that share a doc_id are each returned; a null
-id is never a component's name unless it is alone; an empty table gives an empty result; other columns are ignored.
+shingle is one shingle; equal texts are linked whatever their number; rows that share a doc_id are each returned, with the component of
+their own text; rows with a null id link as others do, and a component that only they are in has a null name; ``one_of_each`` keeps one row of a component,
+also of rows with the same id and text, and a null id after all others; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 import string
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import let, table, words, written
@@ -65,21 +66,27 @@ def _alone(rows: DataFrame, key: str) -> DataFrame:
     return ends.where("lo = hi").groupBy(F.col("lo").alias(key)).agg(F.count("*").alias("own"))
 
 
+def _row(docs: DataFrame) -> Column:
+    """What tells rows apart: a hash of id and text."""
+    return F.xxhash64(docs["doc_id"].cast("bigint"), docs["text"].cast("string"))
+
+
 def _candidates(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n, sid) of all documents, (sid, n, rep, copies) of all sets, (rep, n) of those that may have links."""
-    made = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), shingles(F.col("text"), rule.words).alias("t"))
+    """(doc_id, row, n, sid) of all documents, (sid, n, row, first, copies) of all sets, (row, rep) of those that may have links."""
+    made = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _row(docs).alias("row"), shingles(F.col("text"), rule.words).alias("t"))
     kept = F.filter(F.col("t"), lambda x: x < LOW)
-    sets = written(made.select("doc_id", F.size("t").cast("bigint").alias("n"), F.xxhash64(F.sort_array("t")).alias("sid"), kept.alias("low")), "sets")
-    reps = written(sets.where("n > 0 and doc_id is not null").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
+    sets = written(made.select("doc_id", "row", F.size("t").cast("bigint").alias("n"), F.xxhash64(F.sort_array("t")).alias("sid"), kept.alias("low")), "sets")
+    reps = written(sets.where("n > 0").groupBy("sid", "n").agg(F.min("row").alias("row"), F.min("doc_id").alias("first"), F.count("*").alias("copies")), "reps")
     own = _alone(sets.where("n > 0").select("sid", F.explode("low").alias("token")), "sid")
     open_ = reps.join(own, "sid", "left").where(F.col("n") - F.coalesce(F.col("own"), F.lit(0)) >= rule.least(F.col("n")))
-    return sets.select("doc_id", "n", "sid"), reps, written(open_.select("rep", "n"), "open-sets")
+    return sets.select("doc_id", "row", "n", "sid"), reps, written(open_.select("row", F.col("sid").alias("rep")), "open-sets")
 
 
 def _shared(docs: DataFrame, open_: DataFrame, rule: Rule) -> DataFrame:
     """rep, n, own and the shared tokens, rarest first, of the sets that may be linked."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(few(open_), "rep")
-    tokens = written(texts.groupBy("rep", "n").agg(F.first("text").alias("text")).select("rep", "n", F.explode(shingles(F.col("text"), rule.words)).alias("token")), "open-tokens")
+    texts = docs.select(_row(docs).alias("row"), "text").join(few(open_), "row")
+    made = texts.groupBy("rep").agg(F.first("text").alias("text")).select("rep", shingles(F.col("text"), rule.words).alias("t"))
+    tokens = written(made.select("rep", F.size("t").cast("bigint").alias("n"), F.explode("t").alias("token")), "open-tokens")
     often = tokens.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1")
     lists = tokens.join(often, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
     out = lists.select("rep", "n", (F.col("n") - F.size("s")).alias("own"), F.transform("s", lambda x: x["token"]).alias("shared"))
@@ -147,19 +154,36 @@ def links(docs: DataFrame, open_: DataFrame, rule: Rule) -> DataFrame:
     return found.unionByName(_verified(rest, shared, rule))
 
 
-def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
+def _named(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, n, sid) of all documents; (sid, n, c, first) of the sets of components with more than one row."""
     sets, reps, open_ = _candidates(docs, rule)
     label = components(links(docs, open_, rule))
-    named = reps.join(label, reps["rep"] == label["node"], "left").where("copies > 1 or label is not null").select("sid", "n", F.coalesce("label", "rep").alias("c"))
-    named = written(named, "named")
-    return sets.join(named, ["sid", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
+    named = reps.join(label, reps["sid"] == label["node"], "left").where("copies > 1 or label is not null").select("sid", "n", "first", F.coalesce("label", "sid").alias("c"))
+    named = written(named, "linked")
+    names = named.groupBy("c").agg(F.min("first").alias("first"))
+    return sets, written(named.drop("first").join(names, "c").select("sid", "n", "c", "first"), "named")
+
+
+def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
+    sets, named = _named(docs, rule)
+    return sets.join(named, ["sid", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """The documents with their columns, the one with the smallest doc_id of each component."""
-    gone = written(classes(docs, rule).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
-    return docs.join(few(gone), docs["doc_id"].cast("bigint") == gone["__gone"], "left_anti")
+    """The documents with their columns, of each component one row with the smallest doc_id."""
+    sets, named = _named(docs, rule)
+    rows = written(sets.join(named, ["sid", "n"]).select("c", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row").alias("r")), "linked-rows")
+    best = rows.groupBy("c").agg(F.min("r").alias("best"))
+    told = written(rows.join(best, "c").groupBy(F.col("r.row").alias("__row")).agg(F.first(F.expr("r = best")).alias("stays"), F.count("*").alias("copies")), "near-copies")
+    gone, twice = told.where("not stays").select("__row"), told.where("stays and copies > 1").select("__row")
+    marked = docs.withColumn("__row", _row(docs))
+    left = marked.join(few(gone), "__row", "left_anti")
+    if twice.limit(1).count():
+        w = Window.partitionBy("__row").orderBy(F.to_json(F.struct(*docs.columns)))
+        again = left.join(few(twice), "__row", "left_semi").withColumn("__nth", F.row_number().over(w)).where("__nth = 1").drop("__nth")
+        left = left.join(few(twice), "__row", "left_anti").unionByName(again)
+    return left.select(*docs.columns)
 
 
 #: The same rows in DuckDB: all pairs that share a shingle, then what links reach.

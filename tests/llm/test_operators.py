@@ -173,6 +173,28 @@ def test_repeated_sentences(spark, odd, none):
     assert all("".join(sentence_spans.sentences(t)) == t for t in TEXTS if t)
 
 
+def test_near_copies_of_rows_with_shared_null_and_repeated_ids(spark):
+    rnd = random.Random(11)
+    text = lambda: [f"v{rnd.randrange(10**6)}" for _ in range(80)]
+    a, b, c, d = text(), text(), text(), text()
+    edit = lambda w: " ".join([*w[:40], "other", *w[41:]])
+    a, a1, b, b1, c, c1, d = " ".join(a), edit(a), " ".join(b), edit(b), " ".join(c), edit(c), " ".join(d)
+    # two texts share id 1; near copies of b have null ids alone; c and its copy have one each; d is twice the same row
+    rows = [(1, a), (1, b), (2, a1), (None, b1), (None, c), (None, c1), (5, d), (5, d), (None, a), (7, None), (None, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    rule = grouped_prefix.Rule()
+    name = {i: v[1] for i, v in brute_classes([(i, t) for i, (_, t) in enumerate(rows)], rule.words, rule.percent).items()}
+    of = {}
+    for i, (doc_id, _) in enumerate(rows):
+        of.setdefault(name[i], []).append(doc_id)
+    want = [(doc_id, min((x for x in of[name[i]] if x is not None), default=None)) for i, (doc_id, _) in enumerate(rows)]
+    key = lambda x: repr(x)
+    assert sorted(((r.doc_id, r.component_id) for r in grouped_prefix.classes(docs, rule).collect()), key=key) == sorted(want, key=key)
+    left = sorted(((r.doc_id, r.text) for r in grouped_prefix.one_of_each(docs, rule).collect()), key=key)
+    texts = [x for x in left if x not in {(None, c), (None, c1)}]
+    assert len(left) == len(texts) + 1 and texts == sorted([(1, a), (1, b), (5, d), (7, None), (None, " ")], key=key)
+
+
 def windows(t, k=50):
     w = t.split()
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
