@@ -169,7 +169,7 @@ class Codec:
         self.transducer = Transducer(self.merges, self.sizes)
         self.byte_of = {c: b for b, c in letters.items()}
         self.known: dict[str, list[int]] = {}
-        self.store: dict[str, tuple[bytes, str]] = {}
+        self.store: dict[str, bytes] = {}
 
     def word(self, word: str) -> list[int]:
         """Ids of one word; those of short words are kept."""
@@ -209,14 +209,14 @@ class Codec:
             yield state.feed(data) + (state.end() + " " if ended else "")
         yield state.end()
 
-    def piece(self, piece: str) -> tuple[bytes, str]:
+    def piece(self, piece: str) -> bytes:
         ids = self.ids(piece)
-        return pack(f"<{len(ids)}I", *ids), self.shown(ids)
+        return pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids (little-endian, 32 bits) and their decoding. Words never span a space, so pieces between spaces are encoded
+        """Ids (little-endian, 32 bits) and what these decode to. Words never span a space, so pieces between spaces are encoded
         apart; short ones are kept, and all are dropped when the store is full."""
-        store, found, ids = self.store, [], []
+        store, found = self.store, []
         for p in text.split(" "):
             x = store.get(p)
             if x is None:
@@ -225,10 +225,9 @@ class Codec:
                     if len(store) >= MEMO:
                         store.clear()
                     store[p] = x
-            if x[0]:
-                ids.append(x[0])
-                found.append(x[1])
-        return b"".join(ids), " ".join(found)
+            found.append(x)
+        ids = b"".join(found)
+        return ids, self.shown(np.frombuffer(ids, "<u4").tolist())
 
 
 @cache

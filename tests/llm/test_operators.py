@@ -364,3 +364,12 @@ def test_token_pieces_equal_the_library():
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_against_duckdb(spark, name):
     same(spark, registry.queries()[name], registry.oracle_sql()[name], SF)
+
+
+def test_decoding_reads_the_ids():
+    codec = bpe_stream.Codec(public_tokenizers.path("word_bpe_49k.json"))
+    ids, shown = codec.encode("one two  one")
+    assert shown.split(" ") == [codec.tokens[i] for i in np.frombuffer(ids, "<u4").tolist()]
+    first = int(np.frombuffer(ids, "<u4")[0])
+    codec.tokens[first] = "changed"
+    assert codec.encode("one two  one")[1].startswith("changed ")
