@@ -16,8 +16,8 @@ with every sentence; repeated runs go as repeated spans do. Any fifty words in a
 text stays whole, also where a later one overlaps it. Line ends part sentences, so a copy with other line ends is found only between them.
 
 Defined results: null and blank texts have no spans and stay as they are; rows that share a doc_id are one document to each other
-(neither is later); a null id comes after all others; a text without repeated span is returned unchanged; an empty
-table gives an empty result; other columns pass through ``without_repeats``.
+(neither is later); a null id comes after all others; a text without repeated span is returned unchanged; texts of any length are
+handled whole, one at a time; an empty table gives an empty result; other columns, whatever their names, pass through ``without_repeats``.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import fresh, table, written
 
 MIN_SENTENCES, MIN_WORDS = 2, 12
 #: Words in a row of which one ends a piece, and words of a run of pieces.
@@ -133,7 +133,8 @@ def _of_both(text: str) -> list[int]:
 
 def repeated(docs: DataFrame, own: Callable[[str], list[int]] = _of_spans) -> DataFrame:
     """doc_id and later: the hashes of the spans (``own`` gives a text's, each once) that a document with a smaller id has too."""
-    found = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_hashed(own), "doc_id long, span long")
+    # written once: the narrow spans are counted, and those that are repeated are looked up again
+    found = written(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_hashed(own), "doc_id long, span long"), "spans")
     counted = found.groupBy("span").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("span", "first")
     shared = written(counted, "shared-spans")
     later = found.join(shared, "span").where(~F.col("doc_id").eqNullSafe(F.col("first")))
@@ -186,8 +187,9 @@ def remove_both(text: str, later: set[int]) -> tuple[str, int, int]:
 
 
 def without_repeats(docs: DataFrame, own: Callable[[str], list[int]] = _of_spans, remove: Callable[[str, set[int]], tuple[str, int, int]] = remove) -> DataFrame:
-    """The rows with their columns, ``text`` without what repeated spans cover, and the struct ``__spans`` of what was found."""
-    later = repeated(docs, own).select(F.col("doc_id").alias("__id"), "later")
+    """The rows with their columns, ``text`` without what repeated spans cover, and a last column, the struct of what was found."""
+    doc_id, later, told = fresh(docs, "id"), fresh(docs, "later"), fresh(docs, "spans")
+    found = repeated(docs, own).select(F.col("doc_id").alias(doc_id), F.col("later").alias(later))
 
     @F.pandas_udf("kept string, n_sentences long, n_removed long")
     def cut(texts, later):
@@ -196,14 +198,14 @@ def without_repeats(docs: DataFrame, own: Callable[[str], list[int]] = _of_spans
         rows = [(None, 0, 0) if t is None else remove(t, set() if x is None else set(x.tolist())) for t, x in zip(texts, later, strict=True)]
         return pd.DataFrame(rows, columns=["kept", "n_sentences", "n_removed"])
 
-    joined = docs.join(later, docs["doc_id"].cast("bigint").eqNullSafe(later["__id"]), "left")
-    return joined.withColumn("__spans", cut(F.col("text").cast("string"), F.col("later"))).select(*[F.col("__spans.kept").alias("text") if c == "text" else docs[c] for c in docs.columns], "__spans")
+    joined = docs.join(found, docs["doc_id"].cast("bigint").eqNullSafe(found[doc_id]), "left")
+    return joined.withColumn(told, cut(docs["text"].cast("string"), F.col(later))).select(*[F.col(f"{told}.kept").alias("text") if c == "text" else docs[c] for c in docs.columns], told)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents with their columns, without repeated spans and runs; those of which nothing but blanks is left go."""
     out = without_repeats(docs, _of_both, remove_both)
-    return out.where((F.col("__spans.n_removed") == 0) | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))).select(*docs.columns)
+    return out.where((F.col(out.columns[-1])["n_removed"] == 0) | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))).select(*docs.columns)
 
 
 _SP = r"[\t-\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -222,4 +224,4 @@ select d.doc_id, case when d.text is null then null else coalesce(kept.text, '')
 
 def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return without_repeats(docs).select("doc_id", "text", F.col("__spans.n_sentences").alias("n_sentences"), F.col("__spans.n_removed").alias("n_removed"))
+    return without_repeats(docs).select("doc_id", "text", "spans.n_sentences", "spans.n_removed")
