@@ -4,15 +4,18 @@ An archive starts with a skippable frame (magic 0x184D2A5D) that holds the dicti
 trained on at most the first 256 payloads of the archive (up to 4 MB). Every record is one frame with a content
 checksum. The reader loads the dictionary, decodes a frame at a time in memory bounded by one record, and checks the
 version line, the mandatory headers, Content-Length against the block, the record's end, the HTTP length and the
-payload digest. Archives are written by tasks straight into the shared folder under names of their own; a manifest,
+payload digest; whatever is broken is a ``WarcError``. Archives are written by tasks straight into the shared folder under names of their own; a manifest,
 committed by Spark's writer, lists those of the attempts that succeeded, so a lost executor leaves no half archive in it.
 
 Payloads of at least 100 bytes that occur more than once are stored once: the row with the smallest id is the response,
 the others are revisit records without payload that refer to it.
 
+The folder is opened by Arrow's file systems in the tasks (local, HDFS, S3, GCS, ABFS; ``s3a`` is taken as ``s3``), the manifest by Spark's.
+
 Defined results: a null payload is empty, a null url has no target header; a null id writes no page header, is never the
 one referred to, and revisits the smallest known id; rows that repeat the smallest id with the same payload are responses
-too; empty tables give an empty result; other columns are ignored.
+too; every record has an id of its own, from its archive and place, and revisits name the page they refer to; payloads of any
+length are one record; empty tables give an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, written
+from .common import shared_dir, slices, table, written
 
 # Fixed values of the formats.
 SKIPPABLE = 0x184D2A5D
@@ -51,15 +54,15 @@ def _head(lines: list[tuple[str, object]]) -> str:
     return "".join(f"{k}: {v}\r\n" for k, v in lines if v is not None)
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = "2020-01-01T00:00:00Z") -> bytes:
-    """One WARC record: a response with its payload, or a revisit with the HTTP head alone."""
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = "2020-01-01T00:00:00Z", name: str = "") -> bytes:
+    """One WARC record: a response with its payload, or a revisit with the HTTP head alone. ``name`` tells it from all others."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     url = None if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
     head = _head([
-        ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"), ("WARC-Date", date),
+        ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name or f'page:{page_id}')}>"), ("WARC-Date", date),
         ("WARC-Target-URI", url), ("WARC-Page-ID", page_id), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Profile", PROFILE if refers_to is not None else None),
-        ("WARC-Refers-To", None if refers_to is None else f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>"), ("WARC-Refers-To-Page-ID", refers_to),
+        ("WARC-Refers-To-Page-ID", refers_to),
         ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(block)),
     ])
     return f"{VERSION}\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
@@ -81,7 +84,10 @@ def archive_head(data: bytes) -> bytes:
 def parse_record(raw: bytes) -> dict:
     """The record's fields; raises WarcError where a header or a length is wrong."""
     head, sep, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
+    try:
+        lines = head.decode("utf-8").split("\r\n")
+    except UnicodeDecodeError as e:
+        raise WarcError(f"the head is no UTF-8: {e}") from e
     if not sep or lines[0] != VERSION:
         raise WarcError(f"no {VERSION} head: {lines[0][:40]!r}")
     headers = {}
@@ -103,23 +109,32 @@ def parse_record(raw: bytes) -> dict:
         raise WarcError("the HTTP head has no length")
     if kind == "response" and (len(payload) != int(length) or hashlib.sha256(payload).hexdigest() != digest[7:]):
         raise WarcError("the payload doesn't have the length or digest it claims")
-    if kind == "revisit" and (payload or "warc-refers-to" not in headers or headers.get("warc-profile") != PROFILE):
+    if kind == "revisit" and (payload or "warc-refers-to-page-id" not in headers or headers.get("warc-profile") != PROFILE):
         raise WarcError("not a revisit by identical payload digest")
-    number = lambda h: int(headers[h]) if h in headers else None
+
+    def number(h: str) -> int | None:
+        if h in headers and not headers[h].removeprefix("-").isdecimal():
+            raise WarcError(f"{h} is no number: {headers[h][:40]!r}")
+        return int(headers[h]) if h in headers else None
+
     return {"page_id": number("warc-page-id"), "target_uri": headers.get("warc-target-uri"), "record_type": kind, "refers_to": number("warc-refers-to-page-id"), "payload_bytes": int(length), "payload_digest": digest[7:], "payload": payload if kind == "response" else None}
 
 
 def read_archive(stream, chunk: int = 1 << 20) -> Iterator[dict]:
     """The records of an archive, frame by frame."""
-    magic, n = struct.unpack("<II", stream.read(8) or bytes(8))
+    head = stream.read(8)
+    magic, n = struct.unpack("<II", head) if len(head) == 8 else (0, 0)
     if magic != SKIPPABLE:
         raise WarcError("the archive doesn't start with a dictionary frame")
     data = stream.read(n)
     if len(data) != n:
         raise WarcError("the dictionary is cut short")
-    if data[:4] == ZSTD_MAGIC:
-        data = zstandard.ZstdDecompressor().decompress(data)
-    decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data))
+    try:
+        if data[:4] == ZSTD_MAGIC:
+            data = zstandard.ZstdDecompressor().decompress(data)
+        decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data))
+    except zstandard.ZstdError as e:
+        raise WarcError(f"bad dictionary: {e}") from e
     left = stream.read(chunk)
     while left:
         frame, parts = decoder.decompressobj(), []
@@ -136,12 +151,16 @@ def read_archive(stream, chunk: int = 1 << 20) -> Iterator[dict]:
         yield parse_record(b"".join(parts))
 
 
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri("s3" + path[3:] if path.startswith(("s3a:", "s3n:")) else path)
+
+
 def _writer(root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        disk, base = fs.FileSystem.from_uri(root)
+        disk, base = _opened(root)
         disk.create_dir(base, recursive=True)
         part, out, made, packer = TaskContext.get().partitionId(), None, [], None
-        for batch in batches:
+        for batch in (b for whole in batches for b in slices(whole, 2)):
             rows = zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True)
             rows = [(a, b, (c or "").encode("utf-8"), d, e) for a, b, c, d, e in rows]
             for page_id, url, payload, digest, refers in rows:
@@ -155,7 +174,7 @@ def _writer(root: str):
                     packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(data), write_checksum=True)
                     out, n = disk.open_output_stream(path), 0
                     out.write(archive_head(data))
-                out.write(packer.compress(record_bytes(page_id, url, payload, digest, refers)))
+                out.write(packer.compress(record_bytes(page_id, url, payload, digest, refers, name=f"{path}#{n}")))
                 n += 1
                 if out.tell() > ROLL_BYTES:
                     made.append((path, n, out.tell()))
@@ -177,7 +196,7 @@ def _reader(with_payload: bool):
         schema = pa.schema(fields)
         for batch in batches:
             for path, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                disk, name = fs.FileSystem.from_uri(path)
+                disk, name = _opened(path)
                 rows, held, seen = [], 0, 0
                 with disk.open_input_stream(name) as stream:
                     for r in read_archive(stream):
@@ -199,7 +218,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     """Writes one or more archives a partition and returns the manifest (path, records, bytes)."""
     spark = pages.sparkSession
     digest = F.sha2(F.coalesce(F.col(payload), F.lit("")), 256)
-    rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(payload).alias("html"), digest.alias("digest"))
+    rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(payload).cast("string").alias("html"), digest.alias("digest"))
     shared = rows.where(F.octet_length("html") >= MIN_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     shared = written(shared.select("digest", "first"), "warc-shared")  # its size is then known: small ones are broadcast
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
