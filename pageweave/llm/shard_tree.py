@@ -3,11 +3,13 @@
 A key descends region, rack and shard. At each level every child draws ``-ln(u) / weight`` with ``u`` hashed from
 the key and the child's name; the smallest draw wins. A child's draw depends on nothing but the key, its name and
 its own weight (the sum of the shards below it), so a changed weight moves keys only into or out of that child,
-and movement stays within the subtrees whose weights change. A shard that opens a region of its own takes rows
-only into itself. All of it is column expressions; nothing is collected.
+and movement stays within the subtrees whose weights change. A shard added below a region or rack that has others makes
+these heavier, so some rows also move to its neighbours there; ``grown`` adds it as a region of its own, which takes rows only into
+itself, whatever the tree. All of it is column expressions; nothing is collected.
 
-Defined results: a null key hashes as the word ``null``; equal keys share a shard; null and empty texts have size 1 and
-checksum 0; children of weight 0 or less take nothing; an empty table gives an empty result; other columns are ignored.
+Defined results: a null key hashes as the word ``null``; equal keys share a shard, rows of equal keys have slots by checksum and size;
+null and empty texts have size 1 and checksum 0; texts of any length are measured where they lie; children of weight 0 or less take nothing;
+an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import table
+from .common import table, written
 
 SHARDS, SLOT_BUCKETS = 8, 1024
 
@@ -38,6 +40,11 @@ def even_tree(shards: int, per_rack: int = 2, racks: int = 2) -> list[Leaf]:
     return [Leaf(s // per_region, s % per_region // per_rack, s) for s in range(shards)]
 
 
+def grown(leaves: list[Leaf], weight: float = 1.0) -> list[Leaf]:
+    """The tree with one more shard, in a region of its own: rows move only into it."""
+    return [*leaves, Leaf(max((x.region for x in leaves), default=-1) + 1, 0, max((x.shard for x in leaves), default=-1) + 1, weight)]
+
+
 def _unit(key: Column, name: Column) -> Column:
     """A number in (0, 1) from 52 bits of the hash."""
     bits = F.conv(F.substring(F.md5(F.concat(key, F.lit("|"), name)), 1, 13), 16, 10).cast("bigint")
@@ -84,8 +91,8 @@ def _bucket(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null"))), 14, 8), 16, 10).cast("bigint") % SLOT_BUCKETS
 
 
-def assign(docs: DataFrame, leaves: list[Leaf], grown: list[Leaf] | None = None, key: str = "doc_id") -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot and grown_shard (null without ``grown``).
+def assign(docs: DataFrame, leaves: list[Leaf], after: list[Leaf] | None = None, key: str = "doc_id") -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot and grown_shard (that of the tree ``after``, else null).
 
     Slots number a shard's rows from 0 without gaps: rows are ranked in 1024 hash buckets of each shard, whose
     counts (at most 1024 a shard, so of bounded size) give each bucket its first slot.
@@ -93,9 +100,10 @@ def assign(docs: DataFrame, leaves: list[Leaf], grown: list[Leaf] | None = None,
     k, data = F.col(key), F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     placed = docs.select(
         k.alias("doc_id"), (F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("bigint") + 1).alias("size"), F.crc32(data).alias("text_crc32"),
-        place(k, leaves)["shard"].alias("shard"), (place(k, grown)["shard"] if grown else F.lit(None).cast("int")).alias("grown_shard"), _bucket(k).alias("bucket"),
+        place(k, leaves)["shard"].alias("shard"), (place(k, after)["shard"] if after else F.lit(None).cast("int")).alias("grown_shard"), _bucket(k).alias("bucket"),
     )
-    counts = docs.select(place(k, leaves)["shard"].alias("shard"), _bucket(k).alias("bucket")).groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    placed = written(placed, "placed")  # narrow, and read twice: a key descends once
+    counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     first = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = W.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
@@ -104,5 +112,5 @@ def assign(docs: DataFrame, leaves: list[Leaf], grown: list[Leaf] | None = None,
 
 
 def op5_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = assign(table(spark, sf_dir, "documents"), even_tree(SHARDS), even_tree(SHARDS + 1))
+    out = assign(table(spark, sf_dir, "documents"), even_tree(SHARDS), grown(even_tree(SHARDS)))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
