@@ -12,7 +12,9 @@ source has as many groups as its documents need, and draws are hashes too, so re
 Only DataFrame functions are used; rows are narrow (no texts) and no group exceeds a small multiple of 32.
 
 Defined results: null and blank texts have size 0 and take 0; a null source is a source; rows that repeat the same document
-(same id, source and text) share one draw; an empty table gives an empty result; other columns pass through ``mixed``.
+(same id, source and text) share one draw; texts of any length are counted where they lie; an empty table gives an empty result;
+other columns, whatever their names, pass through ``mixed``. Documents are told apart by their id and a 64-bit hash of id, source and text.
+The sources' sizes, one row each, pass through one task: meant for up to some millions of sources.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import let, table, words, written
+from .common import fresh, let, table, words, written
 
 WEIGHTS, SHARE, LIMIT, FOLD = (3, 1, 2), 1.5, 2, 32
 
@@ -69,13 +71,13 @@ def _fold(rows: Column, seed: Column) -> Column:
 
         return let(F.struct(gain.alias("gain"), lose.alias("lose"), first.alias("first")), settle)
 
-    start = F.struct(F.get(rows, F.lit(0)).alias("rest"), F.array().cast("array<struct<key:bigint,up:boolean>>").alias("done"))
+    start = F.struct(F.get(rows, F.lit(0)).alias("rest"), F.array().cast("array<struct<key:struct<hash:bigint,id:bigint>,up:boolean>>").alias("done"))
     step = lambda acc, x: let(meet(acc["rest"], x), lambda m: F.struct(m["rest"].alias("rest"), F.concat(acc["done"], F.array(m["out"])).alias("done")))
     return F.aggregate(F.slice(rows, 2, F.size(rows)), start, step)
 
 
 def pivot(units: DataFrame, seed: int = 0) -> DataFrame:
-    """key and up (the fraction became 1) of units (key bigint, source, w > 0, 0 < p < 1, n_docs of the source).
+    """key and up (the fraction became 1) of units (key of hash and id, source, w > 0, 0 < p < 1, n_docs of the source).
 
     Each level writes what it settles and hands on one residual a group, so level k moves 1/32^k of the rows.
     The last residual of a source is rounded by its fraction.
@@ -97,10 +99,14 @@ def pivot(units: DataFrame, seed: int = 0) -> DataFrame:
         now, level = rest.select("key", "source", "w", "p", F.when(F.col("groups") > 1, F.ceil(F.col("groups") / FOLD)).otherwise(1).alias("groups")), level + 1
 
 
+def _key(docs: DataFrame) -> Column:
+    doc_id = docs["doc_id"].cast("bigint")
+    return F.struct(F.xxhash64(doc_id, F.lit("s"), docs["source"].cast("string"), F.lit("t"), docs["text"].cast("string")).alias("hash"), doc_id.alias("id"))
+
+
 def copies(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """One row a document: doc_id, key, size, source, source_size, target, copies. ``key`` hashes id, source and text."""
-    key = F.xxhash64("doc_id", F.lit("s"), "source", F.lit("t"), "text")
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.size(words(F.col("text"))).cast("bigint").alias("size"), key.alias("key"))
+    """One row a document: doc_id, key, size, source, source_size, target, copies."""
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.size(words(F.col("text"))).cast("bigint").alias("size"), _key(docs).alias("key"))
     # same id, source and text: one unit of all their words, settled once
     units = written(rows.groupBy("key", "doc_id", "source", "size").agg(F.count("*").alias("m")), "units")
     by_source = units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.sum("m").alias("n_docs"))
@@ -115,13 +121,13 @@ def copies(docs: DataFrame, seed: int = 0) -> DataFrame:
 
 def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The documents with the columns they came with, each as often as the mix takes it."""
-    key = F.xxhash64("doc_id", F.lit("s"), F.col("source").cast("string"), F.lit("t"), "text")
-    times = copies(docs, seed).where("copies > 0").select(F.col("key").alias("__key"), F.col("copies").cast("int").alias("__n"))
-    out = docs.withColumn("__key", key).join(times, "__key")
-    return out.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    key, times = fresh(docs, "key"), fresh(docs, "times")
+    taken = copies(docs, seed).where("copies > 0").select(F.col("key").alias(key), F.sequence(F.lit(1), F.col("copies").cast("int")).alias(times))
+    out = docs.withColumn(key, _key(docs)).join(taken, key)
+    return out.withColumn(times, F.explode(times)).select(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = copies(table(spark, sf_dir, "documents"))
-    out = out.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
+    out = out.withColumn("m", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
