@@ -5,17 +5,21 @@
 2. A shingle that one set alone holds can't be shared. Over the quarter of the shingles with the smallest hashes, each is
    either shared or counts against its set; a set with more of its own than the similarity leaves room for is
    linked with nothing, and most are settled here.
-3. The rest are ordered by frequency, own shingles first, and sets of equal size, equal number of own
-   shingles and equal prefix of shared ones form one group.
-4. Groups that share a prefix shingle are paired, if sizes and positions still allow the overlap: first the group with the fewest
-   own shingles with each of the others, its leader against their members, and every group's leader against its own
-   members. Then, of groups and members not yet connected, all pairs. Every pair is verified on its shared
+3. The rest are ordered by frequency, own shingles first. Linked sets have a shingle in common within their prefixes, and a second
+   one no later than right after them. Sets of equal size, equal number of own shingles and equal prefix (with the shingle after it) form
+   one group.
+4. Groups meet at the shingles of their prefixes, if sizes and positions still allow the overlap; at a shingle that very many groups have, only
+   those that also have a second shingle in common. First the group with the fewest own shingles meets each of the others, its leader
+   (the smallest member) their members, and every leader the members of its own group. Then leaders of groups with parts that aren't connected
+   yet; then, of parts that still aren't, the members. The distance of sets (1 - similarity) obeys the triangle inequality and every member's
+   distance from its leader is known, so members that their leaders' distance rules out aren't paired. Every pair is verified on its shared
    shingles. No link that a component depends on is lost, and no pairs are made inside what is already connected.
 
 Defined results: null and blank texts have the empty set and are linked with nothing; a text of fewer words than a
-shingle is one shingle; equal texts are linked whatever their number; rows that share a doc_id are each returned, with the component of
-their own text; rows with a null id link as others do, and a component that only they are in has a null name; ``one_of_each`` keeps one row of a component,
-also of rows with the same id and text, and a null id after all others; an empty table gives an empty result; other columns are ignored.
+shingle is one shingle; a text of any length is one row with all its shingles; equal texts are linked whatever their number; rows that share a
+doc_id are each returned, with the component of their own text; rows with a null id link as others do, and a component that only they are in
+has a null name; ``one_of_each`` keeps one row of a component, also of rows with the same id and text, and a null id after all others; an
+empty table gives an empty result; ``classes`` ignores other columns, ``one_of_each`` passes them through, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,11 +30,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, table, words, written
+from .common import few, fresh, let, table, words, written
 from .components import components
 
-#: Rows of two numbers (16 MB) up to which a table of documents is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Groups with a prefix shingle from which on they meet at pairs of shingles instead.
+MANY = 64
 LOW = -(1 << 63) + (1 << 62)  # hashes below: a quarter
 
 
@@ -55,11 +59,6 @@ def shingles(text: Column, k: int) -> Column:
     return let(words(lowered), lambda w: F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.size(w) < k, F.array(F.xxhash64(w))).otherwise(runs(w)))
 
 
-def few(rows: DataFrame) -> DataFrame:
-    """``rows``, marked for broadcast if they are few enough."""
-    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
-
-
 def _alone(rows: DataFrame, key: str) -> DataFrame:
     """For each set, how many of its tokens no other set has: rows of (token, key)."""
     ends = rows.groupBy("token").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
@@ -119,39 +118,76 @@ def _crossing(posts: DataFrame, parts: DataFrame, rule: Rule) -> DataFrame:
     return met.select(F.col("a.g").alias("g"), F.col("a.lg").alias("lg"), F.col("b.g").alias("h"), F.col("b.lg").alias("lh")).distinct()
 
 
-def _verified(pairs: DataFrame, shared: DataFrame, rule: Rule) -> DataFrame:
+def _posts(groups: DataFrame) -> DataFrame:
+    """token, g, n, own, pos: where groups may meet. Of the first two shingles that linked sets have in common the first is in both
+    prefixes, so where many groups have it, it goes together with each of the shingles after it."""
+    each = groups.select("g", "n", "own", "prefix", F.posexplode("prefix").alias("i", "token")).where("i < size(prefix) - 1")
+    often = each.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > MANY).select("token", F.lit(True).alias("often"))
+    told = each.join(often, "token", "left").withColumn("pos", F.col("own") + F.col("i"))
+    plain = told.where("often is null").select("token", "g", "n", "own", "pos")
+    then = F.explode(F.slice("prefix", F.col("i") + 2, F.size("prefix"))).alias("then")
+    two = told.where("often").select("token", "g", "n", "own", "pos", then).select(F.xxhash64("token", "then").alias("token"), "g", "n", "own", "pos")
+    return plain.unionByName(two)
+
+
+def _overlaps(pairs: DataFrame, shared: DataFrame, rule: Rule, label: str) -> DataFrame:
+    """a, b, their distance d and whether they are linked."""
     left = shared.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
     right = shared.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.join(left, "a").join(right, "b").withColumn("o", both)
-    return written(joined.where(100 * F.col("o") >= rule.percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b"), "verified")
+    joined = pairs.join(left, "a").join(right, "b").withColumn("o", F.size(F.array_intersect("sa", "sb")))
+    union = F.col("na") + F.col("nb") - F.col("o")
+    return written(joined.select("a", "b", (1 - F.col("o") / union).alias("d"), (100 * F.col("o") >= rule.percent * union).alias("linked")), label)
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
 def links(docs: DataFrame, open_: DataFrame, rule: Rule) -> DataFrame:
     """Verified links (a, b) of sets, enough to connect all that are connected."""
     shared = _shared(docs, open_, rule)
-    length = F.col("n") - rule.least(F.col("n")) + 1 - F.col("own")
-    keyed = shared.select("rep", "n", "own", F.slice("shared", F.lit(1), F.greatest(length, F.lit(0)).cast("int")).alias("prefix"))
+    length = (F.col("n") - rule.least(F.col("n")) + 2 - F.col("own")).cast("int")
+    keyed = shared.select("rep", "n", "own", F.slice("shared", F.lit(1), length).alias("prefix"))
+    # where the shingles end with the prefix, nothing stands for the one after it
+    keyed = keyed.withColumn("prefix", F.when(F.size("prefix") < length, F.concat("prefix", F.array(F.lit(0).cast("bigint")))).otherwise(F.col("prefix")))
     keyed = written(keyed.withColumn("key", F.xxhash64("n", "own", "prefix")), "prefixes")
     groups = written(keyed.groupBy("key", "n", "own").agg(F.min("rep").alias("g"), F.first("prefix").alias("prefix"), F.count("*").alias("size")), "groups")
     members = written(keyed.select("rep", "key").join(groups.select("key", "g"), "key").select("rep", "g"), "members")
-    posts = groups.select("g", "n", "own", F.posexplode("prefix").alias("i", "token")).select("token", "g", "n", "own", (F.col("own") + F.col("i")).alias("pos"))
-    posts = written(posts, "posts")
-    # a group's leader is its smallest member, which gives the group its name
+    posts = written(_posts(groups), "posts")
     own = groups.where("size > 1").select("g", F.col("g").alias("h"))
-    across = _stars(posts, rule).unionByName(own)
-    first = written(across.join(members.withColumnRenamed("g", "h"), "h").select(F.least("g", "rep").alias("a"), F.greatest("g", "rep").alias("b")).where("a <> b").distinct(), "first-pairs")
-    found = _verified(first, shared, rule)
-    label = components(found)
-    labelled = written(members.join(label, members["rep"] == label["node"], "left").select("rep", "g", F.coalesce("label", "rep").alias("label")), "labelled")
-    parts = labelled.select("g", F.col("label").alias("lg")).distinct()
-    inside = parts.join(parts.select("g", F.col("lg").alias("lh")), "g").where("lg < lh").select("g", "lg", F.col("g").alias("h"), "lh")
-    open_parts = _crossing(posts, parts, rule).unionByName(inside)
-    left = labelled.select(F.col("rep").alias("a0"), "g", F.col("label").alias("lg"))
-    right = labelled.select(F.col("rep").alias("b0"), F.col("g").alias("h"), F.col("label").alias("lh"))
-    rest = open_parts.join(left, ["g", "lg"]).join(right, ["h", "lh"]).select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b"))
-    rest = rest.join(first, ["a", "b"], "left_anti")
-    return found.unionByName(_verified(rest, shared, rule))
+    across = _stars(posts, rule).unionByName(own).join(members.withColumnRenamed("g", "h"), "h")
+    first = written(across.select(*_ordered("g", "rep")).where("a <> b").distinct(), "first-pairs")
+    told = _overlaps(first, shared, rule, "first-overlaps")
+    found = told.where("linked").select("a", "b")
+    label = components(found).withColumnRenamed("label", "l")
+    # a leader is its group's smallest member, so it is the first of its pairs with the others
+    far = told.select(F.col("a").alias("g"), F.col("b").alias("rep"), "d")
+    placed = members.join(far, ["g", "rep"], "left").join(label, members["rep"] == label["node"], "left")
+    placed = written(placed.select(members["rep"], members["g"], F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("l", members["rep"]).alias("lg")), "placed")
+    parts = written(placed.groupBy("g", "lg").agg(F.max("d").alias("r")), "parts")
+    inside = parts.select("g", "lg").join(parts.select("g", F.col("lg").alias("lh")), "g").where("lg < lh").select("g", "lg", F.col("g").alias("h"), "lh")
+    apart = written(_crossing(posts, parts.select("g", "lg"), rule).unionByName(inside), "apart")
+    leaders = _overlaps(apart.where("g <> h").select(*_ordered("g", "h")).distinct(), shared, rule, "leader-overlaps")
+    more = leaders.where("linked").select("a", "b")
+    if more.limit(1).count():
+        found = written(found.unionByName(more), "found")
+        new = components(found)
+        at = lambda x: new.select(F.col("node").alias(x), F.col("label").alias(f"now_{x}"))
+        apart = apart.join(at("lg"), "lg", "left").join(at("lh"), "lh", "left").where(F.coalesce("now_lg", "lg") != F.coalesce("now_lh", "lh")).select("g", "lg", "h", "lh")
+    return found.unionByName(_overlaps(_members_apart(apart, parts, placed, leaders, rule).join(first, ["a", "b"], "left_anti"), shared, rule, "last-overlaps").where("linked").select("a", "b"))
+
+
+def _members_apart(apart: DataFrame, parts: DataFrame, placed: DataFrame, leaders: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b) of members of parts that aren't connected, where the triangle inequality leaves room for a link."""
+    most = 1 - rule.percent / 100 + 1e-9
+    between = leaders.select("a", "b", F.col("d").alias("between"))
+    pairs = apart.select("*", *_ordered("g", "h")).join(between, ["a", "b"], "left").drop("a", "b").withColumn("between", F.coalesce("between", F.lit(0.0)))
+    radius = lambda g, l, r: parts.select(F.col("g").alias(g), F.col("lg").alias(l), F.col("r").alias(r))
+    near = pairs.join(radius("g", "lg", "rg"), ["g", "lg"]).join(radius("h", "lh", "rh"), ["h", "lh"]).where(F.col("between") - F.col("rg") - F.col("rh") <= most)
+    member = lambda g, l, x, d: placed.select(F.col("g").alias(g), F.col("lg").alias(l), F.col("rep").alias(x), F.col("d").alias(d))
+    both = near.join(member("g", "lg", "x", "dx"), ["g", "lg"]).join(member("h", "lh", "y", "dy"), ["h", "lh"])
+    longest = F.greatest("between", "dx", "dy")  # no side of a way is longer than the others together
+    return both.where(2 * longest - F.col("between") - F.col("dx") - F.col("dy") <= most).select(*_ordered("x", "y")).distinct()
 
 
 def _named(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
@@ -173,16 +209,17 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The documents with their columns, of each component one row with the smallest doc_id."""
     sets, named = _named(docs, rule)
+    mine, nth = fresh(docs, "row"), fresh(docs, "nth")
     rows = written(sets.join(named, ["sid", "n"]).select("c", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row").alias("r")), "linked-rows")
     best = rows.groupBy("c").agg(F.min("r").alias("best"))
-    told = written(rows.join(best, "c").groupBy(F.col("r.row").alias("__row")).agg(F.first(F.expr("r = best")).alias("stays"), F.count("*").alias("copies")), "near-copies")
-    gone, twice = told.where("not stays").select("__row"), told.where("stays and copies > 1").select("__row")
-    marked = docs.withColumn("__row", _row(docs))
-    left = marked.join(few(gone), "__row", "left_anti")
+    told = written(rows.join(best, "c").groupBy(F.col("r.row").alias(mine)).agg(F.first(F.expr("r = best")).alias("stays"), F.count("*").alias("copies")), "near-copies")
+    gone, twice = told.where("not stays").select(mine), told.where("stays and copies > 1").select(mine)
+    marked = docs.withColumn(mine, _row(docs))
+    left = marked.join(few(gone), mine, "left_anti")
     if twice.limit(1).count():
-        w = Window.partitionBy("__row").orderBy(F.to_json(F.struct(*docs.columns)))
-        again = left.join(few(twice), "__row", "left_semi").withColumn("__nth", F.row_number().over(w)).where("__nth = 1").drop("__nth")
-        left = left.join(few(twice), "__row", "left_anti").unionByName(again)
+        w = Window.partitionBy(mine).orderBy(F.to_json(F.struct(*docs.columns)))
+        again = left.join(few(twice), mine, "left_semi").withColumn(nth, F.row_number().over(w)).where(F.col(nth) == 1).drop(nth)
+        left = left.join(few(twice), mine, "left_anti").unionByName(again)
     return left.select(*docs.columns)
 
 
