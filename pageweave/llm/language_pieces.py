@@ -1,19 +1,21 @@
 """Language identification by unigram pieces, summed over all segmentations.
 
 Every language has probabilities of the pieces of a fixed public vocabulary. A text is lower-cased and cut into words of
-letters, which pieces never cross, so its probability is the product of its words' and a word's the sum over all its
-segmentations, by the forward algorithm. Probabilities are learnt by expectation-maximisation from the word counts of at most
-``fit_docs`` documents a language (chosen by hash of the id), two rounds, smoothed by the mean over languages.
-The model has one row a piece and one column a language and is what tasks are sent.
+letters (Unicode's class L, so neither digits nor other numerals nor marks), which pieces never cross, so its probability is the product of
+its words' and a word's the sum over all its segmentations, by the forward algorithm. Probabilities are learnt by
+expectation-maximisation from the word counts of about ``fit_docs`` documents a language (chosen by hash of the id), two rounds, smoothed
+by the mean over languages. Learning and scoring take the same words, of any length. The model has one row a piece and one column a
+language: it is what tasks are sent and, as counts, what comes to the driver, so it grows with the number of languages alone.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is every text when nothing can be learnt; equal
-scores go to the language first in code-point order; repeated rows are scored each; an empty table gives an empty
-result; other columns are ignored.
+scores go to the language first in code-point order; texts and words of any length are scored whole; a null id is one more id; repeated rows
+are scored each; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -22,12 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import slices, table, written
 
 FIT_DOCS, ROUNDS, MEMO, FAST, UNKNOWN = 4_000, 2, 250_000, 30, 1e-7
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
+def words_of(text: str) -> list[str]:
+    """The lower-cased words of letters of a text."""
+    found = _WORDS(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]  # numerals that are no decimal digits
+
+
 class Pieces:
     """The vocabulary's pieces of letters, with the mark of a word's start, in a tree of characters."""
 
@@ -128,6 +138,45 @@ def long_score(pieces: Pieces, word: str, p: np.ndarray) -> np.ndarray:
     return log + np.log(np.maximum(ways[len(word) + 1], 1e-300))
 
 
+def long_expected(pieces: Pieces, word: str, p: np.ndarray) -> dict[int, float]:
+    """Expected uses of each piece in a word of any length, by logarithms; p holds the probabilities of one language."""
+    arcs, end = list(pieces.arcs(word)), len(word) + 1
+    ahead, behind = np.full(end + 1, -np.inf), np.full(end + 1, -np.inf)
+    ahead[0] = behind[end] = 0
+    log = np.log(p)
+    for s, e, k in arcs:  # by start, so all ways to s are in
+        ahead[e] = np.logaddexp(ahead[e], ahead[s] + log[k])
+    for s, e, k in reversed(arcs):
+        behind[s] = np.logaddexp(behind[s], behind[e] + log[k])
+    uses: dict[int, float] = {}
+    for s, e, k in arcs:
+        uses[k] = uses.get(k, 0.0) + float(np.exp(ahead[s] + log[k] + behind[e] - ahead[end]))
+    return uses
+
+
+def expected(pieces: Pieces, words: list[str], p: np.ndarray, lang: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """pieces x languages: expected uses of each piece, each word in its own language and as often as counted."""
+    short = np.array([len(w) <= FAST for w in words], bool)
+    out = np.zeros(p.shape)
+    if short.any():
+        out += Lattice(pieces, [w for w, s in zip(words, short, strict=True) if s]).expected(p, lang[short], count[short])
+    for i in np.flatnonzero(~short):
+        for k, n in long_expected(pieces, words[i], p[:, lang[i]]).items():
+            out[k, lang[i]] += n * count[i]
+    return out
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of texts with their language and number, each once a slice."""
+    for whole in batches:
+        for b in slices(whole, 1):
+            counts: dict[int, Counter] = {}
+            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                counts.setdefault(k, Counter()).update(words_of(text))
+            rows = [(w, k, float(n)) for k, c in counts.items() for w, n in c.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.float64()))], ["w", "l", "n"])
+
+
 def _maximise(counts: np.ndarray) -> np.ndarray:
     """Probabilities from expected counts, smoothed by the mean over languages; the last row is the unknown character."""
     counts = counts[:-1]
@@ -150,8 +199,8 @@ def fit(train: DataFrame, vocabulary: str, fit_docs: int = FIT_DOCS) -> tuple[li
     share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, fit_docs / sizes[k])]), F.col("lang"))
     index = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (k, i)]), F.col("lang"))
     picked = train.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) < share * (1 << 30))
-    found = picked.select(index.alias("l"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("w")).where(F.length("w") <= FAST)
-    counted = written(found.groupBy("w", "l").agg(F.count("*").cast("double").alias("n")), "word-counts")
+    found = picked.select(index.alias("l"), F.col("text").cast("string")).mapInArrow(_counted, "w string, l int, n double")
+    counted = written(found.groupBy("w", "l").agg(F.sum("n").alias("n")), "word-counts")
     p = np.vstack([np.full((len(pieces.names), len(langs)), 1 / len(pieces.names)), np.full(len(langs), UNKNOWN)])
     for _ in range(ROUNDS):
         now = p
@@ -161,7 +210,7 @@ def fit(train: DataFrame, vocabulary: str, fit_docs: int = FIT_DOCS) -> tuple[li
             for whole in batches:
                 for at in range(0, whole.num_rows, 5000):
                     b = whole.slice(at, 5000)
-                    total += Lattice(own, b.column(0).to_pylist()).expected(now, b.column(1).to_numpy(), b.column(2).to_numpy())
+                    total += expected(own, b.column(0).to_pylist(), now, b.column(1).to_numpy(), b.column(2).to_numpy())
             rows, cols = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(rows.astype("i4")), pa.array(cols.astype("i4")), pa.array(total[rows, cols])], ["piece", "l", "n"])
 
@@ -200,7 +249,7 @@ class Scorer:
         """Log probabilities by language of each text; None where there is no letter."""
         if self.n > MEMO:
             self.clear()
-        split = [_WORDS(t.lower()) for t in texts]
+        split = list(map(words_of, texts))
         self._add(list({w for ws in split for w in ws if w not in self.place}))
         get = self.place.__getitem__
         return [self.logs[list(map(get, ws))].sum(0) if ws else None for ws in split]
@@ -212,8 +261,8 @@ def classify(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared_pieces(vocabulary), p)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b, pred, score = whole.slice(at, 500), [], []
+            for b in slices(whole, 2):
+                pred, score = [], []
                 for logs in scorer.texts([t or "" for t in b.column(2).to_pylist()]):
                     if logs is None or not langs:
                         pred.append("und")
