@@ -6,11 +6,16 @@ order gives the longest reach, the sufficient lookahead. The transducer keeps a
 tokens that end at least the lookahead before the window's end, which no later symbol can change, and keeps the
 rest. Its memory depends on the merge list alone, never on the length of a word or text.
 
-Texts are normalised and split into words as the vocabulary's file says; words pass the transducer and the ids of short
-pieces stay in a bounded store of the worker. Decoding is a state machine from ids to bytes to text that accepts any cut.
+Texts pass in parts of about 64K characters, cut at blanks, or where there are none before a character that never joins the
+one before it; a word that runs over the cut stays open and its symbols go on into the same transducer. Short words are merged
+many at a time, one column of steps for all of them; their ids stay in a store of the worker that is bounded in bytes.
 
-Defined results: a null text is empty and has no ids; repeated rows are encoded each; an empty table gives an empty
-result; columns of clashing names don't matter: only doc_id and text are read.
+Decoding is a state machine of its own: it takes ids in any portions, looks up their bytes and turns these into text, holding back an
+unfinished character. ``decoded_sha256`` is the digest of what it makes of the encoded ids, in the library's form: the
+vocabulary has no decoder, so tokens stand as they are named with a space between. ``decode`` gives readable text.
+
+Defined results: a null text is empty and has no ids; texts and words of any length are encoded whole; repeated rows are
+encoded each; an empty table gives an empty result; columns of clashing names don't matter: only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -19,10 +24,10 @@ import codecs
 import hashlib
 import heapq
 import json
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain, islice
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +35,18 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import SLICE_ROWS, Kept, slices, table
 
-MEMO, MEMO_CHARS = 400_000, 60
+#: Characters of a part of a text, symbols of a word that is merged with others, characters of a word at a cut from which on it stays open.
+PART, SHORT, OPEN = 1 << 16, 64, 60
 #: White space of Unicode, which the vocabulary's \\s means.
-SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = r"\t-\r \x85\xa0  -     　"
+#: Western letters and marks: normalisation only lowers them, and Python's own patterns, which are faster, know them all.
+_PLAIN = [*range(0x180), *range(0x2010, 0x2028)]
+_plain = re.compile("[\x00-\u017f\u2010-\u2027]*").fullmatch
+#: Characters that normalisation never joins with the one before them.
+_STARTS = regex.compile(r"[\x00-˿Ѐ-҂一-鿿가-힣]")
+_NONE = np.int64(1) << 62
 
 
 def byte_letters() -> dict[int, str]:
@@ -45,15 +57,13 @@ def byte_letters() -> dict[int, str]:
 
 
 class Merges:
-    """Ids, merge ranks, and the sufficient lookahead of a merge list."""
+    """Merge ranks of a merge list and its sufficient lookahead."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
-        self.vocab = vocab
         self.pairs: dict[int, int] = {}  # of two ids, packed: the rank and the new id, packed
         spine: dict[int, list[int]] = {}  # a token and the last parts it was merged from
         size: dict[int, int] = {}
         reach: dict[int, int] = {}  # symbols that a merge starting with this token may look at
-        self.longest = 1
         for rank, (a, b) in enumerate(merges):
             left, right, new = vocab[a], vocab[b], vocab[a + b]
             if (key := left << 32 | right) in self.pairs:
@@ -65,29 +75,46 @@ class Merges:
             if new not in size:
                 size[new] = size.get(left, 1) + size.get(right, 1)
                 spine[new] = [new, *tail]
-                self.longest = max(self.longest, size[new])
+        self.sizes = size  # symbols of the tokens that have more than one
         self.lookahead = max(reach.values(), default=0)
-        self.window = 2 * (self.lookahead + self.longest)
+        self.window = 2 * (self.lookahead + max(size.values(), default=1))
+        self._hash()
+
+    def _hash(self) -> None:
+        """The pairs in a table of open addressing that arrays look up."""
+        bits = max(4, (4 * len(self.pairs)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.found = np.full(1 << bits, -1, "i8"), np.full(1 << bits, _NONE, "i8")
+        keys = np.fromiter(self.pairs, "i8", len(self.pairs))
+        values, at = np.fromiter(self.pairs.values(), "i8", len(keys)), self._slot(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]  # of those that meet in a slot the last stays
+            mine = self.keys[at] == keys
+            self.found[at[mine]] = values[mine]
+            keys, values, at = keys[~mine], values[~mine], (at[~mine] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view("u8") * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view("i8")
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank and new id, packed, of each pair; _NONE where no merge has it."""
+        keys = a << 32 | b
+        at = self._slot(keys)
+        held, out = self.keys[at], self.found[at]
+        left = np.flatnonzero(held != keys)
+        out[left] = _NONE
+        left = left[held[left] >= 0]
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            held = self.keys[at[left]]
+            hit = held == keys[left]
+            out[left[hit]] = self.found[at[left[hit]]]
+            left = left[~hit & (held >= 0)]
+        return out
 
     def merge(self, ids: list[int]) -> list[int]:
-        return self._short(ids) if len(ids) < 40 else self._long(ids)
-
-    def _short(self, ids: list[int]) -> list[int]:
-        get, none = self.pairs.get, 1 << 62
-        ranks = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
-        while ranks and (best := min(ranks)) < none:
-            i = ranks.index(best)
-            new = best & 0xFFFFFFFF
-            ids[i : i + 2] = [new]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = get(new << 32 | ids[i + 1], none)
-            if i:
-                ranks[i - 1] = get(ids[i - 1] << 32 | new, none)
-        return ids
-
-    def _long(self, ids: list[int]) -> list[int]:
-        """The same with a heap of candidate pairs over a linked list."""
+        """The tokens of one window: a heap of candidate pairs over a linked list."""
         get, n = self.pairs.get, len(ids)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
         heap = [(p, i, ids[i], ids[i + 1]) for i in range(n - 1) if (p := get(ids[i] << 32 | ids[i + 1]))]
@@ -107,36 +134,82 @@ class Merges:
                 heapq.heappush(heap, (p, k, ids[k], new))
         return [x for x in ids if x >= 0]
 
+    def merge_many(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for many short windows at once (their symbols in a row): tokens and how many each window has.
+
+        In every step each window that has a merge left takes its earliest, the leftmost on a tie.
+        """
+        n, ids = len(ids), np.append(ids, -1)
+        starts, ends = np.cumsum(lengths) - lengths, np.cumsum(lengths)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        found = self.find(ids[:-1], np.maximum(ids[1:], 0))
+        found[ends - 1] = _NONE
+        place = np.arange(n)
+        order = np.where(found < _NONE, found >> 32 << 32 | place, _NONE)  # rank, then place
+        new, gone = found & 0xFFFFFFFF, np.zeros(n, bool)
+        window = np.arange(len(lengths))
+
+        def paired(left: np.ndarray, right: np.ndarray) -> None:
+            p = self.find(ids[left], ids[right])
+            new[left] = p & 0xFFFFFFFF
+            order[left] = np.where(p < _NONE, p >> 32 << 32 | left, _NONE)
+
+        while len(window):
+            # windows that are done stay in the row and cost one look each
+            low = np.minimum.reduceat(order, starts)[window]
+            window = window[low < _NONE]
+            at = low[low < _NONE] & 0xFFFFFFFF
+            eaten = after[at]
+            ids[at] = new[at]
+            gone[eaten], order[eaten], order[at] = True, _NONE, _NONE
+            then = after[eaten]
+            after[at], before[then] = then, at
+            inside = then < ends[window]
+            paired(at[inside], then[inside])
+            prior = before[at]
+            inside = prior >= starts[window]
+            paired(prior[inside], at[inside])
+        return ids[:-1][~gone], np.add.reduceat(~gone, starts) if n else lengths
+
 
 class Transducer:
-    """Symbols of one word in, stable tokens out."""
-
-    def __init__(self, merges: Merges, sizes: dict[int, int]):
-        self.m, self.sizes = merges, sizes
-
-    def run(self, symbols: Iterable[int]) -> Iterator[int]:
-        m, feed, window = self.m, iter(symbols), []
-        while True:
-            window.extend(islice(feed, m.window - len(window)))
-            if len(window) < m.window:
-                yield from m.merge(window)
-                return
-            stable, done = m.window - m.lookahead, 0
-            for t in m.merge(list(window)):
-                if done + self.sizes[t] > stable:
+    """Symbols of one word in, in any portions; stable tokens out."""
+
+    def __init__(self, merges: Merges):
+        self.m, self.held = merges, []
+
+    def feed(self, symbols: Iterable[int]) -> list[int]:
+        m, out = self.m, []
+        self.held.extend(symbols)
+        done = 0
+        while len(self.held) - done >= m.window:
+            left = m.window - m.lookahead
+            for t in m.merge(self.held[done : done + m.window]):
+                left -= m.sizes.get(t, 1)
+                if left < 0:
                     break
-                done += self.sizes[t]
-                yield t
-            del window[:done]
+                done += m.sizes.get(t, 1)
+                out.append(t)
+        del self.held[:done]
+        return out
+
+    def end(self) -> list[int]:
+        out, self.held = self.m.merge(self.held), []
+        return out
 
 
 class ByteText:
-    """Bytes to text at any cut: holds back an unfinished character; broken bytes become U+FFFD."""
+    """The decoder: ids to bytes to text, at any cut. Holds back an unfinished character; broken bytes become U+FFFD."""
 
-    def __init__(self):
+    def __init__(self, names: list[bytes], skip: int = 0):
+        """``names``: the bytes of each id; ``skip``: bytes left out at the very start."""
+        self.names, self.skip = names.__getitem__, skip
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, data: bytes) -> str:
+    def feed(self, ids: Iterable[int]) -> str:
+        data = b"".join(map(self.names, ids))
+        if self.skip and data:
+            data, self.skip = data[self.skip :], 0
         return self.state.decode(data)
 
     def end(self) -> str:
@@ -151,83 +224,151 @@ class Codec:
 
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
-        self.normalise = Tokenizer.from_file(path).normalizer.normalize_str
+        bare = {**spec, "added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}
+        self.normalise = Tokenizer.from_str(json.dumps(bare)).normalizer.normalize_str  # no second vocabulary in memory
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", f"[^{SPACE}")).findall
-        self.end = model["end_of_word_suffix"] or ""
+        self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", f"[^{SPACE}"))
+        of = lambda kind: "".join(re.escape(chr(c)) for c in _PLAIN if regex.match(kind, chr(c)))
+        self.plain = re.compile(self.pattern.pattern.replace(r"\p{L}", of(r"\p{L}")).replace(r"\p{N}", of(r"\p{N}"))).findall
+        #: What the characters of a word of any length can be: letters, or neither letters nor digits nor blanks.
+        self.runs = (regex.compile(r"\p{L}*"), regex.compile(rf"[^{SPACE}\p{{L}}\p{{N}}]*"))
+        end = model["end_of_word_suffix"] or ""
         merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
-        vocab = model["vocab"]
-        letters = byte_letters()
-        self.symbol = [vocab[letters[b]] for b in range(256)]
-        self.last = [vocab[letters[b] + self.end] for b in range(256)]
+        vocab, letters = model["vocab"], byte_letters()
+        self.symbol = np.array([vocab[letters[b]] for b in range(256)], "i8")
+        self.last = np.array([vocab[letters[b] + end] for b in range(256)], "i8")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.mark = min((t[0] for t in self.special), default="")  # all special tokens start with it
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else lambda t: [t]
-        self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        self.mark = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
         self.merges = Merges(vocab, merges)
-        self.sizes = {i: len(t.removesuffix(self.end) if self.end else t) for t, i in vocab.items()}
-        self.transducer = Transducer(self.merges, self.sizes)
-        self.byte_of = {c: b for b, c in letters.items()}
-        self.known: dict[str, list[int]] = {}
-        self.store: dict[str, bytes] = {}
-
-    def word(self, word: str) -> list[int]:
-        """Ids of one word; those of short words are kept."""
-        if (found := self.known.get(word)) is None:
-            data, symbol = word.encode("utf-8"), self.symbol
-            found = list(self.transducer.run(chain(map(symbol.__getitem__, memoryview(data)[:-1]), (self.last[data[-1]],))))
-            if len(word) <= MEMO_CHARS:
-                if len(self.known) >= MEMO // 2:
-                    self.known.clear()
-                self.known[word] = found
-        return found
-
-    def ids(self, text: str) -> list[int]:
-        found = []
-        for i, part in enumerate(self.cut(text) if self.mark in text else (text,)):
-            if i % 2:
-                found.append(self.special[part])
-            elif part:
-                for w in self.words(self.normalise(part)):
-                    found += self.word(w)
+        tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        self.tokens = [tokens.get(i, "") for i in range(max(tokens) + 1)]
+        #: As the library names tokens, each after a space; and as readable text, each word before one.
+        self.named = [b" " + t.encode() for t in self.tokens]
+        byte_of = {c: bytes([b]) for b, c in letters.items()}
+        shown = lambda t: b"".join(byte_of[c] for c in t.removesuffix(end)) + (b" " if end and t.endswith(end) else b"")
+        self.readable = [t.encode() if t in self.special else shown(t) for t in self.tokens]
+        self.kept = Kept(self._learn)
+
+    def words(self, part: str) -> list[str]:
+        return self.plain(part.lower()) if _plain(part) else self.pattern.findall(self.normalise(part))
+
+    def symbols(self, word: str) -> np.ndarray:
+        data = np.frombuffer(word.encode("utf-8"), "u1")
+        out = self.symbol[data]
+        out[-1] = self.last[data[-1]]
+        return out
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words: short ones together, others by the transducer."""
+        coded = [w.encode("utf-8") for w in words]
+        found: dict[str, bytes] = {}
+        short = [(w, c) for w, c in zip(words, coded, strict=True) if len(c) <= SHORT]
+        if short:
+            data = np.frombuffer(b"".join(c for _, c in short), "u1")
+            lengths = np.array([len(c) for _, c in short])
+            ids, last = self.symbol[data], np.cumsum(lengths) - 1
+            ids[last] = self.last[data[last]]
+            ids, n = self.merges.merge_many(ids, lengths)
+            raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(n)).tolist()
+            found = {w: raw[i:j] for (w, _), i, j in zip(short, [0, *ends[:-1]], ends, strict=True)}
+        for w, c in zip(words, coded, strict=True):
+            if len(c) > SHORT:
+                t = Transducer(self.merges)
+                found[w] = array("I", t.feed(self.symbols(w).tolist()) + t.end()).tobytes()
         return found
 
-    def shown(self, ids: Iterable[int]) -> str:
-        """The library's decoding of a vocabulary without decoder: tokens with spaces between."""
-        return " ".join(map(self.tokens.__getitem__, ids))
-
-    def text(self, ids: Iterable[int]) -> Iterator[str]:
-        """Readable text: bytes through the state machine, a space after each word."""
-        state = ByteText()
-        for t in ids:
-            if t in self.special.values():
-                yield state.end() + self.tokens[t]
-                continue
-            name = self.tokens[t]
-            ended = bool(self.end) and name.endswith(self.end)
-            data = bytes(self.byte_of[c] for c in (name.removesuffix(self.end) if ended else name))
-            yield state.feed(data) + (state.end() + " " if ended else "")
-        yield state.end()
-
-    def piece(self, piece: str) -> bytes:
-        ids = self.ids(piece)
-        return pack(f"<{len(ids)}I", *ids)
-
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids (little-endian, 32 bits) and what these decode to. Words never span a space, so pieces between spaces are encoded
-        apart; short ones are kept, and all are dropped when the store is full."""
-        store, found = self.store, []
-        for p in text.split(" "):
-            x = store.get(p)
-            if x is None:
-                x = self.piece(p)
-                if len(p) <= MEMO_CHARS:
-                    if len(store) >= MEMO:
-                        store.clear()
-                    store[p] = x
-            found.append(x)
-        ids = b"".join(found)
-        return ids, self.shown(np.frombuffer(ids, "<u4").tolist())
+    def texts(self, parts: list[str]) -> list[bytes]:
+        """Ids (little-endian, 32 bits) of parts of texts without special tokens that end with their last word."""
+        return self.kept.joined(list(map(self.words, parts)))
+
+    def _cuts(self, text: str, at: int, to: int) -> Iterator[tuple[str, bool]]:
+        """The characters from ``at`` to ``to`` in parts, and whether a part ends with its last word."""
+        while to - at > PART:
+            far = text.rfind(" ", at + 1, at + PART)
+            whole = far > 0
+            if not whole:
+                far = next((m.start() for m in _STARTS.finditer(text, at + PART, to)), to)
+            yield text[at:far], whole or far == to
+            at = far
+        yield text[at:to], True
+
+    def _open(self, parts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of normalised parts whose words run on from one into the next."""
+        rest, run, word, last = "", None, None, b""
+
+        def feed(chars: str, ends: bool) -> bytes:
+            nonlocal last, word
+            data = last + chars.encode("utf-8")
+            last = b"" if ends else data[-1:]
+            data = np.frombuffer(data if ends else data[:-1], "u1")
+            out = self.symbol[data]
+            if ends:
+                out[-1:] = self.last[data[-1:]]
+            ids = word.feed(out.tolist()) + (word.end() if ends else [])
+            word = None if ends else word
+            return array("I", ids).tobytes()
+
+        for part in [*parts, None] if isinstance(parts, list) else _ended(parts):
+            text, rest, at = rest + (part or ""), "", 0
+            if word is not None:
+                at = run.match(text).end()
+                ends = part is None or at < len(text)
+                yield feed(text[:at], ends)
+                if not ends:
+                    continue
+            whole = []
+            for m in self.pattern.finditer(text, at):
+                if part is None or m.end() < len(text) - 2:
+                    whole.append(m.group())
+                    continue
+                grows = next((r for r in self.runs if r.match(m.group()).end() == len(m.group())), None)
+                if m.end() == len(text) and len(m.group()) > OPEN and grows:
+                    run, word = grows, Transducer(self.merges)
+                else:
+                    rest = text[m.start() :]  # a longer word, such as an ending after an apostrophe, may begin here
+                break
+            found = self._learn(list(set(whole)))
+            yield b"".join(map(found.__getitem__, whole))
+            if word is not None:
+                yield feed(m.group(), False)
+
+    def stream(self, text: str) -> Iterator[bytes]:
+        """Ids of a text, portion by portion; what is held at a time doesn't grow with it."""
+        at = 0
+        for m in [*self.mark.finditer(text), None] if len(text) <= PART else _ended(self.mark.finditer(text)):
+            to = len(text) if m is None else m.start()
+            parts = self._cuts(text, at, to)
+            for part, whole in parts:
+                if whole:
+                    yield self.texts([part])[0]
+                else:
+                    yield from self._open(map(self.normalise, _until_whole(part, parts)))
+            if m is not None:
+                yield array("I", [self.special[m.group()]]).tobytes()
+                at = m.end()
+
+    def encode(self, texts: list[str]) -> list[Iterable[bytes]]:
+        """For each text its ids in portions: those of ordinary texts are found together."""
+        plain = [i for i, t in enumerate(texts) if len(t) <= PART and not self.mark.search(t)]
+        known = dict(zip(plain, self.texts([texts[i] for i in plain]), strict=True)) if plain else {}
+        return [(known[i],) if i in known else self.stream(t) for i, t in enumerate(texts)]
+
+    def decoder(self) -> ByteText:
+        """To the library's form."""
+        return ByteText(self.named, skip=1)
+
+
+def _ended(items: Iterable) -> Iterator:
+    yield from items
+    yield None
+
+
+def _until_whole(first: str, parts: Iterator[tuple[str, bool]]) -> Iterator[str]:
+    yield first
+    for part, whole in parts:
+        yield part
+        if whole:
+            return
 
 
 @cache
@@ -236,18 +377,30 @@ def shared_codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _digest(codec: Codec, portions: Iterable[bytes], keep: bool) -> tuple[int, str, str, list[bytes]]:
+    """Number of ids, their digest, the digest of what they decode to, and the ids if kept."""
+    n, of_ids, of_text, state, kept = 0, hashlib.sha256(), hashlib.sha256(), codec.decoder(), []
+    for ids in portions:
+        n += len(ids) // 4
+        of_ids.update(ids)
+        of_text.update(state.feed(np.frombuffer(ids, "<u4").tolist()).encode())
+        if keep:
+            kept.append(ids)
+    of_text.update(state.end().encode())
+    return n, of_ids.hexdigest(), of_text.hexdigest(), kept
+
+
 def _encode(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared_codec(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                found = [codec.encode(t or "") for t in b.column(1).to_pylist()]
-                n = [len(i) // 4 for i, _ in found]
-                cols = [b.column(0), pa.array(n, pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i, _ in found]), pa.array([hashlib.sha256(t.encode()).hexdigest() for _, t in found])]
+            for b in slices(whole, 1):
+                found = [_digest(codec, portions, with_ids) for portions in codec.encode([t or "" for t in b.column(1).to_pylist()])]
+                n, ids_sha256, decoded_sha256, kept = zip(*found, strict=True)
+                cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha256), pa.array(decoded_sha256)]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    ids = pa.array(np.frombuffer(b"".join(i for i, _ in found), "<i4"))
+                    ids = pa.array(np.frombuffer(b"".join(x for xs in kept for x in xs), "<i4"))
                     cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]).astype("i4")), ids))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
@@ -266,8 +419,15 @@ def decode(tokens: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared_codec(tokenizer)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["".join(codec.text(x or [])) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+
+        def text(ids: list[int] | None) -> str:
+            state = ByteText(codec.readable)
+            return state.feed(ids or []) + state.end()
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                b = whole.slice(at, SLICE_ROWS)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(text, b.column(1).to_pylist()), pa.string())], ["doc_id", "text"])
 
     return tokens.select(F.col("doc_id").cast("bigint"), "ids").mapInArrow(run, "doc_id long, text string")
 

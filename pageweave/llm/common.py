@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,13 +33,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a column of our own that none of ``df`` has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Rows of two numbers (16 MB) up to which a table is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """``rows`` (of a few numbers or short words), marked for broadcast if they are few enough."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (local tests) a temporary folder stands in.
+    Only a local master may do without that setting: a temporary folder stands in. Elsewhere it is an error. Folders stay, since lost
+    executors may need them, until a ``temporary`` block ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _local_root()
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+_made: list[str] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the folders made within: what is kept of them must be written elsewhere by then."""
+    before = len(_made)
+    yield
+    while len(_made) > before:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -42,3 +89,47 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Characters of the texts of a slice, and its rows.
+SLICE_CHARS, SLICE_ROWS = 1 << 20, 500
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in portions, few enough in number and in characters of a text column."""
+    until = np.concatenate([[0], np.cumsum(pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_numpy(), dtype="i8")])
+    at = 0
+    while at < batch.num_rows:
+        n = int(np.searchsorted(until, until[at] + SLICE_CHARS, "right")) - 1 - at
+        n = min(max(1, n), SLICE_ROWS)
+        yield batch.slice(at, n)
+        at += n
+
+
+class Kept:
+    """Bytes of words, kept by a worker in two generations of bounded size: when the newer is full, what it hasn't used goes."""
+
+    def __init__(self, learn: Callable[[list[str]], dict[str, bytes]], most: int = 24 << 20, chars: int = 60):
+        self.learn, self.most, self.chars = learn, most, chars
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def joined(self, texts: list[list[str]]) -> list[bytes]:
+        """The bytes of each text's words. ``learn`` finds all unknown words at once; those of over ``chars`` aren't kept."""
+        if self.size > self.most:
+            self.old, self.new, self.size = self.new, {}, 0
+        need = set().union(*texts).difference(self.new)
+        found = {w: self.old[w] for w in need.intersection(self.old)}
+        if len(found) < len(need):
+            found |= self.learn(list(need.difference(found)))
+        self.new |= found
+        get = self.new.__getitem__
+        out = [b"".join(map(get, ws)) for ws in texts]
+        for w in [w for w in found if len(w) > self.chars]:
+            del self.new[w], found[w]
+        self.size += 180 * len(found) + 2 * sum(map(len, found)) + sum(map(len, found.values()))  # about what Python takes
+        return out
+
+    def known(self, word: str) -> bytes | None:
+        return self.new.get(word) or self.old.get(word)
