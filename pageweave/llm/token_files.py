@@ -6,12 +6,14 @@ delta packing where it doesn't pay; row groups and pages are small enough that p
 tokens of a few documents, or the metadata alone, without the rest. Each row knows its place within its file, the
 files' sums (one row a file) turn that into its place in the whole corpus.
 
-Encoding splits a text at single spaces between non-blank characters, where every pre-token of this vocabulary ends, and
-keeps the ids of the pieces seen by this worker; a new piece is cut again where letters, digits and marks meet, and the library
-encodes each new part once. Long pieces aren't kept, and of the others a fixed number, so memory is bounded.
-
-Defined results: a null text is empty and has the end id alone; ties of doc_id are ordered by text; a null doc_id comes first;
-an empty table gives an empty result; other columns are ignored.
+Encoding splits a text at single spaces between non-blank characters, where every pre-token of this vocabulary ends. The tokenizers library
+encodes the pieces that a worker hasn't kept. A piece that is a word of Latin letters, two of them at a line end, or such with a mark after,
+is known to fall into these pre-tokens, so the library's model gets them as they are; the others go through the whole library, many in
+one call: each begins with a space, so its ids begin with the only token that does. Kept pieces are bounded in bytes, and long texts
+pass in parts of about a million characters.
+
+Defined results: a null text is empty and has the end id alone; texts of any length are one row, encoded whole; ties of doc_id are ordered
+by text; a null doc_id comes first; repeated rows are written each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,44 +31,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import shared_dir, table
+from .bpe_stream import byte_letters
+from .common import Kept, shared_dir, slices, table
 
-END, MEMO, MEMO_CHARS = 2, 400_000, 60
+END, PART, TOGETHER, KEPT_BYTES = 2, 1 << 20, 2_000, 56 << 20
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
 SCHEMA = "doc_id long, tokens array<int>, n_tokens long, local_start long"
 _OTHER_SPACE = [c for c in map(chr, range(1, 0x3001)) if c != " " and re.match(r"\s", c)]
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
-_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
-#: Places inside a piece where a pre-token ends whatever stands around them; none after an apostrophe or two white spaces.
-_INSIDE = re.compile(rf"(?<=[{_LETTER}])(?=[{_MARK}'0-9\n])|(?<=[{_MARK}0-9])(?=[{_LETTER}])|(?<=\S\n)(?=[{_LETTER}])|(?<=[0-9])(?=[{_MARK}])|(?<=[{_MARK}])(?=[0-9])")
-
-
-class Pieces(dict):
-    """Ids of pieces, as little-endian 32-bit bytes: the library encodes those not kept. When full, pieces not seen since it
-    was last full go."""
-
-    def __init__(self, library, prefix: str = "", rest: Pieces | None = None):
-        self.encode, self.prefix, self.rest, self.before = library.encode_batch_fast, prefix, self if rest is None else rest, {}
-        self.special = [t.content for t in library.get_added_tokens_decoder().values()]
-
-    def __missing__(self, piece: str) -> bytes:
-        parts = 1
-        if (found := self.before.get(piece)) is None:
-            cut = (piece,) if piece.isalpha() or any(t in piece for t in self.special) else _INSIDE.split(piece)
-            if (parts := len(cut)) > 1:
-                found = self[cut[0]] + b"".join(map(self.rest.__getitem__, cut[1:]))
-            else:
-                found = array("I", self.encode([self.prefix + piece], add_special_tokens=False)[0].ids).tobytes()
-        if len(self) >= MEMO:
-            self.before = dict(self)
-            self.clear()
-        if parts < 3 and len(piece) <= MEMO_CHARS:
-            self[piece] = found
-        return found
+
+
+def _latin(word: str) -> bool:
+    """Letters of Latin-1 alone."""
+    return word.isalpha() and (word.isascii() or max(word) <= "ÿ")
 
 
 class Encoder:
-    """Ids of texts through two bounded stores of pieces."""
+    """Ids of texts, as little-endian 32-bit bytes, by the library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -75,17 +56,82 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.other = Pieces(self.library)  # pieces as they stand
-        self.inner = Pieces(self.library, " ", self.other)  # pieces that follow a space
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        vocab = self.library.get_vocab()
+        self.first = np.zeros(max(vocab.values()) + 1, bool)  # tokens that begin with a space
+        self.first[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
+        self.model = self.library.model.tokenize
+        self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
+        self.marks = {m: array("I", self.library.encode(m, add_special_tokens=False).ids).tobytes() for m in ["", "\n", *",.;:!?"]}
+        self.kept = Kept(self._learn, KEPT_BYTES)
+
+    def _pieces(self, part: str, goes_on: bool) -> list[str]:
+        """Pieces that follow a space and hold none, without it; others as they stand with a space before to tell them apart."""
+        if "  " in part or " " in (part[1:2] if goes_on else part[:1], part[-1:]) or any(c in part and (c + " " in part or " " + c in part) for c in _OTHER_SPACE):
+            pieces = [p[1:] if p[:1] == " " and " " not in p[1:] and len(p) > 1 else " " + p for p in _SAFE.split(part)]
+            if not goes_on and part[:1] == " ":
+                pieces[0] = " " + _SAFE.split(part, maxsplit=1)[0]
+            return pieces
+        pieces = part.split(" ")
+        if goes_on:
+            return pieces[1:]
+        pieces[0] = " " + pieces[0]
+        return pieces
+
+    def _library(self, plain: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that follow a space and hold none: each has one token that begins with a space, its first."""
+        found = {}
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at : at + TOGETHER]
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            starts = np.flatnonzero(self.first[ids])
+            raw, starts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+            found.update((p, raw[i:j]) for p, i, j in zip(some, starts[:-1], starts[1:], strict=True))
+        return found
+
+    def _word(self, word: str, spaced: bool = True) -> bytes:
+        if not word.isascii():
+            word = word.encode("utf-8").decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model("Ġ" + word if spaced else word)]).tobytes()
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        found, rest, known, marks = {}, [], self.kept.known, self.marks
+        for p in pieces:
+            if _latin(p):
+                if p not in found:
+                    found[p] = self._word(p)
+                continue
+            first, line, second = p.partition("\n")
+            word, mark = (first[:-1], first[-1:]) if first[-1:] in marks else (first, "")
+            after, last = (second[:-1], second[-1:]) if second[-1:] in marks else (second, "")
+            if not _latin(word) or (line and not _latin(after)):
+                rest.append(p)
+                continue
+            ids = found.get(word) or known(word)
+            if ids is None:
+                found[word] = ids = self._word(word)
+            found[p] = ids + marks[mark] + (marks[line] + self._word(after, False) + marks[last] if line else b"")
+        if rest:
+            text = "\n".join(rest)
+            odd = {p for p in rest if " " in p or any(t in text and t in p for t in self.special)}
+            found |= self._library([p for p in rest if p not in odd])
+            told = self.library.encode_batch_fast([p[1:] if p[:1] == " " else " " + p for p in odd], add_special_tokens=False)
+            found.update((p, array("I", e.ids).tobytes()) for p, e in zip(odd, told, strict=True))
+        return found
 
-    def text(self, text: str) -> bytes:
-        if "  " in text or " " in (text[:1], text[-1:]) or any(c in text and (c + " " in text or " " + c in text) for c in _OTHER_SPACE):
-            return b"".join(map(self.other.__getitem__, _SAFE.split(text)))
-        first, *pieces = text.split(" ")
-        return self.other[first] + b"".join(map(self.inner.__getitem__, pieces))
+    def _long(self, text: str) -> bytes:
+        out, at = [], 0
+        while at < len(text):
+            cut = _SAFE.search(text, at + PART) if len(text) - at > PART else None
+            to = cut.start() if cut else len(text)
+            out += self.kept.joined([self._pieces(text[at:to], at > 0)])
+            at = to
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return list(map(self.text, texts))
+        plain = [i for i, t in enumerate(texts) if len(t) <= PART]
+        known = dict(zip(plain, self.kept.joined([self._pieces(texts[i], False) for i in plain]), strict=True))
+        return [known[i] if i in known else self._long(t) for i, t in enumerate(texts)]
 
 
 @cache
@@ -98,8 +144,7 @@ def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tail, start = shared_encoder(path), np.array([end], "<u4").tobytes(), 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for batch in slices(whole, 1):
                 found = [b + tail for b in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
                 n = np.array([len(b) // 4 for b in found], "i8")
                 ends = np.cumsum(n)
