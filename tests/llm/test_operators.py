@@ -306,12 +306,12 @@ def test_bpe(spark, odd, none):
         assert r.ids == ids and r.decoded_sha256 == hashlib.sha256(ref.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     for parts in (["the", "ing", "tion", "er"], list("abcdehinorst"), ["a"], ["in", "on"]):
         word = "".join(RND.choice(parts) for _ in range(4000))
-        assert codec.word(word) == ref.encode(word, add_special_tokens=False).ids
+        assert np.frombuffer(b"".join(codec.encode([word])[0]), "<u4").tolist() == ref.encode(word, add_special_tokens=False).ids
     back = bpe_stream.decode(bpe_stream.encode(odd, path).where("doc_id = 5"), path).first()["text"]
     assert back == "one two three "
     assert bpe_stream.encode(none, path).count() == 0
-    state = bpe_stream.ByteText()
-    assert "".join(state.feed(bytes([b])) for b in "é🙂".encode()) + state.end() == "é🙂"
+    state = bpe_stream.ByteText([bytes([b]) for b in range(256)])
+    assert "".join(state.feed([b]) for b in "é🙂".encode()) + state.end() == "é🙂"
 
 
 def test_language(spark, odd, none):
@@ -351,14 +351,16 @@ def test_token_pieces_equal_the_library():
 
     encoder, rnd = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(5)
     letters = [*"ab Zé\n\n'tsremlvd019.,!-_#@$\t\r  ß漢字あ²½ªº×÷’\x85\x1c\x00€~`^ 　́İ", " ", "'", "😀", "<|endoftext|>", "Hello", " the"]
-    kept, token_files.MEMO = token_files.MEMO, 50
+    whole = token_files.PART
     try:
-        for text in ["", *("".join(rnd.choice(letters) for _ in range(rnd.randint(0, 25))) for _ in range(5000)), "ab.c" * 5000]:
-            expected = encoder.library.encode(text, add_special_tokens=False).ids
-            assert list(memoryview(encoder.encode([text])[0]).cast("I")) == expected, repr(text)
-            assert max(len(encoder.inner), len(encoder.other)) <= 50
+        for most, token_files.PART in ((3000, whole), (1 << 20, 9), (3000, 30)):
+            encoder.kept.most = most
+            for text in ["", *("".join(rnd.choice(letters) for _ in range(rnd.randint(0, 60))) for _ in range(4000)), "ab.c" * 5000]:
+                expected = encoder.library.encode(text, add_special_tokens=False).ids
+                assert list(memoryview(encoder.encode([text])[0]).cast("I")) == expected, repr(text)
+                assert encoder.kept.size < most + 20_000
     finally:
-        token_files.MEMO = kept
+        token_files.PART = whole
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
@@ -368,8 +370,150 @@ def test_query_against_duckdb(spark, name):
 
 def test_decoding_reads_the_ids():
     codec = bpe_stream.Codec(public_tokenizers.path("word_bpe_49k.json"))
-    ids, shown = codec.encode("one two  one")
-    assert shown.split(" ") == [codec.tokens[i] for i in np.frombuffer(ids, "<u4").tolist()]
-    first = int(np.frombuffer(ids, "<u4")[0])
-    codec.tokens[first] = "changed"
-    assert codec.encode("one two  one")[1].startswith("changed ")
+    ids = np.frombuffer(b"".join(codec.encode(["one two  one"])[0]), "<u4").tolist()
+    state = codec.decoder()
+    assert state.feed(ids) + state.end() == " ".join(codec.tokens[i] for i in ids)
+    # portions of any size give the same text, also where they part a character of several bytes
+    ids = np.frombuffer(b"".join(codec.encode(["naïve 🙂 über 漢字 " * 30])[0]), "<u4").tolist()
+    for names in (codec.named, codec.readable):
+        whole, parts = bpe_stream.ByteText(names), bpe_stream.ByteText(names)
+        want = whole.feed(ids) + whole.end()
+        assert "".join(parts.feed([i]) for i in ids) + parts.end() == want
+    assert want == "naïve 🙂 über 漢字 " * 30
+    codec.named[ids[0]] = b" changed"
+    assert codec.decoder().feed(ids).startswith("changed ")
+
+
+def test_words_and_texts_of_any_length_and_cut():
+    """Random texts of marks, white space, joining characters and special tokens, with parts of a few characters."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ref, codec, rnd = Tokenizer.from_file(path), bpe_stream.Codec(path), random.Random(9)
+    letters = [*"ab Zé\n\n'tsremlvd019.,!-_#@$\t\r  ß漢字あ²½ªº×÷’\x85\x1c\x00€~`^ 　\u0301İΣ", "'s", "'ll", "😀", "<|endoftext|>", "hello", " the", "한국어", "ᄀ", "ᅡ", "が"]
+    whole = bpe_stream.PART
+    codec.kept.most = 4000
+    try:
+        for bpe_stream.PART in (4, 16, 60, whole):
+            for _ in range(2000):
+                text = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 120)))
+                assert np.frombuffer(b"".join(codec.encode([text])[0]), "<u4").tolist() == ref.encode(text, add_special_tokens=False).ids, repr(text)
+    finally:
+        bpe_stream.PART = whole
+    for text in ("ab" * 100_000, "!" * 100_000 + "'ll", "nation" * 30_000 + " " + "é" * 70_000, "one two " * 1_300_000):
+        assert np.frombuffer(b"".join(codec.encode([text])[0]), "<u4").tolist() == ref.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_lookahead_of_small_merge_lists(seed):
+    """All strings of up to nine symbols through the shortest window against plain merging."""
+    rnd = random.Random(seed)
+    vocab = {"a": 0, "b": 1}
+    merges = []
+    while len(merges) < 6:
+        a, b = rnd.choice(list(vocab)), rnd.choice(list(vocab))
+        if (a, b) not in merges and len(a + b) <= 5:
+            merges.append((a, b))
+            vocab.setdefault(a + b, len(vocab))
+    m = bpe_stream.Merges(vocab, merges)
+    rank = {p: i for i, p in enumerate(merges)}
+
+    def plain(tokens):
+        while len(tokens) > 1:
+            best = min(range(len(tokens) - 1), key=lambda i: (rank.get((tokens[i], tokens[i + 1]), 99), i))
+            if (tokens[best], tokens[best + 1]) not in rank:
+                break
+            tokens[best : best + 2] = [tokens[best] + tokens[best + 1]]
+        return [vocab[t] for t in tokens]
+
+    m.window = m.lookahead + max(m.sizes.values(), default=1)
+    words = [w for n in range(1, 10) for w in itertools.product("ab", repeat=n)] + [tuple(rnd.choice("ab") for _ in range(60)) for _ in range(30)]
+    want = [plain(list(w)) for w in words]
+    for w, x in zip(words, want, strict=True):
+        t = bpe_stream.Transducer(m)
+        out = []
+        for c in w:
+            out += t.feed([vocab[c]])
+            assert len(t.held) <= m.window
+        assert out + t.end() == x, (merges, w)
+    ids, n = m.merge_many(np.array([vocab[c] for w in words for c in w]), np.array([len(w) for w in words]))
+    assert ids.tolist() == [i for x in want for i in x] and n.tolist() == [len(x) for x in want]
+
+
+def test_languages_of_numerals_marks_and_long_words(spark):
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    pieces = language_pieces.shared_pieces(vocabulary)
+    assert language_pieces.words_of("Ab²c ½ Ⅷ x1y éa_b İz") == ["ab", "c", "x", "y", "e", "a", "b", "i", "z"]
+    # expected uses: every segmentation weighed by its share
+    p = np.random.default_rng(2).random((len(pieces.names) + 1, 2)) / 100
+
+    def ways(word, i=0):
+        if i == len(word) + 1:
+            yield 1.0, Counter()
+        for s, e, k in pieces.arcs(word):
+            if s == i:
+                for w, uses in ways(word, e):
+                    yield w * p[k, 1], uses + Counter([k])
+
+    found = ["the", "nation", "éa", "the"]
+    want = Counter()
+    for w in found:
+        all_ways = list(ways(w))
+        total = sum(x for x, _ in all_ways)
+        for x, uses in all_ways:
+            want.update({k: n * x / total * 3 for k, n in uses.items()})
+    lang, count = np.ones(4, "i8"), np.full(4, 3.0)
+    short = language_pieces.expected(pieces, found, p, lang, count)
+    old, language_pieces.FAST = language_pieces.FAST, 0
+    try:
+        long = language_pieces.expected(pieces, found, p, lang, count)
+    finally:
+        language_pieces.FAST = old
+    for out in (short, long):
+        assert not out[:, 0].any() and {k: pytest.approx(x) for k, x in want.items()} == {k: out[k, 1] for k in np.flatnonzero(out[:, 1])}
+    # words of any length are learnt: two languages that only long words tell apart
+    rows = [(i, " ".join(("ab" if i % 2 else "cd") * 20 for _ in range(5)), "de" if i % 2 else "fr") for i in range(40)]
+    rows += [(100, "½ ² ① ٣ Ⅷ", None), (101, "́ ̈", None), (102, "abab" * 300_000, None), (None, "cdcd " * 5, None), (103, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("held_out", F.lit(False))
+    langs, model = language_pieces.fit(docs, vocabulary)
+    got = {r.doc_id: r for r in language_pieces.classify(docs, langs, model, vocabulary).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang in rows if lang)
+    assert [got[i].lang_pred for i in (100, 101, 103)] == ["und"] * 3 and got[102].lang_pred == "de" and got[None].lang_pred == "fr"
+
+
+def test_near_copies_where_many_groups_share_shingles(spark, monkeypatch):
+    """Families of near copies that all hold one passage, with few and with many groups a shingle, against brute force."""
+    rnd = random.Random(21)
+    word = lambda: f"u{rnd.randrange(10**7)}"
+    common, rows = [word() for _ in range(5)], []
+    for family in range(60):
+        base = [*common, *(word() for _ in range(rnd.randrange(12, 40)))]
+        other = [word() for _ in range(6)]
+        for _ in range(rnd.randrange(2, 5)):
+            w = list(base)
+            for _ in range(rnd.randrange(3)):
+                w[rnd.randrange(len(w))] = rnd.choice(other)
+            rows.append(" ".join(w if rnd.random() < 0.7 else w[: -rnd.randrange(1, 4)]))
+    # chains: each text is near the next alone
+    for _ in range(6):
+        w = [word() for _ in range(40)]
+        for i in range(8):
+            rows.append(" ".join(w))
+            w[i * 4] = word() if i % 2 else rnd.choice(common)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    for rule, many in ((grouped_prefix.Rule(2, 80), 0), (grouped_prefix.Rule(3, 60), 2), (grouped_prefix.Rule(1, 50), 64)):
+        monkeypatch.setattr(grouped_prefix, "MANY", many)
+        want = brute_classes(list(enumerate(rows)), rule.words, rule.percent)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in grouped_prefix.classes(docs, rule).collect()} == want, (rule, many)
+
+
+def test_a_shingle_that_thousands_of_unlike_texts_share(spark):
+    """Pairs of texts that all hold one run of four words: only texts with a second run in common meet."""
+    rnd = random.Random(4)
+    rows = []
+    for _ in range(1500):
+        w = ["one", "run", "of", "four", *(f"t{rnd.randrange(10**9)}" for _ in range(30))]
+        rows += [" ".join(w), " ".join([*w[:-1], "end"])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in grouped_prefix.classes(docs, grouped_prefix.Rule(4, 85)).collect()}
+    assert got == {i: i - i % 2 for i in range(len(rows))}
