@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pageweave.llm import bpe_stream, grouped_prefix, mixing, quality_rules, sentence_spans
-from pageweave.llm.common import table, written
+from pageweave.llm.common import shared_dir, table, temporary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; each but the last is written to the shared folder and read again."""
+    """The stages applied to documents; each but the last is written to the shared folder and read again, without what it made on its way."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = shared_dir(spark, name)
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.schema(docs.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
