@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# White space, digits beyond the decimal class, script ranges, punctuation, lexicons.
+# White space, digits beyond the decimal class, script ranges, punctuation, lexicons, patterns of errors and names.
 SPACE = r"\t-\r\u001c-\u001f \u0085   -     　"
 DIGIT = r"\p{Nd}²³¹፩-፱᧚⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾➀-➈➊-➒"
 SCRIPTS = {
@@ -48,7 +48,7 @@ def strip(text: Column) -> Column:
 
 
 def script_profile(text: Column) -> Column:
-    """Struct of primary script, letters, punct, digits and is_short_sfx: white space, digits, punctuation, then the first script range."""
+    """Struct of the primary script, letters, punct, digits, is_short_sfx, counts by script and nine flags: white space, digits, punctuation, then the first script range."""
     bare = F.regexp_replace(_text(text), f"[{SPACE}]", "")
     return let(bare, lambda b: let(F.regexp_replace(b, f"[{DIGIT}]", ""), lambda rest: let(F.regexp_replace(rest, f"[{LOW}]", ""), lambda letters: _profile(b, rest, letters))))
 
@@ -71,7 +71,8 @@ def _profile(bare: Column, rest: Column, letters: Column) -> Column:
         total, punct = kana + n["kanji"] + n["hangul"] + n["vietnamese_diacritic"] + n["latin"], F.length(rest) - F.length(letters)
         return F.struct(
             primary.alias("primary"), total.alias("letters"), punct.alias("punct"), (F.length(bare) - F.length(rest)).alias("digits"),
-            (n["latin"] > 0).alias("has_latin"), ((total >= 1) & (total <= 3) & (punct >= 1)).alias("is_short_sfx"),
+            *[(n[k] > 0).alias(f"has_{k}") for k in SCRIPTS], ((n["kanji"] > 0) & (kana == 0)).alias("has_hanzi_only"), (F.length(bare) > F.length(rest)).alias("has_digit"),
+            (punct > 0).alias("has_punct"), F.struct(*[n[k].alias(k) for k in SCRIPTS]).alias("counts"), ((total >= 1) & (total <= 3) & (punct >= 1)).alias("is_short_sfx"),
         )
 
     return let(counts, verdict)

@@ -86,6 +86,50 @@ def recover(components: DataFrame, existing: DataFrame, page_w: int, page_h: int
     return c.join(covered, ["page_id", "comp_id"], "left_anti").select("page_id", "comp_id", low("cx").alias("x1"), low("cy").alias("y1"), high("cx", "cw", page_w).alias("x2"), high("cy", "ch", page_h).alias("y2"))
 
 
+def with_recovered(blocks: DataFrame, components: DataFrame, page_w: int, page_h: int) -> DataFrame:
+    """The blocks (with score and cls) and after them the recovered ones, which have score 0.30 and class 1, in order of their components."""
+    found = recover(components, blocks, page_w, page_h)
+    most = blocks.groupBy("page_id").agg((F.max("block_idx") + 1).alias("next"))
+    at = F.coalesce("next", F.lit(0)) + F.row_number().over(W.partitionBy("page_id").orderBy("comp_id")) - 1
+    new = found.join(most, "page_id", "left").select("page_id", at.cast("int").alias("block_idx"), *[F.col(c).cast("int").alias(c) for c in BOX], F.lit(0.30).alias("score"), F.lit(1).alias("cls"))
+    return blocks.select("page_id", "block_idx", *BOX, "score", "cls").unionByName(new)
+
+
+def detect(raw: DataFrame, parts: DataFrame, components: DataFrame, page_w: int, page_h: int) -> tuple[DataFrame, DataFrame]:
+    """The detector's chain: overlapping boxes go, regions are split, missed text is recovered. Returns the blocks, and per page the counts of
+    raw, deduplicated, split and all blocks. ``parts`` are the pieces (page_id, block_idx, box) of regions that ``split_regions`` parts."""
+    scored = raw.select("page_id", "block_idx", "score", "cls")
+    kept = dedupe_blocks(raw).join(scored, ["page_id", "block_idx"])
+    several = parts.groupBy("page_id", "block_idx").agg(F.count("*").alias("n_parts")).where("n_parts > 1").drop("n_parts")
+    whole = kept.join(several, ["page_id", "block_idx"], "left_anti").withColumn("first_comp", F.lit(0).cast("bigint"))
+    split = parts.join(several, ["page_id", "block_idx"], "left_semi").select("page_id", "block_idx", "first_comp", *[F.col(c).cast("int").alias(c) for c in BOX])
+    split = split.join(kept.select("page_id", "block_idx", "score", "cls"), ["page_id", "block_idx"]).select(whole.columns)
+    order = W.partitionBy("page_id").orderBy("block_idx", "first_comp")
+    blocks = whole.unionByName(split).withColumn("block_idx", (F.row_number().over(order) - 1).cast("int")).drop("first_comp")
+    found = with_recovered(blocks, components, page_w, page_h)
+    n = lambda df, name: df.groupBy("page_id").agg(F.count("*").alias(name))
+    counts = n(raw, "n_raw").join(n(kept, "n_after_dedupe"), "page_id", "left").join(n(blocks, "n_after_split"), "page_id", "left").join(n(found, "n_blocks"), "page_id", "full")
+    return found, counts.na.fill(0)
+
+
+def translate_candidates(roles: DataFrame, skip_preserved: bool = True) -> DataFrame:
+    """Blocks that go to the translator; preserved ones too where they aren't skipped."""
+    return translatable(roles if skip_preserved else roles.withColumn("preserve", F.lit(False)))
+
+
+def layout(blocks: DataFrame, tall: float = 1.6, most: float = 0.4) -> DataFrame:
+    """Blocks of a page, the share that is much taller than wide, and whether that makes it vertical."""
+    side = lambda a, b: F.greatest(F.col(b) - F.col(a), F.lit(1))
+    share = F.avg(F.when(side("y1", "y2") / side("x1", "x2") >= tall, 1.0).otherwise(0.0))
+    return blocks.groupBy("page_id").agg(F.count("*").alias("n_blocks"), share.alias("tall_share"), (share >= most).alias("is_vertical"))
+
+
+def largest(blocks: DataFrame, k: int = 4) -> DataFrame:
+    """The k largest blocks of a page, the higher score first on a tie, then the smaller index."""
+    rows = blocks.select("page_id", "block_idx", G.area(*[F.col(c) for c in BOX]).alias("area"), "score")
+    return rows.withColumn("r", F.row_number().over(W.partitionBy("page_id").orderBy(F.desc("area"), F.desc("score"), "block_idx"))).where(F.col("r") <= k).drop("r", "score")
+
+
 def roles(blocks: DataFrame, ocr: DataFrame, page_w: int, page_h: int) -> DataFrame:
     """Role, sub-type and preservation of every block; a block without recognised text has the empty text."""
     read = ocr.select("page_id", "block_idx", F.col("text").alias("t"), "ocr_conf", "ocr_failed")
@@ -100,8 +144,10 @@ def roles(blocks: DataFrame, ocr: DataFrame, page_w: int, page_h: int) -> DataFr
     )
 
 
-def preserved(roles: DataFrame, translations: DataFrame) -> DataFrame:
-    """Blocks kept out of cleaning: preserved effects, and CJK text without Latin letters that has no real translation."""
+def preserved(roles: DataFrame, translations: DataFrame, enabled: bool = True) -> DataFrame:
+    """Blocks kept out of cleaning: preserved effects, and CJK text without Latin letters that has no real translation. Switched off, all of them."""
+    if not enabled:
+        return roles.select("page_id", "block_idx")
     done = translations.where(T.is_real_translation(F.col("translated"))).select("page_id", "block_idx", F.lit(True).alias("done"))
     joined = roles.join(done, ["page_id", "block_idx"], "left")
     plain = T.has_cjk(F.col("t")) & ~T.has_latin_letters(F.col("t")) & F.col("done").isNull()

@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from pageweave.functions import text as T
+
+# Stages in order with their timeouts in seconds, and the timeout of any other; attempts after the first; memory retries of a page.
+STAGE_TIMEOUTS = {"load": 120, "detect": 120, "lang_detect": 60, "ocr": 300, "sfx": 120, "translate": 180, "preserve_clean": 60, "inpaint": 180, "render": 60, "save_json": 60, "save_png": 60}
+STAGES = list(STAGE_TIMEOUTS)
+OTHER_TIMEOUT, STAGE_RETRIES, MEMORY_RETRIES = 120, 2, 3
 
 def stage_metrics(events: DataFrame) -> DataFrame:
     """Per stage: outcomes and latency of ended attempts."""
@@ -23,14 +29,94 @@ def last_events(events: DataFrame, n: int = 30) -> DataFrame:
     return events.orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
 
 
-def freezes(events: DataFrame, timeout_s: float = 120.0) -> DataFrame:
-    """Stage starts that no other event of the page follows within the timeout."""
+def timeout_s(stage: Column) -> Column:
+    """Seconds that a stage (its place in the order) may take."""
+    return F.coalesce(F.get(F.array(*map(F.lit, STAGE_TIMEOUTS.values())), stage), F.lit(OTHER_TIMEOUT))
+
+
+def freezes(events: DataFrame) -> DataFrame:
+    """Stage starts that no other event of the page follows within the stage's timeout."""
     w = W.partitionBy("page_id").orderBy("ts", "event_id")
     nxt = events.withColumn("next_ts", F.lead("ts").over(w))
-    silent = F.unix_micros("next_ts") - F.unix_micros("ts") >= int(timeout_s * 1e6)
+    silent = F.unix_micros("next_ts") - F.unix_micros("ts") >= timeout_s(F.col("stage")) * 1_000_000
     return nxt.where((F.col("event") == "stage_start") & F.coalesce(silent, F.lit(True))).select("event_id", "page_id", "stage")
 
 
+def heartbeats(events: DataFrame) -> DataFrame:
+    """Each page's last start of a stage, and the stage."""
+    last = F.max(F.struct("ts", "event_id", "stage"))
+    return events.where("event = 'stage_start'").groupBy("page_id").agg(last.alias("l")).select("page_id", F.col("l.ts").alias("ts"), "l.stage")
+
+
+def stage_outcomes(events: DataFrame) -> DataFrame:
+    """Per page and stage: attempts, errors, whether it ended, failed for good or is open, its last error, and memory retries.
+
+    A stage fails for good after its last retry. Memory errors of the inpainting stage are retried on the CPU, up to a number of times.
+    """
+    error, memory = F.col("event") == "stage_error", T.is_out_of_memory(F.col("error_type"), F.col("error_msg"))
+    last = F.max_by(failure(F.col("error_type"), F.col("error_msg")), F.when(error, F.struct("ts", "event_id")))
+    told = events.where("event like 'stage_%'").groupBy("page_id", "stage").agg(
+        F.count_if(F.col("event") == "stage_start").alias("n_attempts"), F.count_if(error).alias("n_errors"), F.count_if(F.col("event") == "stage_end").alias("n_ends"),
+        F.count_if(error & memory).alias("n_memory"), last.alias("last_error"),
+    )
+    inpaint = F.col("stage") == STAGES.index("inpaint")
+    retried = F.when(inpaint, F.least("n_memory", F.lit(MEMORY_RETRIES))).otherwise(0)
+    lost = (F.col("n_errors") - F.when(inpaint, F.col("n_memory")).otherwise(0) > STAGE_RETRIES) | (inpaint & (F.col("n_memory") > MEMORY_RETRIES))
+    outcome = F.when(F.col("n_ends") > 0, "ok").when(lost, "failed").otherwise("open")
+    return told.select("page_id", "stage", "n_attempts", "n_errors", outcome.alias("outcome"), "last_error", retried.cast("bigint").alias("memory_retries"), (retried > 0).alias("on_cpu"))
+
+
+def failure(kind: Column, message: Column) -> Column:
+    """A last error as it is kept: the type and up to 300 characters of the message."""
+    return F.concat(F.coalesce(kind, F.lit("")), F.lit(": "), F.substring(F.coalesce(message, F.lit("")), 1, 300))
+
+
+def failed_pages(events: DataFrame) -> DataFrame:
+    """Pages whose last final event is a failure, with its error and the stages that ended before it."""
+    final = events.where("event in ('page_done', 'page_failed')").groupBy("page_id").agg(F.max(F.struct("ts", "event_id", "event", "error_type", "error_msg")).alias("f")).where("f.event = 'page_failed'")
+    ended = events.where("event = 'stage_end'").select("page_id", "ts", "event_id", "stage")
+    before = F.struct("ts", "event_id") < F.struct("f.ts", "f.event_id")
+    stages = F.array_sort(F.collect_set(F.when(before, F.col("stage"))))
+    return final.join(ended, "page_id", "left").groupBy("page_id", failure(F.col("f.error_type"), F.col("f.error_msg")).alias("last_error")).agg(stages.alias("completed"))
+
+
+def counters(events: DataFrame) -> DataFrame:
+    """name and n: outcomes of stages, memory errors, and pages done and failed."""
+    stage = F.get(F.array(*map(F.lit, STAGES)), F.col("stage"))
+    memory = (F.col("event") == "stage_error") & T.is_out_of_memory(F.col("error_type"), F.col("error_msg"))
+    names = F.array(
+        F.when(F.col("event") == "stage_end", F.concat(F.lit("stage_"), stage, F.lit("_ok"))), F.when(F.col("event") == "stage_error", F.concat(F.lit("stage_"), stage, F.lit("_err"))),
+        F.when(memory, F.lit("oom_events")), F.when(F.col("event") == "page_done", F.lit("pages_done")), F.when(F.col("event") == "page_failed", F.lit("pages_failed")),
+    )
+    return events.select(F.explode(names).alias("name")).where("name is not null").groupBy("name").agg(F.count("*").alias("n"))
+
+
+def batch_summary(outcomes: DataFrame) -> DataFrame:
+    """Pages of a batch, how many went well, and whether all did."""
+    ok = F.count_if(F.col("outcome") == "page_done")
+    return outcomes.agg(ok.alias("n_ok"), F.count("*").alias("n_pages"), (ok == F.count("*")).alias("all_ok"))
+
+
+def request_stats(attempts: DataFrame, looked_up: DataFrame) -> DataFrame:
+    """Statistics of a translator: requests after the cache, rejections for their rate, retries and lost requests of attempts (request,
+    attempt from 0, error or null), hits and misses of texts looked up."""
+    lost = F.max_by(F.col("error").isNotNull(), "attempt")
+    by = attempts.groupBy("request").agg(F.count("*").alias("n"), F.count_if(T.is_rate_limit(F.col("error"))).alias("limited"), lost.alias("lost"))
+    calls = by.agg(F.count("*").alias("calls"), F.sum("limited").alias("rate_limit_hits"), F.sum(F.col("n") - 1).alias("retries"), F.count_if("lost").alias("failures"))
+    cache = looked_up.agg(F.count_if("hit").alias("cache_hits"), F.count_if(~F.col("hit")).alias("cache_misses"))
+    return calls.crossJoin(cache)  # a row each
+
+
+def stamp(ts: Column) -> Column:
+    """A time as logs and checkpoints write it, in UTC where the session is."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def latency_ms(start: Column, end: Column) -> Column:
+    """Whole milliseconds between two times, cut off."""
+    return F.floor((F.unix_micros(end) - F.unix_micros(start)) / 1000)
+
+
 def health(events: DataFrame, width: str = "30 seconds") -> DataFrame:
     """Events by kind in tumbling windows; the same expression serves batch and streams."""
     return events.groupBy(F.window("ts", width).alias("w"), "event").agg(F.count("*").alias("n"))

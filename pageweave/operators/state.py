@@ -26,8 +26,32 @@ COMMON_WORDS = """
 
 
 def evict_oldest(cache: DataFrame, most: int, share: float = 0.95) -> DataFrame:
-    """If a cache has over ``most`` entries, the newest ``share`` of ``most`` stay. A top-k, so no full sort in one task."""
-    return cache.orderBy(F.desc("ts"), F.desc("key")).limit(int(most * share)) if cache.limit(most + 1).count() > most else cache
+    """If a cache has over ``most`` entries, the newest ``share`` of ``most`` stay.
+
+    Counts by time find the time at which the cut falls, through a hundred ranges of equal size first; only the entries of that one time are ranked.
+    Entries without a time go first.
+    """
+    if cache.limit(most + 1).count() <= most:
+        return cache
+    stay, cache = int(most * share), cache.where("ts is not null")
+    if stay == 0 or cache.limit(stay + 1).count() <= stay:
+        return cache.limit(stay)
+    bounds = sorted(set(cache.agg(F.percentile_approx("ts", [i / 100 for i in range(101)], 1000)).first()[0]))
+    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b > F.col("ts")))  # 0: the newest
+
+    def cut(counts: list[tuple], left: int) -> tuple:
+        for at, n in counts:
+            if n >= left:
+                return at, left
+            left -= n
+
+    part, left = cut([tuple(r) for r in cache.groupBy(place.alias("p")).agg(F.count("*")).orderBy("p").collect()], stay)  # at most 102 rows
+    inside = cache.where(place == part)
+    older = W.orderBy(F.desc("ts")).rowsBetween(W.unboundedPreceding, -1)
+    times = inside.groupBy("ts").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(older), F.lit(0)))  # one range's times
+    at, before = times.where(F.col("before") < left).agg(F.max(F.struct("before", "ts")).alias("m")).select("m.ts", "m.before").first()
+    newest = F.row_number().over(W.orderBy(F.desc("key")))
+    return cache.where(F.col("ts") > at).unionByName(cache.where(F.col("ts") == at).withColumn("r", newest).where(F.col("r") <= left - before).drop("r"))
 
 
 def lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:
@@ -47,24 +71,47 @@ def restore(tasks: DataFrame, previous: DataFrame) -> DataFrame:
     return out.select("page_id", F.when(done, "DONE").otherwise("PENDING").alias("state"), F.when(done, F.col("p.n_stages")).otherwise(0).alias("n_stages"), F.coalesce("p.retries", F.lit(0)).alias("retries"), F.col("p.last_error").alias("last_error"))
 
 
-def glossary(pairs: DataFrame) -> DataFrame:
-    """Names of source texts that their translation has, as they are or capitalised; common words are none; the last pair wins."""
-    found = pairs.where("src <> '' and tgt <> ''").select("ord", "tgt", F.explode(F.array_distinct(T.names(F.col("src")))).alias("term"))
+def glossary_entries(pairs: DataFrame) -> DataFrame:
+    """Names of source texts with what their translation has for them, the name or its capitalised form; common words are none. Columns but src and tgt stay."""
+    rest = [c for c in pairs.columns if c not in ("src", "tgt")]
+    found = pairs.where("src <> '' and tgt <> ''").select(*rest, "tgt", F.explode(F.array_distinct(T.names(F.col("src")))).alias("term"))
     found = found.where(~F.lower("term").isin(COMMON_WORDS))
     cap = F.concat(F.upper(F.substring("term", 1, 1)), F.lower(F.expr("substring(term, 2)")))
     hit = F.when(F.contains("tgt", F.col("term")), F.col("term")).when(F.contains("tgt", cap), cap)
-    return found.withColumn("dst", hit).where("dst is not null").groupBy("term").agg(F.max_by("dst", "ord").alias("dst"))
+    return found.withColumn("dst", hit).where("dst is not null").drop("tgt")
+
+
+def glossary(pairs: DataFrame) -> DataFrame:
+    """term and dst of pairs (ord, src, tgt); the last pair wins."""
+    return glossary_entries(pairs).groupBy("term").agg(F.max_by("dst", "ord").alias("dst"))
+
+
+def glossary_block(glossary: DataFrame) -> DataFrame:
+    """The lines of a prompt for a glossary (of one prompt, so small), sorted by term."""
+    rows = F.sort_array(F.collect_list(F.struct("term", "dst")))
+    return glossary.agg(F.array_join(F.transform(rows, lambda r: F.concat(F.lit("  - "), r["term"], F.lit(" → "), r["dst"])), "\n").alias("block"))
+
 
+def character_memory(pairs: DataFrame) -> DataFrame:
+    """name, name_target, first_seen_page, occurrences, side_hint of pairs (page_id, ord, position_tag, src, tgt).
 
-def character_memory(mentions: DataFrame) -> DataFrame:
-    """Names with the pages that hold them and the first of these."""
-    return mentions.groupBy("name").agg(F.min("page_id").alias("first_seen_page"), F.count_distinct("page_id").alias("occurrences"))
+    A page counts a name once, with its last translation there; the target is that of the name's first page. The side is that of the page's
+    first tag, from the first page that tells one.
+    """
+    first_tag = pairs.groupBy("page_id").agg(F.min_by("position_tag", "ord").alias("tag"))
+    by_page = glossary_entries(pairs.select("page_id", "ord", "src", "tgt")).groupBy("page_id", "term").agg(F.max_by("dst", "ord").alias("dst")).join(first_tag, "page_id")
+    side = F.when(F.contains("tag", F.lit("left")), "left").when(F.contains("tag", F.lit("right")), "right")
+    known = by_page.withColumn("side", side)
+    return known.groupBy(F.col("term").alias("name")).agg(
+        F.min_by("dst", "page_id").alias("name_target"), F.min("page_id").alias("first_seen_page"), F.count("*").alias("occurrences"),
+        F.coalesce(F.min_by("side", F.when(F.col("side").isNotNull(), F.col("page_id"))), F.lit("unknown")).alias("side_hint"),
+    )
 
 
-def best_attempt(attempts: DataFrame, key: str, accept: float = 0.55) -> DataFrame:
-    """The first attempt that is good enough, else the most confident, the first on a tie."""
-    good = F.col("confidence") >= accept
-    w = W.partitionBy(key).orderBy(F.desc(good), F.when(good, F.lit(0.0)).otherwise(-F.col("confidence")), "attempt", "l_partkey", "l_suppkey", "l_extendedprice")
+def best_attempt(attempts: DataFrame, key: str, accept: float = 0.55, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The first attempt that has text and is good enough, else the most confident, the first on a tie; ``ties`` order equal attempts."""
+    good = (F.col("confidence") >= accept) & (F.coalesce("text", F.lit("")) != "")
+    w = W.partitionBy(key).orderBy(F.desc(good), F.when(good, F.lit(0.0)).otherwise(-F.col("confidence")), "attempt", *ties)
     return attempts.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 

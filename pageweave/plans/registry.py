@@ -24,7 +24,7 @@ BLOCKS = "blocks as (select doc_id//8 page_id, (doc_id%8)::int block_idx, ((doc_
 DENSE = "dense as (select doc_id//20 page_id, (doc_id%20)::int block_idx, x::int x1, y::int y1, (x+40+(doc_id*17)%160)::int x2, (y+30+(doc_id*29)%270)::int y2 from (select doc_id, (doc_id*37)%240 x, (doc_id*53)%360 y from documents))"
 OCR = BLOCKS + ", ocr as (select page_id, block_idx, x1, y1, x2, y2, cls, (doc_id%100)/100.0::double ocr_conf, text, coalesce(length(text),0)=0 ocr_failed, doc_id from blocks)"
 TR = OCR + ", tr as (select page_id, block_idx, case doc_id%7 when 0 then '' when 1 then '...' when 2 then '…' when 3 then '???' else upper(text) end translated from ocr)"
-EVENTS = "ev as (select event_id, ts, user_id page_id, case event_type when 'view' then 'stage_start' when 'click' then 'stage_end' when 'error' then 'stage_error' when 'purchase' then 'page_done' else 'page_failed' end as event, (event_id%11)::int stage, value latency_ms from events)"
+EVENTS = "ev as (select event_id, ts, user_id page_id, case event_type when 'view' then 'stage_start' when 'click' then 'stage_end' when 'error' then 'stage_error' when 'purchase' then 'page_done' else 'page_failed' end as event, (event_id%11)::int stage, value latency_ms, case when event_type in ('error','signup') then case when event_id%3=0 then 'OutOfMemoryError' else 'ValueError' end end error_type, case when event_type in ('error','signup') then 'step ' || event_id || case when event_id%5=0 then ': out of memory' else '' end end error_msg from events)"
 TASKS = "prev as (select o_custkey page_id, case o_orderstatus when 'F' then 'DONE' when 'O' then 'RUNNING' else 'FAILED' end state, (o_orderkey%12)::int n_stages, (o_orderkey%3)::int retries, o_orderpriority last_error, o_orderkey%4<>0 output_exists from orders qualify row_number() over (partition by o_custkey order by o_orderkey desc)=1), tasks as (select c_custkey page_id from customer)"
 AREA = "((x2-x1)*(y2-y1))::bigint"
 
@@ -121,19 +121,14 @@ def tile_bounds(s, d):
     return D.blocks(s, d).select("page_id", "block_idx", G.tile(*[F.col(c) for c in B.BOX], W, H).alias("t")).select("page_id", "block_idx", "t.*")
 
 
-@query(f"with {BLOCKS} select page_id, count(*) n_blocks, avg(case when (y2-y1)::double/greatest(x2-x1,1) >= 1.6 then 1.0 else 0.0 end) tall_share, avg(case when (y2-y1)::double/greatest(x2-x1,1) >= 1.6 then 1.0 else 0.0 end) >= 0.4 is_vertical from blocks group by 1")
+@query(f"with {BLOCKS} select page_id, count(*) n_blocks, avg(case when greatest(y2-y1,1)::double/greatest(x2-x1,1) >= 1.6 then 1.0 else 0.0 end) tall_share, avg(case when greatest(y2-y1,1)::double/greatest(x2-x1,1) >= 1.6 then 1.0 else 0.0 end) >= 0.4 is_vertical from blocks group by 1")
 def layout_hint(s, d):
-    tall = F.avg(F.when((F.col("y2") - F.col("y1")) / F.greatest(F.col("x2") - F.col("x1"), F.lit(1)) >= 1.6, 1.0).otherwise(0.0))
-    return D.blocks(s, d).groupBy("page_id").agg(F.count("*").alias("n_blocks"), tall.alias("tall_share"), (tall >= 0.4).alias("is_vertical"))
+    return B.layout(D.blocks(s, d))
 
 
-@query(f"with {BLOCKS} select page_id, block_idx, {AREA} area from blocks qualify row_number() over (partition by page_id order by {AREA} desc, block_idx) <= 4")
+@query(f"with {BLOCKS} select page_id, block_idx, {AREA} area from blocks qualify row_number() over (partition by page_id order by {AREA} desc, ((x1*7+y1*3)%100)/100.0 desc, block_idx) <= 4")
 def top4_sample(s, d):
-    from pyspark.sql import Window
-
-    a = G.area(*[F.col(c) for c in B.BOX])
-    rows = D.blocks(s, d).select("page_id", "block_idx", a.alias("area"))
-    return rows.withColumn("r", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("area"), "block_idx"))).where("r <= 4").drop("r")
+    return B.largest(D.blocks(s, d).withColumn("score", F.expr("((x1*7+y1*3)%100)/100.0D")))
 
 
 # ---- texts
@@ -232,21 +227,40 @@ def page_summary(s, d):
     return joined.groupBy("page_id").agg(F.count("*").alias("n_blocks"), F.count("read").alias("n_ocr"), F.count_if(F.length("translated") > 0).alias("n_translated"), F.count_if(F.col("cls") == 0).alias("n_filled"))
 
 
-@query("with w as (select conv_id ord, turn, unnest(list_distinct(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7f\\P{L}]', '_', 'g'), '\\b[A-Z][A-Za-z]{2,}(?:-[A-Za-z]+)?\\b'))) as name from conversations) select name, min(ord) first_seen_page, count(distinct ord) occurrences from w group by 1")
-def character_memory(s, d):
-    rows = D.table(s, d, "conversations").select(F.col("conv_id").alias("page_id"), F.explode(F.array_distinct(T.names(F.col("text")))).alias("name"))
-    return S.character_memory(rows)
+_COMMON = ", ".join(f"'{w}'" for w in S.COMMON_WORDS)
 
 
-_COMMON = ", ".join(f"'{w}'" for w in S.COMMON_WORDS)
+PAIRS = rf"""c as (select *, lead(text) over (partition by conv_id order by turn, role, text) tgt, row_number() over (partition by conv_id order by turn, role, text) ord from conversations),
+n as (select *, unnest(list_distinct(regexp_extract_all(regexp_replace(text, '[^\x00-\x7f\P{{L}}]', '_', 'g'), '\b[A-Z][A-Za-z]{{2,}}(?:-[A-Za-z]+)?\b'))) as term from c where text <> '' and tgt <> ''),
+h as (select *, upper(substr(term, 1, 1)) || lower(substr(term, 2)) cap, case when contains(tgt, term) then term when contains(tgt, cap) then cap end dst from n where lower(term) not in ({_COMMON})),
+found as (select * from h where dst is not null)"""
 
 
-@query(f"with c as (select *, lead(text) over (partition by conv_id order by turn, role, text) tgt from conversations), n as (select *, unnest(list_distinct(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7f\\P{{L}}]', '_', 'g'), '\\b[A-Z][A-Za-z]{{2,}}(?:-[A-Za-z]+)?\\b'))) term from c where text <> '' and tgt <> ''), h as (select *, upper(substr(term, 1, 1)) || lower(substr(term, 2)) cap, case when contains(tgt, term) then term when contains(tgt, cap) then cap end dst from n where lower(term) not in ({_COMMON})) select term, dst from h where dst is not null qualify row_number() over (partition by term order by conv_id desc, turn desc, role desc, text desc) = 1")
-def glossary_terms(s, d):
+def _pairs(s: SparkSession, d: str) -> DataFrame:
+    """Every turn of a conversation (a page) and the next one as its translation, with a tag by page and turn."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return S.glossary(D.table(s, d, "conversations").select(F.struct("conv_id", "turn", "role", "text").alias("ord"), F.col("text").alias("src"), F.lead("text").over(w).alias("tgt")))
+    tag = F.get(F.array(F.lit("top-left"), F.lit("middle-center"), F.lit("bottom-right")), ((F.col("conv_id") + F.col("ord")) % 3).cast("int"))
+    rows = D.table(s, d, "conversations").withColumn("ord", F.row_number().over(w)).withColumn("tgt", F.lead("text").over(w))
+    return rows.select("conv_id", "turn", "role", "text", F.col("conv_id").alias("page_id"), "ord", tag.alias("position_tag"), F.col("text").alias("src"), "tgt")
+
+
+@query(f"with {PAIRS} select term, dst from found qualify row_number() over (partition by term order by conv_id desc, turn desc, role desc, text desc) = 1")
+def glossary_terms(s, d):
+    return S.glossary(_pairs(s, d).select(F.struct("conv_id", "turn", "role", "text").alias("ord"), "src", "tgt"))
+
+
+@query(f"with {PAIRS}, g as (select term, dst from found qualify row_number() over (partition by term order by conv_id desc, turn desc, role desc, text desc) = 1) select string_agg('  - ' || term || ' → ' || dst, chr(10) order by term) block from g")
+def glossary_block(s, d):
+    return S.glossary_block(glossary_terms(s, d))
+
+
+@query(f"""with {PAIRS}, tags as (select conv_id, ['top-left','middle-center','bottom-right'][(conv_id+1)%3+1] tag from (select distinct conv_id from conversations)),
+p as (select conv_id, term, arg_max(dst, ord) dst from found group by all), k as (select *, case when contains(tag, 'left') then 'left' when contains(tag, 'right') then 'right' end side from p join tags using (conv_id))
+select term as name, arg_min(dst, conv_id) name_target, min(conv_id) first_seen_page, count(*) occurrences, coalesce(arg_min(side, conv_id) filter (where side is not null), 'unknown') side_hint from k group by 1""")
+def character_memory(s, d):
+    return S.character_memory(_pairs(s, d).select("page_id", "ord", "position_tag", "src", "tgt"))
 
 
 @query("select conv_id, string_agg(turn || '. [' || upper(substr(role,1,3)) || '] ' || text, chr(10) order by turn, role, text) prompt from conversations group by 1")
@@ -265,9 +279,9 @@ def parse_translations(s, d):
 # ---- attempts, caches, checkpoints
 
 
-@query("select l_orderkey block_id, l_linenumber::int attempt, l_quantity/50.0 confidence, l_partkey, l_suppkey, l_extendedprice from lineitem qualify row_number() over (partition by l_orderkey order by (l_quantity/50.0 >= 0.55) desc, case when l_quantity/50.0 >= 0.55 then 0.0 else -l_quantity/50.0 end, l_linenumber, l_partkey, l_suppkey, l_extendedprice) = 1")
+@query("with a as (select l_orderkey block_id, l_linenumber::int attempt, l_quantity/50.0 confidence, case when l_partkey%4=0 then '' else 'part ' || l_partkey end as text, l_partkey, l_suppkey, l_extendedprice from lineitem), g as (select *, confidence >= 0.55 and text <> '' good from a) select * exclude (good) from g qualify row_number() over (partition by block_id order by good desc, case when good then 0.0 else -confidence end, attempt, l_partkey, l_suppkey, l_extendedprice) = 1")
 def ocr_best_attempt(s, d):
-    return S.best_attempt(D.attempts(s, d), "block_id")
+    return S.best_attempt(D.attempts(s, d), "block_id", ties=("l_partkey", "l_suppkey", "l_extendedprice"))
 
 
 @query(f"with {OCR} select page_id, string_agg(trim(text), ' ' order by (y1+y2)/2.0, (x1+x2)/2.0, block_idx) filter (where trim(text) <> '') line, avg(ocr_conf) conf from ocr group by 1")
@@ -325,7 +339,7 @@ def last_30_events(s, d):
     return E.last_events(D.event_log(s, d)).select("event_id", "page_id", "event")
 
 
-@query(f"with {EVENTS}, n as (select *, lead(ts) over (partition by page_id order by ts, event_id) nx from ev) select event_id, page_id, stage from n where event='stage_start' and (nx is null or epoch_us(nx)-epoch_us(ts) >= 120000000)")
+@query(f"with {EVENTS}, n as (select *, lead(ts) over (partition by page_id order by ts, event_id) nx from ev) select event_id, page_id, stage from n where event='stage_start' and (nx is null or epoch_us(nx)-epoch_us(ts) >= 1000000 * [120,120,60,300,120,180,60,180,60,60,60][stage+1])")
 def stage_freezes(s, d):
     return E.freezes(D.event_log(s, d))
 
@@ -407,16 +421,6 @@ def translatable(s, d):
     return B.translatable(B.roles(D.blocks(s, d), D.ocr(s, d), W, H))
 
 
-@query()
-def honorific_fix(s, d):
-    """Every name of a turn with a suffix, and the next turn as its translation."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = D.table(s, d, "conversations").withColumn("tgt", F.lead("text").over(w))
-    return rows.select("conv_id", "turn", "role", T.keep_honorifics(F.regexp_replace("text", T.NAME, "$0-san"), F.col("tgt")).alias("fixed"))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -14,10 +14,74 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scan_images(spark: SparkSession, folder: str) -> DataFrame:
-    """path and length of the image files below a folder, in order of path."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return found.where(F.regexp_like("path", F.lit(IMAGE_FILES))).select("path", "length").distinct().orderBy("path")
+def scan_images(spark: SparkSession, folder: str | list[str], pattern: str | None = None, by_name: bool = False) -> DataFrame:
+    """path and length of the image files below a folder, or some folders or globs, in order of path or of the file's name."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    found = (found.option("pathGlobFilter", pattern) if pattern else found).load(folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    return found.where(F.regexp_like("path", F.lit(IMAGE_FILES))).select("path", "length").distinct().orderBy(*([name] if by_name else []), "path")
+
+
+def _entries(spark: SparkSession, path: str, field: str, value: str) -> DataFrame:
+    """key and the value's fields of a map in JSON files; files that are broken or lack it have no rows."""
+    rows = spark.read.schema(f"{field} map<string, {value}>").option("multiLine", "true").json(path)
+    return rows.select(F.explode(field).alias("key", "e"))
+
+
+def _write_map(rows: DataFrame, path: str, key: str, value: Column, around: dict[str, Column] | None = None) -> None:
+    """One JSON object of all rows by key: for tables that are one document by nature, such as a glossary or a cache of bounded size."""
+    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v")))))
+    if around is None:
+        rows.agg(F.to_json(entries).alias("value")).coalesce(1).write.text(path)
+    else:
+        rows.agg(*[c.alias(n) for n, c in around.items() if n != "of"], entries.alias(around["of"])).coalesce(1).write.json(path)
+
+
+def read_glossary(spark: SparkSession, path: str) -> DataFrame:
+    """term and dst of JSON objects."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, string>").alias("m"))
+    return whole.select(F.explode("m").alias("term", "dst"))
+
+
+def write_glossary(glossary: DataFrame, path: str) -> None:
+    _write_map(glossary, path, "term", F.col("dst"))
+
+
+def read_names(spark: SparkSession, path: str) -> DataFrame:
+    """Character memory of JSON objects by name; absent fields take the name, page 0, one occurrence and an unknown side."""
+    fields = "struct<name_src:string, name_target:string, first_seen_page:bigint, occurrences:bigint, side_hint:string>"
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string, {fields}>")).alias("key", "e")).where("e is not null")
+    default = lambda f, x: F.coalesce(f"e.{f}", x).alias(f)
+    return whole.select(default("name_src", F.col("key")), default("name_target", F.col("key")), default("first_seen_page", F.lit(0)), default("occurrences", F.lit(1)), default("side_hint", F.lit("unknown")))
+
+
+def write_names(memory: DataFrame, path: str) -> None:
+    _write_map(memory, path, "name_src", F.struct("name_src", "name_target", "first_seen_page", "occurrences", "side_hint"))
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """Translation cache files; entries without a translation are left out."""
+    return _entries(spark, path, "entries", "struct<translation:string, model:string, target_lang:string, text_preview:string, ts:double>").where("e.translation is not null").select("key", "e.*")
+
+
+def write_cache(cache: DataFrame, path: str, ts: Column) -> None:
+    value = F.struct("translation", "model", "target_lang", F.substring("text_preview", 1, 80).alias("text_preview"), "ts")
+    _write_map(cache, path, "key", value, {"version": F.lit(1), "ts": ts, "of": "entries"})
+
+
+def read_ocr_cache(spark: SparkSession, path: str) -> DataFrame:
+    """Recognition cache files; entries without a result are left out. The result stays JSON text."""
+    return _entries(spark, path, "entries", "struct<result:string, ts:double>").where("e.result is not null").select("key", "e.*")
+
+
+def write_ocr_cache(cache: DataFrame, path: str, ts: Column) -> None:
+    _write_map(cache, path, "key", F.struct("result", "ts"), {"version": F.lit(1), "ts": ts, "of": "entries"})
+
+
+def write_checkpoint(tasks: DataFrame, path: str, config_digest: str, ts: Column) -> None:
+    """A checkpoint of version 1 of tasks (page_id, state, completed_stages, retries, last_error)."""
+    value = F.struct("page_id", "state", "completed_stages", "retries", "last_error")
+    _write_map(tasks, path, "page_id", value, {"version": F.lit(1), "config_digest": F.lit(config_digest), "ts": ts, "of": "pages"})
 
 
 def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
@@ -61,13 +125,14 @@ def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
         "event_id", "cast(ts as timestamp) ts", "user_id as page_id", "case event_type when 'view' then 'stage_start' when 'click' then 'stage_end' when 'error' then 'stage_error' when 'purchase' then 'page_done' else 'page_failed' end as event",
-        "cast(event_id % 11 as int) stage", "value as latency_ms",
+        "cast(event_id % 11 as int) stage", "value as latency_ms", "case when event_type in ('error', 'signup') then if(event_id % 3 = 0, 'OutOfMemoryError', 'ValueError') end as error_type",
+        "case when event_type in ('error', 'signup') then concat('step ', event_id, if(event_id % 5 = 0, ': out of memory', '')) end as error_msg",
     )
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recognition attempts: lines of an order as the attempts of a block, best first by no rule."""
-    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as block_id", "cast(l_linenumber as int) attempt", "l_quantity / 50.0D as confidence", "l_partkey", "l_suppkey", "l_extendedprice")
+    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as block_id", "cast(l_linenumber as int) attempt", "l_quantity / 50.0D as confidence", "if(l_partkey % 4 = 0, '', concat('part ', l_partkey)) as text", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pageweave.operators import events as E
 
+TIMEOUTS = dict(enumerate(E.STAGE_TIMEOUTS.values()))
 SCHEMA = "event_id long, ts timestamp, page_id long, event string, stage int, latency_ms double"
 
 
@@ -37,9 +38,10 @@ def _watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
         elif state.exists:
             state.remove()
     if state.exists:
-        state.setTimeoutTimestamp(max(state.get[1] + 120_000, state.getCurrentWatermarkMs() + 1))
+        stage, since = state.get
+        state.setTimeoutTimestamp(max(since + 1000 * TIMEOUTS.get(stage, E.OTHER_TIMEOUT), state.getCurrentWatermarkMs() + 1))
 
 
 def watchdog(events: DataFrame, late: str = "1 minute") -> DataFrame:
-    """Pages whose last event is a stage start older than two minutes by the watermark; each freeze is told once."""
+    """Pages whose last event is a stage start older than the stage's timeout by the watermark; each freeze is told once."""
     return events.withWatermark("ts", late).groupBy("page_id").applyInPandasWithState(_watch, "page_id long, stage int, since_ms long", "stage int, since_ms long", "append", GroupStateTimeout.EventTimeTimeout)
