@@ -178,7 +178,8 @@ def judged(measured: DataFrame, cuts: DataFrame, rules: Rules = Rules()) -> Data
 def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules: Rules = Rules()) -> DataFrame:
     """The documents that the rules keep, with the columns they came with. Labelled documents are measured for the cutoffs, then all where they lie."""
     labelled = docs.join(few(good_ids(labels).withColumnRenamed("doc_id", "good")), docs["doc_id"] == F.col("good"), "left_semi")
-    cuts = written(cutoffs(measure(labelled, stratum), labels, rules), "cutoffs").where("step is not null")
+    # written first: a filter on measures would otherwise repeat them
+    cuts = written(cutoffs(written(measure(labelled, stratum), "measures"), labels, rules), "cutoffs").where("step is not null")
     m, cut = fresh(docs, "m"), fresh(docs, "cut")
     # exploded from an array of one, so that a text is measured once whatever is read of its measures
     measured = docs.withColumn(m, F.explode(F.array(measures(F.col("text")))))
