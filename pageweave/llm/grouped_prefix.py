@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import few, fresh, let, table, words, written
 from .components import components
 
-#: Groups with a prefix shingle from which on they meet at pairs of shingles instead.
-MANY = 64
+#: Groups meet at pairs of shingles where a shingle alone would make them this many times as many pairs of groups as there are such pairs of shingles.
+WORTH = 8
 LOW = -(1 << 63) + (1 << 62)  # hashes below: a quarter
 
 
@@ -122,7 +122,8 @@ def _posts(groups: DataFrame) -> DataFrame:
     """token, g, n, own, pos: where groups may meet. Of the first two shingles that linked sets have in common the first is in both
     prefixes, so where many groups have it, it goes together with each of the shingles after it."""
     each = groups.select("g", "n", "own", "prefix", F.posexplode("prefix").alias("i", "token")).where("i < size(prefix) - 1")
-    often = each.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > MANY).select("token", F.lit(True).alias("often"))
+    c, after = F.count("*"), F.sum(F.size("prefix") - F.col("i") - 1)
+    often = each.groupBy("token").agg(c.alias("c"), after.alias("after")).where(F.col("c") * (F.col("c") - 1) > 2 * WORTH * F.col("after")).select("token", F.lit(True).alias("often"))
     told = each.join(often, "token", "left").withColumn("pos", F.col("own") + F.col("i"))
     plain = told.where("often is null").select("token", "g", "n", "own", "pos")
     then = F.explode(F.slice("prefix", F.col("i") + 2, F.size("prefix"))).alias("then")

@@ -501,10 +501,10 @@ def test_near_copies_where_many_groups_share_shingles(spark, monkeypatch):
             rows.append(" ".join(w))
             w[i * 4] = word() if i % 2 else rnd.choice(common)
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
-    for rule, many in ((grouped_prefix.Rule(2, 80), 0), (grouped_prefix.Rule(3, 60), 2), (grouped_prefix.Rule(1, 50), 64)):
-        monkeypatch.setattr(grouped_prefix, "MANY", many)
+    for rule, worth in ((grouped_prefix.Rule(2, 80), 0), (grouped_prefix.Rule(3, 60), 0.2), (grouped_prefix.Rule(1, 50), 8)):
+        monkeypatch.setattr(grouped_prefix, "WORTH", worth)
         want = brute_classes(list(enumerate(rows)), rule.words, rule.percent)
-        assert {r.doc_id: (r.n_shingles, r.component_id) for r in grouped_prefix.classes(docs, rule).collect()} == want, (rule, many)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in grouped_prefix.classes(docs, rule).collect()} == want, (rule, worth)
 
 
 def test_a_shingle_that_thousands_of_unlike_texts_share(spark):
