@@ -8,10 +8,10 @@
 3. The rest are ordered by frequency, own shingles first. Linked sets have a shingle in common within their prefixes, and a second
    one no later than right after them. Sets of equal size, equal number of own shingles and equal prefix (with the shingle after it) form
    one group.
-4. Groups meet at the shingles of their prefixes, if sizes and positions still allow the overlap; at a shingle that very many groups have, only
-   those that also have a second shingle in common. First the group with the fewest own shingles meets each of the others, its leader
-   (the smallest member) their members, and every leader the members of its own group. Then leaders of groups with parts that aren't connected
-   yet; then, of parts that still aren't, the members. The distance of sets (1 - similarity) obeys the triangle inequality and every member's
+4. Groups meet at the shingles of their prefixes, if sizes and positions still allow the overlap. First the group with the fewest own
+   shingles meets each of the others, its leader (the smallest member) their members, and every leader the members of its own group. Then
+   leaders of groups with parts that aren't connected yet, at a shingle that very many such groups have only where they also have a second
+   shingle in common; then, of parts that still aren't, the members. The distance of sets (1 - similarity) obeys the triangle inequality and every member's
    distance from its leader is known, so members that their leaders' distance rules out aren't paired. Every pair is verified on its shared
    shingles. No link that a component depends on is lost, and no pairs are made inside what is already connected.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import few, fresh, let, table, words, written
 from .components import components
 
-#: Groups meet at pairs of shingles where a shingle alone would make them this many times as many pairs of groups as there are such pairs of shingles.
+#: Groups that aren't connected meet at pairs of shingles where a shingle alone would make this many times as many pairs of groups as there are such pairs of shingles.
 WORTH = 8
 LOW = -(1 << 63) + (1 << 62)  # hashes below: a quarter
 
@@ -106,12 +106,28 @@ def _stars(posts: DataFrame, rule: Rule) -> DataFrame:
     return a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.g") != F.col("b.g")) & _fits("a", "b", rule)).select(F.col("a.g").alias("g"), F.col("b.g").alias("h")).distinct()
 
 
-def _crossing(posts: DataFrame, parts: DataFrame, rule: Rule) -> DataFrame:
+def _crossing(groups: DataFrame, posts: DataFrame, parts: DataFrame, rule: Rule) -> DataFrame:
     """(g, lg, h, lh): parts of groups with unlike labels that meet at a prefix token. Of a token's largest label only the
-    other labels' rows look for partners, so what is connected isn't paired."""
+    other labels' rows look for partners, so what is connected isn't paired. Where that still makes very many pairs, groups meet at the
+    token and each of the shingles after it instead: of the first two that linked sets have in common, the first is in both prefixes."""
     by = posts.join(parts, "g")
-    labels = by.groupBy("token", "lg").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("lg", F.struct("c", "lg")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
-    by = written(by.join(labels, "token").select("token", "g", "lg", "n", "pos", (F.col("lg") == F.col("most")).alias("most")), "crossing")
+    c = by.groupBy("token", "lg").agg(F.count("*").alias("c"), F.sum("after").alias("after"))
+    total = F.sum("c")
+    labels = c.groupBy("token").agg(
+        F.max_by("lg", F.struct("c", "lg")).alias("most"), F.count("*").alias("labels"), ((total - F.max("c")) * total > 2 * WORTH * F.sum("after")).alias("many")
+    )
+    labels = written(labels.where("labels > 1").drop("labels"), "crossing-labels")
+    one = by.join(labels.where("not many"), "token").select("token", "g", "lg", "n", "pos", (F.col("lg") == F.col("most")).alias("most"))
+    many = labels.where("many").select("token", "most")
+    if many.limit(1).count():
+        at = groups.select("g", "n", "own", "prefix", F.posexplode("prefix").alias("i", "token")).where("i < size(prefix) - 1").join(few(many), "token").join(parts, "g")
+        then = F.explode(F.slice("prefix", F.col("i") + 2, F.size("prefix"))).alias("then")
+        two = at.select("token", "g", "lg", "n", (F.col("own") + F.col("i")).alias("pos"), (F.col("lg") == F.col("most")).alias("most"), then)
+        two = two.select(F.xxhash64("token", "then").alias("token"), "g", "lg", "n", "pos", "most")
+        asked = written(two.where("not most"), "crossing-asked")
+        found = two.where("most").join(few(asked.select("token").distinct()), "token", "left_semi")
+        one = one.unionByName(asked).unionByName(found)
+    by = written(one, "crossing")
     a, b = by.where("not most").alias("a"), by.alias("b")
     once = F.col("b.most") | (F.struct("a.g", "a.lg") < F.struct("b.g", "b.lg"))
     met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.lg") != F.col("b.lg")) & once & _fits("a", "b", rule))
@@ -119,16 +135,9 @@ def _crossing(posts: DataFrame, parts: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _posts(groups: DataFrame) -> DataFrame:
-    """token, g, n, own, pos: where groups may meet. Of the first two shingles that linked sets have in common the first is in both
-    prefixes, so where many groups have it, it goes together with each of the shingles after it."""
-    each = groups.select("g", "n", "own", "prefix", F.posexplode("prefix").alias("i", "token")).where("i < size(prefix) - 1")
-    c, after = F.count("*"), F.sum(F.size("prefix") - F.col("i") - 1)
-    often = each.groupBy("token").agg(c.alias("c"), after.alias("after")).where(F.col("c") * (F.col("c") - 1) > 2 * WORTH * F.col("after")).select("token", F.lit(True).alias("often"))
-    told = each.join(often, "token", "left").withColumn("pos", F.col("own") + F.col("i"))
-    plain = told.where("often is null").select("token", "g", "n", "own", "pos")
-    then = F.explode(F.slice("prefix", F.col("i") + 2, F.size("prefix"))).alias("then")
-    two = told.where("often").select("token", "g", "n", "own", "pos", then).select(F.xxhash64("token", "then").alias("token"), "g", "n", "own", "pos")
-    return plain.unionByName(two)
+    """token, g, n, own, pos, after: where groups may meet, and how many shingles of the prefix come after."""
+    each = groups.select("g", "n", "own", F.size("prefix").alias("long"), F.posexplode("prefix").alias("i", "token")).where("i < long - 1")
+    return each.select("token", "g", "n", "own", (F.col("own") + F.col("i")).alias("pos"), (F.col("long") - F.col("i") - 1).alias("after"))
 
 
 def _overlaps(pairs: DataFrame, shared: DataFrame, rule: Rule, label: str) -> DataFrame:
@@ -167,7 +176,7 @@ def links(docs: DataFrame, open_: DataFrame, rule: Rule) -> DataFrame:
     placed = written(placed.select(members["rep"], members["g"], F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("l", members["rep"]).alias("lg")), "placed")
     parts = written(placed.groupBy("g", "lg").agg(F.max("d").alias("r")), "parts")
     inside = parts.select("g", "lg").join(parts.select("g", F.col("lg").alias("lh")), "g").where("lg < lh").select("g", "lg", F.col("g").alias("h"), "lh")
-    apart = written(_crossing(posts, parts.select("g", "lg"), rule).unionByName(inside), "apart")
+    apart = written(_crossing(groups, posts, parts.select("g", "lg"), rule).unionByName(inside), "apart")
     leaders = _overlaps(apart.where("g <> h").select(*_ordered("g", "h")).distinct(), shared, rule, "leader-overlaps")
     more = leaders.where("linked").select("a", "b")
     if more.limit(1).count():
