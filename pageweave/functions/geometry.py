@@ -37,6 +37,16 @@ def overlap(a: Column, b: Column) -> Column:
     return side("x1", "x2") * side("y1", "y2")
 
 
+def inscribed_box(text: Column, rect: Column, share: float = 0.5, inset: float = 0.04) -> Column:
+    """Where text is drawn in a rectangle inscribed in its balloon: ``rect`` shrunk on every side by a share of its own side; null where it
+    covers less than ``share`` of the text's box, or where a coordinate is null."""
+    text_area = F.greatest((text["x2"] - text["x1"]).cast("bigint") * (text["y2"] - text["y1"]), F.lit(1))
+    dx, dy = F.floor((rect["x2"] - rect["x1"]) * F.lit(inset)), F.floor((rect["y2"] - rect["y1"]) * F.lit(inset))
+    shrunk = F.struct((rect["x1"] + dx).alias("rx1"), (rect["y1"] + dy).alias("ry1"), (rect["x2"] - dx).alias("rx2"), (rect["y2"] - dy).alias("ry2"))
+    known = sum((box[c] for box in (text, rect) for c in ("x1", "y1", "x2", "y2")), F.lit(0)).isNotNull()  # least and greatest pass nulls over
+    return F.when(known & (overlap(text, rect) >= share * text_area), shrunk)
+
+
 def tile(x1: Column, y1: Column, x2: Column, y2: Column, w: int, h: int, pad: float = 0.5, least: int = 256) -> Column:
     """A square-ish tile around a box: padded, grown to its longer side or the least side, kept on the page."""
     bw, bh = x2 - x1, y2 - y1

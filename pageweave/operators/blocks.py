@@ -67,6 +67,14 @@ def overlap_pairs(blocks: DataFrame) -> DataFrame:
     return pairs.select("a.page_id", F.col("a.block_idx").alias("a_idx"), F.col("b.block_idx").alias("b_idx"), G.overlap(box("a"), box("b")).alias("inter")).where("inter > 0")
 
 
+def inscribed_fits(blocks: DataFrame, rects: DataFrame) -> DataFrame:
+    """Of a page's text boxes and inscribed rectangles (page_id, rect_idx, x1 to y2), the pairs that fit and the box drawn into."""
+    box = lambda s: F.struct(*[F.col(f"{s}.{c}") for c in BOX])
+    pairs = blocks.alias("a").join(rects.alias("b"), F.col("a.page_id") == F.col("b.page_id"))
+    fits = pairs.select("a.page_id", "a.block_idx", "b.rect_idx", G.inscribed_box(box("a"), box("b")).alias("r"))
+    return fits.where("r is not null").select("page_id", "block_idx", "rect_idx", "r.*")
+
+
 def gap_groups(blocks: DataFrame, gap: int = 20) -> DataFrame:
     """Groups along y: a new one where a box starts more than ``gap`` below all that came before."""
     w = W.partitionBy("page_id").orderBy("y1", "block_idx")

@@ -121,6 +121,17 @@ def tile_bounds(s, d):
     return D.blocks(s, d).select("page_id", "block_idx", G.tile(*[F.col(c) for c in B.BOX], W, H).alias("t")).select("page_id", "block_idx", "t.*")
 
 
+INSET = "floor((b.x2-b.x1)*0.04::double)::bigint dx, floor((b.y2-b.y1)*0.04::double)::bigint dy"
+
+
+@query(f"""with {DENSE}, p as (select a.page_id, a.block_idx, b.block_idx rect_idx, b.x1, b.y1, b.x2, b.y2, {INSET},
+    greatest(least(a.x2,b.x2)-greatest(a.x1,b.x1),0)::bigint*greatest(least(a.y2,b.y2)-greatest(a.y1,b.y1),0) >= 0.5*greatest((a.x2-a.x1)*(a.y2-a.y1),1) fits
+    from dense a join dense b on a.page_id=b.page_id and a.block_idx<>b.block_idx)
+    select page_id, block_idx, rect_idx, x1+dx rx1, y1+dy ry1, x2-dx rx2, y2-dy ry2 from p where fits""")
+def inscribed_fit(s, d):
+    return B.inscribed_fits(D.dense_blocks(s, d), D.dense_blocks(s, d).withColumnRenamed("block_idx", "rect_idx")).where("block_idx <> rect_idx")
+
+
 @query(f"with {BLOCKS} select page_id, count(*) n_blocks, avg(case when greatest(y2-y1,1)::double/greatest(x2-x1,1) >= 1.6 then 1.0 else 0.0 end) tall_share, avg(case when greatest(y2-y1,1)::double/greatest(x2-x1,1) >= 1.6 then 1.0 else 0.0 end) >= 0.4 is_vertical from blocks group by 1")
 def layout_hint(s, d):
     return B.layout(D.blocks(s, d))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pageweave.functions import geometry as G
 from pageweave.functions import text as T
 
 
@@ -178,3 +179,12 @@ def test_glossary_leaves_common_words_out_whatever_their_number(spark, tmp_path)
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = registry.queries()["glossary_terms"](spark, str(tmp_path)).collect()
     assert {r.term: r.dst for r in got} == {"Alice": "Alice", "BOB-san": "Bob-san", "Dora": "Dora"}
+
+
+def test_inscribed_box(spark):
+    """Half of the text's area is enough, less isn't; every side gives up 4 % of its length, in whole pixels."""
+    rows = [(0, [0, 0, 100, 100]), (1, [50, 0, 150, 100]), (2, [51, 0, 151, 100]), (3, [0, 0, 124, 126]), (4, [200, 200, 300, 300]), (5, None)]
+    box = lambda c: F.struct(*[F.col(c)[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
+    df = spark.createDataFrame(rows, "i int, r array<int>").withColumn("t", F.array(*map(F.lit, (0, 0, 100, 100))))
+    got = {r.i: r.b and tuple(r.b) for r in df.select("i", G.inscribed_box(box("t"), box("r")).alias("b")).collect()}
+    assert got == {0: (4, 4, 96, 96), 1: (54, 4, 146, 96), 2: None, 3: (4, 5, 120, 121), 4: None, 5: None}
