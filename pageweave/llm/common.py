@@ -95,13 +95,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
 SLICE_CHARS, SLICE_ROWS = 1 << 20, 500
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, chars: int = SLICE_CHARS, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in portions, few enough in number and in characters of a text column."""
     until = np.concatenate([[0], np.cumsum(pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_numpy(), dtype="i8")])
     at = 0
     while at < batch.num_rows:
-        n = int(np.searchsorted(until, until[at] + SLICE_CHARS, "right")) - 1 - at
-        n = min(max(1, n), SLICE_ROWS)
+        n = int(np.searchsorted(until, until[at] + chars, "right")) - 1 - at
+        n = min(max(1, n), rows)
         yield batch.slice(at, n)
         at += n
 
@@ -117,19 +117,47 @@ class Kept:
 
     def joined(self, texts: list[list[str]]) -> list[bytes]:
         """The bytes of each text's words. ``learn`` finds all unknown words at once; those of over ``chars`` aren't kept."""
+        self._turn()
+        found = self._find(set().union(*texts).difference(self.new))
+        get = self.new.__getitem__
+        out = [b"".join(map(get, ws)) for ws in texts]
+        self._keep(found)
+        return out
+
+    def each(self, words: list[str]) -> list[bytes]:
+        """The bytes of each word, as in ``joined``."""
+        self._turn()
+        out = list(map(self.new.get, words))
+        unknown = [i for i, b in enumerate(out) if b is None]
+        if unknown:
+            some = [words[i] for i in unknown]
+            older = list(map(self.old.get, some))
+            found = {w: b for w, b in zip(some, older, strict=True) if b is not None}
+            if len(found) < len(some):
+                found |= self.learn([w for w, b in zip(some, older, strict=True) if b is None])
+            for i, w in zip(unknown, some, strict=True):
+                out[i] = found[w]
+            self.new |= found
+            self._keep(found)
+        return out
+
+    def _turn(self) -> None:
         if self.size > self.most:
             self.old, self.new, self.size = self.new, {}, 0
-        need = set().union(*texts).difference(self.new)
-        found = {w: self.old[w] for w in need.intersection(self.old)}
-        if len(found) < len(need):
-            found |= self.learn(list(need.difference(found)))
+
+    def _find(self, words: set[str]) -> dict[str, bytes]:
+        """The bytes of words that the newer generation doesn't have, put into it."""
+        found = {w: self.old[w] for w in words.intersection(self.old)}
+        if len(found) < len(words):
+            found |= self.learn(list(words.difference(found)))
         self.new |= found
-        get = self.new.__getitem__
-        out = [b"".join(map(get, ws)) for ws in texts]
-        for w in [w for w in found if len(w) > self.chars]:
-            del self.new[w], found[w]
+        return found
+
+    def _keep(self, found: dict[str, bytes]) -> None:
+        if max(map(len, found), default=0) > self.chars:
+            for w in [w for w in found if len(w) > self.chars]:
+                del self.new[w], found[w]
         self.size += 180 * len(found) + 2 * sum(map(len, found)) + sum(map(len, found.values()))  # about what Python takes
-        return out
 
     def known(self, word: str) -> bytes | None:
         return self.new.get(word) or self.old.get(word)

@@ -6,11 +6,12 @@ delta packing where it doesn't pay; row groups and pages are small enough that p
 tokens of a few documents, or the metadata alone, without the rest. Each row knows its place within its file, the
 files' sums (one row a file) turn that into its place in the whole corpus.
 
-Encoding splits a text at single spaces between non-blank characters, where every pre-token of this vocabulary ends. The tokenizers library
-encodes the pieces that a worker hasn't kept. A piece that is a word of Latin letters, two of them at a line end, or such with a mark after,
-is known to fall into these pre-tokens, so the library's model gets them as they are; the others go through the whole library, many in
-one call: each begins with a space, so its ids begin with the only token that does. Kept pieces are bounded in bytes, and long texts
-pass in parts of about a million characters.
+Encoding splits a text at single spaces between non-blank characters, where every pre-token of this vocabulary ends. Arrow splits the texts of a
+slice and numbers their different pieces, so Python sees each piece once a slice and the lists of ids are put together by number. The
+tokenizers library encodes the pieces that a worker hasn't kept. A piece that is a word of Latin letters, two of them at a line end, or such
+with marks after, is known to fall into these pre-tokens, so the library's model gets them as they are; the others go through the whole
+library, many in one call: each begins with a space, so its ids begin with the only token that does. Kept pieces are bounded in bytes. Texts
+with more than single spaces between pieces are split one by one, long texts in parts of about a million characters.
 
 Defined results: a null text is empty and has the end id alone; texts of any length are one row, encoded whole; ties of doc_id are ordered
 by text; a null doc_id comes first; repeated rows are written each; an empty table gives an empty result; other columns are ignored.
@@ -27,6 +28,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -35,15 +37,17 @@ from .bpe_stream import byte_letters
 from .common import Kept, shared_dir, slices, table
 
 END, PART, TOGETHER, KEPT_BYTES = 2, 1 << 20, 2_000, 56 << 20
+SLICE_CHARS, SLICE_ROWS = 4 << 20, 4_000
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
 SCHEMA = "doc_id long, tokens array<int>, n_tokens long, local_start long"
 _OTHER_SPACE = [c for c in map(chr, range(1, 0x3001)) if c != " " and re.match(r"\s", c)]
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
-
-
-def _latin(word: str) -> bool:
-    """Letters of Latin-1 alone."""
-    return word.isalpha() and (word.isascii() or max(word) <= "ÿ")
+#: In Arrow's syntax: texts with a space elsewhere than alone between two characters that aren't blank.
+_UNEVEN = "^ | $|  | [{0}]|[{0}] ".format("".join(rf"\x{{{ord(c):x}}}" for c in _OTHER_SPACE))
+#: Letters of Latin-1, and the marks of ASCII but the apostrophe: a run of either is a pre-token.
+_LETTERS, _MARKS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+_WORD = re.compile(rf"( ?)([{_LETTERS}]+)([{_MARKS}]*)(?:\n([{_LETTERS}]+)([{_MARKS}]*))?")
+_MARKS_KEPT = 3
 
 
 class Encoder:
@@ -61,8 +65,8 @@ class Encoder:
         self.first = np.zeros(max(vocab.values()) + 1, bool)  # tokens that begin with a space
         self.first[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
         self.model = self.library.model.tokenize
-        self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
-        self.marks = {m: array("I", self.library.encode(m, add_special_tokens=False).ids).tobytes() for m in ["", "\n", *",.;:!?"]}
+        self.letters = [c for _, c in sorted(byte_letters().items())]
+        self.marks = {m: array("I", self.library.encode(m, add_special_tokens=False).ids).tobytes() for m in ("", "\n")}
         self.kept = Kept(self._learn, KEPT_BYTES)
 
     def _pieces(self, part: str, goes_on: bool) -> list[str]:
@@ -91,26 +95,44 @@ class Encoder:
 
     def _word(self, word: str, spaced: bool = True) -> bytes:
         if not word.isascii():
-            word = word.encode("utf-8").decode("latin-1").translate(self.letters)
+            word = "".join(map(self.letters.__getitem__, word.encode("utf-8")))
         return array("I", [t.id for t in self.model("Ġ" + word if spaced else word)]).tobytes()
 
+    def _run(self, marks: str) -> bytes:
+        ids = self.marks.get(marks)
+        if ids is None:
+            ids = self._word(marks, False)
+            if len(marks) <= _MARKS_KEPT:
+                self.marks[marks] = ids
+        return ids
+
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        found, rest, known, marks = {}, [], self.kept.known, self.marks
+        found, rest, known, run, model = {}, [], self.kept.known, self._run, self.model
         for p in pieces:
-            if _latin(p):
+            if p.isascii() and p.isalpha():
                 if p not in found:
-                    found[p] = self._word(p)
+                    found[p] = array("I", [t.id for t in model("Ġ" + p)]).tobytes()
                 continue
-            first, line, second = p.partition("\n")
-            word, mark = (first[:-1], first[-1:]) if first[-1:] in marks else (first, "")
-            after, last = (second[:-1], second[-1:]) if second[-1:] in marks else (second, "")
-            if not _latin(word) or (line and not _latin(after)):
+            fit = _WORD.fullmatch(p)
+            if not fit:
                 rest.append(p)
                 continue
-            ids = found.get(word) or known(word)
-            if ids is None:
-                found[word] = ids = self._word(word)
-            found[p] = ids + marks[mark] + (marks[line] + self._word(after, False) + marks[last] if line else b"")
+            stands, word, marks, after, last = fit.groups()
+            if stands:
+                ids = self._word(word, False)
+            else:
+                ids = found.get(word) or known(word)
+                if ids is None:
+                    found[word] = ids = self._word(word)
+            if marks:
+                ids += run(marks)
+            if after:
+                start = " " + after  # as at the start of a text
+                known_start = found.get(start) or known(start)
+                if known_start is None:
+                    found[start] = known_start = self._word(after, False)
+                ids += self.marks["\n"] + known_start + run(last)
+            found[p] = ids
         if rest:
             text = "\n".join(rest)
             odd = {p for p in rest if " " in p or any(t in text and t in p for t in self.special)}
@@ -128,10 +150,36 @@ class Encoder:
             at = to
         return b"".join(out)
 
+    def lists(self, texts: pa.Array, tail: bytes = b"") -> pa.ListArray:
+        """The ids of each text, ``tail`` after them."""
+        texts = pc.fill_null(texts, "")
+        even = pc.and_(pc.invert(pc.match_substring_regex(texts, _UNEVEN)), pc.less_equal(pc.utf8_length(texts), PART))
+        parts = pc.split_pattern(pc.if_else(even, texts, ""), " ")
+        ends = np.cumsum(pc.list_value_length(parts).to_numpy(), dtype="i8")
+        starts, pieces = np.concatenate([[0], ends[:-1]]), parts.flatten()
+        inner = np.ones(len(pieces), bool)
+        inner[starts] = False
+        numbered = pieces.filter(pa.array(inner)).dictionary_encode()
+        heads = self.kept.each([" " + p for p in pieces.take(pa.array(starts)).to_pylist()])
+        for i in np.flatnonzero(~even.to_numpy(zero_copy_only=False)):
+            heads[i] = self._long(texts[int(i)].as_py())
+        # no piece holds a space, and one string of all is cheaper to take from Arrow than each
+        different = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(numbered.dictionary)], pa.int32()), numbered.dictionary), " ")[0].as_py()
+        ids = [*self.kept.each(different.split(" ") if different else []), *heads, tail]
+        sizes = np.fromiter(map(len, ids), "i8", len(ids)) // 4
+        # the number of each piece in order: pieces after a space, first pieces or whole texts, the tail
+        tails = ends + np.arange(len(ends))
+        place = np.ones(len(pieces) + len(ends), bool)
+        place[tails] = False
+        order, number = np.full(len(place), len(ids) - 1, "i4"), np.empty(len(pieces), "i4")
+        number[inner] = numbered.indices.to_numpy()
+        number[starts] = len(numbered.dictionary) + np.arange(len(ends))
+        order[place] = number
+        of = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("i4")), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[order])[tails]]).astype("i4")), of.take(pa.array(order)).flatten())
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [i for i, t in enumerate(texts) if len(t) <= PART]
-        known = dict(zip(plain, self.kept.joined([self._pieces(texts[i], False) for i in plain]), strict=True))
-        return [known[i] if i in known else self._long(t) for i, t in enumerate(texts)]
+        return [np.asarray(ids.values, "<i4").tobytes() for ids in self.lists(pa.array(texts, pa.string()))]
 
 
 @cache
@@ -144,14 +192,12 @@ def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tail, start = shared_encoder(path), np.array([end], "<u4").tobytes(), 0
         for whole in batches:
-            for batch in slices(whole, 1):
-                found = [b + tail for b in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
-                n = np.array([len(b) // 4 for b in found], "i8")
-                ends = np.cumsum(n)
-                ids = pa.array(np.frombuffer(b"".join(found), "<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("i4")), ids)
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(n), pa.array(start + ends - n)], ["doc_id", "tokens", "n_tokens", "local_start"])
-                start += int(n.sum())
+            for batch in slices(whole, 1, SLICE_CHARS, SLICE_ROWS):
+                lists = encoder.lists(batch.column(1), tail)
+                ends = lists.offsets.to_numpy().astype("i8")
+                n = np.diff(ends)
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(n), pa.array(start + ends[:-1])], ["doc_id", "tokens", "n_tokens", "local_start"])
+                start += int(ends[-1])
 
     return run
 

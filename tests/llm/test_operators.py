@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -359,6 +360,9 @@ def test_token_pieces_equal_the_library():
                 expected = encoder.library.encode(text, add_special_tokens=False).ids
                 assert list(memoryview(encoder.encode([text])[0]).cast("I")) == expected, repr(text)
                 assert encoder.kept.size < most + 20_000
+            texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 40))) for _ in range(500)] + ["", "one two", "one two", "Wörter&&&\nµª!! <<|>> ##x"]
+            got = encoder.lists(pa.array([None, *texts]), np.array([2], "<u4").tobytes()).to_pylist()
+            assert got == [[*encoder.library.encode(t, add_special_tokens=False).ids, 2] for t in ["", *texts]]
     finally:
         token_files.PART = whole
 
