@@ -8,20 +8,20 @@ from pyspark.sql import Window as W
 
 from pageweave.functions import text as T
 
-#: Words that begin with a capital in sentences and are no names, in lower case.
+# Words that begin with a capital in sentences and are no names.
 COMMON_WORDS = """
-    above absolutely across after ah alcohol all almost alone also although always and any anyway approximately around ask asked ate backward bad barely
-    beats beautiful because before believe below between big both bought bring brought but buy close closed cold come completely cook cooked cool create
-    cute dance danced definitely different drank drink drinking during each easy eat eh either end ended enter entered entirely exactly fairly fast feel
-    felt find first forever forward found gave get girls give good got great had hard hardly has hate hated have hear heard help helped here hey high hot
-    how however huh important impressive indeed just knew know last leave left let like liked listen listened live lived long look lose lost lot love
-    loved low made make maybe mean more move moved much nearly need neither never nevermind new next no nothing now often oh okay old one open opened
-    otherwise over paid pay perhaps phew play played pretty probably quite ran rarely rather read really right run said same sang sat say see seldom sell
-    send sent short show showed shown since sing sit sleep slept slow small sold some sometimes song sound sounds spend spent stand start started stay
-    stayed sticks still stood stop stopped sung super suppose take talent talk talked tall tell tender that the then there therefore these think this
-    those though thought three through today together told tomorrow took totally tried truly try turn turned two ugly under unless until use used usually
-    very wait waited wake walk walked want warm watch watched well what when where whether while who why win with woke won work worked wow write wrong
-    wrote yes yesterday you young
+    Nothing Beats Drinking Alcohol With Cute Girls Yes No And But The You What Who Why How When Where This That These Those Hey Oh Ah Eh Huh Wow Well
+    Nevermind Okay Really Truly Still Also Suppose Mean Just Very Much More Some Any All Each Both Either Neither One Two Three First Last Next Then
+    Now Here There Today Tomorrow Yesterday Phew See Look Come Let Have Has Had Make Made Try Tried Take Took Give Gave Get Got Want Need Believe Know
+    Knew Think Thought Feel Felt Say Said Tell Told Ask Asked Talk Talked Show Showed Shown Find Found Use Used Work Worked Live Lived Love Loved Like
+    Liked Hate Hated Help Helped Listen Listened Hear Heard Watch Watched Read Write Wrote Eat Ate Drink Drank Sleep Slept Wake Woke Stand Stood Sit
+    Sat Walk Walked Run Ran Stop Stopped Start Started End Ended Open Opened Close Closed Turn Turned Move Moved Bring Brought Send Sent Sell Sold Buy
+    Bought Pay Paid Spend Spent Win Won Lose Lost Play Played Sing Sang Sung Dance Danced Cook Cooked Wait Waited Stay Stayed Leave Left Enter Entered
+    Sound Sounds Good Bad Great Big Small Long Short Tall High Low Old New Young Beautiful Ugly Easy Hard Fast Slow Hot Cold Warm Cool Tender Super
+    Impressive Talent Create Song Sticks Lot Right Wrong Same Different Important Together Alone Maybe Perhaps Probably Definitely Absolutely Forward
+    Backward Around Through Across Above Below Under Over Between During Before After While Since Until Because Although Though Unless Whether Either
+    Otherwise However Therefore Indeed Anyway Forever Never Always Sometimes Often Usually Rarely Seldom Almost Quite Rather Pretty Fairly Hardly
+    Barely Nearly Approximately Exactly Completely Totally Entirely
 """.split()
 
 
@@ -71,11 +71,11 @@ def restore(tasks: DataFrame, previous: DataFrame) -> DataFrame:
     return out.select("page_id", F.when(done, "DONE").otherwise("PENDING").alias("state"), F.when(done, F.col("p.n_stages")).otherwise(0).alias("n_stages"), F.coalesce("p.retries", F.lit(0)).alias("retries"), F.col("p.last_error").alias("last_error"))
 
 
-def glossary_entries(pairs: DataFrame) -> DataFrame:
-    """Names of source texts with what their translation has for them, the name or its capitalised form; common words are none. Columns but src and tgt stay."""
+def glossary_entries(pairs: DataFrame, common: list[str] = COMMON_WORDS) -> DataFrame:
+    """Names of source texts with what their translation has for them, the name or its capitalised form; common words, in whatever case, are none. Columns but src and tgt stay."""
     rest = [c for c in pairs.columns if c not in ("src", "tgt")]
     found = pairs.where("src <> '' and tgt <> ''").select(*rest, "tgt", F.explode(F.array_distinct(T.names(F.col("src")))).alias("term"))
-    found = found.where(~F.lower("term").isin(COMMON_WORDS))
+    found = found.where(~F.lower("term").isin([w.lower() for w in common]))
     cap = F.concat(F.upper(F.substring("term", 1, 1)), F.lower(F.expr("substring(term, 2)")))
     hit = F.when(F.contains("tgt", F.col("term")), F.col("term")).when(F.contains("tgt", cap), cap)
     return found.withColumn("dst", hit).where("dst is not null").drop("tgt")

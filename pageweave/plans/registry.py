@@ -238,7 +238,7 @@ def page_summary(s, d):
     return joined.groupBy("page_id").agg(F.count("*").alias("n_blocks"), F.count("read").alias("n_ocr"), F.count_if(F.length("translated") > 0).alias("n_translated"), F.count_if(F.col("cls") == 0).alias("n_filled"))
 
 
-_COMMON = ", ".join(f"'{w}'" for w in S.COMMON_WORDS)
+_COMMON = ", ".join(f"'{w.lower()}'" for w in S.COMMON_WORDS)
 
 
 PAIRS = rf"""c as (select *, lead(text) over (partition by conv_id order by turn, role, text) tgt, row_number() over (partition by conv_id order by turn, role, text) ord from conversations),
