@@ -23,6 +23,7 @@ import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 from pathlib import Path
 
 import numpy as np
@@ -32,11 +33,17 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe_stream import PART, Codec, shared_codec
-from .common import Kept, slices, table, written
+from .bpe_stream import SHORT, Codec, Transducer, shared_codec
+from .common import slices, table, written
 
 WINDOW, END, SHARD_TOKENS = 2048, 1, 1 << 19
-SLICE_CHARS, SLICE_ROWS, KEPT_BYTES = 4 << 20, 4_000, 40 << 20
+SLICE_CHARS, SLICE_ROWS = 4 << 20, 4_000
+#: Words merged in one call, and characters of a text that is streamed.
+TOGETHER, LONG = 10_000, 1 << 20
+#: Characters, with no blanks but space and line end, that normalisation only lowers, one by one: Latin letters and marks.
+_LATIN = r"\x00-\x08\n\x0e-\x{84}\x{86}-\x{9f}\x{a1}-\x{12f}\x{131}-\x{17f}\x{2010}-\x{2027}"
+#: Of the vocabulary's words those that are no run of letters; a run of letters is what stands between them and blanks.
+_NO_LETTERS = r"'(?:s|t|re|ve|m|ll|d)|\p{N}|[^ \p{L}\p{N}]+"
 #: The saturation of term frequency and the weight of length in BM25.
 K1, B = 1.2, 0.75
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -47,45 +54,79 @@ def _kind(n_tokens: int) -> np.dtype:
 
 
 class Encoder:
-    """Ids of many texts at once: Arrow splits them at blanks and line ends and numbers the different pieces, each is encoded once."""
+    """Ids of many texts at once. Arrow lowers texts of Latin letters and parts them into words, and numbers the different words of a slice; these are
+    merged together, many in each step. Other texts, and long ones, go through the streaming codec one by one."""
 
     def __init__(self, path: str):
         self.codec: Codec = shared_codec(path)
         self.kind = _kind(len(self.codec.tokens))
-        self.special = "|".join(map(regex.escape, self.codec.special)) or "[^\\x{0}-\\x{10ffff}]"
-        self.kept = Kept(lambda pieces: dict(zip(pieces, self.codec.texts(pieces), strict=True)), KEPT_BYTES)
+        marks = list(map(regex.escape, self.codec.special))
+        self.odd = "|".join([*marks, f"[^{_LATIN}]"])
+
+    def _merged(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words in a row, and how many each has."""
+        codec = self.codec
+        at = np.frombuffer(words.buffers()[1], "<i4")[words.offset : words.offset + len(words) + 1]
+        data, lengths = np.frombuffer(words.buffers()[2] or b"", "u1"), np.diff(at).astype("i8")
+        sizes, short = np.zeros(len(words), "i8"), np.flatnonzero((lengths > 0) & (lengths <= SHORT))
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # words and their ids
+        for i in range(0, len(short), TOGETHER):
+            some = short[i : i + TOGETHER]
+            n = lengths[some]
+            ends = np.cumsum(n)
+            own = data[np.repeat(at[some] - ends + n, n) + np.arange(ends[-1])]
+            symbols = codec.symbol[own]
+            symbols[ends - 1] = codec.last[own[ends - 1]]
+            ids, sizes[some] = codec.merges.merge_many(symbols, n)
+            found.append((some, ids))
+        for i in np.flatnonzero(lengths > SHORT).tolist():
+            t = Transducer(codec.merges)
+            ids = np.array(t.feed(codec.symbols(words[i].as_py()).tolist()) + t.end(), "i8")
+            sizes[i] = len(ids)
+            found.append((np.array([i]), ids))
+        ends = np.cumsum(sizes)
+        out = np.empty(ends[-1] if len(ends) else 0, "i8")
+        for some, ids in found:
+            n = sizes[some]
+            out[np.repeat(ends[some] - np.cumsum(n), n) + np.arange(len(ids))] = ids
+        return out, sizes
 
     def lists(self, texts: pa.Array, tail: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, ``tail`` after each, and where each ends."""
         texts = pc.fill_null(texts, "")
-        odd = pc.or_(pc.match_substring_regex(texts, self.special), pc.greater(pc.utf8_length(texts), PART))
-        parts = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", texts), "\n", " "), " ")
+        odd = pc.or_(pc.match_substring_regex(texts, self.odd), pc.greater(pc.utf8_length(texts), LONG))
+        lowered = pc.utf8_lower(pc.replace_substring(pc.if_else(odd, "", texts), "\n", " "))
+        # letters are parted by blanks, all else by blanks put around it
+        parts = pc.split_pattern(pc.replace_substring_regex(lowered, _NO_LETTERS, r" \0 "), " ")
         ends = np.cumsum(pc.list_value_length(parts).to_numpy(), dtype="i8")
         numbered = parts.flatten().dictionary_encode()
-        # no piece holds a space, and one string of all is cheaper to take from Arrow than each
-        different = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(numbered.dictionary)], pa.int32()), numbered.dictionary), " ")[0].as_py()
-        ids, number = self.kept.each(different.split(" ")), numbered.indices.to_numpy()
-        strange = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
-        if len(strange):  # their one piece is empty so far
+        ids, sizes = self._merged(numbered.dictionary)
+        number, strange = numbered.indices.to_numpy(), np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        more = [np.frombuffer(b"".join(self.codec.encode([texts[int(i)].as_py()])[0]), "<u4") for i in strange]
+        if more:  # their one piece is empty so far
             number = number.copy()
-            number[ends[strange] - 1] = len(ids) + np.arange(len(strange))
-            ids = ids + [b"".join(self.codec.encode([texts[int(i)].as_py()])[0]) for i in strange]
-        ids = [*ids, np.array([tail], "<u4").tobytes()]
-        sizes = np.fromiter(map(len, ids), "i8", len(ids)) // 4
+            number[ends[strange] - 1] = len(sizes) + np.arange(len(strange))
+        ids, sizes = np.concatenate([ids, *more, [tail]]), np.concatenate([sizes, [len(x) for x in more], [1]]).astype("i8")
         tails = ends + np.arange(len(ends))
-        order = np.full(len(number) + len(ends), len(ids) - 1, "i4")
+        order = np.full(len(number) + len(ends), len(sizes) - 1, "i4")
         inside = np.ones(len(order), bool)
         inside[tails] = False
         order[inside] = number
-        of = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("i4")), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(self.kind)))
+        of = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("i4")), pa.array(ids.astype(self.kind)))
         return of.take(pa.array(order)).flatten().to_numpy(), np.cumsum(sizes[order])[tails]
 
 
+@cache
+def shared_encoder(path: str) -> Encoder:
+    """One a Python worker."""
+    return Encoder(path)
+
+
 def encoded(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     """doc_id, ids (binary, the end id last) and row, a number of its own for each row; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
         for whole in batches:
             for b in slices(whole, 1, SLICE_CHARS, SLICE_ROWS):
                 ids, ends = encoder.lists(b.column(1), end)

@@ -15,7 +15,7 @@ from pageweave.llm.retrieval_packing import B, K1, Encoder, Index, Packer, Stati
 PATH = public_tokenizers.path("word_bpe_49k.json")
 RND = random.Random(2)
 SCHEMA = "doc_id long, text string, ids string, row int"
-ODD = [None, "", " ", "\n\n", "a", "it's  It'S <|endoftext|> x", "é ü ß\t🙂 ́x İ Σς ﬁ\xa0z", "x" * 5000, "y " * 40_000, "12 3.4,5\n\nNEXT  line ", "<|startoftext|>", "z" * 70_000]
+ODD = [None, "", " ", "\n\n", "a", "it's  It'S <|endoftext|> x", "é ü ß\t🙂 ́x İ Σς ﬁ\xa0z", "x" * 5000, "y " * 40_000, "12 3.4,5\n\nNEXT  line ", "<|startoftext|>", "z" * 70_000, "ab, " * 300_000]
 
 
 @pytest.fixture(scope="module")
@@ -85,8 +85,9 @@ def test_query(spark, library):
 def test_ids(library):
     import pyarrow as pa
 
+    every = [chr(c) for c in [*range(0x180), *range(0x2010, 0x2028)]]
     chars = "ab Z\n\t'.,1é́ <|İΣ語🙂"
-    some = [*ODD, *("".join(RND.choices(chars, k=RND.randrange(60))) for _ in range(3000)), *("".join(RND.choices(["it's", " ", "\n", "don't", "x1", "'", "ll"], k=20)) for _ in range(300))]
+    some = [*ODD, *every, *(f"a{c}'s {c}{c}1" for c in every), *("".join(RND.choices(chars, k=RND.randrange(60))) for _ in range(3000)), *("".join(RND.choices(every, k=RND.randrange(80))) for _ in range(3000)), *("".join(RND.choices(["it's", " ", "\n", "don't", "x1", "'", "ll"], k=20)) for _ in range(300))]
     ids, ends = Encoder(PATH).lists(pa.array(some, pa.string()), 1)
     starts = [0, *ends[:-1].tolist()]
     for t, i, j in zip(some, starts, ends.tolist(), strict=True):
