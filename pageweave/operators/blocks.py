@@ -10,6 +10,8 @@ from pageweave.functions import geometry as G
 from pageweave.functions import text as T
 
 BOX = ("x1", "y1", "x2", "y2")
+#: How sure the role rule is of a short text in a bubble, dialogue that has a sub-type as effects have.
+INTERJECTION = 0.60
 
 
 def reading_order(blocks: DataFrame, page_h: int, share: float = 0.25) -> DataFrame:
@@ -147,7 +149,7 @@ def roles(blocks: DataFrame, ocr: DataFrame, page_w: int, page_h: int) -> DataFr
     # inlined from an array of one, so that the rules run once a row whatever is read of their result
     out = joined.select("page_id", "block_idx", "t", F.coalesce("ocr_failed", F.lit(False)).alias("failed"), F.inline(F.array(T.sfx_role(F.col("t"), F.col("cls"), share, aspect, F.col("ocr_conf")))))
     return out.select(
-        "page_id", "block_idx", "t", F.when(F.col("failed"), "unknown").otherwise(F.col("role")).alias("role"), F.when(F.col("role") == "sfx", T.sfx_subtype(F.col("t"))).otherwise("unknown").alias("sfx_subtype"),
+        "page_id", "block_idx", "t", F.when(F.col("failed"), "unknown").otherwise(F.col("role")).alias("role"), F.when((F.col("role") == "sfx") | (F.col("role_conf") == INTERJECTION), T.sfx_subtype(F.col("t"))).otherwise("unknown").alias("sfx_subtype"),
         (~F.col("failed")).alias("should_translate"), (F.col("failed") | F.col("preserve")).alias("preserve"), F.col("preserve").alias("profile_preserve"),
     )
 

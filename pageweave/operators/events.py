@@ -48,27 +48,44 @@ def heartbeats(events: DataFrame) -> DataFrame:
     return events.where("event = 'stage_start'").groupBy("page_id").agg(last.alias("l")).select("page_id", F.col("l.ts").alias("ts"), "l.stage")
 
 
-def stage_outcomes(events: DataFrame) -> DataFrame:
-    """Per page and stage: attempts, errors, whether it ended, failed for good or is open, its last error, and memory retries.
+def attempts(events: DataFrame) -> DataFrame:
+    """Stage events in order with two budgets: ``attempt`` of an error within its stage's present execution, and ``spent``, whether the page's memory retries were used up.
 
-    A stage fails for good after its last retry. Memory errors of the inpainting stage are retried on the CPU, up to a number of times.
+    A page's run ends with its last event, done or failed; an execution ends when the stage ends, fails for good or another follows. An error is ``fatal`` at the
+    last attempt, of whatever kind the errors were, and a memory error of the inpainting stage also when the page has had all memory retries of its run.
+    Windows of a page's events do what a walk over them would.
     """
-    error, memory = F.col("event") == "stage_error", T.is_out_of_memory(F.col("error_type"), F.col("error_msg"))
-    last = F.max_by(failure(F.col("error_type"), F.col("error_msg")), F.when(error, F.struct("ts", "event_id")))
-    told = events.where("event like 'stage_%'").groupBy("page_id", "stage").agg(
-        F.count_if(F.col("event") == "stage_start").alias("n_attempts"), F.count_if(error).alias("n_errors"), F.count_if(F.col("event") == "stage_end").alias("n_ends"),
-        F.count_if(error & memory).alias("n_memory"), last.alias("last_error"),
+    page = W.partitionBy("page_id").orderBy("ts", "event_id")
+    run = F.coalesce(F.sum(F.col("event").isin("page_done", "page_failed").cast("int")).over(page.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = events.withColumn("run", run).where(F.col("event").isin("stage_start", "stage_end", "stage_error"))
+    error = F.col("event") == "stage_error"
+    memory = error & (F.col("stage") == STAGES.index("inpaint")) & T.is_out_of_memory(F.col("error_type"), F.col("error_msg"))
+    within = W.partitionBy("page_id", "run").orderBy("ts", "event_id")
+    rows = rows.withColumn("memory", memory)
+    rows = rows.withColumn("spent", F.col("memory") & (F.coalesce(F.sum(F.col("memory").cast("int")).over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) >= MEMORY_RETRIES))
+    new = (F.lag("stage").over(within) != F.col("stage")) | (F.lag("event").over(within) == "stage_end") | F.lag("spent").over(within)
+    rows = rows.withColumn("execution", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(within))
+    n = F.sum(error.cast("int")).over(W.partitionBy("page_id", "run", "execution").orderBy("ts", "event_id"))
+    rows = rows.withColumn("attempt", F.when(error, (n - 1) % (STAGE_RETRIES + 1) + 1))
+    return rows.withColumn("fatal", error & (F.col("spent") | (F.col("attempt") == STAGE_RETRIES + 1)))
+
+
+def stage_outcomes(events: DataFrame) -> DataFrame:
+    """Per page and stage: attempts, errors, executions that failed for good, how it stands after its last event (ok, failed, open), its last error and the last that was
+    fatal, retries on its own account and memory retries, and whether it went on on the CPU."""
+    error, at = F.col("event") == "stage_error", F.struct("ts", "event_id")
+    stands = F.when(F.col("event") == "stage_end", "ok").when(F.col("fatal"), "failed").otherwise("open")
+    told = attempts(events).groupBy("page_id", "stage").agg(
+        F.count_if(F.col("event") == "stage_start").alias("n_attempts"), F.count_if(error).alias("n_errors"), F.count_if("fatal").alias("n_failed"), F.max_by(stands, at).alias("outcome"),
+        F.max_by(failure(F.col("error_type"), F.col("error_msg")), F.when(error, at)).alias("last_error"), F.max_by(failure(F.col("error_type"), F.col("error_msg"), 200), F.when(F.col("fatal"), at)).alias("fatal_error"),
+        F.count_if(error & ~F.col("memory") & ~F.col("fatal")).alias("stage_retries"), F.count_if(F.col("memory") & ~F.col("spent")).alias("memory_retries"),
     )
-    inpaint = F.col("stage") == STAGES.index("inpaint")
-    retried = F.when(inpaint, F.least("n_memory", F.lit(MEMORY_RETRIES))).otherwise(0)
-    lost = (F.col("n_errors") - F.when(inpaint, F.col("n_memory")).otherwise(0) > STAGE_RETRIES) | (inpaint & (F.col("n_memory") > MEMORY_RETRIES))
-    outcome = F.when(F.col("n_ends") > 0, "ok").when(lost, "failed").otherwise("open")
-    return told.select("page_id", "stage", "n_attempts", "n_errors", outcome.alias("outcome"), "last_error", retried.cast("bigint").alias("memory_retries"), (retried > 0).alias("on_cpu"))
+    return told.withColumn("on_cpu", F.col("memory_retries") > 0)
 
 
-def failure(kind: Column, message: Column) -> Column:
-    """A last error as it is kept: the type and up to 300 characters of the message."""
-    return F.concat(F.coalesce(kind, F.lit("")), F.lit(": "), F.substring(F.coalesce(message, F.lit("")), 1, 300))
+def failure(kind: Column, message: Column, most: int = 300) -> Column:
+    """A last error as it is kept: the type and up to ``most`` characters of the message."""
+    return F.concat(F.coalesce(kind, F.lit("")), F.lit(": "), F.substring(F.coalesce(message, F.lit("")), 1, most))
 
 
 def failed_pages(events: DataFrame) -> DataFrame:
@@ -81,12 +98,13 @@ def failed_pages(events: DataFrame) -> DataFrame:
 
 
 def counters(events: DataFrame) -> DataFrame:
-    """name and n: outcomes of stages, memory errors, and pages done and failed."""
+    """name and n: outcomes of stages, memory errors, freezes, and pages done, failed and skipped."""
     stage = F.get(F.array(*map(F.lit, STAGES)), F.col("stage"))
     memory = (F.col("event") == "stage_error") & T.is_out_of_memory(F.col("error_type"), F.col("error_msg"))
     names = F.array(
         F.when(F.col("event") == "stage_end", F.concat(F.lit("stage_"), stage, F.lit("_ok"))), F.when(F.col("event") == "stage_error", F.concat(F.lit("stage_"), stage, F.lit("_err"))),
         F.when(memory, F.lit("oom_events")), F.when(F.col("event") == "page_done", F.lit("pages_done")), F.when(F.col("event") == "page_failed", F.lit("pages_failed")),
+        F.when(F.col("event") == "page_skip_resume", F.lit("pages_skipped")), F.when(F.col("event") == "stage_freeze", F.lit("watchdog_freezes")),
     )
     return events.select(F.explode(names).alias("name")).where("name is not null").groupBy("name").agg(F.count("*").alias("n"))
 
@@ -136,11 +154,18 @@ def faster(rpm: Column, quiet_s: Column, original: Column) -> Column:
     return F.when((quiet_s >= 60) & (rpm < original), F.least(original, rpm + more)).otherwise(rpm)
 
 
-def health_line(events: DataFrame, n: int = 8) -> DataFrame:
-    """One line of the first n counters by name."""
-    first = events.groupBy(F.concat("event", F.lit("_"), F.col("stage").cast("string")).alias("name")).agg(F.count("*").alias("c")).orderBy("name").limit(n)
-    pairs = F.transform(F.sort_array(F.collect_list(F.struct("name", "c"))), lambda p: F.concat(p["name"], F.lit("="), p["c"].cast("string")))
-    return first.agg(F.array_join(pairs, " ").alias("line"))
+def health_line(events: DataFrame, uptime_s: int = 0, n: int = 8) -> DataFrame:
+    """One line of the first n counters and the first n gauges by name; a part without any is left out."""
+
+    def first(rows: DataFrame, value: Column, name: str) -> DataFrame:
+        some = rows.select("name", value.alias("v")).orderBy("name").limit(n)
+        pairs = F.transform(F.sort_array(F.collect_list(F.struct("name", "v"))), lambda p: F.concat(p["name"], F.lit("="), p["v"]))
+        return some.agg(F.when(F.count("*") > 0, F.concat(F.lit(f" {name}="), F.array_join(pairs, ","))).alias(name))
+
+    stage = F.get(F.array(*map(F.lit, STAGES)), F.col("stage"))
+    named = gauges(events).select(F.concat(F.lit("latency_"), stage).alias("name"), F.format_string("%.2f", F.round("value", 2)).alias("value")).where("name is not null and value is not null")
+    both = first(counters(events), F.col("n").cast("string"), "counters").crossJoin(first(named, F.col("value"), "gauges"))  # a row each
+    return both.select(F.concat(F.lit(f"[health uptime={uptime_s}s]"), F.coalesce("counters", F.lit("")), F.coalesce("gauges", F.lit(""))).alias("line"))
 
 
 def gauges(events: DataFrame) -> DataFrame:

@@ -145,11 +145,6 @@ def retry_delay(s, d):
     return D.table(s, d, "events").select("event_id", T.retry_seconds(of, header).alias("wait_s"))
 
 
-@query(f"with {EVENTS}, c as (select event || '_' || stage n, count(*) c from ev group by 1 order by 1 limit 8) select string_agg(n || '=' || c, ' ' order by n) line from c")
-def health_line(s, d):
-    return E.health_line(D.event_log(s, d))
-
-
 @query(f"with {EVENTS} select stage, arg_max(latency_ms, (ts, event_id)) as value from ev group by 1")
 def gauges(s, d):
     return E.gauges(D.event_log(s, d))

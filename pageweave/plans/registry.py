@@ -24,7 +24,7 @@ BLOCKS = "blocks as (select doc_id//8 page_id, (doc_id%8)::int block_idx, ((doc_
 DENSE = "dense as (select doc_id//20 page_id, (doc_id%20)::int block_idx, x::int x1, y::int y1, (x+40+(doc_id*17)%160)::int x2, (y+30+(doc_id*29)%270)::int y2 from (select doc_id, (doc_id*37)%240 x, (doc_id*53)%360 y from documents))"
 OCR = BLOCKS + ", ocr as (select page_id, block_idx, x1, y1, x2, y2, cls, (doc_id%100)/100.0::double ocr_conf, text, coalesce(length(text),0)=0 ocr_failed, doc_id from blocks)"
 TR = OCR + ", tr as (select page_id, block_idx, case doc_id%7 when 0 then '' when 1 then '...' when 2 then '…' when 3 then '???' else upper(text) end translated from ocr)"
-EVENTS = "ev as (select event_id, ts, user_id page_id, case event_type when 'view' then 'stage_start' when 'click' then 'stage_end' when 'error' then 'stage_error' when 'purchase' then 'page_done' else 'page_failed' end as event, (event_id%11)::int stage, value latency_ms, case when event_type in ('error','signup') then case when event_id%3=0 then 'OutOfMemoryError' else 'ValueError' end end error_type, case when event_type in ('error','signup') then 'step ' || event_id || case when event_id%5=0 then ': out of memory' else '' end end error_msg from events)"
+EVENTS = "ev as (select event_id, ts, user_id page_id, case event_type when 'view' then 'stage_start' when 'click' then 'stage_end' when 'error' then 'stage_error' when 'purchase' then case when event_id%9=0 then 'page_skip_resume' else 'page_done' end else case when event_id%7=0 then 'stage_freeze' else 'page_failed' end end as event, (event_id%11)::int stage, value latency_ms, case when event_type in ('error','signup') then case when event_id%3=0 then 'OutOfMemoryError' else 'ValueError' end end error_type, case when event_type in ('error','signup') then 'step ' || event_id || case when event_id%5=0 then ': out of memory' else '' end end error_msg from events)"
 TASKS = "prev as (select o_custkey page_id, case o_orderstatus when 'F' then 'DONE' when 'O' then 'RUNNING' else 'FAILED' end state, (o_orderkey%12)::int n_stages, (o_orderkey%3)::int retries, o_orderpriority last_error, o_orderkey%4<>0 output_exists from orders qualify row_number() over (partition by o_custkey order by o_orderkey desc)=1), tasks as (select c_custkey page_id from customer)"
 AREA = "((x2-x1)*(y2-y1))::bigint"
 
@@ -213,7 +213,7 @@ rule as (select *, case when cls=0 and length(t)>0 and letters>=2 then 1 when cl
   when cls=1 and (share>=0.025::double or (share>=0.025::double*0.6::double and n<4)) then 3 when cls=1 and (n<=3 or (punct>0 and letters<=3)) then 4
   when cls=0 and n<=3 and length(t)>0 and letters>=1 then 5 when cls=1 then 6 else 7 end k from rr),
 roles as (select page_id, block_idx, t, case when failed then 'unknown' when k in (3,4) then 'sfx' when k in (2,6) then 'narration' else 'dialogue' end as role,
-  case when k in (3,4) then {_subtype("t")} else 'unknown' end sfx_subtype, not failed should_translate, failed or k in (3,4) preserve, k in (3,4) profile_preserve from rule)"""
+  case when k in (3,4,5) then {_subtype("t")} else 'unknown' end sfx_subtype, not failed should_translate, failed or k in (3,4) preserve, k in (3,4) profile_preserve from rule)"""
 
 
 @query(f"with {ROLES} select * from roles")

@@ -12,15 +12,25 @@ from pageweave.plans import registry as R
 from pageweave.plans.registry import BLOCKS, CACHE, EVENTS, ROLES, STRIP, H, W, query
 from pageweave.sources import tables as D
 
-OOM = "lower(coalesce(error_type,'')) = 'memoryerror' or regexp_matches(lower(coalesce(error_type,'')), 'outofmemory|oom') or regexp_matches(lower(coalesce(error_msg,'')), 'out of memory|cudaerrormemoryallocation|alloc_failed|outofmemory|cuda_error_out_of_memory')"
+OOM = f"lower(coalesce(error_type,'')) = 'memoryerror' or regexp_matches(lower(coalesce(error_type,'')), 'outofmemory|oom') or regexp_matches(lower(coalesce(error_msg,'')), '{T.OUT_OF_MEMORY}')"
 NAMES = "['" + "','".join(E.STAGES) + "']"
 FAILURE = "coalesce(error_type,'') || ': ' || substr(coalesce(error_msg,''), 1, 300)"
 
 
-@query(f"""with {EVENTS}, t as (select page_id, stage, count(*) filter (where event='stage_start') n_attempts, count(*) filter (where event='stage_error') n_errors, count(*) filter (where event='stage_end') n_ends,
-  count(*) filter (where event='stage_error' and ({OOM})) n_memory, arg_max({FAILURE}, (ts, event_id)) filter (where event='stage_error') last_error from ev where event like 'stage%' group by all)
-select page_id, stage, n_attempts, n_errors, case when n_ends>0 then 'ok' when n_errors - case when stage=7 then n_memory else 0 end > 2 or (stage=7 and n_memory>3) then 'failed' else 'open' end outcome, last_error,
-  case when stage=7 then least(n_memory, 3) else 0 end memory_retries, stage=7 and n_memory>0 on_cpu from t""")
+# A walk over each page's events: stage under way, errors of its execution, memory retries of the page. Stage 7 is inpainting, 3 attempts, 3 memory retries.
+WALK = f"""e as (select *, row_number() over (partition by page_id order by ts, event_id) k, stage=7 and ({OOM}) mem from ev),
+walk as (select page_id, 0::bigint k, null::int cur, 0 att, 0 oom, null::varchar event, null::int stage, false fatal, false granted, false retried, null::timestamp ts, null::bigint event_id, null::varchar error_type, null::varchar error_msg from (select distinct page_id from ev)
+  union all select page_id, k, case when event in ('page_done','page_failed') or event='stage_end' or fatal then null when event in ('stage_start','stage_error') then stage else cur end,
+    case when event in ('page_done','page_failed') or event='stage_end' or fatal then 0 when event='stage_error' then had+1 when event='stage_start' then had else att end,
+    case when event in ('page_done','page_failed') then 0 when granted then oom+1 else oom end, event, stage, fatal, granted, event='stage_error' and not mem and not fatal, ts, event_id, error_type, error_msg
+  from (select *, event='stage_error' and ((mem and oom >= 3) or had+1 >= 3) fatal, event='stage_error' and mem and oom < 3 granted
+    from (select w.page_id, e.k, w.cur, w.att, w.oom, e.event, e.stage, e.mem, e.ts, e.event_id, e.error_type, e.error_msg, case when w.cur = e.stage then w.att else 0 end had from walk w join e on e.page_id=w.page_id and e.k=w.k+1)))"""
+
+
+@query(f"""with recursive {EVENTS}, {WALK}, s as (select * from walk where event in ('stage_start','stage_end','stage_error'))
+select page_id, stage, count(*) filter (where event='stage_start') n_attempts, count(*) filter (where event='stage_error') n_errors, count(*) filter (where fatal) n_failed,
+  arg_max(case when event='stage_end' then 'ok' when fatal then 'failed' else 'open' end, k) outcome, arg_max({FAILURE}, k) filter (where event='stage_error') last_error, arg_max({FAILURE.replace("300", "200")}, k) filter (where fatal) fatal_error,
+  count(*) filter (where retried) stage_retries, count(*) filter (where granted) memory_retries, count(*) filter (where granted) > 0 on_cpu from s group by all""")
 def stage_outcomes(s, d):
     return E.stage_outcomes(D.event_log(s, d))
 
@@ -33,12 +43,19 @@ def failed_pages(s, d):
 
 
 @query(f"""with {EVENTS}, u as (select unnest([case when event='stage_end' then 'stage_' || {NAMES}[stage+1] || '_ok' end, case when event='stage_error' then 'stage_' || {NAMES}[stage+1] || '_err' end,
-  case when event='stage_error' and ({OOM}) then 'oom_events' end, case event when 'page_done' then 'pages_done' when 'page_failed' then 'pages_failed' end]) as name from ev)
+  case when event='stage_error' and ({OOM}) then 'oom_events' end, case event when 'page_done' then 'pages_done' when 'page_failed' then 'pages_failed' when 'page_skip_resume' then 'pages_skipped' when 'stage_freeze' then 'watchdog_freezes' end]) as name from ev)
 select name, count(*) n from u where name is not null group by 1""")
 def counters(s, d):
     return E.counters(D.event_log(s, d))
 
 
+@query(f"""with ct as ({R.ORACLES["counters"]}), {EVENTS}, ga as (select 'latency_' || {NAMES}[stage+1] name, arg_max(latency_ms, (ts, event_id)) v from ev group by stage),
+c8 as (select string_agg(name || '=' || n, ',' order by name) l from (select * from ct order by name limit 8)), g8 as (select string_agg(name || '=' || printf('%.2f', round(v, 2)), ',' order by name) l from (select * from ga where v is not null order by name limit 8))
+select '[health uptime=90s]' || coalesce(' counters=' || c8.l, '') || coalesce(' gauges=' || g8.l, '') line from c8, g8""")
+def health_line(s, d):
+    return E.health_line(D.event_log(s, d), 90)
+
+
 @query(f"with {EVENTS}, o as (select page_id, arg_max(event, (ts, event_id)) outcome from ev where event in ('page_done','page_failed') group by 1) select count(*) filter (where outcome='page_done') n_ok, count(*) n_pages, count(*) filter (where outcome='page_done') = count(*) all_ok from o")
 def batch_summary(s, d):
     return E.batch_summary(E.page_outcomes(D.event_log(s, d)))
@@ -121,3 +138,28 @@ def honorific_fix(s, d):
     """Every name of a turn (of up to sixteen letters, without a hyphen) with a suffix, and the next turn as its translation."""
     rows = R._pairs(s, d)
     return rows.select("conv_id", "turn", "role", T.keep_honorifics(F.regexp_replace("src", r"\b[A-Z][A-Za-z]{2,15}\b(?!-)(?<!-)", "$0-san"), F.col("tgt")).alias("fixed"))
+
+
+SHOUTS = ["あ!", "ドン", "漢字!", "カナ字", "한글", "ん", "え?!", "OK", "あいうえおか", "", "BANG!", "Hm"]
+_SHORT = f"""p as (select p_partkey id, [{", ".join(f"'{x}'" for x in SHOUTS)}][p_partkey%12+1] || case when p_partkey//12%3=0 then ' ' || p_name else '' end t, p_partkey%2 cls, 20+(p_partkey*17)%200 w, 20+(p_partkey*29)%230 h, p_size=7 lost, p_partkey from part)"""
+
+
+@query(rf"""with {_SHORT}, q as (select *, case when lost then '' else t end x, not lost and t = '' failed from p),
+n as (select *, {_N("hiragana")} hira, {_N("katakana")} kata, {_N("kanji")} kanji, {_N("hangul")} hangul, len(regexp_extract_all(x, '\p{{L}}')) l, len(regexp_extract_all(x, '[!-/:-@\[-`{{-~]')) punct from q),
+m as (select *, hira+kata > 0 kana, l-hira-kata-kanji-hangul latin, length(x) len from n),
+c as (select *, case when kana then 'ja' when hangul > 0 and latin+kanji = 0 then 'ko' when kanji > 0 and latin+hangul = 0 then 'zh' when hangul+kanji > 0 then 'mixed' when latin > 0 then 'en' else 'unknown' end script,
+  w::double*h/{float(W * H)} share, h::double/w aspect from m),
+k as (select *, case when cls=0 and len>0 and l>=2 then 1 when cls=1 and aspect<=0.6 and len>=12 then 2 when cls=1 and ((script in ('ja','zh') and latin=0) or share>=0.025 or (share>=0.025*0.6 and l<4)) then 3
+  when cls=1 and (l<=3 or (punct>0 and l<=3)) then 4 when cls=0 and l<=3 and len>0 and l>=1 then 5 when cls=1 then 6 else 7 end k from c)
+select id//8 page_id, (id%8)::int block_idx, case when failed then 'unknown' when k in (3,4) then 'sfx' when k in (2,6) then 'narration' else 'dialogue' end as role,
+  case when k in (3,4,5) then {R._subtype("x")} else 'unknown' end sfx_subtype, not failed should_translate, failed or k in (3,4) preserve from k""")
+def short_text_roles(s, d):
+    """Roles of short texts in several scripts; blocks of one size of part have no recognised row, blank ones failed."""
+    shout = F.get(F.array(*map(F.lit, SHOUTS)), (F.col("p_partkey") % 12).cast("int"))
+    t = F.concat(shout, F.when(F.col("p_partkey") / 12 % 3 < 1, F.concat(F.lit(" "), "p_name")).otherwise(""))
+    rows = D.table(s, d, "part").select(
+        (F.floor(F.col("p_partkey") / 8)).alias("page_id"), (F.col("p_partkey") % 8).cast("int").alias("block_idx"), F.lit(0).alias("x1"), F.lit(0).alias("y1"), (20 + (F.col("p_partkey") * 17) % 200).cast("int").alias("x2"),
+        (20 + (F.col("p_partkey") * 29) % 230).cast("int").alias("y2"), (F.col("p_partkey") % 2).cast("int").alias("cls"), t.alias("text"), "p_size",
+    )
+    read = rows.where("p_size <> 7").select("page_id", "block_idx", "text", F.lit(0.5).alias("ocr_conf"), (F.col("text") == "").alias("ocr_failed"))
+    return B.roles(rows, read, W, H).select("page_id", "block_idx", "role", "sfx_subtype", "should_translate", "preserve")

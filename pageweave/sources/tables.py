@@ -124,7 +124,7 @@ def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
-        "event_id", "cast(ts as timestamp) ts", "user_id as page_id", "case event_type when 'view' then 'stage_start' when 'click' then 'stage_end' when 'error' then 'stage_error' when 'purchase' then 'page_done' else 'page_failed' end as event",
+        "event_id", "cast(ts as timestamp) ts", "user_id as page_id", "case event_type when 'view' then 'stage_start' when 'click' then 'stage_end' when 'error' then 'stage_error' when 'purchase' then if(event_id % 9 = 0, 'page_skip_resume', 'page_done') else if(event_id % 7 = 0, 'stage_freeze', 'page_failed') end as event",
         "cast(event_id % 11 as int) stage", "value as latency_ms", "case when event_type in ('error', 'signup') then if(event_id % 3 = 0, 'OutOfMemoryError', 'ValueError') end as error_type",
         "case when event_type in ('error', 'signup') then concat('step ', event_id, if(event_id % 5 = 0, ': out of memory', '')) end as error_msg",
     )

@@ -188,3 +188,51 @@ def test_inscribed_box(spark):
     df = spark.createDataFrame(rows, "i int, r array<int>").withColumn("t", F.array(*map(F.lit, (0, 0, 100, 100))))
     got = {r.i: r.b and tuple(r.b) for r in df.select("i", G.inscribed_box(box("t"), box("r")).alias("b")).collect()}
     assert got == {0: (4, 4, 96, 96), 1: (54, 4, 146, 96), 2: None, 3: (4, 5, 120, 121), 4: None, 5: None}
+
+
+def _log(spark, *pages):
+    """Events of pages, each a list of (event, stage or None, memory error?), in order."""
+    rows, n = [], 0
+    for page, told in enumerate(pages):
+        for event, stage, memory in told:
+            n += 1
+            rows.append((n, f"2026-01-01 00:00:{n:02d}", page, event, stage, "MemoryError" if memory else "ValueError", f"no {n} " + "x" * 400))
+    return spark.createDataFrame(rows, "event_id long, ts string, page_id long, event string, stage int, error_type string, error_msg string").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def test_attempts_in_order(spark):
+    from pageweave.operators import events as E
+
+    err = lambda stage, memory=False: ("stage_error", stage, memory)
+    end = lambda stage: ("stage_end", stage, False)
+    got = {}
+    log = _log(
+        spark,
+        [err(7, True)] * 3,  # three memory errors use up the attempts
+        [err(7, True), err(7), err(7, True)],  # mixed errors do, too
+        [err(7, True), end(7), err(7, True), end(7), err(7, True), end(7), err(7, True)],  # the page's memory retries are spent
+        [err(3, True), err(3, True), err(7, True), err(7, True), end(7)],  # memory errors of another stage are plain errors
+        [err(2), err(2), ("page_failed", None, False), err(2), err(2), err(2)],  # a new run has new budgets
+        [err(7, True), err(7, True), ("page_done", None, False), err(7, True), err(7, True)],
+        [err(1), end(1), err(1), err(1)],
+    )
+    for r in E.stage_outcomes(log).collect():
+        got[r.page_id, r.stage] = (r.outcome, r.n_failed, r.stage_retries, r.memory_retries, r.on_cpu)
+        assert (r.fatal_error is None) == (r.n_failed == 0)
+        assert len(r.last_error) in (len("MemoryError: ") + 300, len("ValueError: ") + 300)
+        assert r.fatal_error is None or len(r.fatal_error) in (len("MemoryError: ") + 200, len("ValueError: ") + 200)
+    assert got == {
+        (0, 7): ("failed", 1, 0, 3, True), (1, 7): ("failed", 1, 1, 2, True), (2, 7): ("failed", 1, 0, 3, True), (3, 3): ("open", 0, 2, 0, False), (3, 7): ("ok", 0, 0, 2, True),
+        (4, 2): ("failed", 1, 4, 0, False), (5, 7): ("open", 0, 0, 4, True), (6, 1): ("open", 0, 3, 0, False),
+    }
+    assert E.stage_outcomes(log.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text,cls,role,kind", [("あ!", 0, "dialogue", "ambient"), ("あ!", 1, "sfx", "ambient"), ("漢!", 0, "dialogue", "action"), ("OK now", 0, "dialogue", "unknown"), ("!", 0, "dialogue", "unknown"), ("", 1, "sfx", "unknown")])
+def test_subtype_of_interjections(spark, text, cls, role, kind):
+    from pageweave.operators import blocks as B
+
+    block = spark.createDataFrame([(1, 0, 0, 0, 10, 10, cls)], "page_id long, block_idx int, x1 int, y1 int, x2 int, y2 int, cls int")
+    read = spark.createDataFrame([(1, 0, text, 0.9, False)], "page_id long, block_idx int, text string, ocr_conf double, ocr_failed boolean")
+    r = B.roles(block, read, 900, 1300).first()
+    assert (r.role, r.sfx_subtype) == (role, kind)
