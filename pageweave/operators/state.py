@@ -59,16 +59,48 @@ def lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return requests.join(cache.select("key", "translation"), "key", "left").withColumn("hit", F.col("translation").isNotNull())
 
 
-def to_run(tasks: DataFrame, previous: DataFrame) -> DataFrame:
-    """Tasks whose page isn't done with its output in place."""
-    return tasks.join(previous.where("state = 'DONE' and output_exists"), "page_id", "left_anti")
+#: What a checkpoint holds of a page, with what a new task has.
+TASK = {
+    "page_id": None, "input_path": None, "output_path": None, "state": "'PENDING'", "current_stage": "cast(null as string)", "completed_stages": "cast(array() as array<string>)", "retries": "0", "stage_retries": "cast(map() as map<string,int>)",
+    "oom_retries": "0", "fallback_flags": "cast(array() as array<string>)", "last_error": "cast(null as string)", "started_ts": "cast(null as string)", "completed_ts": "cast(null as string)",
+}
 
 
-def restore(tasks: DataFrame, previous: DataFrame) -> DataFrame:
-    """Tasks with what a checkpoint knows: done pages stay done, others start again but keep retries and the last error."""
-    done = F.col("p.state") == "DONE"
-    out = tasks.alias("t").join(previous.alias("p"), "page_id", "left")
-    return out.select("page_id", F.when(done, "DONE").otherwise("PENDING").alias("state"), F.when(done, F.col("p.n_stages")).otherwise(0).alias("n_stages"), F.coalesce("p.retries", F.lit(0)).alias("retries"), F.col("p.last_error").alias("last_error"))
+def new_tasks(pages: DataFrame) -> DataFrame:
+    """Tasks of pages (page_id, input_path, output_path) that nothing is known of."""
+    return pages.select(*[F.expr(new).alias(c) if new else F.col(c) for c, new in TASK.items()])
+
+
+def to_run(tasks: DataFrame, previous: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Tasks but those whose page is done and whose output, by its former path or else the task's, is among ``outputs`` (path)."""
+    done = previous.where("state = 'DONE'").select("page_id", F.nullif("output_path", F.lit("")).alias("former"))
+    path = F.coalesce("former", F.nullif(F.col("output_path"), F.lit("")))
+    there = tasks.select("page_id", "output_path").join(done, "page_id").select("page_id", path.alias("path")).join(outputs.select("path").distinct(), "path").select("page_id")
+    return tasks.join(there, "page_id", "left_anti")
+
+
+def restore(tasks: DataFrame, previous: DataFrame, reset_partial: bool = True) -> DataFrame:
+    """Tasks with what a checkpoint knows of their pages.
+
+    Done pages stay done, with their stages, time and retries; others start again but keep retries and the last error, or are left as they are
+    without ``reset_partial``.
+    """
+    p = previous.select("page_id", *[F.col(c).alias(f"p_{c}") for c in ("state", "completed_stages", "completed_ts", "retries", "last_error")])
+    done, back = F.col("p_state") == "DONE", F.col("p_state").isNotNull() & reset_partial
+    new = {
+        "state": F.when(done, "DONE").when(back, "PENDING"), "completed_stages": F.when(done, F.coalesce("p_completed_stages", F.array().cast("array<string>"))).when(back, F.array().cast("array<string>")),
+        "completed_ts": F.when(done, F.col("p_completed_ts")), "retries": F.when(done | back, F.coalesce("p_retries", F.lit(0))),
+    }
+    out = tasks.join(p, "page_id", "left")
+    kept = {c: F.coalesce(new[c], F.col(c)) if c in new else F.col(c) for c in TASK}
+    kept["current_stage"] = F.when(~F.coalesce(back & ~done, F.lit(False)), F.col("current_stage"))
+    kept["last_error"] = F.when(F.coalesce(back & ~done, F.lit(False)), F.col("p_last_error")).otherwise(F.col("last_error"))
+    return out.select(*[x.alias(c) for c, x in kept.items()])
+
+
+def upsert(previous: DataFrame, tasks: DataFrame) -> DataFrame:
+    """A checkpoint's pages after ``tasks``: theirs replaced or added, all others as they were."""
+    return previous.select(*TASK).join(tasks.select("page_id"), "page_id", "left_anti").select(*TASK).unionByName(tasks.select(*TASK))
 
 
 def glossary_entries(pairs: DataFrame, common: list[str] = COMMON_WORDS) -> DataFrame:

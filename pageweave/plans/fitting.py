@@ -160,10 +160,10 @@ def memory_as_of(s, d):
     return S.memory_as_of(D.table(s, d, "conversations").select(F.col("conv_id").alias("page_id"), F.explode(F.array_distinct(T.names(F.col("text")))).alias("name")))
 
 
-@query("with p as (" + ORACLES["restore_tasks"].split("with ", 1)[1].split(", tasks as")[0].join(["with ", " select * from prev where last_error = '1-URGENT' and state = 'DONE' and output_exists)"]) + " select c_custkey page_id from customer where c_custkey not in (select page_id from p)")
+@query(f"with {R.TASKS} select page_id from tasks where page_id not in ({R.SKIPPED} and p.last_error = '1-URGENT')")
 def resume_digest(s, d):
     """Pages to run where only what the same configuration left behind counts."""
-    return S.to_run(R._tasks(s, d), S.current(R._previous(s, d).withColumn("config_digest", F.col("last_error")), "1-URGENT"))
+    return S.to_run(R._tasks(s, d), S.current(R._previous(s, d).withColumn("config_digest", F.col("last_error")), "1-URGENT"), R._outputs(s, d)).select("page_id")
 
 
 @query(f"with {CACHE}, r as (select sha256('m1' || chr(0) || 'vi' || chr(0) || text) key from documents), h as (select r.key, cache.key is not null hit from r left join cache using (key)) select count(*) filter (where hit) hits, count(*) filter (where not hit) misses, count(distinct key) filter (where not hit) puts from h")

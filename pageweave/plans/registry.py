@@ -25,7 +25,14 @@ DENSE = "dense as (select doc_id//20 page_id, (doc_id%20)::int block_idx, x::int
 OCR = BLOCKS + ", ocr as (select page_id, block_idx, x1, y1, x2, y2, cls, (doc_id%100)/100.0::double ocr_conf, text, coalesce(length(text),0)=0 ocr_failed, doc_id from blocks)"
 TR = OCR + ", tr as (select page_id, block_idx, case doc_id%7 when 0 then '' when 1 then '...' when 2 then '…' when 3 then '???' else upper(text) end translated from ocr)"
 EVENTS = "ev as (select event_id, ts, user_id page_id, case event_type when 'view' then 'stage_start' when 'click' then 'stage_end' when 'error' then 'stage_error' when 'purchase' then case when event_id%9=0 then 'page_skip_resume' else 'page_done' end else case when event_id%7=0 then 'stage_freeze' else 'page_failed' end end as event, (event_id%11)::int stage, value latency_ms, case when event_type in ('error','signup') then case when event_id%3=0 then 'OutOfMemoryError' else 'ValueError' end end error_type, case when event_type in ('error','signup') then 'step ' || event_id || case when event_id%5=0 then ': out of memory' else '' end end error_msg from events)"
-TASKS = "prev as (select o_custkey page_id, case o_orderstatus when 'F' then 'DONE' when 'O' then 'RUNNING' else 'FAILED' end state, (o_orderkey%12)::int n_stages, (o_orderkey%3)::int retries, o_orderpriority last_error, o_orderkey%4<>0 output_exists from orders qualify row_number() over (partition by o_custkey order by o_orderkey desc)=1), tasks as (select c_custkey page_id from customer)"
+# Pages are customers: a checkpoint of the last order of each, new tasks for all, and the outputs that orders have left.
+STAGE_LIST = "['" + "','".join(E.STAGES) + "']"
+TASKS = f"""prev as (select o_custkey page_id, 'in/' || o_custkey || '.png' input_path, case when o_orderkey%5=0 then '' else 'out/' || o_custkey || '_' || o_orderkey%2 || '.png' end output_path, case o_orderstatus when 'F' then 'DONE' when 'O' then 'RUNNING' else 'FAILED' end state,
+  case when o_orderstatus='O' then {STAGE_LIST}[o_orderkey%11+1] end current_stage, {STAGE_LIST}[1:o_orderkey%12] completed_stages, (o_orderkey%3)::int retries, case when o_orderkey%4>1 then {STAGE_LIST}[o_orderkey%11+1] || '=' || o_orderkey%4 else '' end stage_retries, (o_orderkey%4)::int oom_retries,
+  case when o_orderkey%4>0 then ['cpu_inpaint'] else []::varchar[] end fallback_flags, o_orderpriority last_error, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000000Z') started_ts, case when o_orderstatus<>'O' then strftime(o_orderdate + interval 90 second, '%Y-%m-%dT%H:%M:%S.000000Z') end completed_ts
+  from orders qualify row_number() over (partition by o_custkey order by o_orderkey desc)=1),
+tasks as (select c_custkey page_id, 'in/' || c_custkey || '.png' input_path, 'out/' || c_custkey || '_0.png' output_path from customer),
+outputs as (select distinct 'out/' || o_custkey || '_' || o_orderkey%2 || '.png' path from orders where o_orderkey%4<>0)"""
 AREA = "((x2-x1)*(y2-y1))::bigint"
 
 
@@ -42,12 +49,28 @@ def query(sql: str | None = None):
 
 
 def _previous(s: SparkSession, d: str) -> DataFrame:
-    last = D.table(s, d, "orders").groupBy("o_custkey").agg(F.max_by(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority"), "o_orderkey").alias("o"))
-    return last.selectExpr("o_custkey as page_id", "case o.o_orderstatus when 'F' then 'DONE' when 'O' then 'RUNNING' else 'FAILED' end as state", "cast(o.o_orderkey % 12 as int) n_stages", "cast(o.o_orderkey % 3 as int) retries", "o.o_orderpriority as last_error", "o.o_orderkey % 4 <> 0 as output_exists")
+    last = D.table(s, d, "orders").groupBy("o_custkey").agg(F.max_by(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate"), "o_orderkey").alias("o")).select("o_custkey", "o.*")
+    stages = "array('" + "','".join(E.STAGES) + "')"
+    at = lambda ts: f"date_format({ts}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")"
+    return last.selectExpr(
+        "o_custkey as page_id", "concat('in/', o_custkey, '.png') input_path", "if(o_orderkey % 5 = 0, '', concat('out/', o_custkey, '_', o_orderkey % 2, '.png')) output_path",
+        "case o_orderstatus when 'F' then 'DONE' when 'O' then 'RUNNING' else 'FAILED' end as state", f"if(o_orderstatus = 'O', {stages}[cast(o_orderkey % 11 as int)], null) current_stage", f"slice({stages}, 1, cast(o_orderkey % 12 as int)) completed_stages",
+        "cast(o_orderkey % 3 as int) retries", f"if(o_orderkey % 4 > 1, map({stages}[cast(o_orderkey % 11 as int)], cast(o_orderkey % 4 as int)), cast(map() as map<string,int>)) stage_retries", "cast(o_orderkey % 4 as int) oom_retries",
+        "if(o_orderkey % 4 > 0, array('cpu_inpaint'), cast(array() as array<string>)) fallback_flags", "o_orderpriority as last_error", f"{at('o_orderdate')} started_ts", f"if(o_orderstatus <> 'O', {at('o_orderdate + interval 90 second')}, null) completed_ts",
+    )
 
 
 def _tasks(s: SparkSession, d: str) -> DataFrame:
-    return D.table(s, d, "customer").selectExpr("c_custkey as page_id")
+    return S.new_tasks(D.table(s, d, "customer").selectExpr("c_custkey as page_id", "concat('in/', c_custkey, '.png') input_path", "concat('out/', c_custkey, '_0.png') output_path"))
+
+
+def _outputs(s: SparkSession, d: str) -> DataFrame:
+    return D.table(s, d, "orders").where("o_orderkey % 4 <> 0").selectExpr("concat('out/', o_custkey, '_', o_orderkey % 2, '.png') path")
+
+
+def _flat(tasks: DataFrame) -> DataFrame:
+    """Retries of stages as text, so that rows compare."""
+    return tasks.withColumn("stage_retries", F.array_join(F.transform(F.map_entries("stage_retries"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","))
 
 
 # ---- regions of a page
@@ -322,14 +345,28 @@ def cache_evict(s, d):
     return S.evict_oldest(_cache(s, d).select("key", "ts"), 200)
 
 
-@query(f"with {TASKS} select page_id from tasks where page_id not in (select page_id from prev where state='DONE' and output_exists)")
+SKIPPED = "select t.page_id from tasks t join prev p using (page_id) where p.state='DONE' and case when p.output_path <> '' then p.output_path else t.output_path end in (select path from outputs)"
+
+
+@query(f"with {TASKS} select page_id from tasks where page_id not in ({SKIPPED})")
 def resume_skip(s, d):
-    return S.to_run(_tasks(s, d), _previous(s, d))
+    return S.to_run(_tasks(s, d), _previous(s, d), _outputs(s, d)).select("page_id")
+
+
+RESTORED = """restored as (select t.page_id, t.input_path, t.output_path, case when p.state='DONE' then 'DONE' else 'PENDING' end state, null::varchar current_stage, case when p.state='DONE' then p.completed_stages else []::varchar[] end completed_stages, coalesce(p.retries, 0)::int retries, '' stage_retries,
+  0 oom_retries, []::varchar[] fallback_flags, case when p.state<>'DONE' then p.last_error end last_error, null::varchar started_ts, case when p.state='DONE' then p.completed_ts end completed_ts from tasks t left join prev p using (page_id))"""
 
 
-@query(f"with {TASKS} select t.page_id, case when p.state='DONE' then 'DONE' else 'PENDING' end state, case when p.state='DONE' then p.n_stages else 0 end n_stages, coalesce(p.retries,0) retries, p.last_error from tasks t left join prev p using (page_id)")
+@query(f"with {TASKS}, {RESTORED} select * from restored")
 def restore_tasks(s, d):
-    return S.restore(_tasks(s, d), _previous(s, d))
+    return _flat(S.restore(_tasks(s, d), _previous(s, d)))
+
+
+@query(f"with {TASKS}, {RESTORED}, k as (select * from restored where page_id%3=0) select * from k union all select * from prev where page_id not in (select page_id from k)")
+def checkpoint_upsert(s, d):
+    """A checkpoint after the tasks of a third of the pages were put into it."""
+    third = _tasks(s, d).where("page_id % 3 = 0")
+    return _flat(S.upsert(_previous(s, d), S.restore(third, _previous(s, d))))
 
 
 # ---- events

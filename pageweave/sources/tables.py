@@ -28,13 +28,25 @@ def _entries(spark: SparkSession, path: str, field: str, value: str) -> DataFram
     return rows.select(F.explode(field).alias("key", "e"))
 
 
-def _write_map(rows: DataFrame, path: str, key: str, value: Column, around: dict[str, Column] | None = None) -> None:
-    """One JSON object of all rows by key: for tables that are one document by nature, such as a glossary or a cache of bounded size."""
-    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v")))))
+def _write_map(rows: DataFrame, path: str, key: str, value: Column, around: dict[str, Column] | None = None, files: int = 1, order: Column | None = None) -> None:
+    """JSON objects of all rows by key. One file holds one object: one document by default, more where a task can't hold them all; readers take a folder.
+
+    Of rows with the same key the last by ``order`` stays, or without one that with the greatest text.
+    """
+    told = rows.select(F.col(key).cast("string").alias("k"), value.alias("v"), (F.to_json(F.struct(value.alias("v"))) if order is None else order).alias("o")).where("k is not null")
+    one = told.groupBy("k").agg(F.max_by("v", F.coalesce(F.col("o").cast("string"), F.lit(""))).alias("v") if order is None else F.max_by("v", F.struct("o", F.to_json(F.struct("v")))).alias("v"))
+    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))) if "map<" not in dict(one.dtypes)["v"] else F.map_from_entries(F.collect_list(F.struct("k", "v")))
+    parts = one.groupBy(F.pmod(F.xxhash64("k"), F.lit(files)).alias("file"))
+    if rows.isEmpty():  # still one document, of nothing
+        parts = one.groupBy()
     if around is None:
-        rows.agg(F.to_json(entries).alias("value")).coalesce(1).write.text(path)
+        out, kind = parts.agg(F.to_json(entries).alias("value")), "text"
     else:
-        rows.agg(*[c.alias(n) for n, c in around.items() if n != "of"], entries.alias(around["of"])).coalesce(1).write.json(path)
+        out, kind = parts.agg(*[c.alias(n) for n, c in around.items() if n != "of"], entries.alias(around["of"])), "json"
+    if "file" in out.columns and files > 1:
+        out.repartition("file").write.partitionBy("file").format(kind).save(path)
+    else:
+        out.drop("file").coalesce(1).write.format(kind).save(path)
 
 
 def read_glossary(spark: SparkSession, path: str) -> DataFrame:
@@ -43,8 +55,8 @@ def read_glossary(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode("m").alias("term", "dst"))
 
 
-def write_glossary(glossary: DataFrame, path: str) -> None:
-    _write_map(glossary, path, "term", F.col("dst"))
+def write_glossary(glossary: DataFrame, path: str, files: int = 1) -> None:
+    _write_map(glossary, path, "term", F.col("dst"), files=files)
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
@@ -55,8 +67,8 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(default("name_src", F.col("key")), default("name_target", F.col("key")), default("first_seen_page", F.lit(0)), default("occurrences", F.lit(1)), default("side_hint", F.lit("unknown")))
 
 
-def write_names(memory: DataFrame, path: str) -> None:
-    _write_map(memory, path, "name_src", F.struct("name_src", "name_target", "first_seen_page", "occurrences", "side_hint"))
+def write_names(memory: DataFrame, path: str, files: int = 1) -> None:
+    _write_map(memory, path, "name_src", F.struct("name_src", "name_target", "first_seen_page", "occurrences", "side_hint"), files=files, order=F.col("occurrences"))
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -64,9 +76,9 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     return _entries(spark, path, "entries", "struct<translation:string, model:string, target_lang:string, text_preview:string, ts:double>").where("e.translation is not null").select("key", "e.*")
 
 
-def write_cache(cache: DataFrame, path: str, ts: Column) -> None:
+def write_cache(cache: DataFrame, path: str, ts: Column, files: int = 1) -> None:
     value = F.struct("translation", "model", "target_lang", F.substring("text_preview", 1, 80).alias("text_preview"), "ts")
-    _write_map(cache, path, "key", value, {"version": F.lit(1), "ts": ts, "of": "entries"})
+    _write_map(cache, path, "key", value, {"version": F.lit(1), "ts": ts, "of": "entries"}, files, F.col("ts"))
 
 
 def read_ocr_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -74,21 +86,29 @@ def read_ocr_cache(spark: SparkSession, path: str) -> DataFrame:
     return _entries(spark, path, "entries", "struct<result:string, ts:double>").where("e.result is not null").select("key", "e.*")
 
 
-def write_ocr_cache(cache: DataFrame, path: str, ts: Column) -> None:
-    _write_map(cache, path, "key", F.struct("result", "ts"), {"version": F.lit(1), "ts": ts, "of": "entries"})
+def write_ocr_cache(cache: DataFrame, path: str, ts: Column, files: int = 1) -> None:
+    _write_map(cache, path, "key", F.struct("result", "ts"), {"version": F.lit(1), "ts": ts, "of": "entries"}, files, F.col("ts"))
+
+
+def write_checkpoint(tasks: DataFrame, path: str, config_digest: str, ts: Column, files: int = 1) -> None:
+    """A checkpoint of version 1 of tasks with all their fields; flags in order."""
+    value = F.struct(*[F.sort_array(c).alias(c) if c == "fallback_flags" else F.col(c) for c in TASK_FIELDS])
+    _write_map(tasks, path, "page_id", value, {"version": F.lit(1), "config_digest": F.lit(config_digest), "ts": ts, "of": "pages"}, files, F.coalesce("completed_ts", "started_ts", F.lit("")))
 
 
-def write_checkpoint(tasks: DataFrame, path: str, config_digest: str, ts: Column) -> None:
-    """A checkpoint of version 1 of tasks (page_id, state, completed_stages, retries, last_error)."""
-    value = F.struct("page_id", "state", "completed_stages", "retries", "last_error")
-    _write_map(tasks, path, "page_id", value, {"version": F.lit(1), "config_digest": F.lit(config_digest), "ts": ts, "of": "pages"})
+TASK_FIELDS = {
+    "page_id": "string", "input_path": "string", "output_path": "string", "state": "string", "current_stage": "string", "completed_stages": "array<string>", "retries": "int", "stage_retries": "map<string,int>", "oom_retries": "int",
+    "fallback_flags": "array<string>", "last_error": "string", "started_ts": "string", "completed_ts": "string",
+}
 
 
 def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
-    """page_id and task fields of checkpoint files of version 1; other files and broken entries are left out."""
-    schema = "version int, config_digest string, pages map<string, struct<page_id:string,state:string,completed_stages:array<string>,retries:int,last_error:string>>"
-    rows = spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
-    return rows.where("version = 1").select("config_digest", F.explode("pages").alias("key", "t")).where("t.state is not null").select("config_digest", "t.*")
+    """config_digest and all task fields of checkpoint files of version 1; absent ones are empty. Other files and broken entries are left out."""
+    fields = ",".join(f"{c}:{t}" for c, t in TASK_FIELDS.items())
+    rows = spark.read.schema(f"version int, config_digest string, pages map<string, struct<{fields}>>").option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
+    told = rows.where("version = 1").select("config_digest", F.explode("pages").alias("key", "t")).where("t.state is not null").select("config_digest", "t.*")
+    empty = {"array<string>": "cast(array() as array<string>)", "map<string,int>": "cast(map() as map<string,int>)", "int": "0"}
+    return told.select("config_digest", *[F.coalesce(c, F.expr(empty[t])).alias(c) if t in empty else F.col(c) for c, t in TASK_FIELDS.items()])
 
 
 def write_records(records: DataFrame, path: str) -> None:

@@ -54,10 +54,52 @@ def test_caches(spark, tmp_path):
 
 
 def test_checkpoint(spark, tmp_path):
-    tasks = spark.createDataFrame([("p1", "DONE", ["load", "ocr"], 1, None), ("p2", "FAILED", [], 0, "ValueError: x")], "page_id string, state string, completed_stages array<string>, retries int, last_error string")
-    D.write_checkpoint(tasks, str(tmp_path / "c"), "abc", F.lit(WHEN))
-    got = {r["page_id"]: r for r in D.read_checkpoint(spark, str(tmp_path / "c")).collect()}
-    assert got["p1"]["completed_stages"] == ["load", "ocr"] and got["p2"]["last_error"] == "ValueError: x" and got["p1"]["config_digest"] == "abc"
+    schema = ", ".join(f"{c} {t}" for c, t in D.TASK_FIELDS.items())
+    rows = [
+        ("p1", "a.png", "b.png", "DONE", None, ["load", "ocr"], 1, {"ocr": 2}, 0, [], None, WHEN, WHEN), ("p2", "c.png", "", "FAILED", "ocr", [], 0, {}, 3, ["z", "cpu_inpaint"], "ValueError: x", WHEN, None), ("p3", "d.png", "e.png", "PENDING", None, [], 0, {}, 0, [], None, None, None),
+    ]
+    tasks = spark.createDataFrame(rows, schema)
+    for files in (1, 3):
+        path = str(tmp_path / f"c{files}")
+        D.write_checkpoint(tasks.unionByName(tasks.where("page_id = 'p1'").withColumn("completed_ts", F.lit("2020"))), path, "abc", F.lit(WHEN), files)
+        got = D.read_checkpoint(spark, path)
+        assert {r.config_digest for r in got.collect()} == {"abc"}
+        assert sorted(map(tuple, got.drop("config_digest").collect())) == [tuple(sorted(x) if x == ["z", "cpu_inpaint"] else x for x in r) for r in rows]
+    D.write_checkpoint(tasks.limit(0), str(tmp_path / "none"), "abc", F.lit(WHEN))
+    assert D.read_checkpoint(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "c.json").write_text(json.dumps({"version": 1, "pages": {"x": {"page_id": "x", "state": "DONE"}, "y": {"page_id": "y"}}}))
+    old = D.read_checkpoint(spark, str(tmp_path / "old")).collect()
+    assert [(r.page_id, r.completed_stages, r.stage_retries, r.oom_retries, r.last_error) for r in old] == [("x", [], {}, 0, None)]
+
+
+def test_restore(spark):
+    schema = ", ".join(f"{c} {t}" for c, t in D.TASK_FIELDS.items())
+    previous = spark.createDataFrame([
+        ("done", "a", "former", "DONE", None, ["load"], 2, {"ocr": 1}, 1, ["cpu_inpaint"], "old", WHEN, WHEN), ("gone", "a", "lost", "DONE", None, ["load"], 0, {}, 0, [], None, WHEN, WHEN), ("nopath", "a", None, "DONE", None, None, None, {}, 0, [], None, None, None),
+        ("half", "a", "b", "RUNNING", "ocr", ["load"], 1, {"ocr": 1}, 2, ["cpu_inpaint"], "E: x", WHEN, None), ("other", "a", "b", "FAILED", None, [], 1, {}, 0, [], "E: y", None, None),
+    ], schema)
+    pages = spark.createDataFrame([(p, "in", f"out-{p}") for p in ("done", "gone", "nopath", "half", "new")], "page_id string, input_path string, output_path string")
+    tasks = S.new_tasks(pages)
+    there = spark.createDataFrame([("former",), ("out-nopath",), ("out-gone",), ("former",)], "path string")
+    assert sorted(r.page_id for r in S.to_run(tasks, previous, there).collect()) == ["gone", "half", "new"]
+    of = lambda df: {r.page_id: (r.state, r.current_stage, r.completed_stages, r.retries, r.stage_retries, r.oom_retries, r.last_error, r.completed_ts) for r in df.collect()}
+    fresh = ("PENDING", None, [], 0, {}, 0, None, None)
+    got = of(S.restore(tasks, previous))
+    assert got == {"done": ("DONE", None, ["load"], 2, {}, 0, None, WHEN), "gone": ("DONE", None, ["load"], 0, {}, 0, None, WHEN), "nopath": ("DONE", None, [], 0, {}, 0, None, None), "half": ("PENDING", None, [], 1, {}, 0, "E: x", None), "new": fresh}
+    kept = of(S.restore(tasks, previous, reset_partial=False))
+    assert kept["half"] == fresh and kept["done"] == got["done"]
+    merged = of(S.upsert(previous, S.restore(tasks, previous)))
+    assert merged == got | {"other": ("FAILED", None, [], 1, {}, 0, "E: y", None)}
+
+
+def test_repeated_keys_and_several_files(spark, tmp_path):
+    terms = spark.createDataFrame([("Bob", "Bob"), ("Bob", "Rob"), ("Eve", "Eve"), (None, "x")], "term string, dst string")
+    D.write_glossary(terms, str(tmp_path / "g"), files=5)
+    assert sorted(map(tuple, D.read_glossary(spark, str(tmp_path / "g")).select("term", "dst").collect())) == [("Bob", "Rob"), ("Eve", "Eve")]
+    cache = spark.createDataFrame([("k", "new", "m", "vi", "p", 2.0), ("k", "old", "m", "vi", "p", 1.0)], "key string, translation string, model string, target_lang string, text_preview string, ts double")
+    D.write_cache(cache, str(tmp_path / "c"), F.lit(WHEN), files=2)
+    assert [r["translation"] for r in D.read_cache(spark, str(tmp_path / "c")).collect()] == ["new"]
 
 
 def test_records_and_events(spark, tmp_path):
