@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 import numpy as np
@@ -62,7 +63,8 @@ def shared_dir(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = _local_root()
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    _made.append(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return path
 
 
@@ -71,17 +73,22 @@ def _local_root() -> str:
     return tempfile.mkdtemp(prefix="spark-")
 
 
-_made: list[str] = []
+#: Folders made in the innermost ``temporary`` block of this thread or task of its own.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
-    """Removes, at its end, the folders made within: what is kept of them must be written elsewhere by then."""
-    before = len(_made)
-    yield
-    while len(_made) > before:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    """Removes, at its end or when it fails, the folders made within by the same thread: what is kept of them must be written elsewhere by then."""
+    made: list[str] = []
+    outer = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(outer)
+        for name in reversed(made):
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is tiled by sentences (up to full stops, exclamation or question marks or line ends, with the blanks after them). From
-every sentence starts one span: the shortest run of at least two sentences with at least twelve words. Spans are hashed
-over their words; the first document that holds a span is the one with the smallest id. Sentences covered by a span
-that the same text or an earlier document already had are removed.
+A text is tiled by sentences (up to full stops, exclamation or question marks or line ends, with the blanks after them). A run of consecutive
+sentences counts if it has enough sentences and words (``Least``: two and twelve), the first and last not blank. From every sentence starts one span, the shortest run that counts, and
+at every sentence ends one. That is enough for every run: where a longer one is repeated, the spans within it are repeated too, and they cover it; a sentence
+too near its end to start a span lies in the one that ends there. Spans are hashed over their words; the first document that holds a span is the
+one with the smallest id. Sentences covered by a span that the same text or an earlier document already had are removed.
 
 Each text counts a span once, so the global step groups one narrow row a span with partial aggregation, whatever the number of
 copies; repeated spans join back with one row a span on their side, so a skewed side can be split. Spans of few words
@@ -24,7 +25,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import lru_cache, partial
 from itertools import chain
 
 import numpy as np
@@ -35,7 +37,19 @@ from pyspark.sql import functions as F
 
 from .common import fresh, table, written
 
-MIN_SENTENCES, MIN_WORDS = 2, 12
+@dataclass(frozen=True)
+class Least:
+    """Sentences (two or more) and words of a run that counts; shorter ones are no evidence of copying."""
+
+    sentences: int = 2
+    words: int = 12
+
+    def __post_init__(self):
+        if self.sentences < 2:
+            raise ValueError("a run has two sentences or more")
+
+
+LEAST = Least()
 #: Words in a row of which one ends a piece, and words of a run of pieces.
 WINDOW, RUN_WORDS = 8, 20
 _BASE = 0x9E3779B97F4A7C15
@@ -48,19 +62,30 @@ def sentences(text: str) -> list[str]:
     return _SENTENCES(text)
 
 
-def spans(text: str) -> Iterator[tuple[int, int, int]]:
-    """(hash, first sentence, sentences) of the span that starts at each sentence, where one does."""
+def spans(text: str, least: Least = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first sentences and ends (as numbers of sentences) of the spans, by first sentence."""
     split = [s.split() for s in sentences(text)]
-    ends = np.cumsum([len(w) for w in split])
-    n = len(split)
-    if not n:
-        return
-    # the sentence in which the twelfth word after the start lies, and at least one more than the first
-    last = np.maximum(np.searchsorted(ends, ends - [len(w) for w in split] + MIN_WORDS), np.arange(n) + MIN_SENTENCES - 1)
-    joined = [" ".join(w) for w in split]
-    for i, j in enumerate(last.tolist()):
-        if j < n and split[i]:
-            yield xxhash.xxh3_64_intdigest("\n".join(joined[i : j + 1])) - (1 << 63), i, j - i + 1
+    sizes = np.array([len(w) for w in split], "i8")
+    n, ends = len(split), np.cumsum(sizes)
+    if n < least.sentences:
+        return np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0, "i8")
+    begins, some = ends - sizes, np.flatnonzero(sizes)
+    last = np.maximum(np.searchsorted(ends, begins[some] + least.words), some + least.sentences - 1)
+    first = np.minimum(np.searchsorted(begins, ends[some] - least.words, "right") - 1, some - least.sentences + 1)
+    # to the nearest sentence with words: places among those
+    last, first = np.searchsorted(some, last), np.searchsorted(some, first, "right") - 1
+    on, to = last < len(some), first >= 0
+    starts, stops = np.concatenate([some[on], some[first[to]]]), np.concatenate([some[last[on]], some[to]]) + 1
+    starts, stops = np.divmod(np.unique(starts * (n + 1) + stops), n + 1)
+    h = np.array([xxhash.xxh3_64_intdigest(" ".join(w)) for w in split], "u8")
+    return _product(h, starts, stops), starts, stops
+
+
+def _product(h: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A hash of the hashes from each start to its stop."""
+    power, inverse = _powers(1 << len(h).bit_length())
+    until = np.concatenate([np.zeros(1, "u8"), np.cumsum(h * power[: len(h)], dtype="u8")])
+    return ((until[stops] - until[starts]) * inverse[starts]).view("i8")
 
 
 def _over(least: np.ufunc, x: np.ndarray) -> np.ndarray:
@@ -104,9 +129,7 @@ def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = np.concatenate([on, at[np.searchsorted(at, to - RUN_WORDS, "right") - 1]])
     stops = np.concatenate([at[np.searchsorted(at, on + RUN_WORDS)], to])
     starts, stops = np.divmod(np.unique(starts * (len(words) + 1) + stops), len(words) + 1)
-    power, inverse = _powers(1 << len(words).bit_length())
-    until = np.concatenate([np.zeros(1, "u8"), np.cumsum(h * power[: len(words)], dtype="u8")])
-    return ((until[stops] - until[starts]) * inverse[starts]).view("i8"), starts, stops
+    return _product(h, starts, stops), starts, stops
 
 
 def _hashed(own: Callable[[str], list[int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -123,18 +146,18 @@ def _hashed(own: Callable[[str], list[int]]) -> Callable[[Iterator[pa.RecordBatc
     return of
 
 
-def _of_spans(text: str) -> list[int]:
-    return list({h for h, _, _ in spans(text)})
+def _of_spans(text: str, least: Least = LEAST) -> list[int]:
+    return list(set(spans(text, least)[0].tolist()))
 
 
-def _of_both(text: str) -> list[int]:
-    return list({*runs(text)[0].tolist(), *_of_spans(text)})
+def _of_both(text: str, least: Least = LEAST) -> list[int]:
+    return list({*runs(text)[0].tolist(), *_of_spans(text, least)})
 
 
-def repeated(docs: DataFrame, own: Callable[[str], list[int]] = _of_spans) -> DataFrame:
+def repeated(docs: DataFrame, own: Callable[[str, Least], list[int]] = _of_spans, least: Least = LEAST) -> DataFrame:
     """doc_id and later: the hashes of the spans (``own`` gives a text's, each once) that a document with a smaller id has too."""
     # written once: the narrow spans are counted, and those that are repeated are looked up again
-    found = written(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_hashed(own), "doc_id long, span long"), "spans")
+    found = written(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_hashed(partial(own, least=least)), "doc_id long, span long"), "spans")
     counted = found.groupBy("span").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("span", "first")
     shared = written(counted, "shared-spans")
     later = found.join(shared, "span").where(~F.col("doc_id").eqNullSafe(F.col("first")))
@@ -144,13 +167,13 @@ def repeated(docs: DataFrame, own: Callable[[str], list[int]] = _of_spans) -> Da
 FIELDS = [("kept", pa.string()), ("n_sentences", pa.int64()), ("n_removed", pa.int64())]
 
 
-def remove(text: str, later: set[int]) -> tuple[str, int, int]:
+def remove(text: str, later: set[int], least: Least = LEAST) -> tuple[str, int, int]:
     """The text without covered sentences, the number of sentences, and of those removed."""
     gone, seen = np.zeros(len(own := sentences(text)) + 1, "i8"), set()
-    for h, i, n in spans(text):
+    for h, i, j in zip(*(x.tolist() for x in spans(text, least)), strict=True):
         if h in later or h in seen:
             gone[i] += 1
-            gone[i + n] -= 1
+            gone[j] -= 1
         seen.add(h)
     gone = np.cumsum(gone)[:-1] > 0
     if not gone.any():
@@ -158,14 +181,14 @@ def remove(text: str, later: set[int]) -> tuple[str, int, int]:
     return "".join(s for s, g in zip(own, gone, strict=True) if not g), len(own), int(gone.sum())
 
 
-def remove_both(text: str, later: set[int]) -> tuple[str, int, int]:
+def remove_both(text: str, later: set[int], least: Least = LEAST) -> tuple[str, int, int]:
     """The text without words in repeated spans and runs, the number of words, and of those removed."""
     ends = np.cumsum([0, *(len(s.split()) for s in sentences(text))])
     change, seen, first = np.zeros(ends[-1] + 1, "i8"), set(), {}
-    for h, i, n in spans(text):
+    for h, i, j in zip(*(x.tolist() for x in spans(text, least)), strict=True):
         if h in later or h in seen:
             change[ends[i]] += 1
-            change[ends[i + n]] -= 1
+            change[ends[j]] -= 1
         seen.add(h)
     for h, a, b in zip(*(x.tolist() for x in runs(text)), strict=True):
         a = a if h in later else max(a, first.get(h, b))
@@ -186,25 +209,25 @@ def remove_both(text: str, later: set[int]) -> tuple[str, int, int]:
     return "".join(left), len(gone), sum(gone)
 
 
-def without_repeats(docs: DataFrame, own: Callable[[str], list[int]] = _of_spans, remove: Callable[[str, set[int]], tuple[str, int, int]] = remove) -> DataFrame:
+def without_repeats(docs: DataFrame, own: Callable[[str, Least], list[int]] = _of_spans, remove: Callable[[str, set[int], Least], tuple[str, int, int]] = remove, least: Least = LEAST) -> DataFrame:
     """The rows with their columns, ``text`` without what repeated spans cover, and a last column, the struct of what was found."""
     doc_id, later, told = fresh(docs, "id"), fresh(docs, "later"), fresh(docs, "spans")
-    found = repeated(docs, own).select(F.col("doc_id").alias(doc_id), F.col("later").alias(later))
+    found = repeated(docs, own, least).select(F.col("doc_id").alias(doc_id), F.col("later").alias(later))
 
     @F.pandas_udf("kept string, n_sentences long, n_removed long")
     def cut(texts, later):
         import pandas as pd
 
-        rows = [(None, 0, 0) if t is None else remove(t, set() if x is None else set(x.tolist())) for t, x in zip(texts, later, strict=True)]
+        rows = [(None, 0, 0) if t is None else remove(t, set() if x is None else set(x.tolist()), least) for t, x in zip(texts, later, strict=True)]
         return pd.DataFrame(rows, columns=["kept", "n_sentences", "n_removed"])
 
     joined = docs.join(found, docs["doc_id"].cast("bigint").eqNullSafe(found[doc_id]), "left")
     return joined.withColumn(told, cut(docs["text"].cast("string"), F.col(later))).select(*[F.col(f"{told}.kept").alias("text") if c == "text" else docs[c] for c in docs.columns], told)
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, least: Least = LEAST) -> DataFrame:
     """The documents with their columns, without repeated spans and runs; those of which nothing but blanks is left go."""
-    out = without_repeats(docs, _of_both, remove_both)
+    out = without_repeats(docs, _of_both, remove_both, least)
     return out.where((F.col(out.columns[-1])["n_removed"] == 0) | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))).select(*docs.columns)
 
 
@@ -214,7 +237,8 @@ OP2_SQL = rf"""with d as (select doc_id, text, regexp_extract_all(coalesce(text,
 u as (select doc_id, unnest(s) sentence, unnest(range(len(s))) i from d),
 w as (select *, list_filter(regexp_split_to_array(sentence, '{_SP}+'), lambda x: x <> '') words from u),
 e as (select *, sum(len(words)) over (partition by doc_id order by i) until from w),
-j as (select a.doc_id, a.i, min(b.i) j from e a join e b on a.doc_id = b.doc_id and b.i > a.i and b.until >= a.until - len(a.words) + {MIN_WORDS} where len(a.words) > 0 group by 1, 2),
+r as (select a.doc_id, a.i, b.i j from e a join e b on a.doc_id = b.doc_id and b.i > a.i and b.until >= a.until - len(a.words) + {LEAST.words} where len(a.words) > 0 and len(b.words) > 0),
+j as (select doc_id, i, min(j) j from r group by 1, 2 union select doc_id, max(i), j from r group by doc_id, j),
 p as (select j.doc_id, j.i, j.j, string_agg(array_to_string(e.words, ' '), chr(10) order by e.i) span from j join e on e.doc_id = j.doc_id and e.i between j.i and j.j group by 1, 2, 3),
 f as (select *, min(doc_id) over (partition by span) first, row_number() over (partition by doc_id, span order by i) nth from p),
 gone as (select distinct e.doc_id, e.i from e join f on f.doc_id = e.doc_id and e.i between f.i and f.j where f.doc_id <> f.first or f.nth > 1),

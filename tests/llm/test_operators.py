@@ -159,14 +159,29 @@ def test_near_copies(spark, odd, none, k, percent):
     assert grouped_prefix.one_of_each(odd, rule).columns == odd.columns
 
 
-def test_repeated_sentences(spark, odd, none):
-    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+def every_run(docs, least=sentence_spans.LEAST):
+    """The texts without sentences in any repeated run of enough sentences and words, whatever its length."""
     had, want = set(), {}
     for i, t in docs:
-        found = list(sentence_spans.spans(t))
-        want[i] = sentence_spans.remove(t, {h for h, _, _ in found if h in had})[0]
-        had |= {h for h, _, _ in found}
-    assert {r.doc_id: r.text for r in sentence_spans.op2_sentence_spans(spark, SF).collect()} == want
+        own = sentence_spans.sentences(t)
+        split = [s.split() for s in own]
+        runs = [(a, b) for a in range(len(own)) for b in range(a + least.sentences, len(own) + 1) if split[a] and split[b - 1] and sum(map(len, split[a:b])) >= least.words]
+        gone, new = set(), set()
+        for a, b in runs:
+            key = tuple(map(tuple, split[a:b]))
+            if key in had or key in new:
+                gone |= set(range(a, b))
+            new.add(key)
+        had |= new
+        want[i] = "".join(s for k, s in enumerate(own) if k not in gone)
+    return want
+
+
+def test_repeated_sentences(spark, odd, none):
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 6000").collect())
+    want = every_run(docs)
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.text for r in sentence_spans.without_repeats(rows).collect()} == want
     assert any(want[i] != t for i, t in docs)
     out = sentence_spans.without_repeats(odd).collect()
     assert len(out) == len(TEXTS) + 1 and next(r for r in out if r.doc_id == 0).text is None
@@ -174,6 +189,55 @@ def test_repeated_sentences(spark, odd, none):
     assert all("".join(sentence_spans.sentences(t)) == t for t in TEXTS if t)
 
 
+@pytest.mark.parametrize("least", [sentence_spans.LEAST, sentence_spans.Least(2, 1), sentence_spans.Least(3, 5)])
+def test_every_run_of_sentences(spark, least):
+    rnd = random.Random(least.words)
+    stock = ["Gulls cry.", "No!", "The quiet harbour lay under a thin grey sky all day long.", "He left. ", "Boats come in with the tide and go out again before noon.\n", "One two three four five six.", "\n", " ? ", "Why not?"]
+    some = [(i, "".join(rnd.choice(["", " "]) + rnd.choice(stock) for _ in range(rnd.randrange(9)))) for i in range(150)]
+    some += [(900, f"A. {stock[2]} No! Gulls cry. B."), (901, f"C. {stock[2]} No! Gulls cry. D.")]  # the last sentence starts no span of enough words
+    got = {r.doc_id: r.text for r in sentence_spans.without_repeats(spark.createDataFrame(some, "doc_id long, text string").repartition(3), least=least).collect()}
+    assert got == every_run(some, least)
+    assert got[901].split() == ["C.", "D."]
+
+
+def test_folders_of_blocks(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Event
+
+    from pageweave.llm.common import temporary, written
+
+    def names():
+        import os
+
+        root = spark.conf.get("spark.checkpoint.dir")
+        return {n for n in os.listdir(root) if n.startswith("probe-")}
+
+    made, gone = Event(), Event()
+
+    def other():
+        with temporary(spark):
+            mine = written(spark.range(5), "probe")
+            made.set()
+            gone.wait(60)
+            return mine.count()
+
+    with ThreadPoolExecutor(1) as pool:
+        waits = pool.submit(other)
+        made.wait(60)
+        before = names()
+        with pytest.raises(ZeroDivisionError), temporary(spark):
+            written(spark.range(3), "probe")
+            with temporary(spark):
+                written(spark.range(3), "probe")
+            assert len(names()) == len(before) + 1
+            1 / 0
+        assert names() == before
+        gone.set()
+        assert waits.result() == 5
+    kept = written(spark.range(4), "probe")
+    assert len(names()) == 1 and kept.count() == 4
+
+
 def test_near_copies_of_rows_with_shared_null_and_repeated_ids(spark):
     rnd = random.Random(11)
     text = lambda: [f"v{rnd.randrange(10**6)}" for _ in range(80)]
