@@ -119,9 +119,52 @@ def glossary(pairs: DataFrame) -> DataFrame:
 
 
 def glossary_block(glossary: DataFrame) -> DataFrame:
-    """The lines of a prompt for a glossary (of one prompt, so small), sorted by term."""
+    """The lines of each page's prompt for its glossary (page_id, term, dst), sorted by term; terms without dst have none."""
     rows = F.sort_array(F.collect_list(F.struct("term", "dst")))
-    return glossary.agg(F.array_join(F.transform(rows, lambda r: F.concat(F.lit("  - "), r["term"], F.lit(" → "), r["dst"])), "\n").alias("block"))
+    lines = F.transform(rows, lambda r: F.concat(F.lit("  - "), r["term"], F.lit(" → "), r["dst"]))
+    return glossary.where("dst is not null").groupBy("page_id").agg(F.array_join(lines, "\n").alias("block"))
+
+
+#: Pages of a term that are looked through in one portion.
+SPAN = 1024
+
+
+def glossary_intervals(entries: DataFrame) -> DataFrame:
+    """term, dst, after_page, until_page: the pages n with after_page < n <= until_page see dst; until_page is null while nothing else was written.
+
+    ``entries``: page_id, term, dst, one a page and term. Pages that write what is known already don't part an interval.
+    """
+    w = W.partitionBy("term").orderBy("page_id")
+    changed = entries.withColumn("new", ~F.lag("dst").over(w).eqNullSafe(F.col("dst"))).where("new")
+    return changed.select("term", "dst", F.col("page_id").alias("after_page"), F.lead("page_id").over(w).alias("until_page"))
+
+
+def glossary_as_of(entries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (page_id, term) with the dst that pages before had written last (``entries``: page_id, term, dst), else null.
+
+    Both sides pass one window in order of pages, so each row is met once however often its term is written. A term's pages are parted into portions;
+    what earlier portions wrote last, one row a portion, is carried over, so a term of a third of all rows has as many tasks as portions.
+    """
+    both = wanted.select("page_id", "term", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("dst")).unionByName(entries.select("page_id", "term", F.lit(1).alias("kind"), "dst"))
+    both = both.withColumn("portion", F.floor(F.col("page_id") / SPAN))
+    carried = W.partitionBy("term").orderBy("portion").rowsBetween(W.unboundedPreceding, -1)
+    last = both.groupBy("term", "portion").agg(F.max_by("dst", F.when(F.col("kind") == 1, F.col("page_id"))).alias("last")).withColumn("before", F.last("last", ignorenulls=True).over(carried))
+    # a page's own entries come after what it asks for
+    within = W.partitionBy("term", "portion").orderBy("page_id", "kind").rowsBetween(W.unboundedPreceding, -1)
+    own = both.withColumn("own", F.last("dst", ignorenulls=True).over(within)).where("kind = 0")
+    return own.join(last.where("before is not null").select("term", "portion", "before"), ["term", "portion"], "left").select("page_id", "term", F.coalesce("own", "before").alias("dst"))
+
+
+def page_entries(pairs: DataFrame) -> DataFrame:
+    """page_id, term, dst of pairs (page_id, ord, src, tgt); the last pair of a page wins."""
+    return glossary_entries(pairs.select("page_id", "ord", "src", "tgt")).groupBy("page_id", "term").agg(F.max_by("dst", "ord").alias("dst"))
+
+
+def mentions(pairs: DataFrame) -> DataFrame:
+    """name, page_id, name_target, side of pairs (page_id, ord, position_tag, src, tgt); the side is that of the page's first tag, or null."""
+    first_tag = pairs.groupBy("page_id").agg(F.min_by("position_tag", "ord").alias("tag"))
+    side = F.when(F.contains("tag", F.lit("left")), "left").when(F.contains("tag", F.lit("right")), "right")
+    return page_entries(pairs).join(first_tag, "page_id").select(F.col("term").alias("name"), "page_id", F.col("dst").alias("name_target"), side.alias("side"))
 
 
 def character_memory(pairs: DataFrame) -> DataFrame:
@@ -130,12 +173,8 @@ def character_memory(pairs: DataFrame) -> DataFrame:
     A page counts a name once, with its last translation there; the target is that of the name's first page. The side is that of the page's
     first tag, from the first page that tells one.
     """
-    first_tag = pairs.groupBy("page_id").agg(F.min_by("position_tag", "ord").alias("tag"))
-    by_page = glossary_entries(pairs.select("page_id", "ord", "src", "tgt")).groupBy("page_id", "term").agg(F.max_by("dst", "ord").alias("dst")).join(first_tag, "page_id")
-    side = F.when(F.contains("tag", F.lit("left")), "left").when(F.contains("tag", F.lit("right")), "right")
-    known = by_page.withColumn("side", side)
-    return known.groupBy(F.col("term").alias("name")).agg(
-        F.min_by("dst", "page_id").alias("name_target"), F.min("page_id").alias("first_seen_page"), F.count("*").alias("occurrences"),
+    return mentions(pairs).groupBy("name").agg(
+        F.min_by("name_target", "page_id").alias("name_target"), F.min("page_id").alias("first_seen_page"), F.count("*").alias("occurrences"),
         F.coalesce(F.min_by("side", F.when(F.col("side").isNotNull(), F.col("page_id"))), F.lit("unknown")).alias("side_hint"),
     )
 
@@ -148,10 +187,13 @@ def best_attempt(attempts: DataFrame, key: str, accept: float = 0.55, ties: tupl
 
 
 def memory_as_of(mentions: DataFrame) -> DataFrame:
-    """What was known of a name after each page that holds it: the first page, and pages so far."""
+    """What was known of a name after each page that holds it (name, page_id, name_target, side): the first page and its target, pages so far, and the first side told."""
     w = W.partitionBy("name").orderBy("page_id")
-    pages = mentions.select("name", "page_id").distinct()
-    return pages.withColumn("first_seen_page", F.first("page_id").over(w)).withColumn("occurrences", F.row_number().over(w))
+    pages = mentions.groupBy("name", "page_id").agg(F.min("name_target").alias("target"), F.min("side").alias("side"))
+    return pages.select(
+        "name", "page_id", F.first("page_id").over(w).alias("first_seen_page"), F.row_number().over(w).alias("occurrences"), F.first("target").over(w).alias("name_target"),
+        F.coalesce(F.first("side", ignorenulls=True).over(w), F.lit("unknown")).alias("side_hint"),
+    )
 
 
 def current(previous: DataFrame, digest: str, forced: bool = False) -> DataFrame:

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from pageweave.functions import text as T
 from pageweave.operators import chain as C
-from pageweave.plans.registry import SP, STRIP, H, W, query
+from pageweave.operators import state as S
+from pageweave.plans import registry as R
+from pageweave.plans.registry import PAIRS, SP, STRIP, H, W, query
 from pageweave.sources import tables as D
 
 # The recognised rows of a page are the turns of a conversation; some are blank, some kept as drawn or not to be translated.
@@ -70,3 +73,38 @@ def positional_pairs(s, d):
     texts = D.table(s, d, "conversations").where("conv_id % 4 <> 3 or turn < 2").withColumn("place", F.row_number().over(back) - 1)
     texts = texts.select(F.col("conv_id").alias("page_id"), "place", F.when(F.col("turn") % 3 == 1, "").otherwise(F.col("text")).alias("text"))
     return C.paired(rows.join(had, ["page_id", "block_idx"]), texts).select("page_id", "block_idx", "translated")
+
+
+_ENTRIES = f"""{PAIRS}, en as (select conv_id page_id, term, arg_max(dst, ord) dst from found group by all),
+wt as (select distinct conv_id page_id, unnest(list_distinct(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7f\\P{{L}}]', '_', 'g'), '\\b[A-Z][A-Za-z]{{2,}}(?:-[A-Za-z]+)?\\b'))) term from conversations),
+seen as (select wt.page_id, wt.term, (select arg_max(dst, en.page_id) from en where en.term = wt.term and en.page_id < wt.page_id) dst from wt)"""
+
+
+def _names(s: SparkSession, d: str) -> DataFrame:
+    return D.table(s, d, "conversations").select(F.col("conv_id").alias("page_id"), F.explode(F.array_distinct(T.names(F.col("text")))).alias("term")).distinct()
+
+
+@query(f"with {_ENTRIES} select * from seen")
+def glossary_as_of(s, d):
+    """What the names of a page mean to it: what pages before it wrote."""
+    return S.glossary_as_of(S.page_entries(R._pairs(s, d)), _names(s, d))
+
+
+@query(f"with {_ENTRIES} select page_id, string_agg('  - ' || term || ' → ' || dst, chr(10) order by term) block from seen where dst is not null group by 1")
+def glossary_block(s, d):
+    """The glossary that each page's prompt shows."""
+    return S.glossary_block(S.glossary_as_of(S.page_entries(R._pairs(s, d)), _names(s, d)))
+
+
+@query(f"with {_ENTRIES}, ch as (select *, lag(dst) over (partition by term order by page_id) is distinct from dst nw from en) select term, dst, page_id after_page, lead(page_id) over (partition by term order by page_id) until_page from ch where nw")
+def glossary_intervals(s, d):
+    return S.glossary_intervals(S.page_entries(R._pairs(s, d)))
+
+
+@query(f"""with {_ENTRIES}, tags as (select conv_id page_id, ['top-left','middle-center','bottom-right'][(conv_id+1)%3+1] tag from (select distinct conv_id from conversations)),
+m as (select term as name, page_id, dst, case when contains(tag, 'left') then 'left' when contains(tag, 'right') then 'right' end side from en join tags using (page_id))
+select name, page_id, min(page_id) over w first_seen_page, (row_number() over w)::int occurrences, first_value(dst) over w name_target,
+  coalesce(arg_min(side, page_id) filter (where side is not null) over (partition by name order by page_id rows between unbounded preceding and current row), 'unknown') side_hint from m window w as (partition by name order by page_id)""")
+def memory_as_of(s, d):
+    """What was known of a name after each page."""
+    return S.memory_as_of(S.mentions(R._pairs(s, d)))

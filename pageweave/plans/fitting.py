@@ -155,11 +155,6 @@ def event_lines(s, d):
     return E.lines(D.event_log(s, d))
 
 
-@query("with w as (select conv_id page_id, unnest(list_distinct(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7f\\P{L}]', '_', 'g'), '\\b[A-Z][A-Za-z]{2,}(?:-[A-Za-z]+)?\\b'))) as name from conversations), p as (select distinct * from w) select name, page_id, min(page_id) over (partition by name) first_seen_page, row_number() over (partition by name order by page_id)::int occurrences from p")
-def memory_as_of(s, d):
-    return S.memory_as_of(D.table(s, d, "conversations").select(F.col("conv_id").alias("page_id"), F.explode(F.array_distinct(T.names(F.col("text")))).alias("name")))
-
-
 @query(f"with {R.TASKS} select page_id from tasks where page_id not in ({R.SKIPPED} and p.last_error = '1-URGENT')")
 def resume_digest(s, d):
     """Pages to run where only what the same configuration left behind counts."""

@@ -285,11 +285,6 @@ def glossary_terms(s, d):
     return S.glossary(_pairs(s, d).select(F.struct("conv_id", "turn", "role", "text").alias("ord"), "src", "tgt"))
 
 
-@query(f"with {PAIRS}, g as (select term, dst from found qualify row_number() over (partition by term order by conv_id desc, turn desc, role desc, text desc) = 1) select string_agg('  - ' || term || ' → ' || dst, chr(10) order by term) block from g")
-def glossary_block(s, d):
-    return S.glossary_block(glossary_terms(s, d))
-
-
 @query(f"""with {PAIRS}, tags as (select conv_id, ['top-left','middle-center','bottom-right'][(conv_id+1)%3+1] tag from (select distinct conv_id from conversations)),
 p as (select conv_id, term, arg_max(dst, ord) dst from found group by all), k as (select *, case when contains(tag, 'left') then 'left' when contains(tag, 'right') then 'right' end side from p join tags using (conv_id))
 select term as name, arg_min(dst, conv_id) name_target, min(conv_id) first_seen_page, count(*) occurrences, coalesce(arg_min(side, conv_id) filter (where side is not null), 'unknown') side_hint from k group by 1""")
