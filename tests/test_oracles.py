@@ -2,7 +2,7 @@
 
 import pytest
 
-from pageweave.plans import chain, fitting, registry, runtime, typesetting  # noqa: F401
+from pageweave.plans import chain, fitting, interiors, registry, runtime, typesetting  # noqa: F401
 from tests.oracle import SF, same
 
 
