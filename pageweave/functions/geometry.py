@@ -68,3 +68,13 @@ def tile(x1: Column, y1: Column, x2: Column, y2: Column, w: int, h: int, pad: fl
 
 def feather(area_px: Column) -> Column:
     return F.when(area_px < 500, 7).when(area_px < 2000, 11).when(area_px < 8000, 15).otherwise(21)
+
+
+#: Pixels around a region that recognition reads, and around a sample for the language.
+CROP_PAD, SAMPLE_PAD = 2, 4
+
+
+def padded_box(x1: Column, y1: Column, x2: Column, y2: Column, w: int, h: int, pad: int = CROP_PAD) -> Column:
+    """The box with a margin, cut at the page; null where nothing of the page is in it."""
+    cut = F.struct(F.greatest(F.lit(0), x1 - pad).alias("x1"), F.greatest(F.lit(0), y1 - pad).alias("y1"), F.least(F.lit(w), x2 + pad).alias("x2"), F.least(F.lit(h), y2 + pad).alias("y2"))
+    return F.when((cut["x2"] > cut["x1"]) & (cut["y2"] > cut["y1"]), cut)

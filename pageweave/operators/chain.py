@@ -60,3 +60,26 @@ def paired(ocr: DataFrame, translations: DataFrame) -> DataFrame:
     rows = ocr.withColumn("place", F.row_number().over(place) - 1).join(translations.select("page_id", "place", F.col("text").alias("new")), ["page_id", "place"], "left")
     old = F.col("translated") if "translated" in ocr.columns else F.lit(None).cast("string")
     return rows.withColumn("translated", F.when(F.coalesce("new", F.lit("")) != "", F.col("new")).otherwise(old)).drop("place", "new")
+
+
+#: Pages that are numbered in one portion.
+SPAN = 1 << 16
+
+
+def page_numbers(asked: DataFrame) -> DataFrame:
+    """page_id and page_idx, from 1, of the pages of requests in order of page_id: pages that ask for nothing aren't counted.
+
+    Pages are numbered within portions; the counts of portions, one row each, are added up.
+    """
+    pages = asked.select("page_id").distinct().withColumn("portion", F.floor(F.col("page_id") / SPAN))
+    counts = pages.groupBy("portion").agg(F.count("*").alias("n"))
+    before = counts.select("portion", F.coalesce(F.sum("n").over(W.orderBy("portion").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = pages.withColumn("own", F.row_number().over(W.partitionBy("portion").orderBy("page_id")))
+    return own.join(before, "portion").select("page_id", (F.col("before") + F.col("own")).alias("page_idx"))
+
+
+def delivered(originals: DataFrame, results: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``originals`` (name, path) with the path of their result (name, path) in ``out``, and whether it is the original itself, for want of a result."""
+    keys = keys or ["name"]
+    found = results.groupBy(*keys).agg(F.min("path").alias("result"))
+    return originals.join(found, keys, "left").select(*keys, F.coalesce("result", "path").alias("out"), F.col("result").isNull().alias("is_original"))

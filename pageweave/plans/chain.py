@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from pageweave.functions import geometry as G
 from pageweave.functions import text as T
+from pageweave.operators import blocks as B
 from pageweave.operators import chain as C
 from pageweave.operators import state as S
 from pageweave.plans import registry as R
@@ -108,3 +110,26 @@ select name, page_id, min(page_id) over w first_seen_page, (row_number() over w)
 def memory_as_of(s, d):
     """What was known of a name after each page."""
     return S.memory_as_of(S.mentions(R._pairs(s, d)))
+
+
+@query(f"with {TALK}, {ASKED} select page_id, row_number() over (order by page_id) page_idx from (select distinct page_id from asked)")
+def page_numbers(s, d):
+    return C.page_numbers(C.requests(_talk(s, d), W, H))
+
+
+@query(f"with {R.TASKS} select t.page_id, coalesce(r.path, t.input_path) as out, r.path is null is_original from tasks t left join outputs r on r.path = t.output_path")
+def delivered_pages(s, d):
+    """Pages of an archive as they are given back: their result, or the original where there is none."""
+    tasks = R._tasks(s, d).select("page_id", F.col("output_path").alias("name"), F.col("input_path").alias("path"))
+    pages = C.delivered(tasks.select("name", "path"), R._outputs(s, d).select(F.col("path").alias("name"), "path"))
+    return tasks.select("page_id", "name").join(pages, "name").select("page_id", "out", "is_original")
+
+
+@query(f"""with {R.BLOCKS}, k as (select *, (x2-x1)::bigint*(y2-y1) area, (doc_id%7)/7.0::double score from blocks), r as (select * from k qualify row_number() over (partition by page_id order by area desc, score desc, block_idx) <= 4)
+select page_id, block_idx, greatest(0, x1-4)::int x1, greatest(0, y1-4)::int y1, least({W}, x2+4)::int x2, least({H}, y2+4)::int y2 from r""")
+def language_samples(s, d):
+    """The regions of a page that its language is told from, with their margin."""
+    rows = D.blocks(s, d).withColumn("score", F.expr("(doc_id % 7) / 7.0D"))
+    best = B.largest(rows).select("page_id", "block_idx")
+    box = G.padded_box(*[F.col(c) for c in B.BOX], W, H, G.SAMPLE_PAD)
+    return rows.join(best, ["page_id", "block_idx"]).select("page_id", "block_idx", box.alias("b")).where("b is not null").select("page_id", "block_idx", "b.*")

@@ -440,10 +440,16 @@ def _scores(s, d):
 
 @query(f"with {SCORES} select page_id, code, score from sc")
 def language_score(s, d):
-    return _scores(s, d)
+    return _scores(s, d).select("page_id", "code", "score")
 
 
-@query(f"with {SCORES}, b as (select *, count(*) filter (where score >= 0.2) over (partition by page_id) n from sc qualify row_number() over (partition by page_id order by score desc, ord) = 1) select page_id, case when score < 0.2 then 'en' else code end lang, score, n >= 2 mixed from b")
+_CODE = "case when score < 0.2 then 'en' else code end"
+_BY_CODE = f"""map {{'ja': 'Japanese', 'ko': 'Korean', 'zh_sim': 'Chinese Simplified', 'zh_tra': 'Chinese Traditional', 'en': 'English', 'vi': 'Vietnamese'}}[{_CODE}] as name,
+map {{'ja': ['ja', 'en'], 'ko': ['ko', 'en'], 'zh_sim': ['ch_sim', 'en'], 'zh_tra': ['ch_tra', 'en'], 'en': ['en'], 'vi': ['vi', 'en']}}[{_CODE}] langs,
+map {{'ja': 'hiragana+kanji', 'ko': 'hangul', 'zh_sim': 'hanzi', 'zh_tra': 'hanzi', 'en': 'latin', 'vi': 'latin+diacritic'}}[{_CODE}] primary_script,"""
+
+
+@query(f"with {SCORES}, b as (select *, count(*) filter (where score >= 0.2) over (partition by page_id) n from sc qualify row_number() over (partition by page_id order by score desc, ord) = 1) select page_id, case when score < 0.2 then 'en' else code end lang, {_BY_CODE} case when score < 0.2 then 0 else score end::double score, n >= 2 mixed from b")
 def language_detect(s, d):
     return L.detect(_scores(s, d))
 

@@ -99,8 +99,14 @@ def test_language_of_a_page(spark):
     crops = [(1, 0, "ja", 0.5, "こんにちは。"), (1, 0, "zh_sim", 0.9, "漢こ。"), (1, 0, "ko", None, "안녕"), (2, 0, "en", 0.1, "a"), (3, 0, "ko", 0.4, "안"), (3, 1, "ko", 0.6, "안"), (3, 0, "vi", 0.5, "ế"), (4, 0, "en", 0.3, None)]
     scores = L.candidate_scores(spark.createDataFrame(crops, "page_id long, crop_no int, code string, conf double, text string"), spark.createDataFrame([(1, True)], "page_id long, is_vertical boolean"))
     got = {(r["page_id"], r["code"]): r["score"] for r in scores.collect()}
+    en = ["en"]
     assert got == {(1, "ja"): round(0.5 * 1.25 * 1.15 * 1.1, 9), (1, "zh_sim"): round(0.9 * 1.25 * 1.1 * 0.6, 9), (2, "en"): 0.125, (3, "ko"): 0.625, (3, "vi"): 0.625, (4, "en"): 0.3}
-    assert sorted(map(tuple, L.detect(scores).collect())) == [(1, "ja", 0.790625, True), (2, "en", 0.125, False), (3, "ko", 0.625, True), (4, "en", 0.3, False)]
+    assert sorted(map(tuple, L.detect(scores).collect())) == [
+        (1, "ja", "Japanese", ["ja", *en], 0.790625, True, "hiragana+kanji"), (2, "en", "English", en, 0.0, False, "latin"), (3, "ko", "Korean", ["ko", *en], 0.625, True, "hangul"), (4, "en", "English", en, 0.3, False, "latin"),
+    ]
+    kana = spark.createDataFrame([(1, 0, "ja", 0.5, "カナ"), (1, 0, "vi", 0.4, "か")], "page_id long, crop_no int, code string, conf double, text string")
+    told = L.detect(L.candidate_scores(kana, spark.createDataFrame([], "page_id long, is_vertical boolean"))).first()
+    assert (told.lang, told.primary_script) == ("ja", "katakana+kanji")
 
 
 def test_blocks_without_recognised_text(spark):
