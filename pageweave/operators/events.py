@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pageweave.functions import text as T
+from pageweave.operators.quantiles import exact_percentile
 
 # Stages in order with their timeouts in seconds, and the timeout of any other; attempts after the first; memory retries of a page.
 STAGE_TIMEOUTS = {"load": 120, "detect": 120, "lang_detect": 60, "ocr": 300, "sfx": 120, "translate": 180, "preserve_clean": 60, "inpaint": 180, "render": 60, "save_json": 60, "save_png": 60}
 STAGES = list(STAGE_TIMEOUTS)
 OTHER_TIMEOUT, STAGE_RETRIES, MEMORY_RETRIES = 120, 2, 3
 
+
 def stage_metrics(events: DataFrame) -> DataFrame:
     """Per stage: outcomes and latency of ended attempts."""
-    ended = F.when(F.col("event") == "stage_end", F.col("latency_ms"))
-    return events.groupBy("stage").agg(F.count_if(F.col("event") == "stage_end").alias("n_ok"), F.count_if(F.col("event") == "stage_error").alias("n_err"), F.percentile(ended, 0.99).alias("p99_ms"))
+    counted = events.groupBy("stage").agg(F.count_if(F.col("event") == "stage_end").alias("n_ok"), F.count_if(F.col("event") == "stage_error").alias("n_err"))
+    late = exact_percentile(events.where("event = 'stage_end'"), ["stage"], "latency_ms", 0.99, "p99_ms")
+    return counted.join(late, "stage", "left")
 
 
 def page_outcomes(events: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from pageweave.operators.quantiles import exact_percentile
+
 BOX = ("x1", "y1", "x2", "y2")
 
 
@@ -61,7 +63,7 @@ def fill_kind(rim: DataFrame) -> DataFrame:
     """
     c = lambda a, b: F.covar_pop(a, b)
     m = rim.groupBy("page_id").agg(
-        F.count("light").alias("n"), F.stddev_pop("light").alias("std"), F.percentile("light", F.lit(0.5)).alias("median"),
+        F.count("light").alias("n"), F.stddev_pop("light").alias("std"),
         c("x", "x").alias("xx"), c("y", "y").alias("yy"), c("x", "y").alias("xy"), c("x", "light").alias("xl"), c("y", "light").alias("yl"),
     )
     det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
@@ -69,7 +71,7 @@ def fill_kind(rim: DataFrame) -> DataFrame:
     one = F.greatest(F.when(F.col("xx") > 0, F.col("xl") * F.col("xl") / F.col("xx")), F.when(F.col("yy") > 0, F.col("yl") * F.col("yl") / F.col("yy")), F.lit(0.0))
     left = F.sqrt(F.greatest(F.col("std") * F.col("std") - F.when(det > 1e-9, both).otherwise(one), F.lit(0.0)))
     kind = F.when(F.col("n") < 20, "TEXTURE").when(F.col("std") < 8, "SOLID").when(left < 6, "GRADIENT").otherwise("TEXTURE")
-    return m.select("page_id", "n", kind.alias("kind"), F.when(kind != "TEXTURE", F.col("median")).alias("median"))
+    return m.select("page_id", "n", kind.alias("kind")).join(exact_percentile(rim, ["page_id"], "light", 0.5, "median"), "page_id", "left").withColumn("median", F.when(F.col("kind") != "TEXTURE", F.col("median")))
 
 
 def _parts(rows: pd.DataFrame, gap: int, low: str = "y1") -> Iterator[pd.DataFrame]:

@@ -242,3 +242,25 @@ def test_subtype_of_interjections(spark, text, cls, role, kind):
     read = spark.createDataFrame([(1, 0, text, 0.9, False)], "page_id long, block_idx int, text string, ocr_conf double, ocr_failed boolean")
     r = B.roles(block, read, 900, 1300).first()
     assert (r.role, r.sfx_subtype) == (role, kind)
+
+
+def test_exact_percentiles(spark):
+    import random
+
+    import numpy as np
+
+    from pageweave.operators.quantiles import exact_percentile
+
+    rnd = random.Random(1)
+    groups = {"one": [5.0], "two": [1.0, 2.0], "same": [3.0] * 40, "far": [1e308, -1e308, 0.0], "tail": [0.0] * 500 + [1e9, 2e9], "ties": [float(rnd.randrange(4)) for _ in range(333)], "many": [rnd.gauss(0, 1) for _ in range(5000)]}
+    rows = [(g, x) for g, xs in groups.items() for x in xs] + [("one", None), ("none", None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(4)
+    for share in (0.0, 0.5, 0.99, 1.0):
+        got = {r.g: r.q for r in exact_percentile(df, ["g"], "x", share, "q").collect()}
+        assert set(got) - {None} == set(groups)
+        for g, xs in groups.items():
+            s = sorted(xs)
+            at = (len(s) - 1) * share
+            a, b = s[int(at)], s[min(int(at) + 1, len(s) - 1)]
+            assert got[g] == pytest.approx(a if a == b else (1 - at % 1) * a + at % 1 * b)
+    assert np.isclose(got["many"], max(groups["many"]))
