@@ -155,7 +155,7 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri("s3" + path[3:] if path.startswith(("s3a:", "s3n:")) else path)
 
 
-def _writer(root: str):
+def _writer(root: str, roll_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         disk, base = _opened(root)
         disk.create_dir(base, recursive=True)
@@ -172,11 +172,11 @@ def _writer(root: str):
                         samples += [x[2]] if x[4] is None and x[2] and (total <= TRAIN_BYTES or not samples) else []
                     data = dictionary([s[:TRAIN_BYTES] for s in samples])
                     packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(data), write_checksum=True)
-                    out, n = disk.open_output_stream(path), 0
+                    out, n = disk.open_output_stream(path, compression=None), 0
                     out.write(archive_head(data))
                 out.write(packer.compress(record_bytes(page_id, url, payload, digest, refers, name=f"{path}#{n}")))
                 n += 1
-                if out.tell() > ROLL_BYTES:
+                if out.tell() > roll_bytes:
                     made.append((path, n, out.tell()))
                     out.close()
                     out = None
@@ -198,7 +198,7 @@ def _reader(with_payload: bool):
             for path, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 disk, name = _opened(path)
                 rows, held, seen = [], 0, 0
-                with disk.open_input_stream(name) as stream:
+                with disk.open_input_stream(name, compression=None) as stream:
                     for r in read_archive(stream):
                         if not with_payload:
                             r["payload"] = None
@@ -214,8 +214,8 @@ def _reader(with_payload: bool):
     return run
 
 
-def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", folder: str | None = None) -> DataFrame:
-    """Writes one or more archives a partition and returns the manifest (path, records, bytes)."""
+def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", folder: str | None = None, roll_bytes: int = ROLL_BYTES) -> DataFrame:
+    """Writes one or more archives a partition, a new one beyond ``roll_bytes``, and returns the manifest (path, records, bytes)."""
     spark = pages.sparkSession
     digest = F.sha2(F.coalesce(F.col(payload), F.lit("")), 256)
     rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(payload).cast("string").alias("html"), digest.alias("digest"))
@@ -224,7 +224,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     marked = rows.join(shared, "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
     root = folder or shared_dir(spark, "warc")
-    return written(marked.mapInArrow(_writer(root), MANIFEST), "warc-manifest")
+    return written(marked.mapInArrow(_writer(root, roll_bytes), MANIFEST), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
