@@ -48,18 +48,24 @@ def strip(text: Column) -> Column:
 
 
 def script_profile(text: Column) -> Column:
-    """Struct of the primary script, letters, punct, digits, is_short_sfx, counts by script and nine flags: white space, digits, punctuation, then the first script range."""
-    bare = F.regexp_replace(_text(text), f"[{SPACE}]", "")
-    return let(bare, lambda b: let(F.regexp_replace(b, f"[{DIGIT}]", ""), lambda rest: let(F.regexp_replace(rest, f"[{LOW}]", ""), lambda letters: _profile(b, rest, letters))))
+    """Struct of the primary script, letters, punct, digits, is_short_sfx, counts by script and nine flags: white space, digits, punctuation, then the first script range.
 
+    What is no letter is counted, not cut out; only texts with other than Latin letters are looked at script by script.
+    """
+    punct = f"{LOW}&&[^{SPACE}]&&[^{DIGIT}]"
+    sizes = F.struct(F.length(_text(text)).alias("n"), count(text, SPACE).alias("spaces"), count(text, DIGIT).alias("digits"), count(text, punct).alias("punct"))
+    return let(sizes, lambda n: _profile(_text(text), n["digits"], n["punct"], n["n"] - n["spaces"] - n["digits"] - n["punct"]))
 
-def _profile(bare: Column, rest: Column, letters: Column) -> Column:
+
+def _profile(text: Column, digits: Column, punct: Column, n_letters: Column) -> Column:
+    letters = F.regexp_replace(text, f"[{LOW}{SPACE}{DIGIT}]".replace(LOW, f"[{LOW}]"), "")
     # every letter that no range has counts as Latin; texts of Latin letters alone need no other count
     latin = F.greatest(count(letters, SCRIPTS["latin"]), F.regexp_count(letters, F.lit(r"\p{L}")) - F.regexp_count(letters, F.lit(r"[\p{L}&&[぀-ヿㇰ-ㇿ一-鿿㐀-䶿가-힣ᄀ-ᇿ㄰-㆏Ḁ-ỿ]]")))
     others = [k for k in SCRIPTS if k != "latin"]
     mixed = F.struct(*[count(letters, SCRIPTS[k]).alias(k) for k in others], latin.alias("latin"))
-    plain = F.struct(*[F.lit(0).alias(k) for k in others], F.length(letters).alias("latin"))
-    counts = F.when(F.regexp_like(letters, F.lit(f"[^{SCRIPTS['latin']}]")), mixed).otherwise(plain)
+    plain = F.struct(*[F.lit(0).alias(k) for k in others], n_letters.alias("latin"))
+    other = rf"[[\p{{L}}\u3000-\x{{10ffff}}]&&[^{SCRIPTS['latin']}]&&[^{SPACE}]&&[^{DIGIT}]]"
+    counts = F.when(F.regexp_like(text, F.lit(other)), mixed).otherwise(plain)
 
     def verdict(n: Column) -> Column:
         kana = n["hiragana"] + n["katakana"]
@@ -68,10 +74,10 @@ def _profile(bare: Column, rest: Column, letters: Column) -> Column:
             F.when(kana > 0, "ja").when(n["hangul"] > 0, "ko").when(n["kanji"] > 0, "zh").when(n["vietnamese_diacritic"] > 0, "vi").when(n["latin"] > 0, "en").otherwise("unknown")
         )
         primary = F.when((families >= 2) & ~one.isin("ja"), "mixed").otherwise(one)
-        total, punct = kana + n["kanji"] + n["hangul"] + n["vietnamese_diacritic"] + n["latin"], F.length(rest) - F.length(letters)
+        total = kana + n["kanji"] + n["hangul"] + n["vietnamese_diacritic"] + n["latin"]
         return F.struct(
-            primary.alias("primary"), total.alias("letters"), punct.alias("punct"), (F.length(bare) - F.length(rest)).alias("digits"),
-            *[(n[k] > 0).alias(f"has_{k}") for k in SCRIPTS], ((n["kanji"] > 0) & (kana == 0)).alias("has_hanzi_only"), (F.length(bare) > F.length(rest)).alias("has_digit"),
+            primary.alias("primary"), total.alias("letters"), punct.alias("punct"), digits.alias("digits"),
+            *[(n[k] > 0).alias(f"has_{k}") for k in SCRIPTS], ((n["kanji"] > 0) & (kana == 0)).alias("has_hanzi_only"), (digits > 0).alias("has_digit"),
             (punct > 0).alias("has_punct"), F.struct(*[n[k].alias(k) for k in SCRIPTS]).alias("counts"), ((total >= 1) & (total <= 3) & (punct >= 1)).alias("is_short_sfx"),
         )
 
@@ -86,17 +92,22 @@ def has_latin_letters(text: Column) -> Column:
     return count(text, "A-Za-z") >= 2
 
 
+_LETTER = r"\p{L}぀-ヿ"
+
+
 def is_gibberish(text: Column) -> Column:
-    t = strip(text)
+    """Fewer than two visible characters, no letter, or up to four characters of which under two fifths are letters."""
+    t, seen = _text(text), f"[^{SPACE}]"
     visible = F.length(F.regexp_replace(t, f"[{SPACE}]", ""))
-    letters = count(t, r"\p{L}぀-ヿ")
-    return (F.length(t) < 2) | (letters == 0) | ((visible <= 4) & (letters < 0.4 * visible))
+    few = F.when(~F.regexp_like(t, F.lit(f"(?:{seen}[{SPACE}]*+){{5}}")), count(t, _LETTER) < 0.4 * visible).otherwise(False)
+    return ~F.regexp_like(t, F.lit(f"{seen}[{SPACE}]*+{seen}")) | ~F.regexp_like(t, F.lit(f"[{_LETTER}]")) | few
 
 
-def is_gibberish_word(word: Column) -> Column:
-    """The same for a text without white space: letters are counted in short words alone."""
-    n, some = F.length(word), F.regexp_like(word, F.lit(r"[\p{L}぀-ヿ]"))
-    return (n < 2) | ~some | F.when(n <= 4, count(word, r"\p{L}぀-ヿ") < 0.4 * n).otherwise(False)
+def gibberish_words(text: Column) -> Column:
+    """How many of a text's words are gibberish: of one character, without letters, or of three or four with a single letter. One pattern counts them."""
+    seen, other = f"[^{SPACE}]", f"[^{SPACE}{_LETTER}]"
+    shapes = f"{seen}|{other}{{2,}}+|(?={seen}{{3,4}}(?!{seen})){other}*+[{_LETTER}]{other}*+"
+    return F.regexp_count(_text(text), F.lit(f"(?<!{seen})(?:{shapes})(?!{seen})"))
 
 
 def is_real_translation(text: Column) -> Column:
@@ -130,34 +141,52 @@ def names(text: Column) -> Column:
 
 
 def sfx_subtype(text: Column) -> Column:
-    return let(F.regexp_replace(F.lower(strip(text)), r"^[?!.,'\"]+|[?!.,'\"]+$", ""), lambda t: let(F.regexp_replace(t, r"(.)\1+", "$1"), lambda compact: _subtype(text, t, compact)))
-
-
-def _subtype(text: Column, t: Column, compact: Column) -> Column:
-    has = lambda k: F.regexp_like(_text(text), F.lit(f"[{SCRIPTS[k]}]"))
-    return (
-        F.when(t == "", "unknown").when(t.isin(EMOTION) | compact.isin(EMOTION) | F.regexp_like(t, F.lit("^(" + "|".join(EMOTION) + ")")), "emotion")
+    """Sub-type of an effect: by lexicons of its text without marks about it, also with repeated letters as one, else by its script.
+
+    A text of over a dozen runs of letters is no word of a lexicon, whatever its length: only its beginning is looked up.
+    """
+    marks = "?!.,'\""
+    runs = rf"(?s)^[{SPACE}]*+[{marks}]*+(?:(.)\1*+){{13,}}?[^{marks}{SPACE}]"
+    long = (F.length(_text(text)) > 100) & F.regexp_like(F.lower(_text(text)), F.lit(runs))
+    head = F.regexp_extract(F.lower(_text(text)), f"(?s)^[{SPACE}]*+[{marks}]*+(.{{0,12}})", 1)
+    emotion = F.lit("^(" + "|".join(EMOTION) + ")")
+    bare = F.regexp_replace(F.lower(strip(text)), rf"^[{marks}]+|[{marks}]+$", "")
+    short = let(bare, lambda t: let(F.regexp_replace(t, r"(.)\1+", "$1"), lambda compact: (
+        F.when(t == "", "unknown").when(t.isin(EMOTION) | compact.isin(EMOTION) | F.regexp_like(t, emotion), "emotion")
         .when(t.isin(ACTION) | compact.isin(ACTION), "action").when(t.isin(AMBIENT) | compact.isin(AMBIENT), "ambient")
-        .when(has("kanji") & (script_profile(text)["punct"] > 0), "action").when(has("katakana") & ~has("hiragana"), "action").when(has("hiragana"), "ambient").otherwise("unknown")
+    )))
+    told = F.when(long, F.when(F.regexp_like(head, emotion), "emotion")).otherwise(short)
+    has = lambda k: F.regexp_like(_text(text), F.lit(f"[{SCRIPTS[k]}]"))
+    by_script = (
+        F.when(has("kanji") & (script_profile(text)["punct"] > 0), "action").when(has("katakana") & ~has("hiragana"), "action").when(has("hiragana"), "ambient").otherwise("unknown")
     )
+    return F.coalesce(told, by_script)
 
 
 def sfx_role(text: Column, cls: Column, area_share: Column, aspect: Column, conf: Column) -> Column:
-    """Struct of role, confidence and preserve; the first rule that holds decides."""
-    counted, free, huge, large = F.length(_text(text)) > 0, cls == 1, area_share >= 0.025, area_share >= 0.025 * 0.6
+    """Struct of role, confidence and preserve; the first rule that holds decides.
+
+    A text with four letters, one of them Latin, needs no profile: it is neither short nor purely Chinese or Japanese.
+    """
+    t = _text(text)
+    counted, free, huge, large = F.length(t) > 0, cls == 1, area_share >= 0.025, area_share >= 0.025 * 0.6
     is_ = lambda role, conf, keep: F.struct(F.lit(role).alias("role"), F.lit(conf).alias("role_conf"), F.lit(keep).alias("preserve"))
 
-    def decided(p: Column, n: Column) -> Column:
-        pure = p["primary"].isin("ja", "zh") & ~p["has_latin"]
+    def decided(letters: Column, n: Column, pure: Column, punct: Column) -> Column:
         sfx = free & (pure | huge | (large & (n < 4)))
-        short = free & ((n <= 3) | ((p["punct"] > 0) & (p["letters"] <= 3)))
+        short = free & ((n <= 3) | (punct & (letters <= 3)))
         return (
-            F.when(~free & counted & (p["letters"] >= 2), is_("dialogue", 0.85, False)).when(free & (aspect <= 0.6) & (F.length(_text(text)) >= 12), is_("narration", 0.70, False))
-            .when(sfx, is_("sfx", 0.75, True)).when(short, is_("sfx", 0.65, True)).when(~free & (n <= 3) & counted & (p["letters"] >= 1), is_("dialogue", 0.60, False))
+            F.when(~free & counted & (letters >= 2), is_("dialogue", 0.85, False)).when(free & (aspect <= 0.6) & (F.length(t) >= 12), is_("narration", 0.70, False))
+            .when(sfx, is_("sfx", 0.75, True)).when(short, is_("sfx", 0.65, True)).when(~free & (n <= 3) & counted & (letters >= 1), is_("dialogue", 0.60, False))
             .when(free, is_("narration", 0.55, False)).otherwise(is_("dialogue", 0.50, False))
         )
 
-    return let(script_profile(text), lambda p: let(count(strip(text), r"\p{L}぀-ヿ"), lambda n: decided(p, n)))
+    def profiled(p: Column, n: Column) -> Column:
+        return decided(p["letters"], n, p["primary"].isin("ja", "zh") & ~p["has_latin"], p["punct"] > 0)
+
+    many = F.regexp_like(t, F.lit(f"(?:[{_LETTER}][^{_LETTER}]*+){{4}}")) & F.regexp_like(t, F.lit("[A-Za-zÀ-ÖØ-öø-ɏ]"))
+    whole = let(script_profile(text), lambda p: let(count(strip(text), _LETTER), lambda n: profiled(p, n)))
+    return F.when(many, decided(F.lit(4), F.lit(4), F.lit(False), F.lit(False))).otherwise(whole)
 
 
 def is_rate_limit(message: Column) -> Column:

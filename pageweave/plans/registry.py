@@ -200,12 +200,11 @@ GIBBERISH = r"(length(x) < 2 or len(regexp_extract_all(x, '\p{L}')) = 0 or (leng
 @query(
     f"""with t as (select doc_id, {STRIP("text")} t from documents), u as (select doc_id, t, regexp_replace(t, '{SP}', '', 'g') b from t)
 select doc_id, length(t) < 2 or len(regexp_extract_all(b, '\\p{{L}}')) = 0 or (length(b) <= 4 and len(regexp_extract_all(b, '\\p{{L}}')) < 0.4*length(b)) gibberish,
-  len(list_filter(regexp_split_to_array(t, '{SP}+'), lambda x: {GIBBERISH}))::int n_gibberish_words from u"""
+  len(list_filter(regexp_split_to_array(t, '{SP}+'), lambda x: x <> '' and {GIBBERISH}))::int n_gibberish_words from u"""
 )
 def gibberish(s, d):
     """Of the whole text, and of each of its words."""
-    words = F.split(T.strip(F.col("text")), f"[{T.SPACE}]+")
-    return D.table(s, d, "documents").select("doc_id", T.is_gibberish(F.col("text")).alias("gibberish"), F.size(F.filter(words, T.is_gibberish_word)).alias("n_gibberish_words"))
+    return D.table(s, d, "documents").select("doc_id", T.is_gibberish(F.col("text")).alias("gibberish"), T.gibberish_words(F.col("text")).alias("n_gibberish_words"))
 
 
 @query("select encode_key.doc_id, key from (select doc_id, sha256('m1' || chr(0) || 'vi' || chr(0) || text) key from documents) encode_key")

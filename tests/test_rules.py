@@ -264,3 +264,54 @@ def test_exact_percentiles(spark):
             a, b = s[int(at)], s[min(int(at) + 1, len(s) - 1)]
             assert got[g] == pytest.approx(a if a == b else (1 - at % 1) * a + at % 1 * b)
     assert np.isclose(got["many"], max(groups["many"]))
+
+
+def test_gibberish_words(spark):
+    import random
+    import re
+
+    rnd = random.Random(3)
+    texts = [None, "", " ", "a", "ab", "!!", "a!", "1a2", "12a4", "1ab4", "1a2 !b", "　あ1  x\n!?a", "ab cd 123 4 é1 é11 é111 é1111"] + ["".join(rnd.choices("ab1!é あ漢\n\t🙂", k=rnd.randrange(25))) for _ in range(300)]
+    letter = lambda c: c.isalpha() or "぀" <= c <= "ヿ"
+
+    def bad(w):
+        n, k = len(w), sum(map(letter, w))
+        return n < 2 or k == 0 or n <= 4 and k < 0.4 * n
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in df.select("t", T.gibberish_words(F.col("t")).alias("n"), T.is_gibberish(F.col("t")).alias("all")).collect():
+        words = [w for w in re.split(r"\s+", r.t or "") if w]
+        assert r.n == sum(map(bad, words)), r.t
+        stripped = (r.t or "").strip()
+        seen = re.sub(r"\s", "", stripped)
+        k = sum(map(letter, seen))
+        assert r["all"] == (len(stripped) < 2 or k == 0 or len(seen) <= 4 and k < 0.4 * len(seen)), r.t
+
+
+def subtype(text):
+    """The rule on the whole text, without the short cut for long ones."""
+    import re
+
+    t = text.strip().lower().strip("?!.,'\"")
+    compact = re.sub(r"(?s)(.)\1+", r"\1", t)
+    if not t:
+        return "unknown"
+    if t in T.EMOTION or compact in T.EMOTION or t.startswith(tuple(T.EMOTION)):
+        return "emotion"
+    for kind, words in (("action", T.ACTION), ("ambient", T.AMBIENT)):
+        if t in words or compact in words:
+            return kind
+    has = lambda lo, hi: any(lo <= c <= hi for c in text)
+    if has("一", "鿿") and any(c in "!?.,'" for c in text):
+        return "action"
+    if has("゠", "ヿ") and not has("぀", "ゟ"):
+        return "action"
+    return "ambient" if has("぀", "ゟ") else "unknown"
+
+
+def test_subtype_of_long_texts(spark):
+    long = "word " * 90
+    texts = ["ha" * 300, "  ?!HAHA " + long, long + "boom", "b" * 300 + "o" * 300 + "m", "BOOOOOOOOM" + "!?" * 200, "?!" * 200 + "Ssssnaaaap", "ti" + "c" * 400 + "k.", long + "漢!", long + "漢", long + "カ", long + "カな", "Aa" * 400 + "h", "aAaA" * 100 + "h?", "?!" * 200, "ab" * 200]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.k for r in df.select("t", T.sfx_subtype(F.col("t")).alias("k")).collect()}
+    assert got == {t: subtype(t) for t in texts} and set(got.values()) == {"emotion", "action", "ambient", "unknown"}
