@@ -54,6 +54,76 @@ class Pieces:
                 node = node.setdefault(c, {})
             node[""] = i
         self.unknown = len(self.names)  # a character that no piece covers
+        self._table()
+
+    def _table(self) -> None:
+        """The tree in arrays: a number for each of its characters, and steps from node to node in a table of open addressing."""
+        self.char, self.piece, steps, waiting = np.zeros(0x110000, "u2"), [-1], {}, [(0, self.tree)]
+        for i, c in enumerate(sorted(set().union(*self.names)), 1):
+            self.char[ord(c)] = i
+        for at, node in waiting:  # grows as it is read
+            for c, child in node.items():
+                if c:
+                    steps[at << 16 | int(self.char[ord(c)])] = len(self.piece)
+                    waiting.append((len(self.piece), child))
+                    self.piece.append(child.get("", -1))
+        self.piece = np.array(self.piece, "i8")
+        bits = max(4, (4 * len(steps)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.next = np.full(1 << bits, -1, "i8"), np.full(1 << bits, -1, "i8")
+        keys, to = np.fromiter(steps, "i8", len(steps)), np.fromiter(steps.values(), "i8", len(steps))
+        at = self._slot(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]  # of those that meet in a slot the last stays
+            mine = self.keys[at] == keys
+            self.next[at[mine]] = to[mine]
+            keys, to, at = keys[~mine], to[~mine], (at[~mine] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view("u8") * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view("i8")
+
+    def _step(self, nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The nodes that follow; -1 where there is none."""
+        keys = nodes << 16 | chars
+        at = self._slot(keys)
+        held, out = self.keys[at], self.next[at]
+        left = np.flatnonzero(held != keys)
+        out[left] = -1
+        left = left[held[left] >= 0]
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            held = self.keys[at[left]]
+            hit = held == keys[left]
+            out[left[hit]] = self.next[at[left[hit]]]
+            left = left[~hit & (held >= 0)]
+        return out
+
+    def arcs_of(self, words: list[str]) -> np.ndarray:
+        """The arcs of many words, packed: end, word, start, piece. All positions go down the tree together, a character a step."""
+        if not words:
+            return np.empty(0, "i8")
+        chars = self.char[np.frombuffer(("▁" + "▁".join(words)).encode("utf-32-le"), "<u4")].astype("i8")
+        lengths = np.fromiter(map(len, words), "i8", len(words)) + 1
+        ends = np.cumsum(lengths)
+        word = np.repeat(np.arange(len(words)), lengths)
+        place, left = np.arange(len(chars)) - (ends - lengths)[word], ends[word] - np.arange(len(chars))
+        at, node, depth, covered, out = np.arange(len(chars)), np.zeros(len(chars), "i8"), 0, np.zeros(len(chars), bool), []
+        while len(at):
+            node = self._step(node, chars[at + depth])
+            on = node >= 0
+            at, node, depth = at[on], node[on], depth + 1
+            piece = self.piece[node]
+            has = piece >= 0
+            some = at[has]
+            out.append(place[some] + depth << 48 | word[some] << 24 | place[some] << 16 | piece[has])
+            if depth == 1:
+                covered[some] = True
+            on = left[at] > depth
+            at, node = at[on], node[on]
+        bare = np.flatnonzero(~covered)
+        out.append(place[bare] + 1 << 48 | word[bare] << 24 | place[bare] << 16 | self.unknown)
+        return np.concatenate(out)
 
     def arcs(self, word: str) -> Iterator[tuple[int, int, int]]:
         """(start, end, piece) over the marked word; every character has an arc."""
@@ -80,8 +150,7 @@ class Lattice:
     """The arcs of a batch of words of at most FAST letters, in order of their ends."""
 
     def __init__(self, pieces: Pieces, words: list[str]):
-        codes = [e << 48 | w << 24 | s << 16 | p for w, word in enumerate(words) for s, e, p in pieces.arcs(word)]
-        a = np.sort(np.array(codes, "i8"))
+        a = np.sort(pieces.arcs_of(words))
         self.end, self.word, self.start, self.piece = a >> 48, a >> 24 & 0xFFFFFF, a >> 16 & 0xFF, a & 0xFFFF
         self.n, self.length = len(words), np.array([len(w) + 1 for w in words])
         self.steps = np.searchsorted(self.end, np.arange(1, FAST + 3))

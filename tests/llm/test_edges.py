@@ -206,3 +206,13 @@ def test_copies_of_a_mix_follow_from_the_fold(spark):
             open_.append(((r.key.hash, r.key.id), r.source, float(r["size"] * r.m), share - math.floor(share), n[r.source]))
     up = fold(open_, 0)
     assert {r.key: r.copies for r in rows} == {r.key: (math.floor(due[r.key]) + up.get((r.key.hash, r.key.id), False)) if r["size"] > 0 else 0 for r in rows}
+
+
+def test_arcs_of_many_words_are_those_of_each():
+    pieces = language_pieces.shared_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    rnd = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyzéüßñçжш漢あ𐐨ªǆ")
+    words = ["".join(rnd.choice(letters, int(rnd.integers(1, 30)))) for _ in range(2000)] + ["a", "tion", "informationen", "x" * 40, "ß"] + [n.removeprefix("▁") for n in pieces.names[:3000] if n != "▁"]
+    want = sorted(e << 48 | w << 24 | s << 16 | p for w, word in enumerate(words) for s, e, p in pieces.arcs(word))
+    assert np.sort(pieces.arcs_of(words)).tolist() == want
+    assert pieces.arcs_of([]).tolist() == []
