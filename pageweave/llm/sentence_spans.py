@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table, written
+from .common import fresh, shared_dir, table, temporary, written
 
 @dataclass(frozen=True)
 class Least:
@@ -156,12 +156,16 @@ def _of_both(text: str, least: Least = LEAST) -> list[int]:
 
 def repeated(docs: DataFrame, own: Callable[[str, Least], list[int]] = _of_spans, least: Least = LEAST) -> DataFrame:
     """doc_id and later: the hashes of the spans (``own`` gives a text's, each once) that a document with a smaller id has too."""
-    # written once: the narrow spans are counted, and those that are repeated are looked up again
-    found = written(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_hashed(partial(own, least=least)), "doc_id long, span long"), "spans")
-    counted = found.groupBy("span").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("span", "first")
-    shared = written(counted, "shared-spans")
-    later = found.join(shared, "span").where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id").agg(F.collect_set("span").alias("later"))
+    spark, path = docs.sparkSession, shared_dir(docs.sparkSession, "later")
+    with temporary(spark):
+        # written once: the narrow spans are counted, and those that are repeated are looked up again; they go when that is written
+        found = written(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_hashed(partial(own, least=least)), "doc_id long, span long"), "spans")
+        counted = found.groupBy("span").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("span", "first")
+        shared = written(counted, "shared-spans")
+        later = found.join(shared, "span").where(~F.col("doc_id").eqNullSafe(F.col("first")))
+        out = later.groupBy("doc_id").agg(F.collect_set("span").alias("later"))
+        out.write.parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
 
 
 FIELDS = [("kept", pa.string()), ("n_sentences", pa.int64()), ("n_removed", pa.int64())]
