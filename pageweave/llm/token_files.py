@@ -6,12 +6,11 @@ delta packing where it doesn't pay; row groups and pages are small enough that p
 tokens of a few documents, or the metadata alone, without the rest. Each row knows its place within its file, the
 files' sums (one row a file) turn that into its place in the whole corpus.
 
-Encoding splits a text at single spaces between non-blank characters, where every pre-token of this vocabulary ends. Arrow splits the texts of a
-slice and numbers their different pieces, so Python sees each piece once a slice and the lists of ids are put together by number. The
-tokenizers library encodes the pieces that a worker hasn't kept. A piece that is a word of Latin letters, two of them at a line end, or such
-with marks after, is known to fall into these pre-tokens, so the library's model gets them as they are; the others go through the whole
-library, many in one call: each begins with a space, so its ids begin with the only token that does. Kept pieces are bounded in bytes. Texts
-with more than single spaces between pieces are split one by one, long texts in parts of about a million characters.
+Arrow parts the texts of a slice into the vocabulary's pre-tokens and numbers the different ones, so Python sees each once a slice and the lists of
+ids are put together by number. The tokenizers library's model encodes the pre-tokens that a worker hasn't kept; what is kept is bounded in bytes. That holds
+for texts of Latin letters and marks with single blanks. Others, and long ones in parts of about a million characters, are split at single spaces between
+non-blank characters, where every pre-token ends, and the whole library encodes their pieces, many in one call: each begins with a space, so its ids begin with
+the only token that does; pieces that are a word of Latin letters, two of them at a line end, or such with marks after, go to its model as they are.
 
 Defined results: a null text is empty and has the end id alone; texts of any length are one row, encoded whole; ties of doc_id are ordered
 by text; a null doc_id comes first; repeated rows are written each; an empty table gives an empty result; other columns are ignored.
@@ -42,8 +41,10 @@ ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
 SCHEMA = "doc_id long, tokens array<int>, n_tokens long, local_start long"
 _OTHER_SPACE = [c for c in map(chr, range(1, 0x3001)) if c != " " and re.match(r"\s", c)]
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
-#: In Arrow's syntax: texts with a space elsewhere than alone between two characters that aren't blank.
-_UNEVEN = "^ | $|  | [{0}]|[{0}] ".format("".join(rf"\x{{{ord(c):x}}}" for c in _OTHER_SPACE))
+#: In Arrow's syntax: characters other than Latin letters and marks, the mark of cuts among them, and blanks but single spaces and line ends within a text.
+_ODD = r"[^\n\x20-\x7e\x{a1}-\x{17f}\x{2010}-\x{2027}]| $|  |\n\n| \n|\n "
+#: In other texts, where no blank follows another, the vocabulary's pre-tokens that aren't letters; those of letters lie between them, and begin with every other space.
+_NO_LETTERS = r"'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^ \n\p{L}\p{N}]+|\n"
 #: Letters of Latin-1, and the marks of ASCII but the apostrophe: a run of either is a pre-token.
 _LETTERS, _MARKS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 _WORD = re.compile(rf"( ?)([{_LETTERS}]+)([{_MARKS}]*)(?:\n([{_LETTERS}]+)([{_MARKS}]*))?")
@@ -67,7 +68,10 @@ class Encoder:
         self.model = self.library.model.tokenize
         self.letters = [c for _, c in sorted(byte_letters().items())]
         self.marks = {m: array("I", self.library.encode(m, add_special_tokens=False).ids).tobytes() for m in ("", "\n")}
-        self.kept = Kept(self._learn, KEPT_BYTES)
+        self.spelling = {b: c for b, c in byte_letters().items() if b}
+        self.odd = "|".join([_ODD, *map(re.escape, self.special)])
+        self.words = Kept(self._learn_words, KEPT_BYTES)
+        self.kept = Kept(self._learn, KEPT_BYTES // 4)
 
     def _pieces(self, part: str, goes_on: bool) -> list[str]:
         """Pieces that follow a space and hold none, without it; others as they stand with a space before to tell them apart."""
@@ -150,31 +154,34 @@ class Encoder:
             at = to
         return b"".join(out)
 
+    def _learn_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens by the library's model; all are spelled in its letters at once."""
+        spelled = "\0".join(words).encode("utf-8").decode("latin-1").translate(self.spelling).split("\0")
+        model = self.model
+        return {w: array("I", [t.id for t in model(s)]).tobytes() for w, s in zip(words, spelled, strict=True)}
+
     def lists(self, texts: pa.Array, tail: bytes = b"") -> pa.ListArray:
         """The ids of each text, ``tail`` after them."""
         texts = pc.fill_null(texts, "")
-        even = pc.and_(pc.invert(pc.match_substring_regex(texts, _UNEVEN)), pc.less_equal(pc.utf8_length(texts), PART))
-        parts = pc.split_pattern(pc.if_else(even, texts, ""), " ")
+        even = pc.and_(pc.invert(pc.match_substring_regex(texts, self.odd)), pc.less_equal(pc.utf8_length(texts), PART))
+        # a mark wherever a pre-token begins; where two meet the piece between is empty
+        parts = pc.split_pattern(pc.replace_substring(pc.replace_substring_regex(pc.if_else(even, texts, ""), _NO_LETTERS, "\0\\0\0"), " ", "\0 "), "\0")
         ends = np.cumsum(pc.list_value_length(parts).to_numpy(), dtype="i8")
-        starts, pieces = np.concatenate([[0], ends[:-1]]), parts.flatten()
-        inner = np.ones(len(pieces), bool)
-        inner[starts] = False
-        numbered = pieces.filter(pa.array(inner)).dictionary_encode()
-        heads = self.kept.each([" " + p for p in pieces.take(pa.array(starts)).to_pylist()])
-        for i in np.flatnonzero(~even.to_numpy(zero_copy_only=False)):
-            heads[i] = self._long(texts[int(i)].as_py())
-        # no piece holds a space, and one string of all is cheaper to take from Arrow than each
-        different = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(numbered.dictionary)], pa.int32()), numbered.dictionary), " ")[0].as_py()
-        ids = [*self.kept.each(different.split(" ") if different else []), *heads, tail]
+        numbered = parts.flatten().dictionary_encode()
+        # no piece holds the mark, and one string of all is cheaper to take from Arrow than each
+        different = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(numbered.dictionary)], pa.int32()), numbered.dictionary), "\0")[0].as_py()
+        number, strange = numbered.indices.to_numpy(), np.flatnonzero(~even.to_numpy(zero_copy_only=False))
+        ids = self.words.each(different.split("\0")) if len(numbered.dictionary) else []
+        if len(strange):  # their one piece is empty so far
+            number = number.copy()
+            number[ends[strange] - 1] = len(ids) + np.arange(len(strange))
+        ids = [*ids, *(self._long(texts[int(i)].as_py()) for i in strange), tail]
         sizes = np.fromiter(map(len, ids), "i8", len(ids)) // 4
-        # the number of each piece in order: pieces after a space, first pieces or whole texts, the tail
+        # the number of each piece in order, and after those of a text the tail's
         tails = ends + np.arange(len(ends))
-        place = np.ones(len(pieces) + len(ends), bool)
-        place[tails] = False
-        order, number = np.full(len(place), len(ids) - 1, "i4"), np.empty(len(pieces), "i4")
-        number[inner] = numbered.indices.to_numpy()
-        number[starts] = len(numbered.dictionary) + np.arange(len(ends))
-        order[place] = number
+        order, inside = np.full(len(number) + len(ends), len(ids) - 1, "i4"), np.ones(len(number) + len(ends), bool)
+        inside[tails] = False
+        order[inside] = number
         of = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("i4")), pa.array(np.frombuffer(b"".join(ids), "<i4")))
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[order])[tails]]).astype("i4")), of.take(pa.array(order)).flatten())
 
