@@ -15,7 +15,7 @@ document of the range after it, and tasks stream their sorted ranges.
 
 Defined results: a null text is empty, and an empty text has the empty fingerprint (likeness 1 to itself, 0 to others); a text
 of under 64 bytes is one window, padded with zero bytes; rows of equal doc_id are ordered by text, null ids come last;
-the only document of a table is its own neighbour; an empty table gives an empty result; other columns are ignored.
+rows of one id, and those without, are one range, which one task streams in constant memory; the only document of a table is its own neighbour; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

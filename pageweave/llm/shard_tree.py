@@ -87,21 +87,19 @@ def place(key: Column, leaves: list[Leaf]) -> Column:
     return F.element_at(F.transform(F.array(_draw(key, F.lit("r"), _children(list(sums["region"].items())))), below), 1)
 
 
-def _bucket(key: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null"))), 14, 8), 16, 10).cast("bigint") % SLOT_BUCKETS
-
-
 def assign(docs: DataFrame, leaves: list[Leaf], after: list[Leaf] | None = None, key: str = "doc_id") -> DataFrame:
     """doc_id, size, text_crc32, shard, slot and grown_shard (that of the tree ``after``, else null).
 
     Slots number a shard's rows from 0 without gaps: rows are ranked in 1024 hash buckets of each shard, whose
-    counts (at most 1024 a shard, so of bounded size) give each bucket its first slot.
+    counts (at most 1024 a shard, so of bounded size) give each bucket its first slot. Buckets go by key, checksum and size, so rows of one key, or without any,
+    are dealt to many; only rows that are equal in all three meet.
     """
     k, data = F.col(key), F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     placed = docs.select(
         k.alias("doc_id"), (F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("bigint") + 1).alias("size"), F.crc32(data).alias("text_crc32"),
-        place(k, leaves)["shard"].alias("shard"), (place(k, after)["shard"] if after else F.lit(None).cast("int")).alias("grown_shard"), _bucket(k).alias("bucket"),
+        place(k, leaves)["shard"].alias("shard"), (place(k, after)["shard"] if after else F.lit(None).cast("int")).alias("grown_shard"),
     )
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(SLOT_BUCKETS)))
     placed = written(placed, "placed")  # narrow, and read twice: a key descends once
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)

@@ -13,7 +13,7 @@ non-blank characters, where every pre-token ends, and the whole library encodes
 the only token that does; pieces that are a word of Latin letters, two of them at a line end, or such with marks after, go to its model as they are.
 
 Defined results: a null text is empty and has the end id alone; texts of any length are one row, encoded whole; ties of doc_id are ordered
-by text; a null doc_id comes first; repeated rows are written each; an empty table gives an empty result; other columns are ignored.
+by text; a null doc_id comes first; rows of one id, and those without, are one range, which one task streams in constant memory; repeated rows are written each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from .bpe_stream import byte_letters
 from .common import Kept, shared_dir, slices, table
 
-END, PART, TOGETHER, KEPT_BYTES = 2, 1 << 20, 2_000, 56 << 20
+END, PART, TOGETHER, KEPT_BYTES = 2, 1 << 20, 2_000, 24 << 20
 SLICE_CHARS, SLICE_ROWS = 4 << 20, 4_000
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
 SCHEMA = "doc_id long, tokens array<int>, n_tokens long, local_start long"
