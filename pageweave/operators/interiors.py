@@ -50,11 +50,9 @@ def components(runs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _hits(boxes: DataFrame, points: Column, runs: DataFrame, keys: list[str]) -> DataFrame:
-    """at (the point's place) and label of the points of each box that lie in a run."""
-    placed = boxes.select(*keys, F.posexplode(points).alias("at", "p")).where("p is not null")
-    met = placed.join(runs.where("label > 0"), [placed[k] == runs[k] for k in keys] + [placed["p.y"] == runs["y"], placed["p.x"] >= runs["x_from"], placed["p.x"] < runs["x_to"]])
-    return met.select(*[placed[k] for k in keys], "at", "label")
+def _shuffled(side: DataFrame) -> DataFrame:
+    """A side that grows with the input: the planner's estimate knows neither its rows nor what is exploded from them, so it would be broadcast through the driver."""
+    return side.hint("merge")
 
 
 def _spans(slack: Column | int = 0) -> Column:
@@ -68,12 +66,18 @@ def voted(boxes: DataFrame, runs: DataFrame, page_area: int, keys: list[str], sl
     ``boxes``: keys, the text's box tx1 to ty2 and the region's size w, h. Components are tried by votes, those equal in votes by their first probe; one counts if it spans the text's box,
     isn't too large for the page or too small for the text, and isn't much larger than the text unless it touches the region's border.
     """
-    votes = _hits(boxes, probes(F.col("w"), F.col("h")), runs, keys).groupBy(*keys, "label").agg(F.count("*").alias("votes"), F.min("at").alias("first"))
-    told = votes.join(components(runs, keys), [*keys, "label"]).join(boxes, keys)
+    told = components(runs, keys).join(_shuffled(boxes), keys)
     text = (F.col("tx2") - F.col("tx1")) * (F.col("ty2") - F.col("ty1"))
     touches = (F.col("left") <= 0) | (F.col("top") <= 0) | (F.col("left") + F.col("width") >= F.col("w")) | (F.col("top") + F.col("height") >= F.col("h"))
     fits = _spans(slack) & (F.col("area") <= most * page_area) & (F.col("area") >= text * least) & (touches | (F.col("area") <= F.greatest(text * 12, F.lit(roomy))))
-    return told.where(fits).groupBy(*keys).agg(F.min_by("label", F.struct(-F.col("votes"), "first", "label")).alias("label"))
+    # only what counts has votes taken: its probes, a whole number each, meet its own runs
+    packed = F.transform(probes(F.col("w"), F.col("h")), lambda p: F.shiftleft(p["y"].cast("bigint"), 32) + p["x"])
+    some = told.where(fits).select(*keys, "label", packed.alias("points"))
+    met = runs.where("label > 0").select(*keys, "label", "y", "x_from", "x_to").join(_shuffled(some), [*keys, "label"])
+    row = F.shiftleft(F.col("y").cast("bigint"), 32)
+    hits = met.select(*keys, "label", (row + F.col("x_from")).alias("a"), (row + F.col("x_to")).alias("b"), F.posexplode("points").alias("at", "p")).where("p >= a and p < b")
+    votes = hits.groupBy(*keys, "label").agg(F.count("*").alias("votes"), F.min("at").alias("first"))
+    return votes.groupBy(*keys).agg(F.min_by("label", F.struct(-F.col("votes"), "first", "label")).alias("label"))
 
 
 def interior(boxes: DataFrame, regions: DataFrame, runs: DataFrame, page_runs: DataFrame, page_w: int, page_h: int, most: float = 0.15, **limits: float) -> DataFrame:
@@ -83,15 +87,15 @@ def interior(boxes: DataFrame, regions: DataFrame, runs: DataFrame, page_runs: D
     on the page (``page_runs``) whose component spans the box and isn't too large decides, with a null attempt. Boxes without interior have no row.
     """
     keys, box = ["page_id", "block_idx", "attempt"], boxes.select("page_id", "block_idx", "x1", "y1", "x2", "y2").where("x2 > x1 and y2 > y1")
-    near = regions.join(box, ["page_id", "block_idx"])
+    near = regions.join(_shuffled(box), ["page_id", "block_idx"])
     near = near.select(*keys, (F.col("x1") - F.col("rx1")).alias("tx1"), (F.col("y1") - F.col("ry1")).alias("ty1"), (F.col("x2") - F.col("rx1")).alias("tx2"), (F.col("y2") - F.col("ry1")).alias("ty2"), (F.col("rx2") - F.col("rx1")).alias("w"), (F.col("ry2") - F.col("ry1")).alias("h"))
     local = voted(near.where("w > 0 and h > 0"), runs, page_w * page_h, keys, most=most, **limits)
     first = local.groupBy("page_id", "block_idx").agg(F.min("attempt").alias("attempt"), F.min_by("label", "attempt").alias("label"))
-    rest = box.join(first, ["page_id", "block_idx"], "left_anti").select("page_id", "block_idx", *[F.col(c).alias(f"t{c}") for c in ("x1", "y1", "x2", "y2")])
+    rest = box.join(_shuffled(first), ["page_id", "block_idx"], "left_anti").select("page_id", "block_idx", *[F.col(c).alias(f"t{c}") for c in ("x1", "y1", "x2", "y2")])
     placed = rest.select("page_id", "block_idx", "tx1", "ty1", "tx2", "ty2", F.posexplode(page_probes(F.lit(page_w), F.lit(page_h))).alias("at", "p"))
     pr = page_runs.where("label > 0")
-    met = placed.join(pr, [placed["page_id"] == pr["page_id"], placed["p.y"] == pr["y"], placed["p.x"] >= pr["x_from"], placed["p.x"] < pr["x_to"]]).select(placed["page_id"], "block_idx", "at", "label", "tx1", "ty1", "tx2", "ty2")
-    whole = met.join(components(page_runs, ["page_id"]), ["page_id", "label"]).where(_spans() & (F.col("area") <= most * page_w * page_h))
+    met = placed.join(_shuffled(pr), [placed["page_id"] == pr["page_id"], placed["p.y"] == pr["y"], placed["p.x"] >= pr["x_from"], placed["p.x"] < pr["x_to"]]).select(placed["page_id"], "block_idx", "at", "label", "tx1", "ty1", "tx2", "ty2")
+    whole = met.join(_shuffled(components(page_runs, ["page_id"])), ["page_id", "label"]).where(_spans() & (F.col("area") <= most * page_w * page_h))
     far = whole.groupBy("page_id", "block_idx").agg(F.min_by("label", F.struct("at", "label")).alias("label"))
     return first.select("page_id", "block_idx", "attempt", "label").unionByName(far.select("page_id", "block_idx", F.lit(None).cast(dict(first.dtypes)["attempt"]).alias("attempt"), "label"))
 

@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 
 from pageweave.operators import interiors as I
+from pageweave.plans.interiors import bubble_interiors
+from tests.oracle import SF
 
 RND = random.Random(6)
 
@@ -102,6 +104,11 @@ def test_votes_and_fallbacks(spark):
     assert none.count() == 0
 
 
+def test_nothing_that_grows_is_broadcast(spark):
+    plan = bubble_interiors(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def peak(light, h, w):
     mean = sum(light) / len(light)
     band = []
