@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -177,22 +181,63 @@ def translatable(roles: DataFrame) -> DataFrame:
     return roles.where((T.strip(F.col("t")) != "") & F.coalesce("should_translate", F.lit(True)) & ~F.coalesce("preserve", F.lit(False)))
 
 
-def scanline_extents(corners: DataFrame, height: int) -> DataFrame:
-    """xmin and xmax of a polygon (page_id, ord, x, y) in each pixel row: of the pieces inside it, the one over its mean x, else the longest.
-
-    Each edge meets only the rows it spans, half open, at their middle; level edges meet none.
+def _crossings(n: np.ndarray, anchor: np.ndarray, x: np.ndarray, y: np.ndarray, height: int) -> tuple[np.ndarray, ...]:
+    """Polygon's place, row, xmin and xmax of some polygons of ``n`` corners each, by polygon and row."""
+    start = np.cumsum(n) - n
+    after = np.arange(1, len(x) + 1)
+    after[start + n - 1] = start
+    page = np.repeat(np.arange(len(n)), n)
+    nx, ny = (np.where(np.isnan(v[after]), v[start][page], v[after]) for v in (x, y))
+    edge = (n[page] >= 3) & (y != ny) & ~np.isnan(y) & ~np.isnan(ny)
+    page, x, y, nx, ny = (v[edge] for v in (page, x, y, nx, ny))
+    a, b, xa, xb = np.minimum(y, ny), np.maximum(y, ny), np.where(y < ny, x, nx), np.where(y < ny, nx, x)
+    first = np.maximum(np.ceil(a - 0.5), 0).astype("i8")
+    spans = np.maximum(np.minimum(np.ceil(b - 0.5) - 1, height - 1).astype("i8") - first + 1, 0)
+    e = np.repeat(np.arange(len(a)), spans)
+    row = first[e] + np.arange(len(e)) - np.repeat(np.cumsum(spans) - spans, spans)
+    at = xa[e] + (row + 0.5 - a[e]) / (b[e] - a[e]) * (xb[e] - xa[e])
+    cell = page[e] * height + row
+    order = np.lexsort((np.where(np.isnan(at), -np.inf, at), cell))
+    at, cell = at[order], cell[order]
+    new = np.flatnonzero(np.diff(cell, prepend=-1))
+    k = np.arange(len(cell)) - np.repeat(new, np.diff(new, append=len(cell)))
+    one = np.flatnonzero((k[:-1] % 2 == 0) & (cell[1:] == cell[:-1]))
+    x_in, x_out, cell, k = at[one], at[one + 1], cell[one], k[one]
+    middle = anchor[cell // height]
+    over, long = (x_in <= middle) & (middle <= x_out), x_out - x_in
+    kept = np.flatnonzero(over | (long > 0))
+    kept = kept[np.lexsort((k[kept], np.where(over, 0.0, -long)[kept], ~over[kept], cell[kept]))]
+    best = kept[np.diff(cell[kept], prepend=-1) != 0]
+    return cell[best] // height, cell[best] % height, np.rint(x_in[best]).astype("i8"), np.rint(x_out[best]).astype("i8")
+
+
+def scanlines(corners: DataFrame, height: int, at_once: int = 1_000_000) -> DataFrame:
+    """page_id and rows (y, xmin, xmax) of a polygon (page_id, ord, x, y): in each pixel row, of the pieces inside it, the one over its mean x, else the longest.
+
+    Each edge meets only the rows it spans, half open, at their middle; level edges meet none. Corners move once; the rows of a polygon are made where its corners are,
+    about ``at_once`` of its edges' rows at a time, and aren't sorted or moved with those of others.
     """
-    w = W.partitionBy("page_id").orderBy("ord")
-    whole = W.partitionBy("page_id")
-    nxt = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(w))
-    e = corners.select("page_id", "x", "y", nxt("x").alias("nx"), nxt("y").alias("ny"), F.avg("x").over(whole).alias("anchor"), F.count("*").over(whole).alias("n")).where("n >= 3 and y <> ny")
-    down = F.col("y") < F.col("ny")
-    e = e.select("page_id", "anchor", F.least("y", "ny").alias("a"), F.greatest("y", "ny").alias("b"), F.when(down, F.col("x")).otherwise(F.col("nx")).alias("xa"), F.when(down, F.col("nx")).otherwise(F.col("x")).alias("xb"))
-    first, last = F.greatest(F.ceil(F.col("a") - 0.5), F.lit(0)), F.least(F.ceil(F.col("b") - 0.5) - 1, F.lit(height - 1))
-    met = e.withColumn("row", F.explode(F.when(first <= last, F.sequence(first, last))))
-    at = F.col("xa") + (F.col("row") + 0.5 - F.col("a")) / (F.col("b") - F.col("a")) * (F.col("xb") - F.col("xa"))
-    r = W.partitionBy("page_id", "row").orderBy("x_in")
-    pieces = met.select("page_id", "row", "anchor", at.alias("x_in")).withColumn("x_out", F.lead("x_in").over(r)).withColumn("k", F.row_number().over(r)).where("k % 2 = 1 and x_out is not null")
-    over, long = F.col("anchor").between(F.col("x_in"), F.col("x_out")), F.col("x_out") - F.col("x_in")
-    best = pieces.where(over | (long > 0)).groupBy("page_id", "row").agg(F.min_by(F.struct("x_in", "x_out"), F.struct(~over, F.when(over, 0.0).otherwise(-long), "k")).alias("s"))
-    return best.select("page_id", F.col("row").alias("y"), F.bround("s.x_in").cast("bigint").alias("xmin"), F.bround("s.x_out").cast("bigint").alias("xmax"))
+    pages = corners.groupBy("page_id").agg(F.avg("x").alias("anchor"), F.sort_array(F.collect_list(F.struct("ord", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("c"))
+    pages = pages.select("page_id", "anchor", F.col("c.x").alias("x"), F.col("c.y").alias("y"))
+    kind = pa.list_(pa.struct([("y", pa.int64()), ("xmin", pa.int64()), ("xmax", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.column(2).value_lengths().to_numpy().astype("i8")
+            part = np.cumsum(n) * height // at_once
+            cuts = [0, *np.flatnonzero(np.diff(part)) + 1, len(n)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                some = b.slice(lo, hi - lo)
+                flat = [some.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3)]
+                page, *found = _crossings(n[lo:hi], some.column(1).to_numpy(zero_copy_only=False), *flat, height)
+                of = np.flatnonzero(np.bincount(page, minlength=hi - lo))
+                ends = np.append(0, np.cumsum(np.bincount(page, minlength=hi - lo)[of])).astype("i4")
+                rows = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(v) for v in found], fields=list(kind.value_type)))
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(of)), rows], ["page_id", "rows"])
+
+    return pages.mapInArrow(run, f"page_id {dict(corners.dtypes)['page_id']}, rows array<struct<y: bigint, xmin: bigint, xmax: bigint>>")
+
+
+def scanline_extents(corners: DataFrame, height: int) -> DataFrame:
+    """``scanlines`` with a row for each of a page's pixel rows."""
+    return scanlines(corners, height).select("page_id", F.inline("rows"))

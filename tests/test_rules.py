@@ -5,6 +5,14 @@ from pyspark.sql import functions as F
 
 from pageweave.functions import geometry as G
 from pageweave.functions import text as T
+from pageweave.plans.registry import gibberish, longest_run, scanline_extents
+from pageweave.plans.runtime import script_flags
+from pageweave.plans.typesetting import line_capacities, wrap_text_shape
+from tests.oracle import SF
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def one(spark, column, text):
@@ -139,6 +147,17 @@ def test_watchdog_tells_each_freeze_once(spark, tmp_path):
     assert [(r["page_id"], r["stage"], r["since_ms"]) for r in told] == [(1, 3, 1767225600000)]
 
 
+def test_scanlines_stay_with_their_polygon(spark):
+    from pageweave.operators import blocks as B
+
+    plan = planned(scanline_extents(spark, SF))
+    assert plan.index("Generate") < min(plan.index("Sort"), plan.index("Exchange"))  # rows are made last and never sorted
+    corners = [(p, i, float((p * 31 + i * 17) % 40), float((p * 7 + i * 23) % 50)) for p in range(60) for i in range(p % 9)]
+    told = spark.createDataFrame(corners + [(99, 0, None, 1.0), (99, 1, 5.0, None), (99, 2, 5.0, 9.0), (99, 3, 8.0, 0.0)], "page_id long, ord int, x double, y double").coalesce(1)
+    whole = {r.page_id: r.rows for r in B.scanlines(told, 50).collect()}
+    assert whole == {r.page_id: r.rows for r in B.scanlines(told, 50, at_once=120).collect()} and len(whole) > 30
+
+
 def test_scanline_extents(spark):
     from pageweave.operators import blocks as B
 
