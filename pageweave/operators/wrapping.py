@@ -125,16 +125,23 @@ def line_capacities(extents: DataFrame, layout: DataFrame, inset: int = 12, shar
     ``layout`` (page_id, start, step, height, top, bottom) places the lines. A line's rows are those it touches between top and bottom that are at least
     ``share`` as wide as the page's widest, or else all of them; it has their upper median width without ``inset``, and none beyond the bottom.
     """
-    widest = extents.groupBy("page_id").agg(F.max(F.col("xmax") - F.col("xmin")).alias("widest"))
-    lines = layout.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(most_lines - 1)))).withColumn("at", F.col("start") + F.col("i") * F.col("step"))
-    lines = lines.where(F.col("at") + F.col("height") <= F.col("bottom") + 0.5)
-    lines = lines.select("page_id", "i", F.greatest(F.col("at").cast("int"), F.col("top")).alias("y0"), F.least((F.col("at") + F.col("height")).cast("int"), F.col("bottom")).alias("y1"))
-    rows = extents.join(widest, "page_id").select("page_id", "y", (F.col("xmax") - F.col("xmin")).alias("w"), ((F.col("xmax") - F.col("xmin")) >= share * F.col("widest")).alias("wide"))
-    met = lines.join(rows, "page_id").where("y between y0 and y1").groupBy("page_id", "i")
-    # a page's rows are bounded by its height
-    by = met.agg(F.sort_array(F.collect_list(F.when(F.col("wide"), F.col("w")))).alias("wide"), F.sort_array(F.collect_list("w")).alias("all"))
-    own = F.when(F.size("wide") > 0, F.col("wide")).otherwise(F.col("all"))
-    room = by.select("page_id", "i", F.greatest(F.get(own, F.floor(F.size(own) / 2).cast("int")) - inset, F.lit(0)).alias("room"))
-    placed = room.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "room"))).alias("m"))
-    spread = F.transform(F.sequence(F.lit(0), F.lit(most_lines - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))
-    return layout.select("page_id").join(placed, "page_id", "left").select("page_id", F.coalesce(F.when(F.col("m").isNotNull(), spread), F.array_repeat(F.lit(0), most_lines).cast(f"array<{dict(room.dtypes)['room']}>")).alias("capacities"))
+    pages = extents.groupBy("page_id").agg(F.collect_list(F.struct("y", "xmin", "xmax")).alias("rows"))
+    return page_capacities(layout.join(pages, "page_id", "left"), inset, share, most_lines)
+
+
+def page_capacities(pages: DataFrame, inset: int = 12, share: float = 0.5, most_lines: int = 30) -> DataFrame:
+    """``line_capacities`` of pages that hold their rows (an array of y, xmin, xmax; null: none) beside the layout's columns. Nothing shuffles."""
+    seen = F.filter("rows", lambda r: r["xmin"].isNotNull() & r["xmax"].isNotNull())
+    rows = F.transform(seen, lambda r: F.struct(r["y"].alias("y"), (r["xmax"] - r["xmin"]).alias("w")))
+    told = pages.withColumn("rows", rows).withColumn("least", share * F.array_max(F.col("rows.w")))
+    pick = lambda own: F.get(own, F.floor(F.size(own) / 2).cast("int"))
+    start, step, height, top, bottom = (F.col(c) for c in ("start", "step", "height", "top", "bottom"))
+
+    def room(i: Column) -> Column:
+        at = start + i * step
+        y0, y1 = F.greatest(at.cast("int"), top), F.least((at + height).cast("int"), bottom)
+        met = F.transform(F.filter("rows", lambda r: r["y"].between(y0, y1)), lambda r: r["w"])
+        middle = let(met, lambda w: let(F.filter(w, lambda v: v >= F.col("least")), lambda wide: pick(F.sort_array(F.when(F.size(wide) > 0, wide).otherwise(w)))))
+        return F.when(at + height <= bottom + 0.5, F.greatest(middle - inset, F.lit(0))).otherwise(0)
+
+    return told.select("page_id", F.transform(F.sequence(F.lit(0), F.lit(most_lines - 1)), lambda i: F.coalesce(room(i), F.lit(0).cast("bigint"))).alias("capacities"))

@@ -147,6 +147,11 @@ def test_watchdog_tells_each_freeze_once(spark, tmp_path):
     assert [(r["page_id"], r["stage"], r["since_ms"]) for r in told] == [(1, 3, 1767225600000)]
 
 
+def test_capacities_move_no_rows(spark):
+    plan = planned(line_capacities(spark, SF))
+    assert "Generate" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_scanlines_stay_with_their_polygon(spark):
     from pageweave.operators import blocks as B
 
