@@ -104,6 +104,15 @@ def test_votes_and_fallbacks(spark):
     assert none.count() == 0
 
 
+def test_distances_of_wide_rows(spark):
+    bits = [[x % 401 != 7 for x in range(w)] for w in (1200, 3, 1200)]
+    rows = spark.createDataFrame([(1, 0, bits[0]), (2, 0, bits[1]), (3, 0, bits[2])], "page_id long, y int, bits array<boolean>").coalesce(1)
+    told = I.distances(rows)
+    assert "array_min" not in told._jdf.queryExecution().executedPlan().toString()
+    got = {r.page_id: r.dist for r in told.collect()}
+    assert got[1] == got[3] == [min(abs(x - z) for z in range(7, 1200, 401)) for x in range(1200)] and got[2] == [1e6] * 3
+
+
 def test_nothing_that_grows_is_broadcast(spark):
     plan = bubble_interiors(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
