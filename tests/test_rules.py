@@ -157,6 +157,10 @@ def test_shapes_move_no_rows(spark):
     assert plan.count("Window [") == 1 and "Generate" not in plan[: plan.index("MapInArrow")]
 
 
+def test_texts_are_read_once(spark):
+    assert "regexp_count" not in planned(script_flags(spark, SF)) and "regexp_replace" not in planned(script_flags(spark, SF))
+
+
 def test_scanlines_stay_with_their_polygon(spark):
     from pageweave.operators import blocks as B
 
