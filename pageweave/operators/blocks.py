@@ -168,12 +168,31 @@ def preserved(roles: DataFrame, translations: DataFrame, enabled: bool = True) -
     return joined.where(F.col("profile_preserve") | plain).select("page_id", "block_idx")
 
 
+def _longest(words: pa.Array) -> pa.Array:
+    """Ends of the longest run of set bits in each list of words (at, bits) in order, the leftmost on a tie; null without any."""
+    flat, n = words.flatten(), words.value_lengths().to_numpy()
+    bits = np.nan_to_num(flat.field("bits").fill_null(0).to_numpy(zero_copy_only=False)).astype("<i8")
+    word, bit = np.divmod(np.flatnonzero(np.unpackbits(bits.view("u1"), bitorder="little")), 64)
+    x, row = flat.field("at").fill_null(0).to_numpy(zero_copy_only=False).astype("i8")[word] * 64 + bit, np.repeat(np.arange(len(n)), n)[word]
+    new = np.flatnonzero((np.diff(x, prepend=-1) != 1) | (np.diff(row, prepend=-1) != 0))
+    last = np.append(new[1:], len(x)) - 1 if len(x) else new
+    a, b, row = x[new], x[last], row[new]
+    best = np.lexsort((a, a - b, row))
+    best = best[np.diff(row[best], prepend=-1) != 0]
+    xmin, xmax, none = np.zeros(len(n), "i8"), np.zeros(len(n), "i8"), np.ones(len(n), bool)
+    xmin[row[best]], xmax[row[best]], none[row[best]] = a[best], b[best], False
+    return pa.StructArray.from_arrays([pa.array(xmin, mask=none), pa.array(xmax, mask=none)], ["xmin", "xmax"])
+
+
 def longest_runs(pixels: DataFrame) -> DataFrame:
-    """xmin and xmax of the longest run of set pixels in each row of a page, the leftmost on a tie."""
-    w = W.partitionBy("page_id", "y").orderBy("x")
-    runs = pixels.withColumn("run", F.col("x") - F.dense_rank().over(w)).groupBy("page_id", "y", "run").agg(F.min("x").alias("a"), F.max("x").alias("b"))
-    best = runs.groupBy("page_id", "y").agg(F.max(F.struct((F.col("b") - F.col("a")).alias("n"), (-F.col("a")).alias("left"))).alias("r"))
-    return best.select("page_id", "y", (-F.col("r.left")).alias("xmin"), (F.col("r.n") - F.col("r.left")).alias("xmax"))
+    """xmin and xmax of the longest run of set pixels in each row of a page, the leftmost on a tie.
+
+    Pixels become bits of words before they move, so a task holds words, not pixels, and none are sorted but the words of a row.
+    """
+    word = pixels.groupBy("page_id", "y", F.shiftright(F.col("x").cast("bigint"), 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("bits"))
+    rows = word.groupBy("page_id", "y").agg(F.sort_array(F.collect_list(F.struct("at", "bits"))).alias("words")).withColumn("run", F.arrow_udf(_longest, "struct<xmin: bigint, xmax: bigint>")("words"))
+    kind = dict(pixels.dtypes)["x"]
+    return rows.select("page_id", "y", F.col("run.xmin").cast(kind).alias("xmin"), F.col("run.xmax").cast(kind).alias("xmax"))
 
 
 def translatable(roles: DataFrame) -> DataFrame:

@@ -161,6 +161,15 @@ def test_texts_are_read_once(spark):
     assert "regexp_count" not in planned(script_flags(spark, SF)) and "regexp_replace" not in planned(script_flags(spark, SF))
 
 
+def test_runs_of_many_words(spark):
+    from pageweave.operators import blocks as B
+
+    points = [(1, 0, x) for x in range(-70, 140)] * 2 + [(1, 1, x) for x in [*range(60, 70), *range(200, 210), 63]] + [(2, 5, None)]
+    got = {(r.page_id, r.y): (r.xmin, r.xmax) for r in B.longest_runs(spark.createDataFrame(points, "page_id long, y int, x int")).collect()}
+    assert got == {(1, 0): (-70, 139), (1, 1): (60, 69), (2, 5): (None, None)}
+    assert "Window" not in planned(longest_run(spark, SF))
+
+
 def test_scanlines_stay_with_their_polygon(spark):
     from pageweave.operators import blocks as B
 
